@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from convarchive.llm import chat_formatting, quality_rules, url_filters
+from convarchive.llm import chat_formatting, decontamination, packing, quality_rules, simhash, url_filters
 
 QUERIES = {
+    "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+    "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op6_chat_formatting": chat_formatting.op6_chat_formatting,
+    "op8_decontamination": decontamination.op8_decontamination,
     "op9_url_filters": url_filters.op9_url_filters,
 }
 
 ORACLES = {
     "op3_quality_rules": quality_rules.ORACLE,
     "op6_chat_formatting": chat_formatting.ORACLE,
+    "op8_decontamination": decontamination.ORACLE,
     "op9_url_filters": url_filters.ORACLE,
 }
