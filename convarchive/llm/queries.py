@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from convarchive.llm import chat_formatting, decontamination, packing, quality_rules, simhash, url_filters
+from convarchive.llm import chat_formatting, decontamination, packing, quality_rules, simhash, toxicity, url_filters
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_chat_formatting": chat_formatting.op6_chat_formatting,
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_url_filters": url_filters.op9_url_filters,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLES = {
