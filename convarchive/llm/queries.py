@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from convarchive.llm import chat_formatting, decontamination, packing, quality_rules, simhash, toxicity, url_filters
+from convarchive.llm import chat_formatting, decontamination, line_dedup, packing, quality_rules, simhash, toxicity, url_filters
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op6_chat_formatting": chat_formatting.op6_chat_formatting,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_url_filters": url_filters.op9_url_filters,
     "op10_toxicity": toxicity.op10_toxicity,
@@ -17,6 +18,7 @@ QUERIES = {
 ORACLES = {
     "op3_quality_rules": quality_rules.ORACLE,
     "op6_chat_formatting": chat_formatting.ORACLE,
+    "op7_line_dedup": line_dedup.ORACLE,
     "op8_decontamination": decontamination.ORACLE,
     "op9_url_filters": url_filters.ORACLE,
 }
