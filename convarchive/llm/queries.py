@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from convarchive.llm import chat_formatting, decontamination, line_dedup, packing, pii, quality_rules, simhash, toxicity, url_filters
+from convarchive.llm import chat_formatting, decontamination, line_dedup, lm_scoring, packing, pii, quality_rules, simhash, toxicity, url_filters
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op4_lm_scoring": lm_scoring.op4_lm_scoring,
     "op5_pii_surrogates": pii.op5_pii_surrogates,
     "op6_chat_formatting": chat_formatting.op6_chat_formatting,
     "op7_line_dedup": line_dedup.op7_line_dedup,
