@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 #: Accented Latin letters and what they are without accent.
 ACCENTED = "áàâäãåāçćčéèêëēęíìîïīñńóòôöõōúùûüūýÿžźżšśłďťřň"
 PLAIN = "aaaaaaaccceeeeeeiiiiinnoooooouuuuuyyzzzsslдtrn".replace("д", "d")
-#: Titles that say nothing, in lower case.
-GENERIC_TITLES = ["", "new chat", "untitled", "conversation", "nueva conversación", "nuevo chat"]
+#: Titles that say nothing, in lower case.
+GENERIC_TITLES = [
+    "", "conversación", "conversation", "new chat", "conversación nueva",
+    "untitled", "sin título", "chat", "chatgpt conversation",
+]
 
 
 def strip_space(c: Column) -> Column:

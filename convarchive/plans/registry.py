@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-PLANS = ["merge", "threads"]
+PLANS = ["merge", "threads", "topics", "texts"]
 
 
 def query(name: str, sql: str | None = None):
