@@ -1,0 +1,124 @@
+"""Music lineage: clips, their origins, forests and statistics.
+
+``clips(clip_id, source, title, created, duration, liked, deleted, op, origins, badges, project, conversation_id)``.
+"""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Operation of a clip -> badge.
+OPERATIONS = {"create": "Original", "extend": "Extend", "cover": "Cover", "remix": "Remix", "mashup": "Mashup", "replace": "Replace"}
+
+
+def flatten_suno(raw: DataFrame) -> DataFrame:
+    """Clips of an index with nested ``metadata`` and ``project``."""
+    m = F.col("metadata")
+    return raw.select(
+        F.col("id").alias("clip_id"), F.lit("suno").alias("source"), "title", F.col("created_at").alias("created"), m["duration"].cast("double").alias("duration"), F.coalesce("is_liked", F.lit(False)).alias("liked"),
+        F.coalesce("is_trashed", F.lit(False)).alias("deleted"), m["task"].alias("op"), origins(m["cover_clip_id"], m["edited_clip_id"], m["mashup_clip_ids"]).alias("origins"),
+        F.transform(F.coalesce(m["secondary_badges"], F.array().cast("array<struct<display_name:string>>")), lambda b: b["display_name"]).alias("badges"), F.col("project")["name"].alias("project"),
+    )
+
+
+def flatten_flow(raw: DataFrame) -> DataFrame:
+    """Clips of an index with source clips, operation and conversation; an unknown duration is null."""
+    return raw.select(
+        F.col("id").alias("clip_id"), F.lit("flow").alias("source"), "title", F.col("created_at").alias("created"), F.when(F.coalesce("duration_status", F.lit("ok")) == "ok", F.col("duration")).alias("duration"),
+        F.coalesce("is_favorite", F.lit(False)).alias("liked"), F.col("deleted_at").isNotNull().alias("deleted"), F.col("op_type").alias("op"), F.array_distinct(F.coalesce("source_clip_ids", F.array().cast("array<string>"))).alias("origins"), "conversation_id",
+    )
+
+
+def origins(cover: Column, edited: Column, mashup: Column) -> Column:
+    """The cover's id, else the edited one's, then those of a mashup; distinct, in order."""
+    ids = F.concat(F.array(F.coalesce(cover, edited)), F.coalesce(mashup, F.array().cast("array<string>")))
+    return F.array_distinct(F.filter(ids, lambda x: x.isNotNull()))
+
+
+def primary_parent(clips: DataFrame) -> DataFrame:
+    """``(clip_id, parent_id)``: the first origin that is in the library and not the clip itself."""
+    listed = clips.select("clip_id", F.posexplode("origins").alias("k", "parent_id")).where("parent_id <> clip_id")
+    known = listed.join(clips.select(F.col("clip_id").alias("parent_id")), "parent_id", "left_semi")
+    first = known.groupBy("clip_id").agg(F.min(F.struct("k", "parent_id")).alias("p")).select("clip_id", "p.parent_id")
+    return clips.select("clip_id").join(first, "clip_id", "left")
+
+
+def dewey(clips: DataFrame) -> DataFrame:
+    """``(clip_id, root_id, depth, code)`` of ``clips(clip_id, parent_id, created)``: roots are ``0``, the k-th child of a clip ``<code>.k``.
+
+    Level by level, so every clip is placed once; clips of a cycle are never reached and have no code. The
+    lineage of the plan is cut at each level in the shared checkpoint folder.
+    """
+    sc = clips.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(clips.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    nth = F.row_number().over(Window.partitionBy("parent_id").orderBy("created", "clip_id"))
+    children = clips.where("parent_id is not null").select("clip_id", "parent_id", nth.alias("nth"))
+    level = clips.where("parent_id is null").select("clip_id", F.col("clip_id").alias("root_id"), F.lit(0).alias("depth"), F.lit("0").alias("code")).checkpoint()
+    out = level
+    while not level.isEmpty():
+        above = level.withColumnRenamed("clip_id", "parent_id")
+        level = children.join(above, "parent_id").select("clip_id", "root_id", (F.col("depth") + 1).alias("depth"), F.concat("code", F.lit("."), F.col("nth").cast("string")).alias("code")).checkpoint()
+        out = out.unionByName(level)
+    return out
+
+
+def clip_names(clips: DataFrame, case_sensitive: bool = True) -> DataFrame:
+    """``(clip_id, name)``: title and code, with the first digits of the id where names collide."""
+    name = F.concat("title", F.lit(" · "), "code")
+    key = F.col("name") if case_sensitive else F.lower("name")
+    taken = F.count("*").over(Window.partitionBy(key)) > 1
+    named = clips.withColumn("name", name)
+    return named.select("clip_id", F.when(taken, F.concat("name", F.lit(" "), F.substring("clip_id", 1, 8))).otherwise(F.col("name")).alias("name"))
+
+
+def badges(op: Column, secondary: Column) -> Column:
+    """A clip's badges, else the one of its operation; an unknown operation is ``Other``."""
+    known = F.create_map(*[F.lit(x) for pair in OPERATIONS.items() for x in pair])
+    return F.when(F.size(F.coalesce(secondary, F.array().cast("array<string>"))) > 0, secondary).otherwise(F.array(F.coalesce(known[op], F.lit("Other"))))
+
+
+def families(clips: DataFrame) -> DataFrame:
+    """Per root its members, liked and complete ones; ``single`` roots stand apart. Complete clips know their duration."""
+    out = clips.groupBy("root_id").agg(F.count("*").alias("members"), F.count_if("liked").alias("liked"), F.count_if(F.col("duration").isNotNull()).alias("complete"), F.max("depth").alias("depth"))
+    return out.withColumn("single", F.col("members") == 1)
+
+
+def clip_index(clips: DataFrame) -> DataFrame:
+    """``(section, value, clips)``: liked, liked and complete, and by project, operation, badge and conversation."""
+    s = lambda name, value: F.struct(F.lit(name).alias("section"), value.cast("string").alias("value"))
+    fixed = F.array(
+        s("liked", F.when(F.col("liked"), "yes")), s("liked and complete", F.when(F.col("liked") & F.col("duration").isNotNull(), "yes")),
+        s("project", F.col("project")), s("operation", F.col("op")), s("conversation", F.col("conversation_id")),
+    )
+    rows = clips.select("clip_id", F.explode(F.concat(fixed, F.transform("badges", lambda b: s("badge", b)))).alias("x")).where("x.value is not null")
+    return rows.groupBy("x.section", "x.value").agg(F.countDistinct("clip_id").alias("clips"))
+
+
+def library_stats(clips: DataFrame) -> DataFrame:
+    """Totals over what isn't deleted; unknown durations are counted apart and never summed as zero."""
+    live = clips.where(~F.coalesce("deleted", F.lit(False)))
+    return live.agg(
+        F.count("*").alias("total"), F.count_if("liked").alias("liked"), F.count_if(F.col("duration").isNotNull()).alias("complete"), F.countDistinct("project").alias("projects"),
+        F.count_if(F.col("project").isNull()).alias("without_project"), F.bround(F.sum("duration"), 1).alias("seconds"), F.count_if(F.col("duration").isNull()).alias("without_duration"),
+    )
+
+
+def conversation_clips(clips: DataFrame, convs: DataFrame) -> DataFrame:
+    """Conversations with their clips, oldest first, and how many; none is an empty list."""
+    listed = clips.where("conversation_id is not null").groupBy("conversation_id").agg(F.array_sort(F.collect_list(F.struct("created", "clip_id"))).alias("c"))
+    out = convs.join(listed, "conversation_id", "left")
+    ids = F.transform(F.coalesce("c", F.array().cast(listed.schema["c"].dataType)), lambda x: x["clip_id"])
+    return out.select("conversation_id", ids.alias("clips"), F.size(ids).alias("n"))
+
+
+def verify_backup(index: DataFrame, files: DataFrame, formats: list[str]) -> DataFrame:
+    """``(status, n)``: for each clip and format ok, missing, empty or partial; formats a clip declares absent don't count, repeated ids do."""
+    wanted = index.select("clip_id", "absent", F.explode(F.array(*map(F.lit, formats))).alias("ext")).where(~F.array_contains(F.coalesce("absent", F.array().cast("array<string>")), F.col("ext")))
+    repeated = index.groupBy("clip_id").agg(F.count("*").alias("copies"))
+    met = wanted.distinct().join(files, ["clip_id", "ext"], "left").join(repeated, "clip_id")
+    status = F.when(F.col("copies") > 1, "duplicate id").when(F.col("bytes").isNull(), "missing").when(F.col("bytes") == 0, "empty").when(F.col("partial"), "partial").otherwise("ok")
+    return met.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
