@@ -8,13 +8,13 @@ where it is dropped itself.
 
 Near lines: every distinct line emits the hash of itself and of each variant without one word. Two lines
 that are one exchange apart share a variant at the same place; a line and a longer one share the whole and
-a variant. A join on the hashed key (and the place) thus finds exactly the pairs within the bound. Equal
-hashes are checked by word counts and, with it, by place; so no further text is compared. Two cheap keys
+a variant. Meeting on the hashed key, the word count and (for exchanges) the place thus is the edit-distance
+check: whatever meets so is within the bound, whatever is within the bound meets. Two cheap keys
 of half a line come first: an edit leaves the first or the last half of the words whole, so lines that
 share neither half with another line cannot have a partner and emit no variants. Nothing is capped.
 
-A group of equal lines is one row after partial aggregation; a variant that many lines share is reduced to
-its earliest line before it meets them in a join, so no pairs within a group are made.
+A group of equal lines is one row after partial aggregation. Lines that share a variant are compared with
+the earliest of them in a window that spills to disk, so no pairs within a group are made.
 
 Null texts stay null, empty texts and lines without a word stay. A text whose every line is dropped becomes
 empty. Rows of one doc_id are told apart by their place in the input, which must read the same twice (as
@@ -23,13 +23,15 @@ files do). Further columns are left alone.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from convarchive.llm.common import ascii_lower, kept, let, require, table, words
+from convarchive.llm.common import ascii_lower, kept, let, require, stored, table, words
 
 MIN_WORDS = 3
 EDIT_WORDS = 10
+#: So many places of likely lines (16 bytes each) are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def numbered(documents: DataFrame) -> DataFrame:
@@ -49,18 +51,21 @@ def halves(w: Column) -> Column:
     return F.when(F.size(w) % 2 == 1, at(half)).otherwise(F.concat(at(half - 1), at(half)))
 
 
-def line_rows(documents: DataFrame, min_words: int, edit_words: int) -> DataFrame:
-    """``(row, doc_id, line, id, w, n)`` of the lines that count; ``w`` only where edits count."""
-    lines = documents.select(F.col("__row").alias("row"), "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "said"))
-    lines = lines.select("row", "doc_id", "line", words(ascii_lower(F.col("said"))).alias("w")).where(F.size("w") >= min_words)
-    return lines.select(
-        "row",
-        "doc_id",
-        "line",
-        F.unhex(F.md5(F.array_join("w", " "))).alias("id"),
-        F.size("w").alias("n"),
-        F.when(F.size("w") >= edit_words, halves(F.col("w"))).alias("keys"),
-    )
+def line_rows(documents: DataFrame, min_words: int, edit_words: int | None = None) -> DataFrame:
+    """``(row, doc_id, line, id, n[, keys])`` of the lines that count; ``keys`` where edits count.
+
+    All of a line is computed inside the generator, so that no filter or join makes Spark do it again.
+    """
+
+    def judged(w: Column) -> Column:
+        fields = [F.unhex(F.md5(F.array_join(w, " "))).alias("id"), F.size(w).alias("n")]
+        if edit_words is not None:
+            fields.append(F.when(F.size(w) >= edit_words, halves(w)).alias("keys"))
+        return F.struct(*fields)
+
+    lines = F.transform(F.split(ascii_lower(F.col("text")), "\n", -1), lambda x: let(words(x), judged))
+    out = documents.select(F.col("__row").alias("row"), "doc_id", F.posexplode(lines).alias("line", "x"))
+    return out.select("row", "doc_id", "line", "x.*").where(F.col("n") >= min_words)
 
 
 def place() -> Column:
@@ -105,38 +110,39 @@ def variants(lines: DataFrame) -> DataFrame:
         return F.flatten(ran)
 
     keys = F.concat(F.array(whole), let(steps, run))
-    return lines.select("pos", "id", "n", F.posexplode(keys).alias("at", "key"))
+    return lines.select("doc_id", "row", "line", F.size("w").alias("n"), F.posexplode(keys).alias("at", "key"))
 
 
 def near_lines(documents: DataFrame, firsts: DataFrame) -> DataFrame:
-    """``(id)`` of distinct lines with an earlier line one edit away; ``firsts(id, pos, n, keys)`` has every distinct line."""
+    """``(row, line)`` of distinct lines with an earlier line one edit away; ``firsts(id, pos, n, keys)`` has every distinct line."""
     halved = firsts.where("keys is not null").select("id", F.explode("keys").alias("half"))
     shared = halved.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
     likely = halved.join(shared, "half", "left_semi").select("id").distinct()
     # the lines' words come from the text at their first place
-    wanted = firsts.join(likely, "id", "left_semi").select("id", "n", "pos", F.col("pos.row").alias("row"), F.col("pos.line").alias("line"))
-    texts = documents.select(F.col("__row").alias("row"), F.posexplode(F.split("text", "\n", -1)).alias("line", "said"))
-    lines = wanted.join(texts, ["row", "line"]).select("id", "pos", words(ascii_lower(F.col("said"))).alias("w"), "n")
-    out = kept(variants(lines).select("key", "at", "pos", "n", "id"))
-    left_out = out.where("at > 0")
-    # exchanged: the same rest with the same place left out
-    groups = left_out.groupBy("key", "at", "n").agg(F.count("*").alias("c"), F.min("pos").alias("first")).where("c > 1").select("key", "at", "n", "first")
-    exchanged = left_out.join(groups, ["key", "at", "n"]).where("first < pos").select("id")
-    # put in or left out: the whole of one line is the rest of another
-    wholes = out.where("at = 0").select("key", F.col("n").alias("whole_n"), F.col("pos").alias("whole_pos"), F.col("id").alias("whole_id"))
-    met = left_out.join(wholes, "key").where("n = whole_n + 1")
-    inserted = met.select(F.when(F.col("whole_pos") < F.col("pos"), F.col("id")).otherwise(F.col("whole_id")).alias("id"))
-    return exchanged.unionByName(inserted).distinct()
+    wanted = kept(firsts.join(likely, "id", "left_semi").select("pos.row", "pos.line"))
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    texts = documents.select(F.col("__row").alias("row"), "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "said"))
+    lines = texts.join(wanted, ["row", "line"]).select("row", "doc_id", "line", words(ascii_lower(F.col("said"))).alias("w"))
+    out = variants(lines).withColumn("m", F.col("n") - (F.col("at") > 0).cast("int"))
+    # put in or left out: the whole of one line is the rest of another; exchanged: the same rest with the same place left out
+    whole, rest = F.when(F.col("at") == 0, place()), F.when(F.col("at") > 0, place())
+    alike = Window.partitionBy("key", "m")
+    out = out.withColumn("wholes", F.min(whole).over(alike)).withColumn("rests", F.min(rest).over(alike))
+    out = out.withColumn("same", F.min(place()).over(Window.partitionBy("key", "m", "at")))
+    left_out = (F.col("at") > 0) & ((F.col("same") < place()) | F.coalesce(F.col("wholes") < place(), F.lit(False)))
+    return out.where(left_out | ((F.col("at") == 0) & (F.col("rests") < place()))).select("row", "line").distinct()
 
 
 def dropped_lines(documents: DataFrame, min_words: int = MIN_WORDS, edit_words: int = EDIT_WORDS) -> DataFrame:
     """``(row, line)`` of all lines to drop, of documents with ``__row``."""
     lines = line_rows(documents, min_words, edit_words)
     firsts = lines.groupBy("id").agg(F.min(place()).alias("pos"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    firsts = kept(firsts)
+    firsts = stored(firsts)
     near = near_lines(documents, firsts).withColumn("near", F.lit(True))
-    judged = kept(firsts.join(near, "id", "left").where("copies > 1 or near").select("id", "pos", F.coalesce("near", F.lit(False)).alias("near")))
-    again = lines.select("row", "doc_id", "line", "id").join(judged, "id")
+    placed = firsts.select("id", "pos", "copies", "pos.row", "pos.line").join(near, ["row", "line"], "left")
+    judged = kept(placed.where("copies > 1 or near").select("id", "pos", F.coalesce("near", F.lit(False)).alias("near")))
+    again = line_rows(documents, min_words).select("row", "doc_id", "line", "id").join(judged, "id")
     return again.where(F.col("near") | (place() != F.col("pos"))).select("row", "line")
 
 
