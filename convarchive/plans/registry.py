@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-PLANS = ["merge", "threads", "topics", "texts", "projects", "indexes", "galleries", "repairs", "lineages", "libraries", "intakes"]
+PLANS = ["merge", "threads", "topics", "texts", "projects", "indexes", "galleries", "repairs", "lineages", "libraries", "intakes", "scans", "streams"]
 
 
 def query(name: str, sql: str | None = None):
