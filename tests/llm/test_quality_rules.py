@@ -9,8 +9,8 @@ ROWS = [
     (3, ""),
     (4, " \n\t\n"),
     (5, "word " * 120),
-    (6, "\n".join("Home | About | News | Contact | Terms of service | Item " + str(i) for i in range(20))),
-    (7, "\n".join("FREE STUFF!! CLICK HERE!! BUY NOW NUMBER!! " + "abcdefghijklmnopqrst"[i].upper() * 3 for i in range(20))),
+    (6, "\n".join(f"Home{i} | About{i} | News{i} | Contact{i} | More{i}" for i in range(20))),
+    (7, "\n".join("FREE{0} STUFF{0}!! CLICK{0} HERE{0}!! BUY{0} NOW{0}!!".format("abcdefghijklmnopqrst"[i].upper() * 3) for i in range(20))),
     (8, "a b c d\na b c d\nx a b c"),
     (8, "a b c d\na b c d\nx a b c"),
     (9, " ".join(f"w{i % 5000}" for i in range(60_000))),
