@@ -157,6 +157,35 @@ def parse_html_export(spark, d):
     return page.select("page_id", F.posexplode(r.parse_html_export(html)).alias("pos", "m")).select("page_id", "pos", "m.*")
 
 
+@query("A15_read_post_stats", "SELECT s_name AS title, s_nationkey::VARCHAR AS views FROM supplier")
+def read_post_stats(spark, d):
+    root, sup = shared(spark), v.table(spark, d, "supplier")
+    sup.select(F.col("s_name").alias("title"), F.lit("2024").alias("post_date"), F.col("s_nationkey").alias("views")).write.option("header", True).csv(f"{root}/stats")
+    sup.select(F.col("s_name").alias("email"), F.col("s_suppkey").alias("active")).write.option("header", True).csv(f"{root}/list")
+    return r.read_post_stats(spark, [f"{root}/stats", f"{root}/list"]).select("title", "views")
+
+
+def zipped(batches):
+    """Each row's text as a zip file with one member; every seventh is broken."""
+    import io
+    import zipfile
+
+    for b in batches:
+        out = []
+        for key, text in zip(b["key"], b["text"], strict=True):
+            file = io.BytesIO()
+            with zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr(f"x/{key}.txt", text)
+            out.append(b"broken" if key % 7 == 0 else file.getvalue())
+        yield b.assign(path=[f"z{k}.zip" for k in b["key"]], content=out)[["path", "content"]]
+
+
+@query("A21_expand_archives", "SELECT 'z' || doc_id || '.zip' AS archive, CASE WHEN doc_id % 7 <> 0 THEN 'x/' || doc_id || '.txt' END AS member, CASE WHEN doc_id % 7 = 0 THEN 6 ELSE strlen(text) END::BIGINT AS bytes, CASE WHEN doc_id % 7 <> 0 THEN sha1(text) END AS digest FROM documents")
+def expand_archives(spark, d):
+    files = v.table(spark, d, "documents").select(F.col("doc_id").alias("key"), "text").mapInPandas(zipped, "path string, content binary")
+    return r.archive_members(files).select("archive", "member", "bytes", F.sha1("content").alias("digest"))
+
+
 @query("A16_read_suno", "SELECT 's' || p_partkey AS id, p_name AS title, p_retailprice::DOUBLE AS duration FROM part WHERE p_size % 5 <> 0")
 def read_suno(spark, d):
     part = v.table(spark, d, "part")

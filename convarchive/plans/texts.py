@@ -81,12 +81,13 @@ def resolve_markers(spark, d):
 @query(
     "D10_web_image_refs",
     "WITH u AS (SELECT 'https://img.example/' || (conv_id % 9) AS url, conv_id FROM conversations WHERE turn = 0) "
-    "SELECT substr(sha256(url), 1, 16) AS ref, url, list_sort(list(DISTINCT conv_id)) AS conversations, CASE WHEN substr(sha256(url), 1, 16) < '8' THEN 'rescatada' ELSE 'sin_triar' END AS state FROM u GROUP BY url",
+    "SELECT substr(sha256(url), 1, 16) AS ref, url, string_agg(DISTINCT conv_id::VARCHAR, ',' ORDER BY conv_id::VARCHAR) AS conversations, CASE WHEN substr(sha256(url), 1, 16) < '8' THEN 'rescatada' ELSE 'sin_triar' END AS state FROM u GROUP BY url",
 )
 def web_image_refs(spark, d):
     refs = marked(spark, d)
     some = v.table(spark, d, C).where("turn = 0").select(F.substring(F.sha2(F.concat(F.lit("https://img.example/"), (F.col("conv_id") % 9).cast("string")), 256), 1, 16).alias("ref")).distinct()
-    return b.web_image_refs(refs, some.where("ref < '8'").withColumn("state", F.lit("rescatada")))
+    out = b.web_image_refs(refs, some.where("ref < '8'").withColumn("state", F.lit("rescatada")))
+    return out.withColumn("conversations", F.array_join(F.array_sort(F.transform("conversations", lambda c: c.cast("string"))), ","))
 
 
 @query("D11_image_meta", "SELECT 'p' || doc_id AS pointer, CASE WHEN doc_id % 2 = 0 THEN 'generated' ELSE 'uploaded' END AS origin, CASE WHEN doc_id % 2 = 0 THEN lang END AS prompt, CASE WHEN doc_id % 2 = 0 THEN 'g' || doc_id END AS gen_id, doc_id % 6 = 0 AS is_edit, (n_chars % 512)::INT AS width, 256 AS height FROM documents")
@@ -244,7 +245,7 @@ def unwrap(spark, d):
     return v.table(spark, d, "events").select("event_id", text.unwrap(json).alias("value"))
 
 
-@query("D34_collect_ids", "SELECT event_id, list_sort(list_distinct(['a' || event_id, 'b' || (event_id % 7), 'c'])) AS ids FROM events")
+@query("D34_collect_ids", "SELECT event_id, 'a' || event_id || ',b' || (event_id % 7) || ',c' AS ids FROM events")
 def collect_ids(spark, d):
     json = F.concat(F.lit('{"x":{"clip_id":"a'), F.col("event_id").cast("string"), F.lit('"},"y":[{"clip_ids":["b'), (F.col("event_id") % 7).cast("string"), F.lit('","c"]},{"clip_id" : "c"}]}'))
-    return v.table(spark, d, "events").select("event_id", text.collect_ids(json).alias("ids"))
+    return v.table(spark, d, "events").select("event_id", F.array_join(text.collect_ids(json), ",").alias("ids"))

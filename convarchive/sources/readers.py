@@ -226,8 +226,8 @@ def read_notes(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return parse_notes(spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path).select(F.col("_metadata.file_path").alias("path"), "value"))
 
 
-def expand_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """``(archive, member, bytes, content)`` of zip files, one task a file; a broken archive has one row without a member."""
+def archive_members(files: DataFrame) -> DataFrame:
+    """``(archive, member, bytes, content)`` of zip files ``(path, content)``; a broken archive has one row without a member."""
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -240,10 +240,14 @@ def expand_archives(spark: SparkSession, folder: str) -> DataFrame:
                 except zipfile.BadZipFile:
                     yield pd.DataFrame({"archive": [path], "member": [None], "bytes": [len(content)], "content": [None]})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(folder)
     return files.select("path", "content").mapInPandas(members, "archive string, member string, bytes long, content binary")
 
 
+def expand_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """The members of the zip files of a folder, one task a file."""
+    return archive_members(spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(folder))
+
+
 def read_dim_map(spark: SparkSession, path: str) -> DataFrame:
     """``(key, value)`` of a small JSON map; lists give a row for each of their values."""
     whole = spark.read.option("wholetext", True).text(path)
