@@ -2,24 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import io
+import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convarchive.plans import derived as v
+from convarchive.plans.derived import shared
 from convarchive.plans.registry import query
 from convarchive.sources import readers as r
 from convarchive.sources import sinks as s
 
 
-def shared(spark: SparkSession) -> str:
-    """A new folder under the session's checkpoint directory, which driver and executors share."""
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-scans-")
-    return f"{root}/scan-{uuid.uuid4().hex}"
-
-
 def dropped(df: DataFrame, suffix: str = "json") -> str:
     """``df``'s only column as text files; returns their folder."""
     path = f"{shared(df.sparkSession)}/{suffix}"
@@ -165,23 +160,19 @@ def read_post_stats(spark, d):
     return r.read_post_stats(spark, [f"{root}/stats", f"{root}/list"]).select("title", "views")
 
 
-def zipped(batches):
-    """Each row's text as a zip file with one member; every seventh is broken."""
-    import io
-    import zipfile
-
-    for b in batches:
-        out = []
-        for key, text in zip(b["key"], b["text"], strict=True):
-            file = io.BytesIO()
-            with zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as z:
-                z.writestr(f"x/{key}.txt", text)
-            out.append(b"broken" if key % 7 == 0 else file.getvalue())
-        yield b.assign(path=[f"z{k}.zip" for k in b["key"]], content=out)[["path", "content"]]
-
-
 @query("A21_expand_archives", "SELECT 'z' || doc_id || '.zip' AS archive, CASE WHEN doc_id % 7 <> 0 THEN 'x/' || doc_id || '.txt' END AS member, CASE WHEN doc_id % 7 = 0 THEN 6 ELSE strlen(text) END::BIGINT AS bytes, CASE WHEN doc_id % 7 <> 0 THEN sha1(text) END AS digest FROM documents")
 def expand_archives(spark, d):
+    def zipped(batches):
+        """Each row's text as a zip file with one member; every seventh is broken."""
+        for b in batches:
+            out = []
+            for key, text in zip(b["key"], b["text"], strict=True):
+                file = io.BytesIO()
+                with zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr(f"x/{key}.txt", text)
+                out.append(b"broken" if key % 7 == 0 else file.getvalue())
+            yield b.assign(path=[f"z{k}.zip" for k in b["key"]], content=out)[["path", "content"]]
+
     files = v.table(spark, d, "documents").select(F.col("doc_id").alias("key"), "text").mapInPandas(zipped, "path string, content binary")
     return r.archive_members(files).select("archive", "member", "bytes", F.sha1("content").alias("digest"))
 

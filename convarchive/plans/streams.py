@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from convarchive.plans import derived as v
+from convarchive.plans.derived import shared
 from convarchive.plans.registry import query
-from convarchive.plans.scans import shared
 from convarchive.streaming import streams as o
 
 
