@@ -39,11 +39,26 @@ def stream_dedup(spark, d):
     return ran(spark, o.stream_dedup(streamed(spark, c.unionByName(c.withColumn("content", F.concat(F.lit(" "), "content")))))).select("group_key", "fp")
 
 
-@query("O3_stream_turns")
+@query(
+    "O3_stream_turns",
+    v.with_sql(
+        v.EVENTS,
+        "g AS (SELECT *, lag(ts) OVER w AS before FROM se WHERE kind <> 'noise' WINDOW w AS (PARTITION BY session_id ORDER BY ts))",
+        "b AS (SELECT *, sum((before IS NULL OR ts - before >= INTERVAL 30 MINUTE)::INT) OVER (PARTITION BY session_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)",
+        "SELECT session_id, min(ts)::VARCHAR AS started, (max(ts) + INTERVAL 30 MINUTE)::VARCHAR AS ended, count(*) AS events, count_if(kind = 'human')::BIGINT AS prompts, count_if(kind = 'tool')::BIGINT AS tools FROM b GROUP BY session_id, k "
+        "HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM se WHERE kind <> 'noise')",
+    ),
+)
 def stream_turns(spark, d):
-    return ran(spark, o.stream_turns(streamed(spark, v.session_events(spark, d).select("session_id", F.col("ts").cast("timestamp").alias("ts"), "kind"))))
+    out = ran(spark, o.stream_turns(streamed(spark, v.session_events(spark, d).select("session_id", F.col("ts").cast("timestamp").alias("ts"), "kind"))))
+    return out.withColumns({"started": F.col("started").cast("string"), "ended": F.col("ended").cast("string")})
 
 
-@query("O4_stream_activity")
+@query(
+    "O4_stream_activity",
+    "SELECT strftime(ts, '%Y-%m-%d') AS day, CASE WHEN event_type = 'view' THEN 'chatgpt' ELSE event_type END AS provider, count(*) AS imports FROM events "
+    "WHERE ts::DATE + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM events) GROUP BY 1, 2",
+)
 def stream_activity(spark, d):
-    return ran(spark, o.stream_activity(streamed(spark, v.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("provider")))))
+    rows = v.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("provider"))
+    return ran(spark, o.stream_activity(streamed(spark, rows))).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
