@@ -1,20 +1,21 @@
 """LM scoring by online logistic context mixing over the bits of words.
 
 A text is its words in lower case (A-Z) and one end. Each word is spelled by its bytes and a terminator;
-every symbol is a path of binary decisions in a Huffman tree of the training symbols. Five hashed contexts
-predict each decision: inside a word the last one, two, three and five bytes and the whole prefix; for its
-first byte nothing, the last byte and last three bytes of the word before, that word, and the two before.
-A context and a tree node share a slot of a fixed table, which holds how often each bit followed. The
-predictions enter a logistic mixer in the stretched domain; a gate (first byte or not, and how often the two
-longest contexts have been seen) picks the weights. Weights are refined online, block by block, on the
-training documents of fold 1 (whose counts are left out of the tables, so that they show how far each
-context can be trusted), and an adaptive probability map then corrects the mixed probability by gate. The
-score is the sum of the decisions' log10 probabilities; ``bits_per_byte`` is its total per byte of text.
-
-Counts of words and contexts cover all training documents. Tables have a fixed size (``2 ** bits`` slots a
-context), summed block by block over the cluster; only the finished tables, a few MB, pass the driver. Word
-counts stay in Spark: words of at least ``1 / COMMON`` of all tokens, at most ``COMMON`` of them, are
-broadcast for the base score; the others are joined by hash.
+every symbol is a path of binary decisions in a Huffman tree of the training symbols. Hashed contexts predict
+each decision: inside a word the last one, two, three and five bytes and the whole prefix; for its first byte
+the last two bytes of the word before, and that word. A context and a tree node share a slot of
+a fixed table, which holds how often each bit followed. The predictions enter a logistic mixer in the
+stretched domain; a gate (first byte or not, and how often the two longest contexts have been seen) picks
+the weights. Weights are refined online, block by block, on the training documents of fold 1 (whose counts
+are left out of the tables, so that they show how far each context can be trusted), and an adaptive
+probability map then corrects the mixed probability by gate. The score is the sum of the decisions' log10
+probabilities; ``bits_per_byte`` is its total per byte of text.
+
+What follows a word's first byte depends on the word alone, so it is counted and scored once for each word of
+the corpus, in a table of all words that Spark counts, and joined to the texts' words. Words of at least
+``1 / COMMON`` of all tokens, at most ``COMMON`` of them, are broadcast; the others are joined by hash.
+Counts of words and contexts cover all training documents. Bit tables have a fixed size (``2 ** bits`` slots
+a context) and are summed block by block over the cluster; only the finished tables pass the driver.
 
 Null and empty texts are the end alone. Long texts are met in blocks with the two words before as context.
 Rows without doc_id are learned from. Repeated rows are scored alike; further columns are left alone.
@@ -25,7 +26,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ GATES = 2 * LEVELS * LEVELS
 SEEN = (1, 4, 30)  # where the levels of how often a slot was seen begin
 END, STOP = 256, 32  # symbols: the end of a text, the end of a word
 END_WORD = b" "  # no word has a space
-CACHE = 200_000
+SLICE = 20_000  # words that are spelled at once
 CHUNK = 100_000
 BLOCKS = 64
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -96,8 +97,8 @@ def slots(contexts: np.ndarray, of: np.ndarray, node: np.ndarray, bits: int) ->
     return ((contexts[of] + node * B) * A >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def inner_events(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Of all symbols after a word's first byte: the word's number, the symbol, its contexts."""
+def inner_events(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """Of all symbols after a word's first byte: the word's number, the symbol, its contexts by table."""
     flat = np.frombuffer(b" ".join(words) + b" ", np.uint8)
     size = np.fromiter(map(len, words), np.int64, len(words)) + 1
     start = np.cumsum(size) - size
@@ -113,52 +114,17 @@ def inner_events(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.nd
     two = one * np.uint64(257) + back[1]
     three = two * np.uint64(257) + back[2]
     five = (three * np.uint64(257) + back[3]) * np.uint64(257) + back[4]
-    contexts = [mixed(c[after] * np.uint64(8) + np.uint64(k)) for k, c in enumerate((one, two, three, five, prefix))]
+    contexts = {k: mixed(c[after] * np.uint64(8) + np.uint64(k)) for k, c in enumerate((one, two, three, five, prefix))}
     return of[after], flat[after].astype(np.int64), contexts
 
 
-class Vocabulary:
-    """Numbers of words met so far in this task, with what later words need of them."""
-
-    def __init__(self, rest=None):
-        self.number: dict[bytes, int] = {}
-        self.rest = rest
-        self.clear()
-
-    def clear(self) -> None:
-        self.number.clear()
-        self.first = np.zeros(0, np.int64)
-        self.hash, self.last, self.last3 = (np.zeros(0, np.uint64) for _ in range(3))
-        self.score = np.zeros(0)
-        self.words: list[bytes] = []
-
-    def add(self, words: list[bytes]) -> None:
-        new = list({w for w in words if w not in self.number})
-        if not new:
-            return
-        for w in new:
-            self.number[w] = len(self.number)
-        self.words += new
-        h = np.array([xxhash.xxh64_intdigest(w, 7) for w in new], np.uint64)
-        tail = [w[-3:] for w in new]
-        self.hash = np.concatenate([self.hash, h])
-        self.first = np.concatenate([self.first, [END if w == END_WORD else w[0] for w in new]])
-        self.last = np.concatenate([self.last, np.array([w[-1] for w in new], np.uint64)])
-        self.last3 = np.concatenate([self.last3, np.array([int.from_bytes(t) for t in tail], np.uint64)])
-        if self.rest:
-            self.score = np.concatenate([self.score, self.rest(new)])
-
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-
-
-def chunks(texts: list[str | None]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
-    """Blocks of words, with the number of their text (-1: context only) and how many words before may be seen."""
+def chunks(texts: Iterable[list[bytes]]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """Blocks of the words of texts, with the number of their text (-1: context only) and how many words before may be seen."""
     words: list[bytes] = []
     of: list[np.ndarray] = []
     seen: list[np.ndarray] = []
-    for i, text in enumerate(texts):
-        all_words = [*text_words(text), END_WORD]
+    for i, found in enumerate(texts):
+        all_words = [*found, END_WORD]
         for at in range(0, len(all_words), CHUNK):
             lead = min(at, 2)
             part = all_words[at - lead : at + CHUNK]
@@ -174,17 +140,18 @@ def chunks(texts: list[str | None]) -> Iterator[tuple[list[bytes], np.ndarray, n
         yield words, np.concatenate(of), np.concatenate(seen)
 
 
-def first_events(v: Vocabulary, numbers: np.ndarray, of: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Of the words' first symbols: which word, the symbol, its contexts."""
-    zero = np.uint64(0)
-    before = np.roll(numbers, 1)
-    h1 = np.where(seen > 0, v.hash[before], zero)
-    h2 = np.where(seen > 1, v.hash[np.roll(numbers, 2)], zero)
-    last = np.where(seen > 0, v.last[before], zero)
-    last3 = np.where(seen > 0, v.last3[before], zero)
+def first_events(words: list[bytes], of: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """Of the words' first symbols: which word, the symbol, its contexts by table."""
+    flat = np.frombuffer(b"".join(words), np.uint8)
+    end = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    first = flat[np.concatenate([[0], end[:-1]])].astype(np.int64)
+    first[first == STOP] = END
+    last = flat[end - 1].astype(np.uint64) + np.uint64(1)
+    tail = last << np.uint64(9) | np.where(np.diff(end, prepend=0) > 1, flat[end - 2], 0).astype(np.uint64)
+    h = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+    raw = {3: np.where(seen > 0, np.roll(tail, 1), np.uint64(0)), 4: np.where(seen > 0, np.roll(h, 1) + np.uint64(1), np.uint64(0))}
     own = np.flatnonzero(of >= 0)
-    raw = (np.zeros(len(numbers), np.uint64), last, last3, h1, h1 * B + h2)
-    return own, v.first[numbers[own]], [mixed(c[own] * np.uint64(8) + np.uint64(k)) ^ A for k, c in enumerate(raw)]
+    return own, first[own], {k: mixed(c[own] * np.uint64(8) + np.uint64(k)) ^ A for k, c in raw.items()}
 
 
 class Counts:
@@ -194,19 +161,25 @@ class Counts:
         self.code, self.bits = code, bits
         self.table = np.zeros((CONTEXTS, 2 << bits), np.uint32)
 
-    def add(self, symbols: np.ndarray, contexts: list[np.ndarray], weights: np.ndarray | None) -> None:
+    def add(self, symbols: np.ndarray, contexts: dict[int, np.ndarray], weights: np.ndarray | None = None) -> None:
         for at in range(0, len(symbols), 1 << 16):
             cut = slice(at, at + (1 << 16))
             of, node, bit = self.code.decisions(symbols[cut])
             w = np.uint32(1) if weights is None else weights[cut].astype(np.uint32)[of]
-            for k in range(CONTEXTS):
-                np.add.at(self.table[k], slots(contexts[k][cut], of, node, self.bits) * 2 + bit, w)
+            for k, c in contexts.items():
+                np.add.at(self.table[k], slots(c[cut], of, node, self.bits) * 2 + bit, w)
 
     def blocks(self) -> Iterator[tuple[int, bytes]]:
+        """Places and counts of each block's entries that aren't zero."""
         flat = self.table.reshape(BLOCKS, -1)
         for i in range(BLOCKS):
-            if flat[i].any():
-                yield i, zlib.compress(flat[i].tobytes(), 1)
+            at = np.flatnonzero(flat[i])
+            if len(at):
+                yield i, zlib.compress(at.astype(np.uint32).tobytes() + flat[i][at].tobytes(), 1)
+
+    def batch(self) -> pa.RecordBatch:
+        found = list(self.blocks())
+        return pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], ["block", "data"])
 
 
 class Model:
@@ -215,82 +188,107 @@ class Model:
         self.weights = np.full((GATES, CONTEXTS), 0.35)
         self.map = np.zeros((GATES, MAP, 2))
 
-    def inputs(self, symbols: np.ndarray, contexts: list[np.ndarray], gate: int):
-        of, node, bit = self.code.decisions(symbols)
-        x = np.empty((len(of), CONTEXTS), np.float32)
+    def inputs(self, symbols: np.ndarray, contexts: dict[int, np.ndarray], gate: int, cut: slice):
+        of, node, bit = self.code.decisions(symbols[cut])
+        x = np.zeros((CONTEXTS, len(of)), np.float32)
         gates = np.full(len(of), gate)
-        for k in range(CONTEXTS):
-            at = slots(contexts[k], of, node, self.bits)
-            x[:, k] = self.stretched[k][at]
+        for k, c in contexts.items():
+            at = slots(c[cut], of, node, self.bits)
+            x[k] = self.stretched[k][at]
             if k > 2:
                 gates = gates * LEVELS + self.levels[k][at]
         return of, bit, x, gates
 
+    def __getstate__(self) -> dict:
+        """Tables travel compressed: they are broadcast, and mostly empty on small corpora."""
+        packed = {k: (zlib.compress(x.tobytes(), 1), x.dtype.str, x.shape) for k, x in self.__dict__.items() if k in ("stretched", "levels")}
+        return self.__dict__ | packed
+
+    def __setstate__(self, state: dict) -> None:
+        for k in ("stretched", "levels"):
+            data, kind, shape = state[k]
+            state[k] = np.frombuffer(zlib.decompress(data), kind).reshape(shape)
+        self.__dict__.update(state)
+
     @staticmethod
     def level(z: np.ndarray) -> np.ndarray:
         return np.clip(np.rint(z * 2) + MAP // 2, 0, MAP - 1).astype(np.int64)
 
-    def learn(self, symbols: np.ndarray, contexts: list[np.ndarray], gate: int, rate: float = 0.15, block: int = 2048) -> int:
+    def learn(self, symbols: np.ndarray, contexts: dict[int, np.ndarray], gate: int, weights: np.ndarray | None = None, rate: float = 0.15, block: int = 2048) -> float:
         """Online: each block is predicted with the weights so far, then moves them."""
-        done = 0
+        done = 0.0
         for at in range(0, len(symbols), block):
-            _, bit, x, g = self.inputs(symbols[at : at + block], [c[at : at + block] for c in contexts], gate)
-            z = np.clip((x * self.weights[g]).sum(1), -15, 15)
-            np.add.at(self.map, (g, self.level(z), bit), 1)
-            pull = (bit - 1 / (1 + np.exp(-z)))[:, None] * x
-            n = np.bincount(g, minlength=GATES)
-            for k in range(CONTEXTS):
-                self.weights[:, k] += rate * np.bincount(g, pull[:, k], GATES) / np.maximum(n, 1) * np.minimum(1, n / 50)
-            done += len(bit)
-        return done
-
-    def scores(self, symbols: np.ndarray, contexts: list[np.ndarray], gate: int) -> np.ndarray:
+            of, bit, x, g = self.inputs(symbols, contexts, gate, slice(at, at + block))
+            w = np.ones(len(bit)) if weights is None else weights[at : at + block][of]
+            z = np.clip((x * self.weights[g].T).sum(0), -15, 15)
+            np.add.at(self.map, (g, self.level(z), bit), w)
+            pull = w * (bit - 1 / (1 + np.exp(-z)))
+            n = np.bincount(g, w, GATES)
+            for k in contexts:
+                self.weights[:, k] += rate * np.bincount(g, pull * x[k], GATES) / np.maximum(n, 1) * np.minimum(1, n / 50)
+            done += w.sum()
+        return float(done)
+
+    def scores(self, symbols: np.ndarray, contexts: dict[int, np.ndarray], gate: int) -> np.ndarray:
         """log10 probability of each symbol."""
         out = np.zeros(len(symbols))
-        refined = (self.map[:, :, 1] + 0.5) / (self.map.sum(2) + 1)
-        trust = self.map.sum(2) / (self.map.sum(2) + 200) / 2
-        for at in range(0, len(symbols), 1 << 16):
-            cut = slice(at, at + (1 << 16))
-            of, bit, x, g = self.inputs(symbols[cut], [c[cut] for c in contexts], gate)
-            z = np.clip((x * self.weights[g].astype(np.float32)).sum(1), -15, 15)
-            p = 1 / (1 + np.exp(-z.astype(np.float64)))
-            level = self.level(z)
-            t = trust[g, level]
-            p = (1 - t) * p + t * refined[g, level]
-            out[cut] = np.bincount(of, np.log10(np.where(bit == 1, p, 1 - p)), len(symbols[cut]))
+        counted = self.map.sum(2)
+        trust = counted / (counted + 200) / 2
+        # the share of the map in a probability, by gate, level and bit; the rest is the mixer's
+        mapped = trust[:, :, None] * np.stack([self.map[:, :, 0] + 0.5, self.map[:, :, 1] + 0.5], 2) / (counted + 1)[:, :, None]
+        weights, mapped, rest = self.weights.astype(np.float32), mapped.astype(np.float32).ravel(), (1 - trust).astype(np.float32).ravel()
+        for at in range(0, len(symbols), 1 << 14):
+            cut = slice(at, at + (1 << 14))
+            of, bit, x, g = self.inputs(symbols, contexts, gate, cut)
+            z = np.zeros(len(bit), np.float32)
+            for k in contexts:
+                z += x[k] * weights[:, k][g]
+            np.clip(z, -15, 15, out=z)
+            place = g * MAP + self.level(z)
+            p = rest[place] / (1 + np.exp(np.where(bit == 1, -z, z))) + mapped[place * 2 + bit]
+            out[cut] = np.bincount(of, np.log10(p), len(symbols[cut]))
         return out
 
     def rest(self, words: list[bytes]) -> np.ndarray:
-        """log10 probability of all symbols of a word but its first."""
-        of, symbols, contexts = inner_events([b"" if w == END_WORD else w for w in words])
-        return np.bincount(of, self.scores(symbols, contexts, 1), len(words))
+        """log10 probability of all symbols of a word but its first; 0 for the end."""
+        out = np.zeros(len(words))
+        for at in range(0, len(words), SLICE):
+            part = [b"" if w == END_WORD else w for w in words[at : at + SLICE]]
+            of, symbols, contexts = inner_events(part)
+            out[at : at + SLICE] = np.bincount(of, self.scores(symbols, contexts, 1), len(part))
+        return out
 
 
 def fold():
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS)), F.lit(2))
 
 
-def word_table(training: DataFrame) -> DataFrame:
-    """``(word, key, n)`` of all training words and the end; ``key`` is the word's XXH64 (seed 7)."""
+def word_table(rows: DataFrame) -> DataFrame:
+    """``(word, key, n, n_fit)`` of all words and the end: counts in training documents, and in those of the bit tables; ``key`` is the word's XXH64 (seed 7)."""
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        counts: list[Counter] = [Counter() for _ in range(3)]  # held out, mixed, counted
 
         def out() -> pa.RecordBatch:
-            keys = np.array([xxhash.xxh64_intdigest(w, 7) for w in counts], np.uint64).view(np.int64)
-            batch = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(keys), pa.array(list(counts.values()), pa.int64())], ["word", "key", "n"])
-            counts.clear()
-            return batch
+            words = list(set().union(*counts))
+            keys = np.array([xxhash.xxh64_intdigest(w, 7) for w in words], np.uint64).view(np.int64)
+            fit = np.fromiter((counts[2][w] for w in words), np.int64, len(words))
+            n = fit + np.fromiter((counts[1][w] for w in words), np.int64, len(words))
+            for c in counts:
+                c.clear()
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(keys), pa.array(n), pa.array(fit)], ["word", "key", "n", "n_fit"])
 
         for b in rows:
-            for text in b.column(0).to_pylist():
-                counts.update(text_words(text))
-                counts[END_WORD] += 1
-                if len(counts) > 1_000_000:
+            for text, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own = counts[0 if k == 0 else 1 if k == MIXED_FOLD else 2]
+                own.update(text_words(text))
+                own[END_WORD] += 1
+                if sum(map(len, counts)) > 500_000:
                     yield out()
         yield out()
 
-    return training.select("text").mapInArrow(batches, "word binary, key long, n long").groupBy("word").agg(F.first("key").alias("key"), F.sum("n").alias("n"))
+    parts = rows.select("text", "fold").mapInArrow(batches, "word binary, key long, n long, n_fit long")
+    return parts.groupBy("word").agg(F.first("key").alias("key"), F.sum("n").alias("n"), F.sum("n_fit").alias("n_fit"))
 
 
 def symbol_counts(words: DataFrame) -> np.ndarray:
@@ -314,40 +312,33 @@ def symbol_counts(words: DataFrame) -> np.ndarray:
     return out
 
 
-def bit_tables(training: DataFrame, code: Code, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def bit_tables(training: DataFrame, words: DataFrame, code: Code, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Of all slots the stretched probability, 0 where nothing was seen, and the level of how much was."""
+    size = 2 * CONTEXTS * (1 << bits) // BLOCKS
 
-    def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, v, met = Counts(code, bits), Vocabulary(), np.zeros(0)
-
-        def spelled() -> None:
-            own = [i for i, w in enumerate(v.words) if w != END_WORD]
-            if own:
-                of, symbols, contexts = inner_events([v.words[i] for i in own])
-                counts.add(symbols, contexts, met[np.array(own)][of])
+    def firsts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counts(code, bits)
+        for b in rows:
+            for met, of, seen in chunks(map(text_words, b.column(0).to_pylist())):
+                _, symbols, contexts = first_events(met, of, seen)
+                counts.add(symbols, contexts)
+        yield counts.batch()
 
+    def spelled(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counts(code, bits)
         for b in rows:
-            for words, of, seen in chunks(b.column(0).to_pylist()):
-                if len(v.words) > CACHE:
-                    spelled()
-                    v.clear()
-                    met = np.zeros(0)
-                v.add(words)
-                met = np.concatenate([met, np.zeros(len(v.words) - len(met))])
-                numbers = v.numbers(words)
-                own, symbols, contexts = first_events(v, numbers, of, seen)
-                counts.add(symbols, contexts, None)
-                met += np.bincount(numbers[own], minlength=len(met))
-        spelled()
-        found = list(counts.blocks())
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], ["block", "data"])
+            met, n = b.column(0).to_pylist(), b.column(1).to_numpy()
+            for at in range(0, len(met), SLICE):
+                of, symbols, contexts = inner_events(met[at : at + SLICE])
+                counts.add(symbols, contexts, n[at : at + SLICE][of])
+        yield counts.batch()
 
     def total(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in rows:
             for i, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(zlib.decompress(data), np.uint32)
-                sums[i] = part.astype(np.int64) if i not in sums else sums[i] + part
+                at, n = np.frombuffer(zlib.decompress(data), np.uint32).reshape(2, -1)
+                sums.setdefault(i, np.zeros(size, np.int64))[at] += n  # places are distinct
         out, levels = [], []
         for n in sums.values():
             zeros, ones = n.reshape(-1, 2).T
@@ -357,7 +348,10 @@ def bit_tables(training: DataFrame, code: Code, bits: int) -> tuple[np.ndarray,
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(out, pa.binary()), pa.array(levels, pa.binary())], ["block", "data", "levels"])
 
     schema = "block int, data binary"
-    parts = training.select("text").mapInArrow(count, schema).repartition(BLOCKS, "block").mapInArrow(total, schema + ", levels binary").collect()
+    spelling = words.where((F.col("n_fit") > 0) & (F.col("word") != F.lit(bytearray(END_WORD)))).select("word", "n_fit")
+    spelling = spelling.coalesce(max(1, spelling.rdd.getNumPartitions() // 4))
+    counted = training.select("text").mapInArrow(firsts, schema).unionByName(spelling.mapInArrow(spelled, schema))
+    parts = counted.repartition(BLOCKS, "block").mapInArrow(total, schema + ", levels binary").collect()
     flat, seen = (np.zeros((BLOCKS, CONTEXTS * (1 << bits) // BLOCKS), t) for t in (np.float16, np.uint8))
     for r in parts:
         flat[r.block] = np.frombuffer(r.data, np.float16)
@@ -372,38 +366,36 @@ def refine(model: Model, fold_rows: DataFrame) -> None:
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import copy
 
-        own, v, done = copy.copy(shared.value), Vocabulary(), 0
+        own, done = copy.copy(shared.value), 0.0
         own.weights, own.map = own.weights.copy(), own.map.copy()
         for b in rows:
-            for words, of, seen in chunks(b.column(0).to_pylist()):
-                if len(v.words) > CACHE:
-                    v.clear()
-                v.add(words)
-                numbers = v.numbers(words)
-                at, symbols, contexts = first_events(v, numbers, of, seen)
+            for words, of, seen in chunks(map(text_words, b.column(0).to_pylist())):
+                at, symbols, contexts = first_events(words, of, seen)
                 done += own.learn(symbols, contexts, 0)
-                spelled = [words[i] for i in at if words[i] != END_WORD]
+                spelled = Counter(words[i] for i in at)
+                del spelled[END_WORD]
                 if spelled:
-                    _, symbols, contexts = inner_events(spelled)
-                    done += own.learn(symbols, contexts, 1)
+                    n = np.fromiter(spelled.values(), np.float64, len(spelled))
+                    which, symbols, contexts = inner_events(list(spelled))
+                    done += own.learn(symbols, contexts, 1, n[which])
         if done:
-            yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64()), pa.array([own.weights.tobytes()], pa.binary()), pa.array([own.map.tobytes()], pa.binary())], ["n", "weights", "map"])
+            yield pa.RecordBatch.from_arrays([pa.array([done], pa.float64()), pa.array([own.weights.tobytes()], pa.binary()), pa.array([own.map.tobytes()], pa.binary())], ["n", "weights", "map"])
 
     def total(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, w, m = 0, np.zeros(GATES * CONTEXTS), np.zeros(GATES * MAP * 2)
+        n, w, m = 0.0, np.zeros(GATES * CONTEXTS), np.zeros(GATES * MAP * 2)
         for b in rows:
             for k, x, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 n, w, m = n + k, w + k * np.frombuffer(x), m + np.frombuffer(y)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([w.tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())], ["n", "weights", "map"])
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.float64()), pa.array([w.tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())], ["n", "weights", "map"])
 
-    schema = "n long, weights binary, map binary"
+    schema = "n double, weights binary, map binary"
     got = fold_rows.select("text").mapInArrow(batches, schema).repartition(BLOCKS).mapInArrow(total, schema).collect()
     if got:
         n = sum(r.n for r in got)
         model.weights = sum(np.frombuffer(r.weights) for r in got).reshape(GATES, CONTEXTS) / n
         model.map = sum(np.frombuffer(r.map) for r in got).reshape(GATES, MAP, 2).copy()
-    shared.unpersist()
+    shared.destroy()
 
 
 def score_documents(documents: DataFrame, bits: int = BITS, common: int = COMMON) -> DataFrame:
@@ -411,64 +403,80 @@ def score_documents(documents: DataFrame, bits: int = BITS, common: int = COMMON
     require(documents, "doc_id", "text")
     rows = documents.select("doc_id", "text", fold().alias("fold"))
     training = rows.where("fold <> 0")
-    words = kept(word_table(training))
-    n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    often = {bytes(r.word): r.n for r in words.where(F.col("n") * common >= n).collect()}  # at most `common` words
+    words = kept(word_table(rows))
+    n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     code = Code(symbol_counts(words))
-    model = Model(code, *bit_tables(training.where(F.col("fold") != MIXED_FOLD), code, bits), bits)
+    model = Model(code, *bit_tables(training.where(F.col("fold") != MIXED_FOLD), words, code, bits), bits)
     refine(model, rows.where(F.col("fold") == MIXED_FOLD))
     whole = n + 0.1 * (v + 1)
-    shared = documents.sparkSession.sparkContext.broadcast((model, {w: float(np.log10((c + 0.1) / whole)) for w, c in often.items()}))
+    finished = documents.sparkSession.sparkContext.broadcast(model)
+
+    def finish(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            rest = finished.value.rest(b.column(0).to_pylist())
+            base = np.log10((b.column(2).to_numpy() + 0.1) / whole)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(base), pa.array(rest)], ["word", "key", "n", "base", "rest"])
+
+    known = words.select("word", "key", "n")
+    fields = "word binary, key long, n long, base double, rest double"
+    often = known.where(F.col("n") * common >= max(n, 1)).mapInArrow(finish, fields).collect()  # at most `common` words
+    shared = documents.sparkSession.sparkContext.broadcast({bytes(r.word): (r.base, r.rest) for r in often})
     kind = documents.select("doc_id").schema[0].dataType
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, base = shared.value
-        v = Vocabulary(model.rest)
+        model, often, hash64 = finished.value, shared.value, xxhash.xxh64_intdigest
         for b in rows:
             texts = b.column("text").to_pylist()
             score, size = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-            for words, of, seen in chunks(texts):
-                if len(v.words) > CACHE:
-                    v.clear()
-                v.add(words)
-                numbers = v.numbers(words)
-                own, symbols, contexts = first_events(v, numbers, of, seen)
-                score += np.bincount(of[own], model.scores(symbols, contexts, 0) + v.score[numbers[own]], len(texts))
             n_tokens, known, base_sum, rare, rare_n, ends = [], [], [], [], [], [0]
-            for i, text in enumerate(texts):
-                found = Counter(text_words(text))
-                found[END_WORD] += 1
-                size[i] = len((text or "").encode())
-                n_tokens.append(found.total())
-                total = hits = 0
-                for w, c in found.items():
-                    p = base.get(w)
-                    if p is None:
-                        rare.append(xxhash.xxh64_intdigest(w, 7))
-                        rare_n.append(c)
-                    else:
-                        total += c * p
-                        hits += c
-                base_sum.append(float(total))
-                known.append(hits)
-                ends.append(len(rare))
+
+            def listed(texts=texts, score=score, size=size, n_tokens=n_tokens, known=known, base_sum=base_sum, rare=rare, rare_n=rare_n, ends=ends):
+                for i, text in enumerate(texts):
+                    words = text_words(text)
+                    size[i] = len((text or "").encode())
+                    n_tokens.append(len(words) + 1)
+                    found = Counter(words)
+                    found[END_WORD] = 1
+                    total = spelled = 0.0
+                    hits = 0
+                    for w, c in found.items():
+                        if w in often:
+                            p, q = often[w]
+                            total += c * p
+                            spelled += c * q
+                            hits += c
+                        else:
+                            rare.append(hash64(w, 7))
+                            rare_n.append(c)
+                    score[i] += spelled
+                    base_sum.append(total)
+                    known.append(hits)
+                    ends.append(len(rare))
+                    yield words
+
+            for met, of, seen in chunks(listed()):
+                own, symbols, contexts = first_events(met, of, seen)
+                score += np.bincount(of[own], model.scores(symbols, contexts, 0), len(texts))
             keys = pa.StructArray.from_arrays([pa.array(np.array(rare, np.uint64).view(np.int64)), pa.array(rare_n, pa.int64())], ["key", "c"])
-            bits_per_byte = np.where(size > 0, -score * np.log2(10) / np.maximum(size, 1), np.nan)
             yield pa.RecordBatch.from_arrays(
                 [b.column("row"), b.column("doc_id"), b.column("fold"), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base_sum, pa.float64()),
-                 pa.array(score), pa.array(bits_per_byte, from_pandas=True), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), keys)],
-                ["row", "doc_id", "fold", "n_tokens", "known", "base", "score", "bits_per_byte", "rare"],
+                 pa.array(score), pa.array(size), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), keys)],
+                ["row", "doc_id", "fold", "n_tokens", "known", "base", "score", "size", "rare"],
             )
 
-    schema = f"row long, doc_id {kind.simpleString()}, fold long, n_tokens long, known long, base double, score double, bits_per_byte double, rare array<struct<key:long,c:long>>"
+    schema = f"row long, doc_id {kind.simpleString()}, fold long, n_tokens long, known long, base double, score double, size long, rare array<struct<key:long,c:long>>"
     rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("fold").cast("long").alias("fold"), "text")
     scored = rows.mapInArrow(batches, schema)
-    fixed = ["row", "doc_id", "fold", "n_tokens", "known", "base", "score", "bits_per_byte"]
-    spread = scored.select(*fixed, F.explode_outer("rare").alias("r")).select(*fixed, "r.key", "r.c")
-    counts = words.select("key", F.col("n").alias("n"))
-    met = spread.join(counts, "key", "left")
-    rare = F.sum(F.when(F.col("c").isNotNull(), F.col("c") * F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(whole))))
-    out = met.groupBy(*fixed).agg(F.coalesce(rare, F.lit(0.0)).alias("rare"), F.coalesce(F.sum(F.when(F.col("n").isNotNull(), F.col("c"))), F.lit(0)).alias("rare_known"))
+    # a row of its own carries what a document has; a hash of the row spreads these over the join
+    fixed = ["doc_id", "fold", "n_tokens", "known", "base", "score", "size"]
+    own = F.array(F.struct(F.xxhash64("row").alias("key"), F.lit(None).cast("long").alias("c")))
+    spread = scored.select("row", *fixed, F.explode(F.concat(own, "rare")).alias("r"))
+    spread = spread.select("row", "r.key", "r.c", *[F.when(F.col("r.c").isNull(), F.col(x)).alias(x) for x in fixed])
+    finished_words = known.mapInArrow(finish, fields).select("key", F.col("n").alias("n"), F.col("base").alias("word_base"), "rest")
+    met = spread.join(finished_words, "key", "left")
+    sums = {"rare": F.sum(F.col("c") * F.col("word_base")), "spelled": F.sum(F.col("c") * F.col("rest")), "rare_known": F.sum(F.when(F.col("n") > 0, F.col("c")))}
+    out = met.groupBy("row").agg(*[F.max(x).alias(x) for x in fixed], *[F.coalesce(x, F.lit(0)).alias(name) for name, x in sums.items()])
+    score = F.col("score") + F.col("spelled")
     return out.select(
         "doc_id",
         (F.col("fold") == 0).alias("held_out"),
@@ -476,8 +484,8 @@ def score_documents(documents: DataFrame, bits: int = BITS, common: int = COMMON
         (F.col("known") + F.col("rare_known")).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.col("rare")).alias("base_score"),
-        "score",
-        "bits_per_byte",
+        score.alias("score"),
+        F.when(F.col("size") > 0, -score * F.lit(float(np.log2(10))) / F.col("size")).alias("bits_per_byte"),
     )
 
 

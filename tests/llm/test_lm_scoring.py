@@ -40,7 +40,7 @@ def test_probabilities_of_all_symbols_sum_to_one():
     model = lm.Model(code, r.normal(0, 2, (5, 1 << 12)).astype(np.float16), r.integers(0, 4, (5, 1 << 12)).astype(np.uint8), 12)
     model.weights = r.normal(0.3, 0.2, model.weights.shape)
     model.map = r.integers(0, 50, model.map.shape).astype(float)
-    contexts = [np.repeat(c, 257) for c in r.integers(0, 1 << 62, (5, 3)).astype(np.uint64)]
+    contexts = {k: np.repeat(c, 257) for k, c in enumerate(r.integers(0, 1 << 62, (5, 3)).astype(np.uint64))}
     p = 10 ** model.scores(np.tile(np.arange(257), 3), contexts, 0)
     assert np.allclose(p.reshape(3, 257).sum(1), 1)
 
