@@ -3,7 +3,7 @@
 A text is its words in lower case (A-Z) and one end. Each word is spelled by its bytes and a terminator;
 every symbol is a path of binary decisions in a Huffman tree of the training symbols. Hashed contexts predict
 each decision: inside a word the last one, two, three and five bytes and the whole prefix; for its first byte
-the last two bytes of the word before, and that word. A context and a tree node share a slot of
+the last two bytes of the word before, that word, and the two before. A context and a tree node share a slot of
 a fixed table, which holds how often each bit followed. The predictions enter a logistic mixer in the
 stretched domain; a gate (first byte or not, and how often the two longest contexts have been seen) picks
 the weights. Weights are refined online, block by block, on the training documents of fold 1 (whose counts
@@ -149,7 +149,9 @@ def first_events(words: list[bytes], of: np.ndarray, seen: np.ndarray) -> tuple[
     last = flat[end - 1].astype(np.uint64) + np.uint64(1)
     tail = last << np.uint64(9) | np.where(np.diff(end, prepend=0) > 1, flat[end - 2], 0).astype(np.uint64)
     h = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
-    raw = {3: np.where(seen > 0, np.roll(tail, 1), np.uint64(0)), 4: np.where(seen > 0, np.roll(h, 1) + np.uint64(1), np.uint64(0))}
+    zero = np.uint64(0)
+    h1, h2 = np.where(seen > 0, np.roll(h, 1) + np.uint64(1), zero), np.where(seen > 1, np.roll(h, 2) + np.uint64(1), zero)
+    raw = {2: np.where(seen > 0, np.roll(tail, 1), zero), 3: h1, 4: h1 * B + h2}
     own = np.flatnonzero(of >= 0)
     return own, first[own], {k: mixed(c[own] * np.uint64(8) + np.uint64(k)) ^ A for k, c in raw.items()}
 
