@@ -9,8 +9,10 @@ length and country code, a card's first digit and its check-digit validity, the
 letters of a credential, the title's gender and the script of a name.
 
 Distinctness: all distinct entities are one Spark table; stand-ins that two entities share, or that equal
-an entity of the corpus, are drawn again for all but the first, until none collide. Formats with fewer
-possible values than entities raise an error instead of mixing people up.
+an entity of the corpus, are drawn again for all but the first, until none collide. Pools are open-ended: names
+gain syllables with the rounds, and where a format of mail names, credentials, phone or social security numbers
+is used up, stand-ins get longer than what they replace. Letters of other scripts in credentials become keyed
+letters of their case; other characters there change only if there is no letter or digit, or after some rounds.
 
 Only mentions are shuffled for the look-up, then texts meet their replacements by row. Null and empty texts
 stay; everything between mentions stays byte for byte; repeated rows get the same text; further columns are
@@ -31,7 +33,7 @@ TITLES = [
     ("m", "cyrillic", r"[Гг]осподин|[Гг]-н"),
     ("f", "cyrillic", r"[Гг]оспожа|[Гг]-жа"),
 ]
-NAME = r"\p{Lu}[\p{L}’'-]*(?: \p{Lu}[\p{L}’'-]+)?"
+NAME = r"\p{Lu}[\p{L}’'-]*(?: \p{Lu}[\p{L}’'-]+)*+"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Kind -> pattern, in order of precedence. No pattern has a group.
 KINDS = {
@@ -54,6 +56,8 @@ PARTS = {
     "cyrillic": ("б в г д к л м н п р с т".split(), "а е и о у".split(), {"m": "мир слав тин дор рий вел".split(), "f": "лина рия сия дора вета мила".split(), "n": "ко енко чук ян швили дзе".split()}),
 }
 ROUNDS = 40
+#: From this round on stand-ins get longer, by one more character a round.
+LONGER = 10
 
 
 def mentions(text: Column) -> Column:
@@ -102,6 +106,7 @@ def stand_in(kind: Column, core: Column, attempt: Column, key: str) -> Column:
         chars = F.split(core, "")
         hexadecimal = (kind == "secret") & core.rlike(r"^[0-9a-f]{16,}$")
         base32 = kind == "key"
+        free = (kind == "secret") & (~core.rlike(r"[\p{L}\p{N}]") | (attempt > 3))
 
         def shaped(c: Column, i: Column) -> Column:
             return (
@@ -110,17 +115,25 @@ def stand_in(kind: Column, core: Column, attempt: Column, key: str) -> Column:
                 .when(c.rlike("[0-9]"), _pick("0123456789", number(i)))
                 .when(c.rlike("[a-z]"), _pick("abcdefghijklmnopqrstuvwxyz", number(i)))
                 .when(c.rlike("[A-Z]"), _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", number(i)))
+                .when((kind == "secret") & c.rlike(r"[а-я]"), _pick("абвгдежзийклмнопрстуфхцчшщъыьэюя", number(i)))
+                .when((kind == "secret") & c.rlike(r"[А-Я]"), _pick("АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", number(i)))
+                .when((kind == "secret") & c.rlike(r"\p{Lu}"), _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", number(i)))
+                .when((kind == "secret") & c.rlike(r"\p{L}"), _pick("abcdefghijklmnopqrstuvwxyz", number(i)))
+                .when((kind == "secret") & c.rlike(r"\p{N}"), _pick("0123456789", number(i)))
+                .when(free, _pick("!#$%&*+-./?@^_~", number(i)))
                 .otherwise(c)
             )
 
+        more = F.sequence(F.lit(1), F.greatest(attempt - LONGER + 1, F.lit(1)))
+        longer = F.when(attempt >= LONGER, F.array_join(F.transform(more, lambda i: _pick("0123456789", number(i + 60))), "")).otherwise("")
         shape = F.array_join(F.transform(chars, shaped), "")
         octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.pmod(number(i), F.lit(254)) + 1).cast("string")), ".")
         user = F.substring_index(shape, "@", 1)
         host = F.regexp_extract(shape, r"@([^.]+)", 1)
-        email = F.concat(user, F.lit("@"), host, F.lit(".example."), F.regexp_extract(core, r"\.([^.]+)$", 1))
+        email = F.concat(user, longer, F.lit("@"), host, F.lit(".example."), F.regexp_extract(core, r"\.([^.]+)$", 1))
         body = F.concat(F.substring(core, 1, 1), shape.substr(F.lit(2), F.length(core) - 2))
         card = F.concat(body, luhn_digit(body, luhn_valid(core)))
-        phone = F.concat(F.substring(core, 1, 1), shape.substr(F.lit(2), F.length(core)))
+        phone = F.concat(F.substring(core, 1, 1), shape.substr(F.lit(2), F.length(core)), longer)
         iban = F.concat(F.substring(core, 1, 2), shape.substr(F.lit(3), F.length(core)))
         access = F.concat(F.substring(core, 1, 4), shape.substr(F.lit(5), F.length(core)))
         out = (
@@ -128,11 +141,11 @@ def stand_in(kind: Column, core: Column, attempt: Column, key: str) -> Column:
             .when(kind == "iban", iban).when(kind == "key", access)
         )
         for script, (hard, soft, ends) in PARTS.items():
-            stem = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(1)), lambda i: F.concat(_pick(hard, number(i * 2)), _pick(soft, number(i * 2 + 1)))), "")
+            stem = F.array_join(F.transform(F.sequence(F.lit(0), 1 + F.floor(attempt / 3).cast("int")), lambda i: F.concat(_pick(hard, number(i * 2)), _pick(soft, number(i * 2 + 1)))), "")
             for gender, tails in ends.items():
                 named = f"surname {script}" if gender == "n" else f"name {gender} {script}"
-                out = out.when(kind == named, F.concat(stem, F.when(attempt > 3, _pick(hard, number(F.lit(9)))).otherwise(""), _pick(tails, number(F.lit(7)))))
-        return out.otherwise(shape)
+                out = out.when(kind == named, F.concat(stem, _pick(tails, number(F.lit(40)))))
+        return out.otherwise(F.concat(shape, longer))
 
     return let(digest, by_digest)
 
@@ -177,7 +190,7 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
 
 
 def _reformat(mention: Column, core: Column) -> Column:
-    """``core`` in the mention's format: its letters and digits one by one in place of the mention's."""
+    """``core`` in the mention's format: its letters and digits one by one in place of the mention's, further ones behind."""
 
     def put(a: Column, c: Column) -> Column:
         takes = c.rlike("[A-Za-z0-9]")
@@ -185,7 +198,7 @@ def _reformat(mention: Column, core: Column) -> Column:
             F.concat(a["s"], F.when(takes, core.substr(a["k"], F.lit(1))).otherwise(c)).alias("s"), (a["k"] + takes.cast("int")).alias("k")
         )
 
-    return F.aggregate(F.split(mention, ""), F.struct(F.lit("").alias("s"), F.lit(1).alias("k")), put, lambda a: a["s"])
+    return F.aggregate(F.split(mention, ""), F.struct(F.lit("").alias("s"), F.lit(1).alias("k")), put, lambda a: F.concat(a["s"], core.substr(a["k"], F.length(core))))
 
 
 def replace_pii(documents: DataFrame, key: str) -> DataFrame:

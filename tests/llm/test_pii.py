@@ -66,3 +66,26 @@ def test_rest_of_the_text_stays(spark, sf):
 
 def test_empty_table(spark):
     assert pii.replace_pii(spark.createDataFrame([], "doc_id long, text string"), "k").count() == 0
+
+
+def test_pools_never_run_out(spark, monkeypatch):
+    monkeypatch.setitem(pii.PARTS, "latin", (["b", "d"], ["a"], {"m": ["ter"], "f": ["lina"], "n": ["berg"]}))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = [f"Frau {a.upper()}{b}" for a in letters[:5] for b in letters[:10]]
+    mails = [f"{a}@{b}.com" for a in letters for b in letters]
+    got = [x[0] for x in run(spark, list(enumerate(names + mails)))]
+    assert len(set(got)) == len(got) and not set(got) & {*names, *mails}
+
+
+def test_masked_and_foreign_credentials_and_long_names(spark):
+    rows = [(1, "password: ********"), (2, "password: пароль"), (3, "Mr. John Ronald Reuel Tolkien wrote"), (4, "Mr. A" + " Aa" * 300)]
+    got = [x[0] for x in run(spark, rows)]
+    assert re.fullmatch(r"password: [^\w\s]{8}|password: [^\s]{8}", got[0]) and got[0] != rows[0][1]
+    assert re.fullmatch(r"password: [а-я]{6}", got[1]) and got[1] != rows[1][1]
+    assert re.fullmatch(r"Mr\.( [A-Z][a-z]+){4} wrote", got[2]) and not re.search("John|Ronald|Reuel|Tolkien", got[2])
+    assert not re.search(r"\bAa\b", got[3])
+
+
+def test_longer_number_keeps_separators(spark):
+    df = spark.createDataFrame([("+1 23 45", "1678901")], "m string, c string")
+    assert df.select(pii._reformat(df.m, df.c)).first()[0] == "+1 67 8901"
