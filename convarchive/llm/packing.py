@@ -20,12 +20,13 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from convarchive.llm.common import kept, require, table
-from convarchive.llm.tokens import words_of
+from convarchive.llm.tokens import in_blocks, words_of
 
 SEQUENCE = 4096
 END_ID = 1
@@ -41,26 +42,30 @@ def token_pieces(documents: DataFrame, path: str, sequence: int = SEQUENCE, end_
     """``(doc_id, piece, start, length, ids_crc32[, ids])``: one row a piece of at most ``sequence`` tokens."""
     require(documents, "doc_id", "text")
     kind = documents.select("doc_id").schema[0].dataType
-    last = end_id.to_bytes(4, "little")
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(path)
-        for b in rows:
-            of, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i, text in enumerate(b.column(1).to_pylist()):
-                data = words.ids(text) + last
-                for k, at in enumerate(range(0, len(data), 4 * sequence)):
-                    part = data[at : at + 4 * sequence]
-                    of.append(i)
-                    piece.append(k)
-                    start.append(at // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-                    ids.append(part if with_ids else None)
-            out = [b.column(0).take(pa.array(of, pa.int32())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
+        for b in (part for whole in rows for part in in_blocks(whole, 1)):
+            ids, starts = words.ids(b.column(1))
+            n = np.diff(starts) + 1
+            own = np.full(len(ids) + len(n), end_id, "<u4")
+            ends = np.cumsum(n)
+            real = np.ones(len(own), bool)
+            real[ends - 1] = False
+            own[real] = ids
+            pieces = -(-n // sequence)
+            of = np.repeat(np.arange(len(n)), pieces)
+            piece = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = piece * sequence
+            length = np.minimum(n[of] - start, sequence)
+            at = (ends - n)[of] + start
+            cut = memoryview(own.view(np.uint8))
+            spans = [cut[4 * a : 4 * (a + k)] for a, k in zip(at.tolist(), length.tolist(), strict=True)]
+            crc = pa.array(np.fromiter(map(zlib.crc32, spans), np.int64, len(spans)))
+            out = [b.column(0).take(pa.array(of)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), crc]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             if with_ids:
-                out, names = [*out, pa.array(ids, pa.binary())], [*names, "ids"]
+                out, names = [*out, pa.array([bytes(x) for x in spans], pa.binary())], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(out, names)
 
     schema = f"doc_id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids

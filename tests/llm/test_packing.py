@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from convarchive.llm import packing
 from convarchive.llm.tokens import words_of
 from tokenizers import Tokenizer
@@ -40,11 +41,29 @@ def test_ids_and_layout(spark, sf):
 def test_cache_overflow_changes_nothing(monkeypatch):
     from convarchive.llm import tokens
 
-    text = " ".join(f"wörd{chr(97 + i % 26)}{chr(97 + i // 26)}, don't" for i in range(400))
-    whole = tokens.Words(packing.tokenizer_path()).ids(text)
+    texts = [" ".join(f"wörd{chr(97 + i % 26)}{chr(97 + i // 26)}, don't" for i in range(400)), None, "", " a  B\t"]
+    ids, starts = tokens.Words(packing.tokenizer_path()).ids(pa.array(texts))
     monkeypatch.setattr(tokens, "CACHE", 7)
-    assert tokens.Words(packing.tokenizer_path()).ids(text) == whole
-    assert np.frombuffer(whole, "<u4").tolist() == words_of(packing.tokenizer_path()).tokenizer.encode(text, add_special_tokens=False).ids
+    again = tokens.Words(packing.tokenizer_path()).ids(pa.array(texts))
+    assert again[0].tolist() == ids.tolist() and again[1].tolist() == starts.tolist()
+    own = words_of(packing.tokenizer_path()).tokenizer
+    assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == [own.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_tokenizer_of_other_steps():
+    words = words_of(packing.tokenizer_path("byte_bpe_50k.json"))
+    texts = ["A  b\n", "", None, "It's ÀÉ"]
+    ids, starts = words.ids(pa.array(texts))
+    assert not words.by_word
+    assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == [words.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_blocks_cover_every_row():
+    from convarchive.llm import tokens
+
+    batch = pa.RecordBatch.from_arrays([pa.array([*["x" * n for n in (3, 0, 50, 1, 1, 9)], None, "y" * 100])], ["t"])
+    parts = list(tokens.in_blocks(batch, 0, block=10))
+    assert [x for b in parts for x in b.column(0).to_pylist()] == batch.column(0).to_pylist() and len(parts) > 3
 
 
 def test_sizes_of_all_kinds(spark):
