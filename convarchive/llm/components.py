@@ -13,8 +13,8 @@ from convarchive.llm.common import kept
 
 
 def _digest(edges: DataFrame) -> tuple:
-    mixed = F.xxhash64("u", "v")
-    return tuple(edges.agg(F.count("*"), F.sum(F.shiftrightunsigned(mixed, 20)), F.bit_xor(mixed)).first())
+    """Of a set of distinct edges: its size and 128 bits that can't overflow."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", F.lit("again"), "u"))).first())
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
