@@ -32,8 +32,10 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset (tests), one is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, one is set in local mode only."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return spark.sparkContext.getCheckpointDir()
@@ -52,6 +54,33 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def numbered(df: DataFrame, row: str = "__row") -> DataFrame:
+    """``df`` with a number for each row, written once to the shared folder and dealt by that number.
+
+    A number that is taken anew in each job may move to another row when executors come or go; this one is
+    read from the files. Joins on it need no further shuffle of ``df``. Reading happens through a table name of
+    this session, without which Spark doesn't use how the files are dealt.
+    """
+    spark, name = df.sparkSession, f"numbered_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumn(row, F.monotonically_increasing_id()).repartition(n, row)
+    dealt.write.format("parquet").bucketBy(n, row).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
+def set_aside(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with its columns that are called like one of ``names`` kept under that name and ``_input`` (as often as needed)."""
+    taken = {c.lower() for c in df.columns} | {n.lower() for n in names}
+    for column in df.columns:
+        if column.lower() in {n.lower() for n in names}:
+            to = column + "_input"
+            while to.lower() in taken:
+                to += "_input"
+            taken.add(to.lower())
+            df = df.withColumnRenamed(column, to)
+    return df
+
+
 def require(df: DataFrame, *columns: str) -> DataFrame:
     missing = [c for c in columns if c not in df.columns]
     if missing:

@@ -8,64 +8,69 @@ where it is dropped itself.
 
 Near lines: every distinct line emits the hash of itself and of each variant without one word. Two lines
 that are one exchange apart share a variant at the same place; a line and a longer one share the whole and
-a variant. Meeting on the hashed key, the word count and (for exchanges) the place thus is the edit-distance
-check: whatever meets so is within the bound, whatever is within the bound meets. Two cheap keys
-of half a line come first: an edit leaves the first or the last half of the words whole, so lines that
-share neither half with another line cannot have a partner and emit no variants. Nothing is capped.
+a variant. A line meets the earliest line of each key it has, and each such pair is verified by comparing the
+two variants' words (lost is only a pair whose key is shared by an earlier, unlike line, by chance of 64 bits).
+Two cheap keys of half a line come first: an edit leaves the first or the last half of the words whole, so
+lines that share neither half with another line cannot have a partner and emit no variants. Nothing is capped.
 
-A group of equal lines is one row after partial aggregation. Lines that share a variant are compared with
-the earliest of them in a window that spills to disk, so no pairs within a group are made.
+A group of equal lines is one row after partial aggregation. The earliest of the lines that share a variant
+is found by partial aggregation too, and met by a join that adaptive execution can split; no pairs within
+a group are made. The plan is the same at every size.
 
 Null texts stay null, empty texts and lines without a word stay. A text whose every line is dropped becomes
-empty. Rows of one doc_id are told apart by their place in the input, which must read the same twice (as
-files do). Further columns are left alone.
+empty. Rows of one doc_id are told apart by a number that is written down with the rows once. Further columns
+are left alone; one called like an output or like an inner column (``__row``) is kept under its name and ``_input``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convarchive.llm.common import ascii_lower, kept, let, require, stored, table, words
+from convarchive.llm.common import ascii_lower, let, numbered, require, set_aside, stored, table
 
 MIN_WORDS = 3
 EDIT_WORDS = 10
-#: So many places of likely lines (16 bytes each) are broadcast at most; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+SPACES, NO_SPACES = "\t\n\x0b\x0c\r", "     "
 
 
-def numbered(documents: DataFrame) -> DataFrame:
-    require(documents, "doc_id", "text")
-    return documents.withColumn("__row", F.monotonically_increasing_id())
+def normal(line: Column) -> Column:
+    """The line's words with one space between them, A-Z in lower case; each step is skipped where it changes nothing."""
+    flat = F.trim(F.when(line.rlike(r"[\x09-\x0D]"), F.translate(line, SPACES, NO_SPACES)).otherwise(line))
+    single = F.when(F.contains(flat, F.lit("  ")), F.regexp_replace(flat, " +", " ")).otherwise(flat)
+    plain = (F.length(single) == F.octet_length(single)) | ~single.rlike(r"[\p{IsUppercase}\p{Lt}&&[^A-Z]]")
+    return F.when(plain, F.lower(single)).otherwise(ascii_lower(single))
 
 
-def halves(w: Column) -> Column:
-    """Hashes of the first and last words, as many as an edit to a line of equal or one more length must spare on one side."""
+def n_words(said: Column) -> Column:
+    """Of a line in normal form."""
+    return F.when(said == "", 0).otherwise(F.length(said) - F.length(F.replace(said, F.lit(" "))) + 1)
 
-    def at(h: Column) -> Column:
-        first = F.xxhash64(F.lit("first"), F.slice(w, 1, h))
-        last = F.xxhash64(F.lit("last"), F.slice(w, F.size(w) - h + 1, h))
-        return F.array(first, last)
 
-    half = F.floor(F.size(w) / 2).cast("int")
-    return F.when(F.size(w) % 2 == 1, at(half)).otherwise(F.concat(at(half - 1), at(half)))
+def _words_from(said: Column, n: Column) -> Column:
+    """The first ``n`` words, or the last ``-n``."""
+    return F.call_function("substring_index", said, F.lit(" "), n.cast("int"))
 
 
-def line_rows(documents: DataFrame, min_words: int, edit_words: int | None = None) -> DataFrame:
-    """``(row, doc_id, line, id, n[, keys])`` of the lines that count; ``keys`` where edits count.
+def halves(said: Column, n: Column) -> Column:
+    """Hashes of the first and last words, as many as an edit to a line of equal or one more length must spare on one side."""
 
-    All of a line is computed inside the generator, so that no filter or join makes Spark do it again.
-    """
+    def at(h: Column) -> Column:
+        first = F.xxhash64(F.lit("first"), _words_from(said, h))
+        last = F.xxhash64(F.lit("last"), _words_from(said, -h))
+        return F.array(first, last)
 
-    def judged(w: Column) -> Column:
-        fields = [F.unhex(F.md5(F.array_join(w, " "))).alias("id"), F.size(w).alias("n")]
-        if edit_words is not None:
-            fields.append(F.when(F.size(w) >= edit_words, halves(w)).alias("keys"))
-        return F.struct(*fields)
+    half = F.floor(n / 2).cast("int")
+    return F.when(n % 2 == 1, at(half)).otherwise(F.concat(at(half - 1), at(half)))
 
-    lines = F.transform(F.split(ascii_lower(F.col("text")), "\n", -1), lambda x: let(words(x), judged))
-    out = documents.select(F.col("__row").alias("row"), "doc_id", F.posexplode(lines).alias("line", "x"))
-    return out.select("row", "doc_id", "line", "x.*").where(F.col("n") >= min_words)
+
+def line_rows(rows: DataFrame, edit_words: int) -> DataFrame:
+    """``(row, doc_id, line, id, n, keys)`` of all lines; ``keys`` where edits count."""
+    out = rows.select(F.col("__row").alias("row"), "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "said"))
+    out = out.withColumn("said", normal(F.col("said"))).withColumn("n", n_words(F.col("said")))
+    return out.select(
+        "row", "doc_id", "line", F.unhex(F.md5("said")).alias("id"), "n", F.when(F.col("n") >= edit_words, halves(F.col("said"), F.col("n"))).alias("keys")
+    )
 
 
 def place() -> Column:
@@ -73,7 +78,7 @@ def place() -> Column:
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """``(key, at, pos, id)``: each line's whole (at 0) and its variant without word ``at``, from ``(pos, id, w)``.
+    """``(doc_id, row, line, n, at, key)``: each line's whole (at 0) and its variant without word ``at``, from ``(doc_id, row, line, said, n)``.
 
     A variant's key is the exclusive or of a hash of each word and its place. Leaving out the next word
     instead of this one changes two terms, so all variants follow from the first by a running xor.
@@ -110,45 +115,68 @@ def variants(lines: DataFrame) -> DataFrame:
         return F.flatten(ran)
 
     keys = F.concat(F.array(whole), let(steps, run))
-    return lines.select("doc_id", "row", "line", F.size("w").alias("n"), F.posexplode(keys).alias("at", "key"))
+    return lines.withColumn("w", F.split("said", " ")).select("doc_id", "row", "line", "n", F.posexplode(keys).alias("at", "key"))
+
+
+def without(said: Column, n: Column, at: Column) -> Column:
+    """The line without word ``at`` (from 1; 0: all of it)."""
+    front, behind = _words_from(said, at - 1), _words_from(said, at - n)
+    return F.when(at == 0, said).otherwise(F.concat_ws(" ", F.nullif(front, F.lit("")), F.nullif(behind, F.lit(""))))
 
 
-def near_lines(documents: DataFrame, firsts: DataFrame) -> DataFrame:
-    """``(row, line)`` of distinct lines with an earlier line one edit away; ``firsts(id, pos, n, keys)`` has every distinct line."""
-    halved = firsts.where("keys is not null").select("id", F.explode("keys").alias("half"))
+def likely_lines(rows: DataFrame, firsts: DataFrame) -> DataFrame:
+    """``(id, doc_id, row, line, said, n)`` of the distinct lines that share a half with another, from ``firsts(id, row, line, keys)``."""
+    halved = firsts.where("keys is not null").select("row", "line", "id", F.explode("keys").alias("half"))
     shared = halved.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
-    likely = halved.join(shared, "half", "left_semi").select("id").distinct()
-    # the lines' words come from the text at their first place
-    wanted = kept(firsts.join(likely, "id", "left_semi").select("pos.row", "pos.line"))
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    texts = documents.select(F.col("__row").alias("row"), "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "said"))
-    lines = texts.join(wanted, ["row", "line"]).select("row", "doc_id", "line", words(ascii_lower(F.col("said"))).alias("w"))
+    likely = halved.join(shared, "half", "left_semi").groupBy("row", "line").agg(F.first("id").alias("id"))
+    wanted = likely.groupBy("row").agg(F.collect_list(F.struct("line", "id")).alias("wanted"))
+    met = rows.select(F.col("__row").alias("row"), "doc_id", "text").join(wanted, "row")
+    found = let(F.split("text", "\n", -1), lambda x: F.transform("wanted", lambda y: F.struct(y["line"].alias("line"), y["id"].alias("id"), F.get(x, y["line"]).alias("said"))))
+    out = met.select("row", "doc_id", F.explode(found).alias("x")).select("x.id", "doc_id", "row", "x.line", normal(F.col("x.said")).alias("said"))
+    return out.withColumn("n", n_words(F.col("said")))
+
+
+def near_lines(lines: DataFrame) -> DataFrame:
+    """``(row, line)`` of those ``lines`` that have an earlier one at one edit."""
     out = variants(lines).withColumn("m", F.col("n") - (F.col("at") > 0).cast("int"))
-    # put in or left out: the whole of one line is the rest of another; exchanged: the same rest with the same place left out
-    whole, rest = F.when(F.col("at") == 0, place()), F.when(F.col("at") > 0, place())
-    alike = Window.partitionBy("key", "m")
-    out = out.withColumn("wholes", F.min(whole).over(alike)).withColumn("rests", F.min(rest).over(alike))
-    out = out.withColumn("same", F.min(place()).over(Window.partitionBy("key", "m", "at")))
-    left_out = (F.col("at") > 0) & ((F.col("same") < place()) | F.coalesce(F.col("wholes") < place(), F.lit(False)))
-    return out.where(left_out | ((F.col("at") == 0) & (F.col("rests") < place()))).select("row", "line").distinct()
+    # the earliest line of each variant at its place, then of each variant as a whole line and as what another leaves
+    same = out.groupBy("key", "m", "at").agg(F.min(place()).alias("same"), F.count("*").alias("c"))
+    rest = F.when(F.col("at") > 0, F.struct("same", "at"))
+    met = same.groupBy("key", "m").agg(F.min(F.when(F.col("at") == 0, F.col("same"))).alias("whole"), F.min(rest).alias("rest"), F.sum("c").alias("c"))
+    out = out.join(met.where("c > 1").drop("c"), ["key", "m"]).join(same.where("c > 1").select("key", "m", "at", "same"), ["key", "m", "at"], "left")
+
+    def partner(first: Column, at: Column) -> Column:
+        return F.when(first < place(), F.struct(first.alias("first"), at.cast("int").alias("at")))
+
+    # exchanged: the same rest at the same place; put in or left out: the whole of one line is the rest of another
+    partners = F.when(F.col("at") > 0, F.array(partner(F.col("same"), F.col("at")), partner(F.col("whole"), F.lit(0)))).otherwise(
+        F.array(partner(F.col("rest.same"), F.col("rest.at")))
+    )
+    pairs = out.select("row", "line", "at", F.explode(F.array_compact(partners)).alias("q"))
+    pairs = pairs.select("row", "line", "at", F.col("q.first.row").alias("first_row"), F.col("q.first.line").alias("first_line"), F.col("q.at").alias("first_at"))
+    one = lines.select("row", "line", "said", "n")
+    two = lines.select(F.col("row").alias("first_row"), F.col("line").alias("first_line"), F.col("said").alias("first_said"), F.col("n").alias("first_n"))
+    met = pairs.join(one, ["row", "line"]).join(two, ["first_row", "first_line"])
+    alike = without(F.col("said"), F.col("n"), F.col("at")) == without(F.col("first_said"), F.col("first_n"), F.col("first_at"))
+    return met.where(alike).select("row", "line").distinct()
 
 
-def dropped_lines(documents: DataFrame, min_words: int = MIN_WORDS, edit_words: int = EDIT_WORDS) -> DataFrame:
+def dropped_lines(rows: DataFrame, min_words: int = MIN_WORDS, edit_words: int = EDIT_WORDS) -> DataFrame:
     """``(row, line)`` of all lines to drop, of documents with ``__row``."""
-    lines = line_rows(documents, min_words, edit_words)
+    lines = stored(line_rows(rows, edit_words)).where(F.col("n") >= min_words)
     firsts = lines.groupBy("id").agg(F.min(place()).alias("pos"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    firsts = stored(firsts)
-    near = near_lines(documents, firsts).withColumn("near", F.lit(True))
-    placed = firsts.select("id", "pos", "copies", "pos.row", "pos.line").join(near, ["row", "line"], "left")
-    judged = kept(placed.where("copies > 1 or near").select("id", "pos", F.coalesce("near", F.lit(False)).alias("near")))
-    again = line_rows(documents, min_words).select("row", "doc_id", "line", "id").join(judged, "id")
-    return again.where(F.col("near") | (place() != F.col("pos"))).select("row", "line")
+    firsts = stored(firsts.withColumns({"row": F.col("pos.row"), "line": F.col("pos.line")}))
+    likely = stored(likely_lines(rows, firsts))
+    near = likely.join(near_lines(likely), ["row", "line"], "left_semi").select("id", place().alias("pos"), F.lit(True).alias("near"))
+    again = firsts.where("copies > 1").select("id", "pos", F.lit(False).alias("near"))
+    judged = stored(near.unionByName(again).groupBy("id").agg(F.first("pos").alias("pos"), F.max("near").alias("near")))
+    met = lines.select("row", "doc_id", "line", "id").join(judged, "id")
+    return met.where(F.col("near") | (place() != F.col("pos"))).select("row", "line")
 
 
 def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS, edit_words: int = EDIT_WORDS) -> DataFrame:
     """``documents`` with ``text`` less its dropped lines, and ``n_dropped_lines``."""
-    rows = numbered(documents)
+    rows = numbered(set_aside(require(documents, "doc_id", "text"), "n_dropped_lines", "__row", "__gone"))
     gone = dropped_lines(rows, min_words, edit_words).groupBy("row").agg(F.sort_array(F.collect_list("line")).alias("__gone"))
     out = rows.join(gone.withColumnRenamed("row", "__row"), "__row", "left")
     lines = F.split("text", "\n", -1)
