@@ -68,17 +68,35 @@ def numbered(df: DataFrame, row: str = "__row") -> DataFrame:
     return spark.table(name)
 
 
-def set_aside(df: DataFrame, *names: str) -> DataFrame:
-    """``df`` with its columns that are called like one of ``names`` kept under that name and ``_input`` (as often as needed)."""
-    taken = {c.lower() for c in df.columns} | {n.lower() for n in names}
-    for column in df.columns:
-        if column.lower() in {n.lower() for n in names}:
+def _aside(columns: list[str], names: tuple[str, ...]) -> dict[str, str]:
+    """What columns called like one of ``names`` (in any case) are called instead."""
+    wanted = {n.lower() for n in names}
+    taken, out = {c.lower() for c in columns} | wanted, {}
+    for column in columns:
+        if column.lower() in wanted:
             to = column + "_input"
             while to.lower() in taken:
                 to += "_input"
             taken.add(to.lower())
-            df = df.withColumnRenamed(column, to)
-    return df
+            out[column] = to
+    return out
+
+
+def set_aside(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with its columns that are called like one of ``names`` kept under that name and ``_input`` (as often as needed)."""
+    return df.withColumnsRenamed(_aside(df.columns, names))
+
+
+def put_back(df: DataFrame, before: DataFrame, names: tuple[str, ...], inner: tuple[str, ...]) -> DataFrame:
+    """Columns that ``set_aside(before, *names)`` renamed for ``inner`` ones of these names, under their own name again."""
+    wanted = {n.lower() for n in inner}
+    return df.withColumnsRenamed({to: c for c, to in _aside(before.columns, names).items() if c.lower() in wanted})
+
+
+def inputs(df: DataFrame, before: DataFrame, *names: str) -> DataFrame:
+    """The columns of ``before`` under their own names, out of a result for which ``names`` were set aside."""
+    to = _aside(before.columns, names)
+    return df.select(*[F.col(f"`{to.get(c, c)}`").alias(c) for c in before.columns])
 
 
 def require(df: DataFrame, *columns: str) -> DataFrame:

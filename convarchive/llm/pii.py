@@ -14,9 +14,11 @@ gain syllables with the rounds, and where a format of mail names, credentials, p
 is used up, stand-ins get longer than what they replace. Letters of other scripts in credentials become keyed
 letters of their case; other characters there change only if there is no letter or digit, or after some rounds.
 
-Only mentions are shuffled for the look-up, then texts meet their replacements by row. Null and empty texts
-stay; everything between mentions stays byte for byte; repeated rows get the same text; further columns are
-left alone. Rows are told apart by their place in the input, which must read the same twice (as files do).
+Only mentions are shuffled for the look-up, then texts meet their replacements by row. A mention's kind follows
+from its form and what stands before it, other mentions included; one of no other kind counts as a credential, so
+nothing that was found comes out as it was. Null and empty texts stay; everything between mentions stays byte for
+byte; repeated rows get the same text. Rows are told apart by a number that is written down with them once.
+Further columns are left alone; one called like the output is kept under its name and ``_input``.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convarchive.llm.common import kept, let, require, table
+from convarchive.llm.common import kept, let, numbered, put_back, require, set_aside, stored, table
 
 #: Titles before names: (gender, script, pattern).
 TITLES = [
@@ -35,17 +37,19 @@ TITLES = [
 ]
 NAME = r"\p{Lu}[\p{L}’'-]*(?: \p{Lu}[\p{L}’'-]+)*+"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-#: Kind -> pattern, in order of precedence. No pattern has a group.
+#: What stands before a credential.
+ASSIGNED = r"(?i:password|passwd|secret|token|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?"
+#: Kind -> pattern, in order of precedence. No pattern has a group. Cheap guards stand before long looks back.
 KINDS = {
-    "email": r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<=(?i:password|passwd|secret|token|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?)[^\s\"',;=:]{6,}",
+    "email": r"(?<![A-Za-z0-9_%+-])[A-Za-z0-9_%+-]++(?:\.[A-Za-z0-9_%+-]++)*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "secret": rf"(?<=[=:\s\"'])(?<=[=:]\s{{0,3}}[\"']?)(?<={ASSIGNED})[^\s\"',;=:]{{6,}}",
     "key": r"\b(?:AKIA|ASIA)[A-Z2-7]{16}\b|\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
     "ip": rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\d|\.\d)",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "card": r"(?<![\d-])(?:\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5})(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4})(?!\d)",
-    "name": "|".join(rf"(?<=\b(?:{t}) ){NAME}" for _, _, t in TITLES),
+    "name": r"(?=\p{Lu})(?:" + "|".join(rf"(?<=\b(?:{t}) ){NAME}" for _, _, t in TITLES) + ")",
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: A text without any of these has no mention.
@@ -56,6 +60,7 @@ PARTS = {
     "cyrillic": ("б в г д к л м н п р с т".split(), "а е и о у".split(), {"m": "мир слав тин дор рий вел".split(), "f": "лина рия сия дора вета мила".split(), "n": "ко енко чук ян швили дзе".split()}),
 }
 ROUNDS = 40
+OUTPUT, INNER = ("n_replaced",), ("__row", "__new")
 #: From this round on stand-ins get longer, by one more character a round.
 LONGER = 10
 
@@ -65,10 +70,25 @@ def mentions(text: Column) -> Column:
     return F.when(text.rlike(HINT), found).otherwise(F.array().cast("array<string>"))
 
 
+def mentions_with_before(text: Column) -> Column:
+    """``array<struct<mention, before>>``; ``before`` is what stands just before the mention, other mentions included."""
+
+    def placed(x: Column) -> Column:
+        def said(k: str, i: Column) -> Column:
+            return F.coalesce(F.get(x[k], i), F.lit(""))
+
+        return F.transform(
+            x["m"], lambda m, i: F.struct(m.alias("mention"), F.right(F.concat(said("m", i - 2), said("b", i - 1), said("m", i - 1), said("b", i)), F.lit(40)).alias("before"))
+        )
+
+    empty = F.array().cast("array<struct<mention:string,before:string>>")
+    return let(mentions(text), lambda m: F.when(F.size(m) > 0, let(F.struct(m.alias("m"), F.split(text, ANY, -1).alias("b")), placed)).otherwise(empty))
+
+
 def kind_of(text: Column, before: Column) -> Column:
     """The kind of a mention; ``before`` is the text just before it, by which names and credentials are known."""
-    chain = F.lit(None).cast("string")
-    credential = before.rlike(r"(?i:password|passwd|secret|token|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?$")
+    chain = F.lit("secret")
+    credential = before.rlike(f"{ASSIGNED}$")
     for kind, pattern in reversed(KINDS.items()):
         if kind == "secret":
             chain = F.when(credential, kind).otherwise(chain)
@@ -203,14 +223,9 @@ def _reformat(mention: Column, core: Column) -> Column:
 
 def replace_pii(documents: DataFrame, key: str) -> DataFrame:
     """``documents`` with stand-ins in ``text``, and ``n_replaced``."""
-    require(documents, "text")
-    rows = documents.withColumn("__row", F.monotonically_increasing_id())
-    said = rows.select(F.col("__row").alias("row"), "text", mentions(F.col("text")).alias("m")).where(F.size("m") > 0)
-    between = F.split("text", ANY, -1)
-    # what stands before a mention decides on its kind
-    said = said.select("row", F.posexplode(F.arrays_zip(F.col("m").alias("mention"), F.transform(between, lambda x: F.right(x, F.lit(24))).alias("before"))).alias("k", "x"))
-    said = said.where(F.col("x.mention").isNotNull()).select("row", "k", "x.mention", kind_of(F.col("x.mention"), F.col("x.before")).alias("kind"))
-    said = kept(said.where("kind is not null"))
+    rows = numbered(set_aside(require(documents, "text"), *OUTPUT, *INNER))
+    said = rows.select(F.col("__row").alias("row"), F.posexplode(mentions_with_before(F.col("text"))).alias("k", "x"))
+    said = stored(said.select("row", "k", "x.mention", kind_of(F.col("x.mention"), F.col("x.before")).alias("kind")))
     parts = said.select("row", "k", "mention", "kind", F.posexplode(cores(F.col("kind"), F.col("mention"))).alias("part", "e"))
     parts = parts.select("row", "k", "mention", "part", F.col("kind").alias("whole"), "e.kind", "e.core")
     known = kept(surrogates(parts.select("kind", "core").distinct(), key))
@@ -227,17 +242,11 @@ def replace_pii(documents: DataFrame, key: str) -> DataFrame:
     )
     by_row = met.select("row", "k", shown.alias("shown")).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("k", "shown"))).alias("__new"))
     out = rows.join(by_row.withColumnRenamed("row", "__row"), "__row", "left")
-    rebuilt = let(
-        F.struct(F.split("text", ANY, -1).alias("b"), mentions(F.col("text")).alias("m"), F.col("__new").alias("new")),
-        lambda x: F.array_join(
-            F.transform(
-                x["b"], lambda b, i: F.concat(b, F.coalesce(F.try_element_at(x["new"], i), F.get(x["m"], i), F.lit("")))
-            ),
-            "",
-        ),
-    )
+    # every mention has a replacement; behind the last one there is none
+    rebuilt = F.array_join(F.transform(F.split("text", ANY, -1), lambda b, i: F.concat(b, F.coalesce(F.try_element_at("__new", i), F.lit("")))), "")
     text = F.when(F.col("__new").isNull(), F.col("text")).otherwise(rebuilt)
-    return out.withColumns({"text": text, "n_replaced": F.coalesce(F.size("__new"), F.lit(0)).cast("long")}).drop("__row", "__new")
+    out = out.withColumns({"text": text, "n_replaced": F.coalesce(F.size("__new"), F.lit(0)).cast("long")}).drop(*INNER)
+    return put_back(out, documents, (*OUTPUT, *INNER), INNER)
 
 
 #: The key of the registered query; keep your own secret.
