@@ -1,5 +1,7 @@
 import random
 
+from urllib.parse import urljoin
+
 from convarchive.llm import url_filters as u
 from convarchive.llm.components import connected_components
 
@@ -23,8 +25,10 @@ PAGES = [
 
 
 def run(spark, pages, rules=u.RULES, redirects=None):
-    df = spark.createDataFrame([(*p, "r", "a") for p in pages], "page_id long, url string, html string, rule string, action string")
-    return {r.page_id: r for r in u.filter_urls(df.drop("rule"), u.rule_frame(spark, rules), redirects).collect()}
+    df = spark.createDataFrame([(*p, "r", "a", "n") for p in pages], "page_id long, url string, html string, rule string, action string, node string")
+    got = u.filter_urls(df, u.rule_frame(spark, rules), redirects).collect()
+    assert all((r.rule_input, r.action, r.node) == ("r", "a", "n") for r in got)
+    return {r.page_id: r for r in got}
 
 
 def test_rules_and_aliases(spark):
@@ -63,3 +67,39 @@ def test_components_against_union_find(spark):
             root[y] = x
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: find(i) for i in root}
+
+
+def test_components_of_many_edges(spark):
+    n = 1_100_000
+    edges = spark.range(n).selectExpr("id * 2 AS a", "id * 2 + 1 AS b").unionByName(spark.range(n).selectExpr("id * 2 + 1 AS a", "(id - id % 2) * 2 AS b"))
+    got = connected_components(edges)
+    assert got.count() == 2 * n and got.where("component <> node - node % 4").count() == 0
+
+
+def test_links_are_resolved_as_urls(spark):
+    bases = ["http://a.net/b/c/d", "http://a.net/b/", "http://a.net", "http://a.net/?q=1", "https://a.net/b/c?x=/y/#z", "http://a.net/b/c/"]
+    links = ["q", "../q", "./q", "?x=1", "/r", "//e.net/f", "http://g.net/h?i", "../../../q", "q/./r/../s", "..", ".", "q?x=../y", "/a/../b", "q/.hidden/x..y"]
+    df = spark.createDataFrame([(b, x) for b in bases for x in links], "url string, link string")
+    for r in df.select("url", "link", u.resource(u._absolute(df.link, df.url)).alias("to"), u.resource(df.url).alias("own")).collect():
+        want = urljoin(r.url, r.link).split("://", 1)[1]
+        assert r.to == (want if "/" in want.split("?")[0] else want.replace("?", "/?") if "?" in want else want + "/"), (r.url, r.link)
+    none = spark.createDataFrame([("http://a.net/b", x) for x in ("#f", "mailto:a@b.c", "javascript:void(0)")], "url string, link string")
+    assert [r[0] for r in none.select(u._absolute(none.link, none.url)).collect()] == [None] * 3
+
+
+def test_relative_and_escaped_links_carry_a_block(spark):
+    pages = [
+        (1, "http://a.example.org/es/1?a=1&b=2", ""),
+        (2, "http://b.net/x/y", LINK.format("http://a.example.org/es/1?a=1&amp;b=2")),
+        (3, "http://b.net/x/z", LINK.format("y")),
+        (4, "http://b.net/q", '<meta http-equiv="refresh" content="0; url=x/z">'),
+        (5, "http://b.net/x/y/z?k", LINK.format("../y#top")),
+    ]
+    assert {i: r.verdict for i, r in run(spark, pages).items()} == dict.fromkeys(range(1, 6), "block")
+
+
+def test_ties_and_very_long_pages(spark):
+    rules = [("block", "a.net", "/b"), ("allow", "a.net", "/b"), ("block", "net", "/")]
+    pages = [(1, "http://a.net/b/" + "c" * 200_000, "<p>" * 300_000 + LINK.format("/d")), (2, "http://a.net/d", ""), (3, "http://x.net/", "")]
+    got = run(spark, pages, rules)
+    assert [got[i].verdict for i in (1, 2, 3)] == ["allow", "block", "block"] and got[1].rule == "a.net/b"
