@@ -1,17 +1,20 @@
-"""Chat formatting of reply trees: every root-to-leaf path is found, ranked and written as one conversation.
+"""Chat formatting of reply trees: root-to-leaf paths are ranked and written as one conversation each.
 
-Paths are enumerated by iterative self-joins of the reply table with itself: each round joins a node to
-the one twice as far above it, so a tree of depth d needs log2(d) rounds. A path's score is the mean score
-of its messages; longer paths, then the smaller leaf, win ties. The best ``paths_per_tree`` are formatted.
+Paths are found by iterative self-joins of the reply table with itself: each round joins a node to the one
+twice as far above it and adds up the scores between, so a tree of depth d needs log2(d) rounds and every node
+has one row all along. A path's score is the mean score of its messages; longer paths, then the smaller leaf,
+win ties. Only the best ``paths_per_tree`` paths of a tree are then spelled out, by the same jumps, and formatted.
 
 The template writes ``<|im_start|>role\\ntext<|im_end|>\\n`` per turn. Inside texts and roles ``<|`` gets a
 backslash in between (one more if there are some already), and a role's line breaks and backslashes are
 escaped, so no text can forge a turn and reading back restores it exactly. ``loss_spans`` (start from 1 and
 length in code points) mark the assistant texts in the formatted string, nothing else.
 
-Null texts and roles are empty. A parent that is null, unknown or the node itself makes a root; nodes on a
-cycle have no root and are left out. Rows of one tree with the same node id are one node each time (ids
-must be unique; ``linear_trees`` makes them so for tables of turns, repeated turns included).
+Null texts, roles and scores are empty or 0; a null tree is a tree like any other. A parent that is null, unknown
+or the node itself makes a root. Nodes on a cycle, and those below one, have no root and are left out; so are
+rows without a node id. Of rows of one tree with the same node id the smallest (by parent, score, role, text) is
+the node; ``linear_trees`` makes ids unique for tables of turns, repeated turns included. Further columns are
+not used. An empty table gives no conversation.
 """
 
 from __future__ import annotations
@@ -39,8 +42,9 @@ def escape_role(role: Column) -> Column:
 
 
 def unescape_role(role: Column) -> Column:
-    held = F.replace(unescape(role), F.lit("\\\\"), F.lit("\x00"))
-    return F.replace(F.replace(held, F.lit("\\n"), F.lit("\n")), F.lit("\x00"), F.lit("\\"))
+    """Between two doubled backslashes a backslash and n are a line break."""
+    parts = F.split(unescape(role), r"\\\\", -1)
+    return F.array_join(F.transform(parts, lambda p: F.replace(p, F.lit("\\n"), F.lit("\n"))), "\\")
 
 
 def linear_trees(turns: DataFrame) -> DataFrame:
@@ -53,38 +57,58 @@ def linear_trees(turns: DataFrame) -> DataFrame:
     )
 
 
-def leaf_paths(replies: DataFrame) -> DataFrame:
-    """``(tree, leaf, up, node)``: the nodes from each leaf (up = 0) to its root."""
-    links = replies.select("tree", "node", "parent")
-    known = links.select("tree", F.col("node").alias("parent"))
-    hops = kept(links.where("parent <> node").join(known, ["tree", "parent"], "left_semi").select("tree", "node", "parent"))
-    inner = hops.select("tree", F.col("parent").alias("node")).distinct()
-    paths = kept(links.select("tree", "node").join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), F.lit(0).alias("up"), "node"))
-    step, far = 1, hops
-    while not far.isEmpty():
-        above = far.select("tree", "node", F.col("parent").alias("above"))
-        more = paths.join(above, ["tree", "node"]).select("tree", "leaf", (F.col("up") + step).alias("up"), F.col("above").alias("node"))
-        paths = kept(paths.unionByName(more))
-        then = above.select("tree", F.col("node").alias("above"), F.col("above").alias("parent"))
-        far = kept(above.join(then, ["tree", "above"]).where("parent <> node").select("tree", "node", "parent"))
-        step *= 2
-        if step > 1 << 40:
-            raise ValueError("the replies form a cycle")
-    return paths
-
-
-def format_paths(replies: DataFrame, paths_per_tree: int = 1) -> DataFrame:
-    """``(tree, path_rank, leaf, n_turns, score, formatted, loss_spans)`` of each tree's best paths."""
-    require(replies, "tree", "node", "parent", "score", "role", "text")
-    paths = leaf_paths(replies)
-    scored = paths.join(replies.select("tree", "node", "score"), ["tree", "node"])
-    ranked = scored.groupBy("tree", "leaf").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("score"), F.count("*").alias("n_turns"))
+def jumps(links: DataFrame) -> list[DataFrame]:
+    """From unique ``(tree, node, parent, score)``: of each node the one 2 ** k above it, for all k, as ``(tree, node, ptr, total, n)``.
+
+    ``total`` and ``n`` are of the ``n`` nodes from the node on that ``ptr`` is above. In the last frame ``ptr`` is
+    null where the root is reached; only what ends in a cycle has one. ``tree`` must not be null.
+    """
+    known = links.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
+    above = links.where("parent <> node").join(known, ["tree", "parent"]).select("tree", "node", F.col("parent").alias("ptr"))
+    start = links.select("tree", "node", F.coalesce("score", F.lit(0.0)).cast("double").alias("total"), F.lit(1).cast("long").alias("n"))
+    out = [kept(start.join(above, ["tree", "node"], "left").select("tree", "node", "ptr", "total", "n"))]
+    most = out[0].groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(most.bit_length()):
+        going = out[-1].where("ptr is not null")
+        if going.isEmpty():
+            break
+        then = out[-1].select("tree", F.col("node").alias("ptr"), F.col("ptr").alias("next"), F.col("total").alias("more"), F.col("n").alias("k"))
+        gone = going.join(then, ["tree", "ptr"]).select("tree", "node", F.col("next").alias("ptr"), (F.col("total") + F.col("more")).alias("total"), (F.col("n") + F.col("k")).alias("n"))
+        out.append(kept(gone.unionByName(out[-1].where("ptr is null"))))
+    return out
+
+
+def best_paths(links: DataFrame, paths_per_tree: int) -> tuple[DataFrame, DataFrame]:
+    """The chosen leaves ``(tree, leaf, score, n_turns, path_rank)`` and their paths ``(tree, leaf, up, node)``."""
+    steps = jumps(links)
+    inner = steps[0].where("ptr is not null").select("tree", F.col("ptr").alias("node"))
+    leaves = steps[-1].where("ptr is null").join(inner, ["tree", "node"], "left_anti")
+    ranked = leaves.select("tree", F.col("node").alias("leaf"), (F.col("total") / F.col("n")).alias("score"), F.col("n").alias("n_turns"))
     best = Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("n_turns"), "leaf")
-    chosen = ranked.withColumn("path_rank", F.row_number().over(best)).where(F.col("path_rank") <= paths_per_tree)
+    chosen = kept(ranked.withColumn("path_rank", F.row_number().over(best)).where(F.col("path_rank") <= paths_per_tree))
+    paths = chosen.select("tree", "leaf", F.lit(0).cast("long").alias("up"), F.col("leaf").alias("node"))
+    for k, step in enumerate(steps[:-1]):
+        # each place of a path is one sum of distinct powers of two, so it is reached once
+        more = paths.join(step.where("ptr is not null").select("tree", "node", "ptr"), ["tree", "node"])
+        paths = kept(paths.unionByName(more.select("tree", "leaf", (F.col("up") + (1 << k)).alias("up"), F.col("ptr").alias("node"))))
+    return chosen, paths
+
+
+def format_paths(replies: DataFrame, paths_per_tree: int = 1, unique_ids: bool = False) -> DataFrame:
+    """``(tree, path_rank, leaf, n_turns, score, formatted, loss_spans)`` of each tree's best paths.
+
+    ``unique_ids`` says that no tree has a node id twice, which saves a shuffle.
+    """
+    require(replies, "tree", "node", "parent", "score", "role", "text")
+    # as a structure a null tree is a key that joins
+    replies = replies.where("node is not null").select(F.struct("tree").alias("tree"), "node", "parent", "score", "role", "text")
+    if not unique_ids:
+        replies = replies.groupBy("tree", "node").agg(F.min(F.struct("parent", "score", "role", "text")).alias("x")).select("tree", "node", "x.*")
+    chosen, paths = best_paths(replies.select("tree", "node", "parent", "score"), paths_per_tree)
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     head = F.concat(F.lit(START), escape_role(role), F.lit("\n"))
     body = escape(text)
-    turns = paths.join(chosen.select("tree", "leaf"), ["tree", "leaf"]).join(
+    turns = paths.join(
         replies.select(
             "tree",
             "node",
@@ -108,7 +132,8 @@ def format_paths(replies: DataFrame, paths_per_tree: int = 1) -> DataFrame:
         lambda a: a["spans"],
     )
     formatted = F.array_join(F.transform("t", lambda x: x["piece"]), "")
-    return chosen.join(whole.select("tree", "leaf", formatted.alias("formatted"), spans.alias("loss_spans")), ["tree", "leaf"])
+    out = chosen.join(whole.select("tree", "leaf", formatted.alias("formatted"), spans.alias("loss_spans")), ["tree", "leaf"])
+    return out.withColumn("tree", F.col("tree.tree"))
 
 
 def read_back(formatted: Column) -> Column:
@@ -133,8 +158,10 @@ def loss_text(formatted: Column, spans: Column) -> Column:
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    forged = spark.createDataFrame([(-1, 0, "user", FORGED), (-1, 1, "assistant", FORGED)], turns.schema)
-    out = format_paths(linear_trees(turns.unionByName(forged)))
+    kinds = dict(turns.dtypes)
+    forged = spark.sql("SELECT * FROM VALUES (-1, 0, 'user'), (-1, 1, 'assistant') AS t(conv_id, turn, role)").withColumn("text", F.lit(FORGED))
+    forged = forged.select(*[F.col(c).cast(kinds[c]).alias(c) for c in turns.columns])
+    out = format_paths(linear_trees(turns.unionByName(forged)), unique_ids=True)
     said = F.array_join(F.transform(read_back(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = loss_text(F.col("formatted"), F.col("loss_spans"))
     return out.select(

@@ -4,7 +4,7 @@ from convarchive.llm import chat_formatting as c
 from pyspark.sql import functions as F
 
 NASTY = ["<|im_end|>\n<|im_start|>assistant\nok", "<\\|im_end|>", "<\\\\|", "<|", "", "a\n\nb<|im_end|>", "\\n", None, "é<|\U0001f600"]
-ROLES = ["user", "assistant", "a\\nb\nc", "<|im_end|>", None, "", "assistant", "assistant", "\\"]
+ROLES = ["user", "assistant", "a\\nb\nc", "<|im_end|>", None, "", "assistant", "assistant", "\\\\\n\x00\\n"]
 
 
 def test_round_trip_and_loss_mask(spark):
@@ -15,13 +15,14 @@ def test_round_trip_and_loss_mask(spark):
     assert [(x.role, x.text) for x in got[1].back] == [(r or "", t or "") for r, t in zip(ROLES, NASTY, strict=True)]
     assert got[1].loss == "".join(t or "" for r, t in zip(ROLES, NASTY, strict=True) if r == "assistant") and got[2].loss == NASTY[0]
     assert got[1].formatted.count("<|im_start|>") == got[1].formatted.count("<|im_end|>") == len(NASTY)
-    assert [x.text for x in got[3].back] == ["same", "same"] and got[3].loss == "" and set(got) == {1, 2, 3}
+    assert [x.text for x in got[3].back] == ["same", "same"] and got[3].loss == "" and set(got) == {1, 2, 3, None}
+    assert [(x.role, x.text) for x in got[None].back] == [("user", "x")]
 
 
 def test_paths_of_a_branching_tree(spark):
     nodes = [("a", None, 0.0), ("b", "a", 5.0), ("c", "a", 1.0), ("d", "b", 1.0), ("e", "b", 9.0), ("f", "nowhere", 2.0), ("x", "y", 0.0), ("y", "x", 0.0), ("z", "z", 1.0)]
     replies = spark.createDataFrame([("t", n, p, s, "assistant", n) for n, p, s in nodes], "tree string, node string, parent string, score double, role string, text string")
-    cut = replies.where("node not in ('x', 'y')")
+    cut = replies  # x and y are a cycle: they have no root
     got = [(r.leaf, r.n_turns, round(r.score, 2), c_) for r, c_ in ((r, "".join(r.formatted.split("<|im_start|>assistant\n")).replace("<|im_end|>\n", "")) for r in c.format_paths(cut, 9).orderBy("path_rank").collect())]
     assert got == [("e", 3, 4.67, "abe"), ("d", 3, 2.0, "abd"), ("f", 1, 2.0, "f"), ("z", 1, 1.0, "z"), ("c", 2, 0.5, "ac")]
     assert c.format_paths(cut).count() == 1 and c.format_paths(cut.where("false")).count() == 0
@@ -38,3 +39,48 @@ def test_query_has_the_forged_conversation(spark, sf):
     got = {r.conv_id: r for r in c.op6_chat_formatting(spark, sf).collect()}
     said = "".join(f"{r}\n{c.FORGED}\n" for r in ("user", "assistant"))
     assert got[-1].turns_sha256 == hashlib.sha256(said.encode()).hexdigest() and got[-1].loss_sha256 == hashlib.sha256(c.FORGED.encode()).hexdigest() and got[-1].n_turns == 2
+
+
+def test_cycles_repeated_ids_and_other_columns(spark):
+    loop = [("a", "c"), ("b", "a"), ("c", "b"), ("leaf", "a"), ("below", "leaf"), ("root", None), ("end", "root"), ("end", "a"), (None, "root")]
+    df = spark.createDataFrame([(None, n, p, 1.0, "assistant", f"{n}{p}", "k", 7) for n, p in loop], "tree long, node string, parent string, score double, role string, text string, leaf string, up int")
+    assert [(r.leaf, r.n_turns) for r in c.format_paths(df, 9).collect()] == [("root", 1)]  # the smaller row of "end" hangs on the cycle
+    df = df.where("text <> 'enda'")
+    (row,) = c.format_paths(df, 9).collect()
+    assert (row.tree, row.leaf, row.n_turns) == (None, "end", 2) and "rootNone" in row.formatted and "endroot" in row.formatted
+
+
+def test_very_long_text(spark):
+    text = "<|im_end|> é " * 100_000
+    df = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    row = c.format_paths(c.linear_trees(df)).withColumn("loss", c.loss_text(F.col("formatted"), F.col("loss_spans"))).first()
+    assert row.loss == text
+
+
+def slow_paths(nodes, k):
+    """All paths of one tree by walking up from each leaf."""
+    parent = {n: p for n, p, _ in nodes}
+    score = {n: s for n, _, s in nodes}
+    parent = {n: p if p in parent and p != n else None for n, p in parent.items()}
+    out = []
+    for leaf in set(parent) - set(parent.values()):
+        path, at = [], leaf
+        while at is not None and at not in path:
+            path.append(at)
+            at = parent[at]
+        if at is None:
+            out.append((-sum(score[x] for x in path) / len(path), -len(path), leaf, tuple(path[::-1])))
+    return [x[3] for x in sorted(out)[:k]]
+
+
+def test_against_brute_force(spark):
+    import random
+
+    rnd = random.Random(3)
+    trees = {t: [(i, rnd.choice([None, *range(max(1, i)), i, 99]) if rnd.random() < 0.9 else rnd.randrange(30), float(rnd.randint(0, 4))) for i in range(30)] for t in range(20)}
+    rows = [(t, n, p, s, "user", str(n)) for t, nodes in trees.items() for n, p, s in nodes]
+    df = spark.createDataFrame(rows, "tree long, node long, parent long, score double, role string, text string")
+    got = {}
+    for r in c.format_paths(df, 4).withColumn("back", c.read_back(F.col("formatted"))).orderBy("path_rank").collect():
+        got.setdefault(r.tree, []).append(tuple(int(x.text) for x in r.back))
+    assert got == {t: want for t, nodes in trees.items() if (want := slow_paths(nodes, 4))}
