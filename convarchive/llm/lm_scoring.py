@@ -3,57 +3,65 @@
 A text is its words in lower case (A-Z) and one end. Each word is spelled by its bytes and a terminator;
 every symbol is a path of binary decisions in a Huffman tree of the training symbols. Hashed contexts predict
 each decision: inside a word the last one, two, three and five bytes and the whole prefix; for its first byte
-the last two bytes of the word before, that word, and the two before. A context and a tree node share a slot of
-a fixed table, which holds how often each bit followed. The predictions enter a logistic mixer in the
-stretched domain; a gate (first byte or not, and how often the two longest contexts have been seen) picks
-the weights. Weights are refined online, block by block, on the training documents of fold 1 (whose counts
-are left out of the tables, so that they show how far each context can be trusted), and an adaptive
-probability map then corrects the mixed probability by gate. The score is the sum of the decisions' log10
-probabilities; ``bits_per_byte`` is its total per byte of text.
+the last one, two and three bytes of the word before, that word, and the two before. A context and a tree node
+share a slot of a fixed table, which holds how often each bit followed. The predictions enter a logistic mixer in
+the stretched domain; a gate (first byte or not, and how often the two longest contexts have been seen: never,
+once, a few times, more) picks the weights. Weights are refined online, block by block, on the training documents
+of fold 1, against tables without that fold's counts, so that they show how far each context can be trusted; an
+adaptive probability map then corrects the mixed probability by gate. The tables that score have the counts of all
+training folds. The score is the sum of the decisions' log10 probabilities; ``bits_per_byte`` is its total per byte.
 
 What follows a word's first byte depends on the word alone, so it is counted and scored once for each word of
-the corpus, in a table of all words that Spark counts, and joined to the texts' words. Words of at least
-``1 / COMMON`` of all tokens, at most ``COMMON`` of them, are broadcast; the others are joined by hash.
-Counts of words and contexts cover all training documents. Bit tables have a fixed size (``2 ** bits`` slots
-a context) and are summed block by block over the cluster; only the finished tables pass the driver.
+the corpus, in a table of all words that Spark counts, and joined to the texts' words by their XXH64. The most
+frequent words, at most ``common`` of them, are broadcast instead. Counts of words and contexts cover all training
+documents. Bit tables have a fixed size (``2 ** bits`` slots a context), so their loss by shared slots grows with
+the corpus; they are summed block by block over the cluster, and only the finished tables pass the driver.
 
-Null and empty texts are the end alone. Long texts are met in blocks with the two words before as context.
-Rows without doc_id are learned from. Repeated rows are scored alike; further columns are left alone.
+Null and empty texts are the end alone. Rows without doc_id are learned from. Repeated rows are scored alike; of
+further columns nothing is used, whatever their names.
 """
 
 from __future__ import annotations
 
+import copy
 import heapq
-import zlib
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convarchive.llm.common import kept, require, table
+from convarchive.llm.common import kept, require, stored, table
+from convarchive.llm.tokens import cut_words, in_blocks
 
 FOLDS, MIXED_FOLD = 10, 1
-COMMON = 300_000
+COMMON = 500_000
 BITS = 22
 CONTEXTS, LEVELS, MAP = 5, 4, 33
 GATES = 2 * LEVELS * LEVELS
-SEEN = (1, 4, 30)  # where the levels of how often a slot was seen begin
+SEEN = (1, 2, 5)  # where the levels of how often a slot was seen begin
 END, STOP = 256, 32  # symbols: the end of a text, the end of a word
 END_WORD = b" "  # no word has a space
 SLICE = 20_000  # words that are spelled at once
-CHUNK = 100_000
-BLOCKS = 64
+BLOCK = 8_000_000  # bytes of text that are cut into words at once
+CHUNK = 400_000  # tokens whose contexts are held at once
+BLOCKS = 256
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Contexts leave their lowest bits free, so that a context and a symbol fit into one number.
+LOW = np.uint64(511)
 
 
 def text_words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def word_key(word: bytes | str) -> int:
+    return xxhash.xxh64_intdigest(word, 7)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * A
     return x ^ (x >> np.uint64(29))
@@ -114,46 +122,50 @@ def inner_events(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, dict[int,
     two = one * np.uint64(257) + back[1]
     three = two * np.uint64(257) + back[2]
     five = (three * np.uint64(257) + back[3]) * np.uint64(257) + back[4]
-    contexts = {k: mixed(c[after] * np.uint64(8) + np.uint64(k)) for k, c in enumerate((one, two, three, five, prefix))}
+    contexts = {k: mixed(c[after] * np.uint64(8) + np.uint64(k)) & ~LOW for k, c in enumerate((one, two, three, five, prefix))}
     return of[after], flat[after].astype(np.int64), contexts
 
 
-def chunks(texts: Iterable[list[bytes]]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
-    """Blocks of the words of texts, with the number of their text (-1: context only) and how many words before may be seen."""
-    words: list[bytes] = []
-    of: list[np.ndarray] = []
-    seen: list[np.ndarray] = []
-    for i, found in enumerate(texts):
-        all_words = [*found, END_WORD]
-        for at in range(0, len(all_words), CHUNK):
-            lead = min(at, 2)
-            part = all_words[at - lead : at + CHUNK]
-            own = np.full(len(part), i)
-            own[:lead] = -1
-            words += part
-            of.append(own)
-            seen.append(np.minimum(np.arange(len(part)), 2))
-            if len(words) >= CHUNK:
-                yield words, np.concatenate(of), np.concatenate(seen)
-                words, of, seen = [], [], []
-    if words:
-        yield words, np.concatenate(of), np.concatenate(seen)
-
-
-def first_events(words: list[bytes], of: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
-    """Of the words' first symbols: which word, the symbol, its contexts by table."""
-    flat = np.frombuffer(b"".join(words), np.uint8)
-    end = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
-    first = flat[np.concatenate([[0], end[:-1]])].astype(np.int64)
-    first[first == STOP] = END
-    last = flat[end - 1].astype(np.uint64) + np.uint64(1)
-    tail = last << np.uint64(9) | np.where(np.diff(end, prepend=0) > 1, flat[end - 2], 0).astype(np.uint64)
-    h = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
-    zero = np.uint64(0)
-    h1, h2 = np.where(seen > 0, np.roll(h, 1) + np.uint64(1), zero), np.where(seen > 1, np.roll(h, 2) + np.uint64(1), zero)
-    raw = {2: np.where(seen > 0, np.roll(tail, 1), zero), 3: h1, 4: h1 * B + h2}
-    own = np.flatnonzero(of >= 0)
-    return own, first[own], {k: mixed(c[own] * np.uint64(8) + np.uint64(k)) ^ A for k, c in raw.items()}
+class Tokens:
+    """The tokens of some texts: ``words``, the code of each token (the end is one more), ``ends`` of the texts, and what contexts need of a word."""
+
+    def __init__(self, texts: pa.Array):
+        codes, self.words, starts = cut_words(pc.ascii_lower(texts))
+        self.n = np.diff(starts) + 1
+        self.ends = np.cumsum(self.n)
+        self.codes = np.full(len(codes) + len(self.n), len(self.words), np.int64)
+        real = np.ones(len(self.codes), bool)
+        real[self.ends - 1] = False
+        self.codes[real] = codes
+        said = self.words.to_pylist()
+        self.keys = np.fromiter((word_key(w) for w in [*said, END_WORD]), np.uint64, len(said) + 1)
+
+    def text_of(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.n)), self.n)
+
+    def spelled(self) -> list[bytes]:
+        return self.words.cast(pa.large_binary()).to_pylist()
+
+    def first_events(self) -> Iterator[tuple[slice, np.ndarray, dict[int, np.ndarray]]]:
+        """Of the tokens' first symbols, chunk by chunk: which tokens, the symbols, their contexts by table."""
+        at = np.concatenate([[0], np.cumsum(pc.binary_length(self.words).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        flat = np.frombuffer("".join(self.words.to_pylist()).encode() or b"\0", np.uint8)
+        size = np.diff(at)
+        first = np.append(flat[at[:-1]].astype(np.int64), END)
+        byte = [np.append(np.where(size > k, flat[np.maximum(at[1:] - 1 - k, 0)], 0).astype(np.uint64), np.uint64(0)) for k in range(3)]
+        tails = [byte[0] + np.uint64(1)]
+        for b in byte[1:]:
+            tails.append(tails[-1] << np.uint64(9) | b)
+        place = np.arange(len(self.codes)) - np.repeat(self.ends - self.n, self.n)
+        for start in range(0, len(self.codes), CHUNK):
+            own = slice(start, min(start + CHUNK, len(self.codes)))
+            seen, part = place[own], np.concatenate([np.zeros(max(0, 2 - start), np.int64), self.codes[max(0, start - 2) : own.stop]])
+            back = [part[2 - k : 2 - k + len(seen)] for k in (1, 2)]
+            known, two = seen > 0, seen > 1
+            raw = [np.where(known, t[back[0]], 0) for t in tails]
+            raw.append(np.where(known, self.keys[back[0]], 0))
+            raw.append(raw[3] * B + np.where(two, self.keys[back[1]], 0))
+            yield own, first[self.codes[own]], {k: (mixed(c.astype(np.uint64) * np.uint64(8) + np.uint64(k)) ^ A) & ~LOW for k, c in enumerate(raw)}
 
 
 class Counts:
@@ -163,25 +175,30 @@ class Counts:
         self.code, self.bits = code, bits
         self.table = np.zeros((CONTEXTS, 2 << bits), np.uint32)
 
-    def add(self, symbols: np.ndarray, contexts: dict[int, np.ndarray], weights: np.ndarray | None = None) -> None:
+    def put(self, k: int, symbols: np.ndarray, contexts: np.ndarray, weights: np.ndarray) -> None:
         for at in range(0, len(symbols), 1 << 16):
             cut = slice(at, at + (1 << 16))
             of, node, bit = self.code.decisions(symbols[cut])
-            w = np.uint32(1) if weights is None else weights[cut].astype(np.uint32)[of]
-            for k, c in contexts.items():
-                np.add.at(self.table[k], slots(c[cut], of, node, self.bits) * 2 + bit, w)
+            np.add.at(self.table[k], slots(contexts[cut], of, node, self.bits) * 2 + bit, weights[cut].astype(np.uint32)[of])
+
+    def add(self, symbols: np.ndarray, contexts: dict[int, np.ndarray]) -> None:
+        """Equal pairs of context and symbol are counted first, then put down once."""
+        for k, c in contexts.items():
+            pairs = np.sort(c | symbols.astype(np.uint64))
+            new = np.flatnonzero(np.diff(pairs, prepend=~pairs[:1])) if len(pairs) else np.zeros(0, np.int64)
+            self.put(k, (pairs[new] & LOW).astype(np.int64), pairs[new] & ~LOW, np.diff(new, append=len(pairs)))
 
-    def blocks(self) -> Iterator[tuple[int, bytes]]:
-        """Places and counts of each block's entries that aren't zero."""
+    def blocks(self) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+        """Of each block that isn't empty the counts up to 255, and the places and values of the larger ones."""
         flat = self.table.reshape(BLOCKS, -1)
         for i in range(BLOCKS):
-            at = np.flatnonzero(flat[i])
-            if len(at):
-                yield i, zlib.compress(at.astype(np.uint32).tobytes() + flat[i][at].tobytes(), 1)
+            if flat[i].any():
+                large = np.flatnonzero(flat[i] > 255)
+                yield i, pa.compress(np.minimum(flat[i], 255).astype(np.uint8).tobytes(), "zstd", asbytes=True), large.astype(np.uint32).tobytes(), flat[i][large].tobytes()
 
     def batch(self) -> pa.RecordBatch:
-        found = list(self.blocks())
-        return pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], ["block", "data"])
+        found = list(zip(*self.blocks(), strict=True)) or [[], [], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["block", "small", "place", "large"])
 
 
 class Model:
@@ -203,13 +220,14 @@ class Model:
 
     def __getstate__(self) -> dict:
         """Tables travel compressed: they are broadcast, and mostly empty on small corpora."""
-        packed = {k: (zlib.compress(x.tobytes(), 1), x.dtype.str, x.shape) for k, x in self.__dict__.items() if k in ("stretched", "levels")}
+        packed = {k: (pa.compress(x.tobytes(), "zstd", asbytes=True), x.dtype.str, x.shape) for k, x in self.__dict__.items() if k in ("stretched", "levels")}
         return self.__dict__ | packed
 
     def __setstate__(self, state: dict) -> None:
         for k in ("stretched", "levels"):
             data, kind, shape = state[k]
-            state[k] = np.frombuffer(zlib.decompress(data), kind).reshape(shape)
+            size = int(np.prod(shape)) * np.dtype(kind).itemsize
+            state[k] = np.frombuffer(pa.decompress(data, size, "zstd"), kind).reshape(shape)
         self.__dict__.update(state)
 
     @staticmethod
@@ -266,28 +284,16 @@ def fold():
 
 
 def word_table(rows: DataFrame) -> DataFrame:
-    """``(word, key, n, n_fit)`` of all words and the end: counts in training documents, and in those of the bit tables; ``key`` is the word's XXH64 (seed 7)."""
+    """``(word, key, n, n_fit)`` of all words and the end: counts in training documents, and in those not of the mixed fold; ``key`` is ``word_key``."""
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: list[Counter] = [Counter() for _ in range(3)]  # held out, mixed, counted
-
-        def out() -> pa.RecordBatch:
-            words = list(set().union(*counts))
-            keys = np.array([xxhash.xxh64_intdigest(w, 7) for w in words], np.uint64).view(np.int64)
-            fit = np.fromiter((counts[2][w] for w in words), np.int64, len(words))
-            n = fit + np.fromiter((counts[1][w] for w in words), np.int64, len(words))
-            for c in counts:
-                c.clear()
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(keys), pa.array(n), pa.array(fit)], ["word", "key", "n", "n_fit"])
-
-        for b in rows:
-            for text, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = counts[0 if k == 0 else 1 if k == MIXED_FOLD else 2]
-                own.update(text_words(text))
-                own[END_WORD] += 1
-                if sum(map(len, counts)) > 500_000:
-                    yield out()
-        yield out()
+        for b in (part for whole in rows for part in in_blocks(whole, 0, BLOCK)):
+            t = Tokens(b.column(0))
+            kind = np.minimum(b.column(1).to_numpy(), 2)  # held out, mixed, counted
+            w = len(t.words) + 1
+            n = np.bincount(t.codes + w * kind[t.text_of()], minlength=3 * w).reshape(3, w)
+            words = pa.array([*t.spelled(), END_WORD], pa.binary())
+            yield pa.RecordBatch.from_arrays([words, pa.array(t.keys.view(np.int64)), pa.array(n[1] + n[2]), pa.array(n[2])], ["word", "key", "n", "n_fit"])
 
     parts = rows.select("text", "fold").mapInArrow(batches, "word binary, key long, n long, n_fit long")
     return parts.groupBy("word").agg(F.first("key").alias("key"), F.sum("n").alias("n"), F.sum("n_fit").alias("n_fit"))
@@ -295,17 +301,16 @@ def word_table(rows: DataFrame) -> DataFrame:
 
 def symbol_counts(words: DataFrame) -> np.ndarray:
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(257)
+        total = np.zeros(257, np.int64)
         for b in rows:
-            n = b.column(1).to_numpy()
-            for w, c in zip(b.column(0).to_pylist(), n, strict=True):
-                if w == END_WORD:
-                    total[END] += c
-                else:
-                    for x in w:
-                        total[x] += c
-                    total[STOP] += c
-        yield pa.RecordBatch.from_arrays([pa.array(range(257), pa.int32()), pa.array(total.astype(np.int64))], ["symbol", "n"])
+            n, said = b.column(1).to_numpy(), b.column(0).to_pylist()
+            end = np.fromiter((w == END_WORD for w in said), bool, len(said))
+            size = np.fromiter(map(len, said), np.int64, len(said))
+            weights = np.repeat(np.where(end, 0, n), size)
+            total[:256] += np.bincount(np.frombuffer(b"".join(said), np.uint8), weights, 256).astype(np.int64)
+            total[STOP] += n[~end].sum()
+            total[END] += n[end].sum()
+        yield pa.RecordBatch.from_arrays([pa.array(range(257), pa.int32()), pa.array(total)], ["symbol", "n"])
 
     got = words.select("word", "n").mapInArrow(batches, "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(257, np.int64)
@@ -314,15 +319,16 @@ def symbol_counts(words: DataFrame) -> np.ndarray:
     return out
 
 
-def bit_tables(training: DataFrame, words: DataFrame, code: Code, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of all slots the stretched probability, 0 where nothing was seen, and the level of how much was."""
+def bit_tables(training: DataFrame, words: DataFrame, code: Code, bits: int) -> DataFrame:
+    """``(block, odds_fit, levels_fit, odds_all, levels_all)``: of a block's slots the stretched probability, 0 where nothing was
+    seen, and the level of how much was; by the counts without the mixed fold and by all."""
     size = 2 * CONTEXTS * (1 << bits) // BLOCKS
+    fields = "small binary, place binary, large binary"
 
     def firsts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts(code, bits)
-        for b in rows:
-            for met, of, seen in chunks(map(text_words, b.column(0).to_pylist())):
-                _, symbols, contexts = first_events(met, of, seen)
+        for b in (part for whole in rows for part in in_blocks(whole, 0, BLOCK)):
+            for _, symbols, contexts in Tokens(b.column(0)).first_events():
                 counts.add(symbols, contexts)
         yield counts.batch()
 
@@ -332,33 +338,50 @@ def bit_tables(training: DataFrame, words: DataFrame, code: Code, bits: int) ->
             met, n = b.column(0).to_pylist(), b.column(1).to_numpy()
             for at in range(0, len(met), SLICE):
                 of, symbols, contexts = inner_events(met[at : at + SLICE])
-                counts.add(symbols, contexts, n[at : at + SLICE][of])
+                for k, c in contexts.items():
+                    counts.put(k, symbols, c, n[at : at + SLICE][of])
         yield counts.batch()
 
     def total(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in rows:
-            for i, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                at, n = np.frombuffer(zlib.decompress(data), np.uint32).reshape(2, -1)
-                sums.setdefault(i, np.zeros(size, np.int64))[at] += n  # places are distinct
-        out, levels = [], []
-        for n in sums.values():
-            zeros, ones = n.reshape(-1, 2).T
-            s = np.log((ones + 0.2) / (zeros + 0.2))
-            out.append(np.where(zeros + ones > 0, s, 0).astype(np.float16).tobytes())
-            levels.append(np.digitize(zeros + ones, SEEN).astype(np.uint8).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(out, pa.binary()), pa.array(levels, pa.binary())], ["block", "data", "levels"])
-
-    schema = "block int, data binary"
-    spelling = words.where((F.col("n_fit") > 0) & (F.col("word") != F.lit(bytearray(END_WORD)))).select("word", "n_fit")
-    spelling = spelling.coalesce(max(1, spelling.rdd.getNumPartitions() // 4))
-    counted = training.select("text").mapInArrow(firsts, schema).unionByName(spelling.mapInArrow(spelled, schema))
-    parts = counted.repartition(BLOCKS, "block").mapInArrow(total, schema + ", levels binary").collect()
-    flat, seen = (np.zeros((BLOCKS, CONTEXTS * (1 << bits) // BLOCKS), t) for t in (np.float16, np.uint8))
-    for r in parts:
-        flat[r.block] = np.frombuffer(r.data, np.float16)
-        seen[r.block] = np.frombuffer(r.levels, np.uint8)
-    return flat.reshape(CONTEXTS, -1), seen.reshape(CONTEXTS, -1)
+            for i, mixed_fold, *data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                both = sums.setdefault(i, np.zeros((2, size), np.int64))
+                n = np.frombuffer(pa.decompress(data[0], size, "zstd"), np.uint8).astype(np.int64)
+                n[np.frombuffer(data[1], np.uint32)] = np.frombuffer(data[2], np.uint32)
+                both[1] += n
+                if not mixed_fold:
+                    both[0] += n
+        out: list[list[bytes]] = [[], [], [], []]
+        for both in sums.values():
+            for j, n in enumerate(both):
+                zeros, ones = n.reshape(-1, 2).T
+                s = np.log((ones + 0.2) / (zeros + 0.2))
+                out[2 * j].append(pa.compress(np.where(zeros + ones > 0, s, 0).astype(np.float16).tobytes(), "zstd", asbytes=True))
+                out[2 * j + 1].append(pa.compress(np.digitize(zeros + ones, SEEN).astype(np.uint8).tobytes(), "zstd", asbytes=True))
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), *(pa.array(x, pa.binary()) for x in out)], ["block", "odds_fit", "levels_fit", "odds_all", "levels_all"])
+
+    own = F.col("fold") == MIXED_FOLD
+    spelling = words.where(F.col("word") != F.lit(bytearray(END_WORD)))
+    fewer = max(1, spelling.rdd.getNumPartitions() // 4)
+    parts = None
+    for mixed_fold in (False, True):
+        n = F.col("n") - F.col("n_fit") if mixed_fold else F.col("n_fit")
+        counted = training.where(own if mixed_fold else ~own).select("text").mapInArrow(firsts, f"block int, {fields}")
+        inner = spelling.select("word", n.alias("n")).where("n > 0").coalesce(fewer).mapInArrow(spelled, f"block int, {fields}")
+        both = counted.unionByName(inner).select("block", F.lit(mixed_fold).alias("mixed_fold"), "small", "place", "large")
+        parts = both if parts is None else parts.unionByName(both)
+    return stored(parts.repartition(BLOCKS, "block").mapInArrow(total, "block int, odds_fit binary, levels_fit binary, odds_all binary, levels_all binary"))
+
+
+def finished_tables(parts: DataFrame, which: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odds and levels of all slots, at the driver: of a fixed size."""
+    size = CONTEXTS * (1 << bits) // BLOCKS
+    odds, levels = np.zeros((BLOCKS, size), np.float16), np.zeros((BLOCKS, size), np.uint8)
+    for r in parts.select("block", f"odds_{which}", f"levels_{which}").collect():
+        odds[r[0]] = np.frombuffer(pa.decompress(bytes(r[1]), 2 * size, "zstd"), np.float16)
+        levels[r[0]] = np.frombuffer(pa.decompress(bytes(r[2]), size, "zstd"), np.uint8)
+    return odds.reshape(CONTEXTS, -1), levels.reshape(CONTEXTS, -1)
 
 
 def refine(model: Model, fold_rows: DataFrame) -> None:
@@ -366,20 +389,16 @@ def refine(model: Model, fold_rows: DataFrame) -> None:
     shared = fold_rows.sparkSession.sparkContext.broadcast(model)
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import copy
-
         own, done = copy.copy(shared.value), 0.0
         own.weights, own.map = own.weights.copy(), own.map.copy()
-        for b in rows:
-            for words, of, seen in chunks(map(text_words, b.column(0).to_pylist())):
-                at, symbols, contexts = first_events(words, of, seen)
+        for b in (part for whole in rows for part in in_blocks(whole, 0, BLOCK)):
+            t = Tokens(b.column(0))
+            for _, symbols, contexts in t.first_events():
                 done += own.learn(symbols, contexts, 0)
-                spelled = Counter(words[i] for i in at)
-                del spelled[END_WORD]
-                if spelled:
-                    n = np.fromiter(spelled.values(), np.float64, len(spelled))
-                    which, symbols, contexts = inner_events(list(spelled))
-                    done += own.learn(symbols, contexts, 1, n[which])
+            n, said = np.bincount(t.codes, minlength=len(t.words) + 1).astype(np.float64), t.spelled()
+            for at in range(0, len(said), SLICE):
+                of, symbols, contexts = inner_events(said[at : at + SLICE])
+                done += own.learn(symbols, contexts, 1, n[at : at + SLICE][of])
         if done:
             yield pa.RecordBatch.from_arrays([pa.array([done], pa.float64()), pa.array([own.weights.tobytes()], pa.binary()), pa.array([own.map.tobytes()], pa.binary())], ["n", "weights", "map"])
 
@@ -400,69 +419,73 @@ def refine(model: Model, fold_rows: DataFrame) -> None:
     shared.destroy()
 
 
+def frequent(words: DataFrame, common: int) -> DataFrame:
+    """The most frequent training words, at most ``common`` of them: those above a bound on a logarithmic scale of counts."""
+    scale = F.floor(F.log2("n") * 16).cast("int")
+    steps = words.where("n > 0").groupBy(scale.alias("step")).count().orderBy(F.desc("step")).collect()  # a thousand rows at most
+    least, sum_ = None, 0
+    for r in steps:
+        sum_ += r["count"]
+        if sum_ > common:
+            break
+        least = r.step
+    return words.where("n > 0").where(scale >= least) if least is not None else words.where("false")
+
+
 def score_documents(documents: DataFrame, bits: int = BITS, common: int = COMMON) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte)``, one row a document."""
     require(documents, "doc_id", "text")
+    spark = documents.sparkSession
     rows = documents.select("doc_id", "text", fold().alias("fold"))
     training = rows.where("fold <> 0")
     words = kept(word_table(rows))
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     code = Code(symbol_counts(words))
-    model = Model(code, *bit_tables(training.where(F.col("fold") != MIXED_FOLD), words, code, bits), bits)
+    parts = bit_tables(training, words, code, bits)
+    model = Model(code, *finished_tables(parts, "fit", bits), bits)
     refine(model, rows.where(F.col("fold") == MIXED_FOLD))
+    model.stretched, model.levels = finished_tables(parts, "all", bits)
     whole = n + 0.1 * (v + 1)
-    finished = documents.sparkSession.sparkContext.broadcast(model)
+    finished = spark.sparkContext.broadcast(model)
 
     def finish(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
             rest = finished.value.rest(b.column(0).to_pylist())
             base = np.log10((b.column(2).to_numpy() + 0.1) / whole)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(base), pa.array(rest)], ["word", "key", "n", "base", "rest"])
-
-    known = words.select("word", "key", "n")
-    fields = "word binary, key long, n long, base double, rest double"
-    often = known.where(F.col("n") * common >= max(n, 1)).mapInArrow(finish, fields).collect()  # at most `common` words
-    shared = documents.sparkSession.sparkContext.broadcast({bytes(r.word): (r.base, r.rest) for r in often})
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(base), pa.array(rest)], ["key", "n", "base", "rest"])
+
+    # every word is finished once; keys, not words, go on from here
+    known = stored(words.select("word", "key", "n").mapInArrow(finish, "key long, n long, base double, rest double"))
+    often = frequent(known, common).select("key", "base", "rest").toArrow()  # at most `common` rows
+    keys = often.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    shared = spark.sparkContext.broadcast((keys[order], *(often.column(x).to_numpy()[order] for x in ("base", "rest"))))
     kind = documents.select("doc_id").schema[0].dataType
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, often, hash64 = finished.value, shared.value, xxhash.xxh64_intdigest
-        for b in rows:
-            texts = b.column("text").to_pylist()
-            score, size = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-            n_tokens, known, base_sum, rare, rare_n, ends = [], [], [], [], [], [0]
-
-            def listed(texts=texts, score=score, size=size, n_tokens=n_tokens, known=known, base_sum=base_sum, rare=rare, rare_n=rare_n, ends=ends):
-                for i, text in enumerate(texts):
-                    words = text_words(text)
-                    size[i] = len((text or "").encode())
-                    n_tokens.append(len(words) + 1)
-                    found = Counter(words)
-                    found[END_WORD] = 1
-                    total = spelled = 0.0
-                    hits = 0
-                    for w, c in found.items():
-                        if w in often:
-                            p, q = often[w]
-                            total += c * p
-                            spelled += c * q
-                            hits += c
-                        else:
-                            rare.append(hash64(w, 7))
-                            rare_n.append(c)
-                    score[i] += spelled
-                    base_sum.append(total)
-                    known.append(hits)
-                    ends.append(len(rare))
-                    yield words
-
-            for met, of, seen in chunks(listed()):
-                own, symbols, contexts = first_events(met, of, seen)
-                score += np.bincount(of[own], model.scores(symbols, contexts, 0), len(texts))
-            keys = pa.StructArray.from_arrays([pa.array(np.array(rare, np.uint64).view(np.int64)), pa.array(rare_n, pa.int64())], ["key", "c"])
+        model, (listed, base_of, rest_of) = finished.value, shared.value
+        for b in (part for whole in rows for part in in_blocks(whole, 3, BLOCK)):
+            t = Tokens(b.column("text"))
+            n_texts, text_of = len(t.n), t.text_of()
+            score = np.zeros(n_texts)
+            for own, symbols, contexts in t.first_events():
+                score += np.bincount(text_of[own], model.scores(symbols, contexts, 0), n_texts)
+            # each text's distinct words and how often it has them
+            w = len(t.words) + 1
+            pairs = np.sort(text_of * w + t.codes)
+            new = np.flatnonzero(np.diff(pairs, prepend=-1))
+            text, word, c = pairs[new] // w, pairs[new] % w, np.diff(new, append=len(pairs))
+            at = np.minimum(np.searchsorted(listed, t.keys), max(0, len(listed) - 1))
+            met = (listed[at] == t.keys if len(listed) else np.zeros(w, bool))[word]
+            of, ct, place = text[met], c[met], at[word[met]]
+            base = np.bincount(of, ct * base_of[place], n_texts)
+            score += np.bincount(of, ct * rest_of[place], n_texts)
+            rare = pa.StructArray.from_arrays([pa.array(t.keys.view(np.int64)[word[~met]]), pa.array(c[~met])], ["key", "c"])
+            ends = np.concatenate([[0], np.cumsum(np.bincount(text[~met], minlength=n_texts))]).astype(np.int32)
+            size = pc.fill_null(pc.binary_length(b.column("text")), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column("row"), b.column("doc_id"), b.column("fold"), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base_sum, pa.float64()),
-                 pa.array(score), pa.array(size), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), keys)],
+                [b.column("row"), b.column("doc_id"), b.column("fold"), pa.array(t.n), pa.array(np.bincount(of, ct, n_texts).astype(np.int64)), pa.array(base),
+                 pa.array(score), size, pa.ListArray.from_arrays(pa.array(ends), rare)],
                 ["row", "doc_id", "fold", "n_tokens", "known", "base", "score", "size", "rare"],
             )
 
@@ -474,7 +497,7 @@ def score_documents(documents: DataFrame, bits: int = BITS, common: int = COMMON
     own = F.array(F.struct(F.xxhash64("row").alias("key"), F.lit(None).cast("long").alias("c")))
     spread = scored.select("row", *fixed, F.explode(F.concat(own, "rare")).alias("r"))
     spread = spread.select("row", "r.key", "r.c", *[F.when(F.col("r.c").isNull(), F.col(x)).alias(x) for x in fixed])
-    finished_words = known.mapInArrow(finish, fields).select("key", F.col("n").alias("n"), F.col("base").alias("word_base"), "rest")
+    finished_words = known.select("key", "n", F.col("base").alias("word_base"), "rest")
     met = spread.join(finished_words, "key", "left")
     sums = {"rare": F.sum(F.col("c") * F.col("word_base")), "spelled": F.sum(F.col("c") * F.col("rest")), "rare_known": F.sum(F.when(F.col("n") > 0, F.col("c")))}
     out = met.groupBy("row").agg(*[F.max(x).alias(x) for x in fixed], *[F.coalesce(x, F.lit(0)).alias(name) for name, x in sums.items()])
