@@ -19,7 +19,7 @@ a group are made. The plan is the same at every size.
 
 Null texts stay null, empty texts and lines without a word stay. A text whose every line is dropped becomes
 empty. Rows of one doc_id are told apart by a number that is written down with the rows once. Further columns
-are left alone; one called like an output or like an inner column (``__row``) is kept under its name and ``_input``.
+are left alone; one called like the output is kept under its name and ``_input``.
 """
 
 from __future__ import annotations
@@ -27,10 +27,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convarchive.llm.common import ascii_lower, let, numbered, require, set_aside, stored, table
+from convarchive.llm.common import ascii_lower, let, numbered, put_back, require, set_aside, stored, table
 
 MIN_WORDS = 3
 EDIT_WORDS = 10
+OUTPUT, INNER = ("n_dropped_lines",), ("__row", "__gone")
 SPACES, NO_SPACES = "\t\n\x0b\x0c\r", "     "
 
 
@@ -176,7 +177,7 @@ def dropped_lines(rows: DataFrame, min_words: int = MIN_WORDS, edit_words: int =
 
 def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS, edit_words: int = EDIT_WORDS) -> DataFrame:
     """``documents`` with ``text`` less its dropped lines, and ``n_dropped_lines``."""
-    rows = numbered(set_aside(require(documents, "doc_id", "text"), "n_dropped_lines", "__row", "__gone"))
+    rows = numbered(set_aside(require(documents, "doc_id", "text"), *OUTPUT, *INNER))
     gone = dropped_lines(rows, min_words, edit_words).groupBy("row").agg(F.sort_array(F.collect_list("line")).alias("__gone"))
     out = rows.join(gone.withColumnRenamed("row", "__row"), "__row", "left")
     lines = F.split("text", "\n", -1)
@@ -189,7 +190,8 @@ def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS, edit_words: in
         ),
     )
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))
-    return out.withColumns({"text": text, "n_dropped_lines": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")}).drop("__row", "__gone")
+    out = out.withColumns({"text": text, "n_dropped_lines": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")}).drop(*INNER)
+    return put_back(out, documents, (*OUTPUT, *INNER), INNER)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 #: Entries of each generation of the cache; two generations are held. Bounds the memory of a worker.
 CACHE = 200_000
 #: Bytes of text that are tokenized at once.
-BLOCK = 24_000_000
+BLOCK = 12_000_000
 SIMPLE = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
 #: The steps before the model that the short way stands for.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -60,7 +60,7 @@ def cut_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
     coded = lists.flatten().dictionary_encode()
     codes, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
-    starts = lists.offsets.to_numpy()
+    starts = lists.offsets.to_numpy().astype(np.int64)
     real = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
     if not real.all():
         stays = real[codes]
