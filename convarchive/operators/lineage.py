@@ -5,11 +5,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from convarchive.sources.shared import checkpoint_root
+
 #: Operation of a clip -> badge.
 OPERATIONS = {"create": "Original", "extend": "Extend", "cover": "Cover", "remix": "Remix", "mashup": "Mashup", "replace": "Replace"}
 
@@ -49,30 +49,33 @@ def primary_parent(clips: DataFrame) -> DataFrame:
 def dewey(clips: DataFrame) -> DataFrame:
     """``(clip_id, root_id, depth, code)`` of ``clips(clip_id, parent_id, created)``: roots are ``0``, the k-th child of a clip ``<code>.k``.
 
-    Level by level, so every clip is placed once; clips of a cycle are never reached and have no code. The
-    lineage of the plan is cut at each level in the shared checkpoint folder.
+    By pointer doubling: each round a clip takes over what the clip it points to has, so depth d needs log2(d)
+    rounds, each written to the shared checkpoint folder. Clips of a cycle and below one have no code.
     """
-    sc = clips.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(clips.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    checkpoint_root(clips.sparkSession)
     nth = F.row_number().over(Window.partitionBy("parent_id").orderBy("created", "clip_id"))
-    children = clips.where("parent_id is not null").select("clip_id", "parent_id", nth.alias("nth"))
-    level = clips.where("parent_id is null").select("clip_id", F.col("clip_id").alias("root_id"), F.lit(0).alias("depth"), F.lit("0").alias("code")).checkpoint()
-    out = level
-    while not level.isEmpty():
-        above = level.withColumnRenamed("clip_id", "parent_id")
-        level = children.join(above, "parent_id").select("clip_id", "root_id", (F.col("depth") + 1).alias("depth"), F.concat("code", F.lit("."), F.col("nth").cast("string")).alias("code")).checkpoint()
-        out = out.unionByName(level)
-    return out
+    below = clips.where("parent_id is not null").select("clip_id", F.col("parent_id").alias("to"), F.lit(None).cast("string").alias("root_id"), F.lit(1).alias("depth"), F.concat(F.lit("."), nth.cast("string")).alias("code"))
+    roots = clips.where("parent_id is null").select("clip_id", F.lit(None).cast("string").alias("to"), F.col("clip_id").cast("string").alias("root_id"), F.lit(0).alias("depth"), F.lit("0").alias("code"))
+    now = roots.unionByName(below.withColumns({"to": F.col("to").cast("string"), "root_id": F.col("root_id").cast("string")})).checkpoint()
+    for _ in range(now.count().bit_length()):
+        going = now.where(F.col("to").isNotNull())
+        if going.isEmpty():
+            break
+        then = now.select(F.col("clip_id").cast("string").alias("to"), F.col("to").alias("next"), F.col("root_id").alias("root"), F.col("depth").alias("d"), F.col("code").alias("front"))
+        met = going.join(then, "to").select("clip_id", F.col("next").alias("to"), F.col("root").alias("root_id"), (F.col("depth") + F.col("d")).alias("depth"), F.concat("front", "code").alias("code"))
+        now = met.unionByName(now.where(F.col("to").isNull())).checkpoint()
+    done = now.where(F.col("to").isNull())
+    return done.select("clip_id", F.col("root_id").cast(clips.schema["clip_id"].dataType).alias("root_id"), "depth", "code")
 
 
 def clip_names(clips: DataFrame, case_sensitive: bool = True) -> DataFrame:
     """``(clip_id, name)``: title and code, with the first digits of the id where names collide."""
     name = F.concat("title", F.lit(" · "), "code")
     key = F.col("name") if case_sensitive else F.lower("name")
-    taken = F.count("*").over(Window.partitionBy(key)) > 1
-    named = clips.withColumn("name", name)
-    return named.select("clip_id", F.when(taken, F.concat("name", F.lit(" "), F.substring("clip_id", 1, 8))).otherwise(F.col("name")).alias("name"))
+    named = clips.select("clip_id", name.alias("name")).withColumn("key", key)
+    taken = named.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.lit(True).alias("taken"))
+    met = named.join(taken, "key", "left")
+    return met.select("clip_id", F.when(F.col("taken"), F.concat("name", F.lit(" "), F.substring("clip_id", 1, 8))).otherwise(F.col("name")).alias("name"))
 
 
 def badges(op: Column, secondary: Column) -> Column:
@@ -116,9 +119,14 @@ def conversation_clips(clips: DataFrame, convs: DataFrame) -> DataFrame:
 
 
 def verify_backup(index: DataFrame, files: DataFrame, formats: list[str]) -> DataFrame:
-    """``(status, n)``: for each clip and format ok, missing, empty or partial; formats a clip declares absent don't count, repeated ids do."""
+    """``(status, n)``: for each clip and format ok, missing, empty, partial or corrupt; formats a clip declares absent don't count, repeated ids do.
+
+    ``files(clip_id, ext, bytes, partial[, content])``: with the content of JSON files, one that can't be parsed is corrupt.
+    """
+    corrupt = (F.lower("ext") == "json") & F.try_parse_json("content").isNull() if "content" in files.columns else F.lit(False)
+    files = files.withColumn("corrupt", F.coalesce(corrupt, F.lit(False)))
     wanted = index.select("clip_id", "absent", F.explode(F.array(*map(F.lit, formats))).alias("ext")).where(~F.array_contains(F.coalesce("absent", F.array().cast("array<string>")), F.col("ext")))
     repeated = index.groupBy("clip_id").agg(F.count("*").alias("copies"))
     met = wanted.distinct().join(files, ["clip_id", "ext"], "left").join(repeated, "clip_id")
-    status = F.when(F.col("copies") > 1, "duplicate id").when(F.col("bytes").isNull(), "missing").when(F.col("bytes") == 0, "empty").when(F.col("partial"), "partial").otherwise("ok")
+    status = F.when(F.col("copies") > 1, "duplicate id").when(F.col("bytes").isNull(), "missing").when(F.col("bytes") == 0, "empty").when(F.col("partial"), "partial").when(F.col("corrupt"), "corrupt").otherwise("ok")
     return met.groupBy(status.alias("status")).agg(F.count("*").alias("n"))

@@ -28,15 +28,22 @@ def note_key(notes: DataFrame) -> DataFrame:
 def append_versions(new: DataFrame, existing: DataFrame, scheme: str = "hash") -> DataFrame:
     """Rows of ``new(base, body)`` whose base name and trimmed content are not in ``existing``, with ``version_name``.
 
-    The first version of a base keeps its name; later ones get a suffix of their hash, or a counter.
+    The first version of a base keeps its name; later ones get a suffix of their hash, a counter, or (``time``) the
+    ``created`` time of their first row. ``existing`` may have ``body_hash`` instead of ``body``.
     """
     body_hash = F.sha1(strip_space(F.col("body")))
-    fresh = new.withColumn("body_hash", body_hash).join(existing.select("base", body_hash.alias("body_hash")), ["base", "body_hash"], "left_anti")
-    fresh = fresh.groupBy("base", "body_hash").agg(F.min("note_id").alias("note_id"), F.first("body").alias("body"))
+    seen = existing.select("base", "body_hash" if "body_hash" in existing.columns else body_hash.alias("body_hash"))
+    fresh = new.withColumn("body_hash", body_hash).join(seen, ["base", "body_hash"], "left_anti")
+    more = [F.min_by("created", "note_id").alias("created")] if "created" in new.columns else []
+    fresh = fresh.groupBy("base", "body_hash").agg(F.min("note_id").alias("note_id"), F.min_by("body", "note_id").alias("body"), *more)
     known = existing.groupBy("base").agg(F.count("*").alias("known"))
     nth = F.row_number().over(Window.partitionBy("base").orderBy("note_id")) + F.coalesce("known", F.lit(0))
     named = fresh.join(known, "base", "left").withColumn("nth", nth)
     suffix = F.concat(F.lit("-h"), F.substring("body_hash", 1, 8)) if scheme == "hash" else F.concat(F.lit("-"), F.col("nth").cast("string"))
+    if scheme == "time":
+        stamp = F.coalesce(F.date_format("created", "yyyyMMdd-HHmmss"), F.concat(F.lit("h"), F.substring("body_hash", 1, 8)))
+        again = F.row_number().over(Window.partitionBy("base", stamp).orderBy("note_id"))
+        suffix = F.concat(F.lit("_"), stamp, F.when(again > 1, F.concat(F.lit("-"), again.cast("string"))).otherwise(""))
     if scheme == "hash":
         twin = F.row_number().over(Window.partitionBy("base", F.substring("body_hash", 1, 8)).orderBy("body_hash"))
         suffix = F.concat(suffix, F.when(twin > 1, F.concat(F.lit("-"), twin.cast("string"))).otherwise(""))
@@ -140,7 +147,7 @@ def dedupe_assets(assets: DataFrame) -> DataFrame:
 
 
 def preserve_sources(files: DataFrame, kept: DataFrame) -> DataFrame:
-    """New ``files(path, content)`` under the first 16 digits of their sha1; what ``kept(name)`` has is not written again."""
-    named = files.withColumn("name", F.substring(F.sha1("content"), 1, 16))
-    once = named.groupBy("name").agg(F.min("path").alias("path"), F.count("*").alias("copies"))
-    return once.join(kept.select("name"), "name", "left_anti")
+    """New ``files(path, content)`` under the first 16 digits of their sha1, with content and size; what ``kept(name)`` has is not written again."""
+    named = files.withColumn("name", F.substring(F.sha1("content"), 1, 16)).join(kept.select("name"), "name", "left_anti")
+    once = named.groupBy("name").agg(F.min("path").alias("path"), F.count("*").alias("copies"), F.first("content").alias("content"))
+    return once.withColumn("bytes", F.octet_length("content").cast("long"))

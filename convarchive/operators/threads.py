@@ -11,46 +11,55 @@ from pyspark.sql import functions as F
 from convarchive.functions.text import strip_space
 
 
+def sound(nodes: DataFrame) -> DataFrame:
+    """``(conv_id)`` of the conversations whose node ids are all there and distinct."""
+    return nodes.groupBy("conv_id").agg((F.count("*") == F.countDistinct("node_id")).alias("sound")).where("sound").select("conv_id")
+
+
 def _walk(children: DataFrame, leaves: DataFrame) -> DataFrame:
-    """Per conversation the node ids from the root to the leaf; a walk stops where it would meet a node again."""
-    links = children.groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct("node_id", "parent_id"))).alias("up"), F.count("*").alias("n"))
+    """Per sound conversation the node ids from the root to the leaf; a walk stops where it would meet a node again."""
+    links = children.join(leaves.select("conv_id"), "conv_id", "left_semi").groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct("node_id", "parent_id"))).alias("up"), F.count("*").alias("n"))
     met = leaves.join(links, "conv_id").where("leaf_id is not null")
 
     def step(path: Column, _: Column) -> Column:
         above = F.try_element_at("up", F.element_at(path, -1))
         known = F.map_contains_key("up", F.coalesce(above, F.element_at(path, -1)))
-        return F.when(above.isNull() | F.array_contains(path, above) | ~known, path).otherwise(F.concat(path, F.array(above)))
+        return F.when(above.isNull() | ~known, path).otherwise(F.concat(path, F.array(above)))
 
-    path = F.reverse(F.aggregate(F.sequence(F.lit(1), F.col("n")), F.array("leaf_id"), step))
+    # no walk has more steps than there are nodes; going round a cycle, it is cut where it repeats
+    path = F.reverse(F.array_distinct(F.aggregate(F.sequence(F.lit(1), F.col("n")), F.array("leaf_id"), step)))
     return met.select("conv_id", F.posexplode(path).alias("pos", "node_id"))
 
 
 def resolve_thread(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
     """``(conv_id, pos, node_id)``: the branch from ``leaves(conv_id, leaf_id)`` to the root; regenerated branches drop out.
 
-    A conversation without a known leaf keeps all nodes by creation time (missing: 0), then position.
+    A conversation without a known leaf keeps all nodes by creation time (missing: 0), then position; one with
+    missing or repeated node ids keeps them in their original order.
     """
-    known = leaves.join(nodes.select("conv_id", F.col("node_id").alias("leaf_id")), ["conv_id", "leaf_id"], "left_semi")
+    whole = sound(nodes)
+    known = leaves.join(nodes.select("conv_id", F.col("node_id").alias("leaf_id")), ["conv_id", "leaf_id"], "left_semi").join(whole, "conv_id", "left_semi")
     walked = _walk(nodes, known)
-    order = Window.partitionBy("conv_id").orderBy(F.coalesce("created", F.lit(0)), "source_pos")
-    rest = nodes.withColumnRenamed("pos", "source_pos").join(known, "conv_id", "left_anti")
+    time = F.when(F.col("whole"), F.coalesce("created", F.lit(0))).otherwise(F.lit(0))
+    order = Window.partitionBy("conv_id").orderBy(time, "source_pos")
+    rest = nodes.withColumnRenamed("pos", "source_pos").join(known, "conv_id", "left_anti").join(whole.withColumn("whole", F.lit(True)), "conv_id", "left")
     return walked.unionByName(rest.select("conv_id", (F.row_number().over(order) - 1).alias("pos"), "node_id"))
 
 
 def latest_leaves(nodes: DataFrame, stated: DataFrame | None = None) -> DataFrame:
     """``(conv_id, leaf_id)``: the stated leaf where known, else the newest node that is no parent (the first on a tie).
 
-    A conversation with missing or repeated node ids gets no leaf, and so keeps its original order.
+    A conversation with missing or repeated node ids gets no leaf, stated or not, and so keeps its original order.
     """
     parents = nodes.select("conv_id", F.col("parent_id").alias("node_id")).where("node_id is not null").distinct()
     tips = nodes.join(parents, ["conv_id", "node_id"], "left_anti")
     first = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc(F.coalesce("created", F.lit(0))), "pos"))
     leaf = tips.withColumn("nth", first).where("nth = 1").select("conv_id", F.col("node_id").alias("leaf_id"))
-    whole = nodes.groupBy("conv_id").agg((F.count("*") == F.countDistinct("node_id")).alias("whole")).where("whole")
+    whole = sound(nodes)
     leaf = leaf.join(whole, "conv_id", "left_semi")
     if stated is None:
         return leaf
-    known = stated.join(nodes.select("conv_id", F.col("node_id").alias("leaf_id")), ["conv_id", "leaf_id"], "left_semi")
+    known = stated.join(nodes.select("conv_id", F.col("node_id").alias("leaf_id")), ["conv_id", "leaf_id"], "left_semi").join(whole, "conv_id", "left_semi")
     return leaf.withColumnRenamed("leaf_id", "latest").join(known, "conv_id", "full").select("conv_id", F.coalesce("leaf_id", "latest").alias("leaf_id"))
 
 
@@ -79,16 +88,17 @@ def dominant_model(messages: DataFrame) -> DataFrame:
 
 
 def agent_turns(events: DataFrame) -> DataFrame:
-    """Turns of ``events(session_id, line_no, ts, kind, is_side, text)``.
+    """Turns of ``events(session_id, line_no[, block_no], ts, kind, is_side, text)``.
 
     A human prompt opens a user turn; all assistant work up to the next prompt is one turn. Noise and side
     chains drop out, as does what comes before the first prompt.
     """
     kept = events.where(F.col("kind").isin("human", "text", "tool", "thinking") & ~F.coalesce("is_side", F.lit(False)))
-    w = Window.partitionBy("session_id").orderBy("line_no")
+    place = ["line_no", *(["block_no"] if "block_no" in events.columns else [])]
+    w = Window.partitionBy("session_id").orderBy(*place)
     human = F.col("kind") == "human"
     marked = kept.withColumn("island", F.sum(human.cast("int")).over(w)).where("island > 0")
-    order = F.struct("line_no", "kind", "text")
+    order = F.struct(*place, "kind", "text")
     of = lambda kind: F.transform(F.filter(F.array_sort(F.collect_list(order)), lambda x: x["kind"] == kind), lambda x: x["text"])
     turns = marked.groupBy("session_id", "island", human.alias("is_user")).agg(
         F.min("ts").alias("started"),
@@ -102,14 +112,24 @@ def agent_turns(events: DataFrame) -> DataFrame:
 
 
 def codex_events(lines: DataFrame) -> DataFrame:
-    """``lines(session_id, line_no, ts, type, subtype, text)`` as the events of ``agent_turns``: prompts come from
-    user-message events, answers from response items; developer text and echoed answers are noise."""
+    """``lines(session_id, line_no, ts, type, subtype, text[, call_id, input])`` as the events of ``agent_turns``: prompts come from
+    user-message events, answers, legible reasoning and calls from response items; developer text and echoed answers are noise."""
+    said = F.coalesce("text", F.lit("")) != ""
     kind = (
         F.when((F.col("type") == "event_msg") & (F.col("subtype") == "user_message"), "human")
-        .when((F.col("type") == "response_item") & (F.col("subtype") == "assistant"), "text")
+        .when((F.col("type") == "response_item") & (F.col("subtype") == "assistant") & said, "text")
+        .when((F.col("type") == "response_item") & (F.col("subtype") == "reasoning") & said, "thinking")
+        .when((F.col("type") == "response_item") & F.col("subtype").isin("function_call_output", "custom_tool_call_output"), "result")
         .when((F.col("type") == "response_item") & F.col("subtype").isin("function_call", "custom_tool_call"), "tool")
     )
-    return lines.select("session_id", "line_no", "ts", kind.alias("kind"), F.lit(False).alias("is_side"), "text")
+    more = [c for c in ("call_id", "input") if c in lines.columns]
+    return lines.select("session_id", "line_no", "ts", kind.alias("kind"), F.lit(False).alias("is_side"), "text", *more)
+
+
+def calls_and_results(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The inputs of ``join_tool_results`` from events with ``call_id``: calls ``(session_id, line_no, call_id, tool, input)`` and results."""
+    calls = events.where("kind = 'tool'").select("session_id", "line_no", "call_id", F.col("text").alias("tool"), "input")
+    return calls, events.where("kind = 'result'").select("session_id", "line_no", "call_id", F.col("text").alias("result"))
 
 
 def join_tool_results(calls: DataFrame, results: DataFrame) -> DataFrame:

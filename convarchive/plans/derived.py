@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from convarchive.sources.shared import new_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -15,8 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared(spark: SparkSession) -> str:
     """A new folder under the session's checkpoint directory, which driver and executors share."""
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-scans-")
-    return f"{root}/scan-{uuid.uuid4().hex}"
+    return new_folder(spark)
 
 
 def with_sql(*parts: str, recursive: bool = False) -> str:
@@ -113,6 +111,7 @@ DOC_NOTES = """nt AS (
   FROM documents)"""
 
 # A message tree of each conversation: turn n answers turn n - 1, and every third turn has a discarded sibling.
+# Some conversations have a node id twice, others a node without an id.
 
 
 def nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -120,12 +119,16 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
     parent = F.when(F.col("turn") > 0, (F.col("turn") - 1).cast("string"))
     main = c.select("conv_id", F.col("turn").cast("string").alias("node_id"), parent.alias("parent_id"), F.col("turn").alias("pos"), (F.col("turn") * 10).alias("created"), "role", F.col("text").alias("content"))
     side = c.where("turn % 3 = 2").select("conv_id", F.concat(F.lit("x"), F.col("turn").cast("string")).alias("node_id"), parent.alias("parent_id"), (F.col("turn") + 500).alias("pos"), (F.col("turn") * 10 - 5).alias("created"), "role", F.concat(F.lit("discarded "), F.col("text")).alias("content"))
-    return main.unionByName(side)
+    odd = c.where("turn = 0 and (conv_id % 11 = 3 or conv_id % 13 = 4)")
+    odd = odd.select("conv_id", F.when(F.col("conv_id") % 11 == 3, "0").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), (F.col("turn") + 900).alias("pos"), (F.col("turn") + 1).alias("created"), "role", F.col("text").alias("content"))
+    return main.unionByName(side).unionByName(odd)
 
 
 NODES = """nd AS (
   SELECT conv_id, turn::VARCHAR AS node_id, CASE WHEN turn > 0 THEN (turn - 1)::VARCHAR END AS parent_id, turn AS pos, turn * 10 AS created, role, text AS content FROM conversations
-  UNION ALL SELECT conv_id, 'x' || turn, CASE WHEN turn > 0 THEN (turn - 1)::VARCHAR END, turn + 500, turn * 10 - 5, role, 'discarded ' || text FROM conversations WHERE turn % 3 = 2)"""
+  UNION ALL SELECT conv_id, 'x' || turn, CASE WHEN turn > 0 THEN (turn - 1)::VARCHAR END, turn + 500, turn * 10 - 5, role, 'discarded ' || text FROM conversations WHERE turn % 3 = 2
+  UNION ALL SELECT conv_id, CASE WHEN conv_id % 11 = 3 THEN '0' END, NULL, 900, 1, role, text FROM conversations WHERE turn = 0 AND (conv_id % 11 = 3 OR conv_id % 13 = 4)),
+so AS (SELECT conv_id FROM nd GROUP BY conv_id HAVING count(*) = count(DISTINCT node_id))"""
 
 
 def stated_leaves(spark: SparkSession, d: str) -> DataFrame:

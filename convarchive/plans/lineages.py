@@ -114,9 +114,9 @@ def suno_stats(spark, d):
     return k.library_stats(clips(spark, d))
 
 
-@query("K11_flow_stats", v.with_sql(CLIPS, STATS.replace("NOT deleted", "NOT deleted AND op = 'odd'"), recursive=True))
+@query("K11_flow_stats", v.with_sql(CLIPS, STATS, recursive=True))
 def flow_stats(spark, d):
-    return k.library_stats(clips(spark, d).where("op = 'odd'"))
+    return k.library_stats(clips(spark, d))
 
 
 @query("K12_conversation_clips", v.with_sql(CLIPS, "SELECT 'v' || s_suppkey AS conversation_id, coalesce(string_agg(clip_id, ',' ORDER BY created, clip_id), '') AS clips, count(clip_id)::INT AS n FROM supplier LEFT JOIN cl ON conversation_id = 'v' || s_suppkey GROUP BY s_suppkey", recursive=True))
@@ -127,13 +127,13 @@ def conversation_clips(spark, d):
 
 @query(
     "K13_verify_backup",
-    "WITH i AS (SELECT p_partkey AS c, p_size FROM part), w AS (SELECT c, p_size, e FROM i, (VALUES ('mp3'), ('wav')) AS f(e) WHERE NOT (e = 'wav' AND p_size % 4 = 0)) "
-    "SELECT CASE WHEN c % 100 = 0 THEN 'duplicate id' WHEN p_size % 7 = 0 THEN 'missing' WHEN p_size % 11 = 0 THEN 'empty' WHEN p_size % 13 = 0 THEN 'partial' ELSE 'ok' END AS status, count(*) AS n FROM w GROUP BY 1",
+    "WITH i AS (SELECT p_partkey AS c, p_size FROM part), w AS (SELECT c, p_size, e FROM i, (VALUES ('mp3'), ('wav'), ('json')) AS f(e) WHERE NOT (e = 'wav' AND p_size % 4 = 0)) "
+    "SELECT CASE WHEN c % 100 = 0 THEN 'duplicate id' WHEN p_size % 7 = 0 THEN 'missing' WHEN p_size % 11 = 0 THEN 'empty' WHEN p_size % 13 = 0 THEN 'partial' WHEN e = 'json' AND p_size % 5 = 0 THEN 'corrupt' ELSE 'ok' END AS status, count(*) AS n FROM w GROUP BY 1",
 )
 def verify_backup(spark, d):
     key, size = F.col("p_partkey"), F.col("p_size")
     part = v.table(spark, d, "part")
     index = part.select(key.alias("clip_id"), F.when(size % 4 == 0, F.array(F.lit("wav"))).alias("absent"))
     index = index.unionByName(index.where("clip_id % 100 = 0"))
-    files = part.where("p_size % 7 <> 0").select(key.alias("clip_id"), F.explode(F.array(F.lit("mp3"), F.lit("wav"))).alias("ext"), F.when(size % 11 == 0, 0).otherwise(9).alias("bytes"), (size % 13 == 0).alias("partial"))
-    return k.verify_backup(index, files, ["mp3", "wav"])
+    files = part.where("p_size % 7 <> 0").select(key.alias("clip_id"), F.explode(F.array(F.lit("mp3"), F.lit("wav"), F.lit("json"))).alias("ext"), F.when(size % 11 == 0, 0).otherwise(9).alias("bytes"), (size % 13 == 0).alias("partial"), F.when(size % 5 == 0, '{"id": ').otherwise('{"id": 1}').alias("content"))
+    return k.verify_backup(index, files, ["mp3", "wav", "json"])

@@ -83,6 +83,20 @@ def append_versions_counter(spark, d):
     return m.append_versions(*_new_and_old(spark, d), scheme="counter").select("note_id", "base", "version_name")
 
 
+@query(
+    "E2_append_versions_time",
+    v.with_sql(
+        v.DOC_NOTES, NEW_OLD, "na AS (SELECT nn.note_id, nn.base, nn.h, nn.nth, nt.date FROM nn JOIN nt USING (note_id))",
+        "st AS (SELECT *, coalesce(strftime(date, '%Y%m%d-%H%M%S'), 'h' || substr(h, 1, 8)) AS stamp FROM na)",
+        "SELECT note_id, base, base || CASE WHEN nth = 1 THEN '' ELSE '_' || stamp || CASE WHEN k > 1 THEN '-' || k ELSE '' END END AS version_name FROM (SELECT *, row_number() OVER (PARTITION BY base, stamp ORDER BY note_id) AS k FROM st)",
+    ),
+)
+def append_versions_time(spark, d):
+    new, old = _new_and_old(spark, d)
+    dates = v.notes(spark, d).select("note_id", F.col("date").cast("timestamp").alias("created"))
+    return m.append_versions(new.join(dates, "note_id"), old, scheme="time").select("note_id", "base", "version_name")
+
+
 @query(
     "E3_group_key",
     v.with_sql(
@@ -147,11 +161,11 @@ def dedupe_assets(spark, d):
 
 @query(
     "E14_preserve_sources",
-    "WITH f AS (SELECT 'f' || doc_id AS path, substr(sha1(text), 1, 16) AS name, doc_id FROM documents) "
-    "SELECT name, min(path) AS path, count(*) AS copies FROM f WHERE name NOT IN (SELECT name FROM f WHERE doc_id % 4 = 0) GROUP BY name",
+    "WITH f AS (SELECT 'f' || doc_id AS path, substr(sha1(text), 1, 16) AS name, doc_id, text FROM documents) "
+    "SELECT name, min(path) AS path, count(*) AS copies, sha1(any_value(text)) AS digest, strlen(any_value(text)) AS bytes FROM f WHERE name NOT IN (SELECT name FROM f WHERE doc_id % 4 = 0) GROUP BY name",
 )
 def preserve_sources(spark, d):
     docs = v.table(spark, d, "documents")
     files = docs.select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"))
     kept = docs.where("doc_id % 4 = 0").select(F.substring(F.sha1("text"), 1, 16).alias("name")).distinct()
-    return m.preserve_sources(files, kept)
+    return m.preserve_sources(files, kept).select("name", "path", "copies", F.sha1("content").alias("digest"), "bytes")

@@ -8,6 +8,7 @@ import zipfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from convarchive.operators import threads as t
 from convarchive.plans import derived as v
 from convarchive.plans.derived import shared
 from convarchive.plans.registry import query
@@ -22,11 +23,32 @@ def dropped(df: DataFrame, suffix: str = "json") -> str:
     return path
 
 
+#: Rows of a test table that become one JSON document.
+PER_FILE = 2000
+
+
+def files(parts: DataFrame) -> str:
+    """``parts(k, value)`` as one text file each; returns a pattern of their folders."""
+    path = f"{shared(parts.sparkSession)}/json"
+    parts.write.partitionBy("k").text(path)
+    return f"{path}/*"
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the number ``k`` of their file: files grow in number, not in size."""
+    return rows.withColumn("k", F.pmod(key, F.lit(rows.count() // PER_FILE + 1)))
+
+
 def exported(spark, d, conversations, wrap: str = "[%s]"):
-    """Conversations of a struct column as one JSON document for each tenth of them."""
+    """Rows of a struct column as JSON documents."""
     head, tail = wrap.split("%s")
-    parts = conversations.groupBy(F.col("conv_id") % 10).agg(F.array_join(F.collect_list(F.to_json("c")), ",").alias("j"))
-    return dropped(parts.select(F.concat(F.lit(head), "j", F.lit(tail)).alias("value")).repartition(10))
+    parts = dealt(conversations, "conv_id").groupBy("k").agg(F.array_join(F.collect_list(F.to_json("c")), ",").alias("j"))
+    return files(parts.select("k", F.concat(F.lit(head), "j", F.lit(tail)).alias("value")))
+
+
+def mapped(rows: DataFrame, key: str, entry, wrap=lambda m: m) -> str:
+    """Rows as JSON documents that map keys to values."""
+    return files(dealt(rows, key).groupBy("k").agg(F.to_json(wrap(F.map_from_entries(F.collect_list(entry)))).alias("value")))
 
 
 def chatgpt_path(spark, d, wrap="[%s]"):
@@ -48,7 +70,7 @@ def read_chatgpt(spark, d):
 
 @query("A2_read_shards", "SELECT conv_id::VARCHAR AS conv_id, 'T' || conv_id AS title, max(turn)::VARCHAR AS leaf_id FROM conversations GROUP BY conv_id")
 def read_shards(spark, d):
-    return r.read_chatgpt(spark, chatgpt_path(spark, d) + "/*")["conv"].select("conv_id", "title", "leaf_id")
+    return r.read_chatgpt(spark, chatgpt_path(spark, d))["conv"].select("conv_id", "title", "leaf_id")
 
 
 def claude_path(spark, d):
@@ -68,29 +90,72 @@ def read_claude(spark, d):
     return r.read_claude(spark, claude_path(spark, d))["node"].select("conv_id", "node_id", "parent_id", "role", "content")
 
 
-@query("A4_read_claude_layout", "SELECT 'projects' AS category, '001' AS part, count(*) AS projects FROM supplier")
+@query(
+    "A4_read_claude_layout",
+    "SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'memories' ELSE 'projects' END AS category, CASE WHEN s_suppkey % 2 = 0 THEN '002' ELSE '001' END AS part, count(*) AS rows FROM supplier GROUP BY 1, 2",
+)
 def read_claude_layout(spark, d):
     root = shared(spark)
-    rows = v.table(spark, d, "supplier").select(F.to_json(F.struct("s_name")).alias("value"))
-    rows.select(F.from_json("value", "s_name string").alias("x")).select("x.*").write.json(f"{root}/projects-001")
-    found = r.read_claude_layout(spark, root, ["projects"])["projects"]
-    return found.groupBy("category", "part").agg(F.sum(F.regexp_count("value", F.lit("s_name"))).alias("projects"))
+    rows = v.table(spark, d, "supplier").select("s_suppkey", "s_name")
+    for c, third in (("projects", "s_suppkey % 3 <> 0"), ("memories", "s_suppkey % 3 = 0")):
+        for part, half in (("001", "s_suppkey % 2 <> 0"), ("002", "s_suppkey % 2 = 0")):
+            rows.where(third).where(half).select("s_name").write.json(f"{root}/{c}-{part}")
+    found = r.read_claude_layout(spark, root, ["projects", "memories", "frames"])
+    met = found["projects"].unionByName(found["memories"]).unionByName(found["frames"])
+    return met.groupBy("category", "part").agg(F.sum(F.regexp_count("value", F.lit("s_name"))).alias("rows"))
 
 
 @query("A5_read_claude_projects", "SELECT 'p' || s_suppkey AS project_id, 'f' || s_suppkey AS filename, s_name AS content FROM supplier WHERE s_suppkey % 2 = 0")
 def read_claude_projects(spark, d):
     key = F.col("s_suppkey").cast("string")
     docs = F.when(F.col("s_suppkey") % 2 == 0, F.array(F.struct(F.concat(F.lit("f"), key).alias("filename"), F.col("s_name").alias("content"))))
-    rows = v.table(spark, d, "supplier").select(F.to_json(F.struct(F.concat(F.lit("p"), key).alias("uuid"), F.col("s_name").alias("name"), docs.alias("docs"))).alias("j"))
-    path = dropped(rows.select(F.concat(F.lit("["), "j", F.lit("]")).alias("value")).groupBy(F.crc32("value") % 8).agg(F.array_join(F.collect_list("value"), "").alias("value")).select(F.replace("value", F.lit("]["), F.lit(",")).alias("value")).repartition(8))
+    project = F.struct(F.concat(F.lit("p"), key).alias("uuid"), F.col("s_name").alias("name"), docs.alias("docs"))
+    path = exported(spark, d, v.table(spark, d, "supplier").select(F.col("s_suppkey").alias("conv_id"), project.alias("c")))
     return r.read_claude_projects(spark, path)["doc"].select("project_id", "filename", "content")
 
 
-@query("A7_read_claude_memories", "SELECT 's' || s_suppkey AS project_id, s_name AS memory FROM supplier")
+FRAMES = "WITH p AS (SELECT page_id, url FROM pages) "
+
+
+def frame_files(spark, d):
+    """Artifacts of two versions each, of which every third lacks the second page, and comments on every other one."""
+    p = v.table(spark, d, "pages").select("page_id", "url", "html", F.concat(F.lit("a"), F.col("page_id").cast("string")).alias("a"))
+    folder = F.concat(F.lit("x/"), "a", F.lit("/"))
+    version = lambda n: F.struct(F.concat("a", F.lit(f"-{n}")).alias("id"), F.col("url").alias("title"))
+    artifact = F.when(F.col("page_id") % 7 == 0, "{broken").otherwise(F.to_json(F.struct(F.col("a").alias("id"), F.lit("artifact").alias("kind"), F.array(version(1), version(2)).alias("versions"))))
+    said = F.array(F.struct(F.lit("user").alias("author_role"), F.col("url").alias("text")), F.struct(F.lit("assistant").alias("author_role"), F.lit("ok").alias("text")))
+    comments = F.to_json(F.struct(F.array(F.struct(F.lit(True).alias("resolved"), said.alias("comments"))).alias("threads")))
+    pages = [p.where(f"{n} = 1 or page_id % 3 <> 0").select(F.concat(folder, F.lit("versions/"), "a", F.lit(f"-{n}.html")).alias("path"), F.octet_length("html").cast("long").alias("bytes")) for n in (1, 2)]
+    return (
+        p.select(F.concat(folder, F.lit("artifact.json")).alias("path"), artifact.alias("value")),
+        p.where("page_id % 2 = 0").select(F.concat(folder, F.lit("artifact_comments.json")).alias("path"), comments.alias("value")),
+        pages[0].unionByName(pages[1]),
+    )
+
+
+@query(
+    "A6_read_claude_frames",
+    "SELECT 'a' || page_id AS frame_id, v - 1 AS pos, 'a' || page_id || '-' || v AS version_id, CASE WHEN v = 1 OR page_id % 3 <> 0 THEN strlen(html) END AS bytes "
+    "FROM pages, (VALUES (1), (2)) t(v) WHERE page_id % 7 <> 0",
+)
+def read_claude_frames(spark, d):
+    return r.parse_claude_frames(*frame_files(spark, d))["version"].select("frame_id", "pos", "version_id", "bytes")
+
+
+@query(
+    "A6_frame_comments",
+    "SELECT 'a' || page_id AS frame_id, p AS pos, CASE WHEN p = 0 THEN url ELSE 'ok' END AS text FROM pages, (VALUES (0), (1)) t(p) WHERE page_id % 2 = 0",
+)
+def frame_comments(spark, d):
+    return r.parse_claude_frames(*frame_files(spark, d))["comment"].select("frame_id", "pos", "text")
+
+
+@query("A7_read_claude_memories", f"SELECT 's' || s_suppkey AS project_id, s_name AS memory FROM supplier WHERE s_suppkey % ((SELECT count(*) FROM supplier) // {PER_FILE} + 1) = 0")
 def read_claude_memories(spark, d):
-    pairs = F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")), "s_name")))
-    one = v.table(spark, d, "supplier").agg(F.to_json(F.struct(F.lit("a").alias("account_uuid"), F.lit("m").alias("conversations_memory"), pairs.alias("project_memories"))).alias("value"))
-    return r.read_claude_memories(spark, dropped(one))["project_memory"]
+    """Only the first file counts; the others are there."""
+    entry = F.struct(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")), "s_name")
+    path = mapped(v.table(spark, d, "supplier"), "s_suppkey", entry, lambda m: F.struct(F.lit("a").alias("account_uuid"), F.lit("m").alias("conversations_memory"), m.alias("project_memories")))
+    return r.read_claude_memories(spark, path)["project_memory"]
 
 
 def grok_path(spark, d):
@@ -123,26 +188,62 @@ def read_copilot(spark, d):
 
 
 def claude_code_path(spark, d):
+    """A line an event; answers have two blocks, calls ids and inputs, and every call a line with its result."""
     e = v.session_events(spark, d)
-    block = F.struct(F.when(F.col("kind") == "tool", "tool_use").otherwise(F.col("kind")).alias("type"), F.when(F.col("kind") == "text", F.col("text")).alias("text"), F.when(F.col("kind") == "tool", F.col("text")).alias("name"), F.when(F.col("kind") == "thinking", F.col("text")).alias("thinking"))
-    prompt = F.to_json(F.struct(F.lit("user").alias("type"), F.col("session_id").cast("string").alias("sessionId"), "cwd", F.struct(F.col("text").alias("content")).alias("message")))
-    answer = F.to_json(F.struct(F.lit("assistant").alias("type"), F.col("session_id").cast("string").alias("sessionId"), F.col("is_side").alias("isSidechain"), F.struct(F.array(block).alias("content")).alias("message")))
+    none, session = F.lit(None).cast("string"), F.col("session_id").cast("string").alias("sessionId")
+    call = F.concat(F.lit("k"), F.col("event_id").cast("string"))
+    of = lambda kind, value: F.when(F.col("kind") == kind, value)
+    block = F.struct(
+        F.when(F.col("kind") == "tool", "tool_use").otherwise(F.col("kind")).alias("type"), of("text", F.col("text")).alias("text"), of("tool", F.col("text")).alias("name"), of("thinking", F.col("text")).alias("thinking"),
+        of("tool", call).alias("id"), of("tool", F.struct(F.col("event_id").alias("n"))).alias("input"),
+    )
+    more = F.struct(F.lit("text").alias("type"), F.concat(F.lit(" more "), "text").alias("text"), none.alias("name"), none.alias("thinking"), none.alias("id"), F.lit(None).cast("struct<n:long>").alias("input"))
+    typed = F.struct(F.when(F.col("event_id") % 9 == 0, "hook").otherwise("human").alias("kind")).alias("origin")
+    prompt = F.to_json(F.struct(F.lit("user").alias("type"), session, "cwd", typed, F.struct(F.col("text").alias("content")).alias("message")))
+    answer = F.to_json(F.struct(F.lit("assistant").alias("type"), session, F.col("is_side").alias("isSidechain"), F.struct(F.when(F.col("kind") == "text", F.array(block, more)).otherwise(F.array(block)).alias("content")).alias("message")))
+    parts = F.array(*[F.struct(F.lit(k).alias("type"), t.alias("text")) for k, t in (("text", F.concat(F.lit("out "), call)), ("image", F.lit("no")), ("text", F.lit("end")))])
+    result = F.to_json(F.struct(F.lit("user").alias("type"), session, F.struct(F.array(F.struct(F.lit("tool_result").alias("type"), call.alias("tool_use_id"), parts.alias("content"))).alias("content")).alias("message")))
     line = F.when(F.col("kind") == "human", prompt).when(F.col("kind") == "noise", "{broken").otherwise(answer)
-    return dropped(e.select(line.alias("value")), "jsonl")
+    return dropped(e.select(line.alias("value")).unionByName(e.where("kind = 'tool'").select(result.alias("value"))), "jsonl")
+
 
+AGENT = """ae AS (
+  SELECT session_id::VARCHAR AS session_id, 0 AS block_no, CASE WHEN kind = 'human' AND event_id % 9 = 0 THEN 'noise' ELSE kind END AS kind, CASE WHEN NOT (kind = 'human' AND event_id % 9 = 0) THEN text END AS text,
+    CASE WHEN kind = 'human' THEN false ELSE is_side END AS is_side, CASE WHEN kind = 'tool' THEN 'k' || event_id END AS call_id, CASE WHEN kind = 'tool' THEN '{"n":' || event_id || '}' END AS input FROM se WHERE kind <> 'noise'
+  UNION ALL SELECT session_id::VARCHAR, 1, 'text', 'more ' || text, is_side, NULL, NULL FROM se WHERE kind = 'text'
+  UNION ALL SELECT session_id::VARCHAR, 0, 'result', 'out k' || event_id || chr(10) || 'end', false, 'k' || event_id, NULL FROM se WHERE kind = 'tool')"""
 
-@query("A11_read_agent_events", v.with_sql(v.EVENTS, "SELECT session_id::VARCHAR AS session_id, kind, text, CASE WHEN kind = 'human' THEN false ELSE is_side END AS is_side FROM se WHERE kind <> 'noise'"))
+
+@query("A11_read_agent_events", v.with_sql(v.EVENTS, AGENT, "SELECT * FROM ae"))
 def read_agent_events(spark, d):
-    return r.read_agent_events(spark, claude_code_path(spark, d)).select("session_id", "kind", "text", F.coalesce("is_side", F.lit(False)).alias("is_side"))
+    return r.read_agent_events(spark, claude_code_path(spark, d)).select("session_id", "block_no", "kind", "text", F.coalesce("is_side", F.lit(False)).alias("is_side"), "call_id", "input")
+
+
+@query("A11_calls_with_results", v.with_sql(v.EVENTS, "SELECT session_id::VARCHAR AS session_id, 'k' || event_id AS call_id, text AS tool, 'out k' || event_id || chr(10) || 'end' AS result FROM se WHERE kind = 'tool'"))
+def calls_with_results(spark, d):
+    calls, results = t.calls_and_results(r.read_agent_events(spark, claude_code_path(spark, d)))
+    return t.join_tool_results(calls, results).select("session_id", "call_id", "tool", "result")
 
 
-@query("A12_read_codex_events", "SELECT CASE WHEN event_type = 'signup' THEN 'event_msg' ELSE 'response_item' END AS type, CASE WHEN event_type = 'signup' THEN 'user_message' ELSE 'assistant' END AS subtype, props AS text FROM events")
+@query(
+    "A12_read_codex_events",
+    "SELECT CASE WHEN event_type = 'signup' THEN 'event_msg' ELSE 'response_item' END AS type, CASE event_type WHEN 'signup' THEN 'user_message' WHEN 'click' THEN 'function_call' WHEN 'error' THEN 'function_call_output' WHEN 'view' THEN 'reasoning' ELSE 'assistant' END AS subtype, "
+    "CASE event_type WHEN 'signup' THEN trim(props) WHEN 'click' THEN 'run' WHEN 'error' THEN props WHEN 'view' THEN trim(props) ELSE trim(props) || chr(10) || 'end' END AS text, "
+    "CASE WHEN event_type IN ('click', 'error') THEN 'c' || event_id END AS call_id, CASE WHEN event_type = 'click' THEN props END AS input FROM events",
+)
 def read_codex_events(spark, d):
     e = v.table(spark, d, "events")
-    prompt = F.to_json(F.struct(F.lit("event_msg").alias("type"), F.struct(F.lit("user_message").alias("type"), F.col("props").alias("message")).alias("payload")))
-    answer = F.to_json(F.struct(F.lit("response_item").alias("type"), F.struct(F.lit("message").alias("type"), F.lit("assistant").alias("role"), F.array(F.struct(F.col("props").alias("text"))).alias("content")).alias("payload")))
-    path = dropped(e.select(F.when(F.col("event_type") == "signup", prompt).otherwise(answer).alias("value")), "jsonl")
-    return r.read_agent_events(spark, path, "codex").select("type", "subtype", "text")
+    call = F.concat(F.lit("c"), F.col("event_id").cast("string")).alias("call_id")
+    item = lambda kind, *more: F.to_json(F.struct(F.lit("response_item").alias("type"), F.struct(F.lit(kind).alias("type"), *more).alias("payload")))
+    said = lambda *texts: F.array(*[F.struct(x.alias("text")) for x in texts])
+    line = (
+        F.when(F.col("event_type") == "signup", F.to_json(F.struct(F.lit("event_msg").alias("type"), F.struct(F.lit("user_message").alias("type"), F.col("props").alias("message")).alias("payload"))))
+        .when(F.col("event_type") == "click", item("function_call", F.lit("run").alias("name"), call, F.col("props").alias("arguments")))
+        .when(F.col("event_type") == "error", item("function_call_output", call, F.col("props").alias("output")))
+        .when(F.col("event_type") == "view", item("reasoning", F.lit("x").alias("encrypted_content"), said(F.col("props")).alias("summary")))
+        .otherwise(item("message", F.lit("assistant").alias("role"), said(F.col("props"), F.lit(None).cast("string"), F.lit("end")).alias("content")))
+    )
+    return r.read_agent_events(spark, dropped(e.select(line.alias("value")), "jsonl"), "codex").select("type", "subtype", "text", "call_id", "input")
 
 
 @query("A13_parse_html_export")
@@ -152,6 +253,18 @@ def parse_html_export(spark, d):
     return page.select("page_id", F.posexplode(r.parse_html_export(html)).alias("pos", "m")).select("page_id", "pos", "m.*")
 
 
+@query(
+    "A14_read_posts",
+    "SELECT page_id::VARCHAR AS id, 'p-' || page_id AS slug, url AS title, CASE WHEN page_id % 4 <> 0 THEN sha1(html) END AS digest FROM pages",
+)
+def read_posts(spark, d):
+    p = v.table(spark, d, "pages")
+    post = F.concat(F.col("page_id").cast("string"), F.lit(".p-"), F.col("page_id").cast("string"))
+    pages = p.where("page_id % 4 <> 0").select(F.concat(F.lit("x/posts/"), post, F.lit(".html")).alias("path"), F.col("html").alias("value"))
+    out = r.join_posts(p.select(post.alias("post_id"), F.col("url").alias("title")), pages)
+    return out.select("id", "slug", "title", F.sha1("html").alias("digest"))
+
+
 @query("A15_read_post_stats", "SELECT s_name AS title, s_nationkey::VARCHAR AS views FROM supplier")
 def read_post_stats(spark, d):
     root, sup = shared(spark), v.table(spark, d, "supplier")
@@ -189,15 +302,14 @@ def read_suno(spark, d):
 def read_flowmusic(spark, d):
     part = v.table(spark, d, "part")
     key = F.concat(F.lit("s"), F.col("p_partkey").cast("string"))
-    per = part.groupBy(F.col("p_partkey") % 10).agg(F.map_from_entries(F.collect_list(F.struct(key, F.struct(key.alias("id"), F.col("p_name").alias("title"))))).alias("m"))
-    path = dropped(per.select(F.to_json("m").alias("value")).repartition(10))
-    return r.read_flowmusic(spark, path + "/part-*").select("id", "title")
+    path = mapped(part, "p_partkey", F.struct(key, F.struct(key.alias("id"), F.col("p_name").alias("title"))))
+    return r.read_flowmusic(spark, path).select("id", "title")
 
 
 @query("A18_read_image_library", "SELECT s_name AS key, CASE WHEN s_suppkey % 2 = 0 THEN 'ok' ELSE 'error' END AS value FROM supplier")
 def read_image_library(spark, d):
-    pairs = F.map_from_entries(F.collect_list(F.struct("s_name", F.when(F.col("s_suppkey") % 2 == 0, "ok").otherwise("error"))))
-    return r.read_image_library(spark, dropped(v.table(spark, d, "supplier").agg(F.to_json(pairs).alias("value"))) + "/part-*", "string")
+    entry = F.struct("s_name", F.when(F.col("s_suppkey") % 2 == 0, "ok").otherwise("error"))
+    return r.read_image_library(spark, mapped(v.table(spark, d, "supplier"), "s_suppkey", entry), "string")
 
 
 @query("A19_read_library", "SELECT 'f' || s_suppkey AS file_id, 't' || (s_suppkey % 9) AS origination_thread_id FROM supplier WHERE s_suppkey % 3 <> 0")
@@ -220,15 +332,15 @@ def read_notes(spark, d):
 @query("A20_read_front_matter", "SELECT DISTINCT conv_id::VARCHAR AS note_id, 'A: b' AS title, conv_id::VARCHAR AS conv_id FROM conversations")
 def read_front_matter(spark, d):
     c = v.table(spark, d, "conversations").select("conv_id").distinct()
-    value = F.concat(F.lit('---\ntitle: "A: b"\nconv_id: '), F.col("conv_id").cast("string"), F.lit("\n---\nbody"))
+    value = F.concat(F.lit('---\ntitle: "old"\ntitle: "A: b"\nconv_id: 1\nconv_id: '), F.col("conv_id").cast("string"), F.lit("\n---\nbody"))
     note = r.parse_notes(c.select(F.col("conv_id").cast("string").alias("path"), value.alias("value")))["note"]
     return note.select("note_id", F.col("front")["title"].alias("title"), F.col("front")["conv_id"].alias("conv_id"))
 
 
 @query("A22_read_dim_map", "SELECT s_name AS key, unnest([s_name, 'x' || s_suppkey]) AS value FROM supplier")
 def read_dim_map(spark, d):
-    pairs = F.map_from_entries(F.collect_list(F.struct("s_name", F.array("s_name", F.concat(F.lit("x"), F.col("s_suppkey").cast("string"))))))
-    return r.read_dim_map(spark, dropped(v.table(spark, d, "supplier").agg(F.to_json(pairs).alias("value"))) + "/part-*")
+    entry = F.struct("s_name", F.array("s_name", F.concat(F.lit("x"), F.col("s_suppkey").cast("string"))))
+    return r.read_dim_map(spark, mapped(v.table(spark, d, "supplier"), "s_suppkey", entry))
 
 
 @query("A23_write_notes", v.with_sql(v.DOC_NOTES, "SELECT coalesce(strftime(date, '%Y'), '0000')::INT AS year, coalesce(strftime(date, '%m'), '00')::INT AS month, count(*) AS notes, sum(bytes)::BIGINT AS bytes FROM nt GROUP BY 1, 2"))
@@ -238,12 +350,17 @@ def write_notes(spark, d):
     return spark.read.parquet(path).groupBy(F.col("year").cast("int").alias("year"), F.col("month").cast("int").alias("month")).agg(F.count("*").alias("notes"), F.sum("bytes").alias("bytes"))
 
 
-@query("A24_write_assets", "SELECT substr(sha1(text), 1, 16) || '.bin' AS file, count(*) AS copies FROM documents WHERE sha1(text) NOT IN (SELECT sha1(text) FROM documents WHERE doc_id % 3 = 0) GROUP BY sha1(text)")
+@query(
+    "A24_write_assets",
+    "SELECT substr(sha1(text), 1, 16) || '.bin' AS file, count(*) AS copies, sha1(any_value(text)) AS digest, min(doc_id::VARCHAR) AS path, strlen(any_value(text)) AS bytes "
+    "FROM documents WHERE sha1(text) NOT IN (SELECT sha1(text) FROM documents WHERE doc_id % 3 = 0) GROUP BY sha1(text)",
+)
 def write_assets(spark, d):
+    """The bank's bytes are read back and hashed anew."""
     docs = v.table(spark, d, "documents")
     path = f"{shared(spark)}/bank"
     s.write_assets(docs.select(F.col("doc_id").cast("string").alias("path"), F.col("text").cast("binary").alias("content")), docs.where("doc_id % 3 = 0").select(F.sha1("text").alias("sha1")).distinct(), path)
-    return spark.read.parquet(path).select("file", "copies")
+    return spark.read.parquet(path).select("file", "copies", F.sha1("content").alias("digest"), "path", "bytes")
 
 
 @query("A25_append_manifest", "SELECT doc_id, 'new' AS state, length(substr(text, 1, 400))::INT AS detail_chars FROM documents")
@@ -257,6 +374,19 @@ def append_manifest(spark, d):
 
 @query("A26_write_if_changed", "SELECT count_if(doc_id % 3 = 0 OR doc_id % 4 = 0)::BIGINT AS written, count_if(NOT (doc_id % 3 = 0 OR doc_id % 4 = 0))::BIGINT AS skipped FROM documents")
 def write_if_changed(spark, d):
-    docs = v.table(spark, d, "documents")
-    new = docs.select("doc_id", F.concat("text", F.when(F.col("doc_id") % 3 == 0, "!").otherwise("")).alias("body"))
-    return s.write_if_changed(new, docs.where("doc_id % 4 <> 0").select("doc_id", F.col("text").alias("body")), "doc_id", f"{shared(spark)}/changed")
+    docs, path = v.table(spark, d, "documents"), f"{shared(spark)}/changed"
+    return s.write_if_changed(versions(docs), docs.where("doc_id % 4 <> 0").select("doc_id", F.col("text").alias("body")), "doc_id", path)
+
+
+def versions(docs):
+    return docs.select("doc_id", F.concat("text", F.when(F.col("doc_id") % 3 == 0, "!").otherwise("")).alias("body"))
+
+
+@query("A26_current_rows", "SELECT doc_id, sha1(text || CASE WHEN doc_id % 3 = 0 THEN '!' ELSE '' END) AS digest FROM documents")
+def current_rows(spark, d):
+    """After a first and a second write every key has one current row."""
+    docs, path = v.table(spark, d, "documents"), f"{shared(spark)}/changed"
+    old = docs.select("doc_id", F.col("text").alias("body"))
+    s.write_if_changed(old, old.where("false"), "doc_id", path)
+    s.write_if_changed(versions(docs), s.current(spark.read.parquet(path), "doc_id"), "doc_id", path)
+    return s.current(spark.read.parquet(path), "doc_id").select("doc_id", F.sha1("body").alias("digest"))

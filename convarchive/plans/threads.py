@@ -8,13 +8,13 @@ from convarchive.operators import threads as t
 from convarchive.plans import derived as v
 from convarchive.plans.registry import query
 
-WALK = """kn AS (SELECT lf.* FROM lf WHERE EXISTS (SELECT 1 FROM nd WHERE nd.conv_id = lf.conv_id AND nd.node_id = lf.leaf_id)),
+WALK = """kn AS (SELECT lf.* FROM lf WHERE conv_id IN (SELECT conv_id FROM so) AND EXISTS (SELECT 1 FROM nd WHERE nd.conv_id = lf.conv_id AND nd.node_id = lf.leaf_id)),
 up AS (SELECT conv_id, leaf_id AS node_id, 0 AS k FROM kn UNION ALL SELECT up.conv_id, nd.parent_id, k + 1 FROM up JOIN nd USING (conv_id, node_id) WHERE nd.parent_id IS NOT NULL),
 th AS (
   SELECT conv_id, node_id, max(k) OVER (PARTITION BY conv_id) - k AS pos FROM up
-  UNION ALL SELECT conv_id, node_id, row_number() OVER (PARTITION BY conv_id ORDER BY created, pos) - 1 FROM nd WHERE conv_id NOT IN (SELECT conv_id FROM kn))"""
+  UNION ALL SELECT conv_id, node_id, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN conv_id IN (SELECT conv_id FROM so) THEN created ELSE 0 END, pos) - 1 FROM nd WHERE conv_id NOT IN (SELECT conv_id FROM kn))"""
 TIPS = """ti AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY created DESC, pos) AS nth FROM nd n WHERE NOT EXISTS (SELECT 1 FROM nd c WHERE c.conv_id = n.conv_id AND c.parent_id = n.node_id)),
-la AS (SELECT conv_id, node_id AS leaf_id FROM ti WHERE nth = 1)"""
+la AS (SELECT conv_id, node_id AS leaf_id FROM ti WHERE nth = 1 AND conv_id IN (SELECT conv_id FROM so))"""
 
 
 @query("C1_resolve_thread", v.with_sql(v.NODES, v.LEAVES, WALK, "SELECT conv_id, node_id, pos::INT AS pos FROM th", recursive=True))
@@ -23,7 +23,7 @@ def resolve_thread(spark, d):
     return t.resolve_thread(v.nodes(spark, d), v.stated_leaves(spark, d))
 
 
-@query("C2_thread_by_time", v.with_sql(v.NODES, "SELECT conv_id, node_id, (row_number() OVER (PARTITION BY conv_id ORDER BY created, pos) - 1)::INT AS pos FROM nd"))
+@query("C2_thread_by_time", v.with_sql(v.NODES, "SELECT conv_id, node_id, (row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN conv_id IN (SELECT conv_id FROM so) THEN created ELSE 0 END, pos) - 1)::INT AS pos FROM nd"))
 def thread_by_time(spark, d):
     nodes = v.nodes(spark, d)
     return t.resolve_thread(nodes, v.stated_leaves(spark, d).where("false"))
@@ -161,12 +161,12 @@ def session_title(spark, d):
         v.EVENTS, ISLANDS.format("se"),
         "an AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn) AS answer FROM tu WHERE role = 'assistant')",
         "SELECT session_id, 'parent' AS note, turn, NULL::INT AS answer, length(text)::INT AS size FROM tu UNION ALL SELECT session_id, 'reasoning', turn, answer, thoughts FROM an WHERE thoughts > 0 "
-        "UNION ALL SELECT a.session_id, 'tools', a.turn, answer, 2000 FROM an a WHERE turn <= 3",
+        "UNION ALL SELECT a.session_id, 'tools', a.turn, answer, 2000 FROM an a",
     ),
 )
 def session_notes(spark, d):
     turns = t.agent_turns(v.session_events(spark, d))
-    calls = turns.where("role = 'assistant' and turn <= 3").select("session_id", "turn", F.repeat(F.lit("r"), F.lit(3000)).alias("result"))
+    calls = turns.where("role = 'assistant'").select("session_id", "turn", F.repeat(F.lit("r"), F.lit(3000)).alias("result"))
     notes = t.session_notes(turns, calls)
     none = F.lit(None).cast("int").alias("answer")
     return (

@@ -10,11 +10,12 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convarchive.functions.html import parse_html_export
-from convarchive.functions.text import normalize_role
+from convarchive.functions.text import normalize_role, strip_space
 from convarchive.operators.intake import CATEGORIES, is_stats_csv
 
 CHATGPT = """title string, create_time double, createTime double, update_time double, gizmo_id string, conversation_id string, id string, conversation_template_id string, memory_scope string, current_node string,
@@ -82,7 +83,10 @@ def read_claude_layout(spark: SparkSession, folder: str, categories: list[str] =
     """One frame of ``(category, part, path, value)`` a category of a split export; reading waits until one is used."""
     parts = {}
     for c in categories:
-        files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(folder)
+        try:
+            files = spark.read.option("wholetext", True).text(f"{folder}/{c}-*/*.json")
+        except AnalysisException:  # no such file
+            files = spark.sql("SELECT '' AS value, struct('' AS file_path) AS _metadata WHERE false")
         found = F.regexp_extract("_metadata.file_path", rf"/({c})-(\d+)/[^/]+", 1)
         part = F.regexp_extract("_metadata.file_path", rf"/({c})-(\d+)/", 2)
         parts[c] = files.select(found.alias("category"), part.alias("part"), F.col("_metadata.file_path").alias("path"), "value").where("category <> ''")
@@ -95,17 +99,23 @@ def read_claude_projects(spark: SparkSession, path: str) -> dict[str, DataFrame]
     return {"project": raw.select(F.col("uuid").alias("project_id"), "name", "description", "prompt_template", "is_private", "created_at", "updated_at", F.size(F.coalesce("docs", F.array())).alias("docs")), "doc": docs}
 
 
-def read_claude_frames(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """``frame``, ``version`` (with the size of ``<version>.html`` where it is there) and ``comment`` of artifact folders."""
-    raw = _json(spark, f"{folder}/*/artifact.json", FRAME)
-    listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.html").option("recursiveFileLookup", True).load(folder)
-    sizes = listing.select(F.regexp_extract("path", r"([^/]+)\.html$", 1).alias("version_id"), "path", F.col("length").alias("bytes"))
+def parse_claude_frames(artifacts: DataFrame, comments: DataFrame, pages: DataFrame) -> dict[str, DataFrame]:
+    """``frame``, ``version`` (with path and size of ``<version>.html`` where it is there) and ``comment`` from ``(path, value)`` and ``(path, bytes)`` rows."""
+    raw = artifacts.select(F.from_json("value", FRAME).alias("a")).select("a.*").where("id is not null")
+    sizes = pages.select(F.regexp_extract("path", r"([^/]+)\.html$", 1).alias("version_id"), "path", "bytes")
     version = raw.select(F.col("id").alias("frame_id"), F.posexplode("versions").alias("pos", "v")).select("frame_id", "pos", F.col("v.id").alias("version_id"), "v.title", "v.created_at").join(sizes, "version_id", "left")
-    said = _json(spark, f"{folder}/*/artifact_comments.json", COMMENTS).select(F.regexp_extract("_metadata.file_path", r"([^/]+)/artifact_comments\.json$", 1).alias("frame_id"), F.posexplode("threads").alias("thread", "t"))
+    said = comments.select(F.regexp_extract("path", r"([^/]+)/artifact_comments\.json$", 1).alias("frame_id"), F.posexplode(F.from_json("value", COMMENTS)["threads"]).alias("thread", "t"))
     comment = said.select("frame_id", "thread", "t.resolved", F.posexplode("t.comments").alias("pos", "c")).select("frame_id", "thread", "resolved", "pos", "c.*")
     return {"frame": raw.select(F.col("id").alias("frame_id"), "kind", "visibility", "updated_at", "active_version"), "version": version, "comment": comment}
 
 
+def read_claude_frames(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The artifact folders of an export, of their pages only names and sizes."""
+    whole = lambda name: spark.read.option("wholetext", True).option("pathGlobFilter", name).text(f"{folder}/*").select(F.col("_metadata.file_path").alias("path"), "value")
+    listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.html").option("recursiveFileLookup", True).load(folder)
+    return parse_claude_frames(whole("artifact.json"), whole("artifact_comments.json"), listing.select("path", F.col("length").alias("bytes")))
+
+
 def read_claude_memories(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """General, project and file memories; of several files only the first by name counts."""
     raw = _json(spark, path, MEMORY).withColumn("file", F.col("_metadata.file_path"))
@@ -140,24 +150,58 @@ def read_copilot(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(of("Conversation").alias("title"), F.try_to_timestamp(of("Time")).alias("time"), normalize_role(of("Author")).alias("role"), of("Message").alias("content"), F.monotonically_increasing_id().alias("pos"))
 
 
+BLOCKS = "array<struct<type:string, text:string, thinking:string, name:string, id:string, tool_use_id:string, input:string, content:string>>"
+
+
+def _texts(json: Column, plain: bool = False) -> Column:
+    """A text as it is, of a list of blocks their texts line by line (``plain``: those of type text only); nothing gives ``''``."""
+    parts = F.from_json(json, "array<struct<type:string,text:string>>")
+    wanted = F.filter(parts, lambda b: (F.coalesce(b["text"], F.lit("")) != "") & ((b["type"] == "text") if plain else F.lit(True)))
+    listed = F.when(F.startswith(json, F.lit("[")), F.array_join(F.transform(wanted, lambda b: b["text"]), "\n"))
+    return F.coalesce(listed, json, F.lit(""))
+
+
 def read_agent_events(spark: SparkSession, path: str, agent: str = "claude-code") -> DataFrame:
-    """Events of agent logs, one JSON a line, as input of ``agent_turns`` (``codex_events`` for Codex); a corrupt line is skipped."""
+    """Events of agent logs, one JSON a line, as input of ``agent_turns`` (``codex_events`` for Codex): one row a content block.
+
+    Calls and results have their ``call_id``, calls their ``input`` as JSON. A corrupt line is skipped; prompts are texts
+    that a human typed, and what shows nothing is noise.
+    """
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"), F.try_parse_json("value").alias("v")).where("v is not null")
     get = lambda p: F.get_json_object("line", p)
     ts = F.try_to_timestamp(get("$.timestamp"))
     if agent == "codex":
         kind = F.coalesce(get("$.payload.type"), F.lit(""))
         sub = F.when(kind == "message", get("$.payload.role")).otherwise(kind)
-        text = F.coalesce(get("$.payload.message"), get("$.payload.content[0].text"), get("$.payload.name"))
-        return lines.select(F.col("file").alias("session_id"), "line_no", ts.alias("ts"), get("$.type").alias("type"), sub.alias("subtype"), text.alias("text"))
+        reasoning = F.coalesce(F.nullif(_texts(get("$.payload.summary")), F.lit("")), _texts(get("$.payload.content")))
+        text = (
+            F.when(kind == "message", strip_space(_texts(get("$.payload.content"))))
+            .when(kind == "reasoning", strip_space(reasoning))
+            .when(kind.isin("function_call", "custom_tool_call"), get("$.payload.name"))
+            .when(kind.isin("function_call_output", "custom_tool_call_output"), _texts(get("$.payload.output")))
+            .otherwise(strip_space(F.coalesce(get("$.payload.message"), F.lit(""))))
+        )
+        called = F.coalesce(get("$.payload.arguments"), get("$.payload.input"))
+        return lines.select(F.col("file").alias("session_id"), "line_no", ts.alias("ts"), get("$.type").alias("type"), sub.alias("subtype"), text.alias("text"), get("$.payload.call_id").alias("call_id"), called.alias("input"))
     content = get("$.message.content")
-    block = F.when(F.startswith(content, F.lit("[")), get("$.message.content[0].type"))
-    human = (get("$.type") == "user") & (F.coalesce(block, F.lit("text")) == "text")
-    kind = F.when(human, "human").when((get("$.type") == "assistant") & (block == "text"), "text").when(block == "tool_use", "tool").when((block == "thinking") & (F.length(get("$.message.content[0].thinking")) > 0), "thinking").otherwise("noise")
-    text = F.when(block.isNull(), content).otherwise(F.coalesce(get("$.message.content[0].text"), get("$.message.content[0].name"), get("$.message.content[0].thinking")))
+    listed = F.startswith(F.schema_of_variant(F.try_variant_get("v", "$.message.content", "variant")), F.lit("ARRAY"))
+    lines = lines.select("*", F.posexplode_outer(F.when(listed, F.from_json(content, BLOCKS))).alias("block_no", "b"))
+    by = get("$.type")
+    human = (by == "user") & ~F.coalesce(listed, F.lit(False)) & (get("$.origin.kind") == "human")
+    assistant = lambda kind, shown: (by == "assistant") & (F.col("b.type") == kind) & (strip_space(F.coalesce(shown, F.lit(""))) != "")
+    said, thought, tool, result = (
+        assistant("text", F.col("b.text")), assistant("thinking", F.col("b.thinking")),
+        (by == "assistant") & (F.col("b.type") == "tool_use"), (by == "user") & (F.col("b.type") == "tool_result"),
+    )
+    kind = F.when(human, "human").when(said, "text").when(thought, "thinking").when(tool, "tool").when(result, "result").otherwise("noise")
+    text = (
+        F.when(human, strip_space(content)).when(said, strip_space(F.col("b.text"))).when(thought, strip_space(F.col("b.thinking")))
+        .when(tool, F.col("b.name")).when(result, _texts(F.col("b.content"), plain=True))
+    )
     return lines.select(
-        F.coalesce(get("$.sessionId"), F.col("file")).alias("session_id"), "line_no", ts.alias("ts"), kind.alias("kind"), (get("$.isSidechain") == "true").alias("is_side"), text.alias("text"),
-        get("$.cwd").alias("cwd"), get("$.gitBranch").alias("branch"), F.coalesce(get("$.customTitle"), get("$.aiTitle")).alias("title"),
+        F.coalesce(get("$.sessionId"), F.col("file")).alias("session_id"), "line_no", F.coalesce("block_no", F.lit(0)).alias("block_no"), ts.alias("ts"), kind.alias("kind"), (get("$.isSidechain") == "true").alias("is_side"),
+        text.alias("text"), get("$.cwd").alias("cwd"), get("$.gitBranch").alias("branch"), F.coalesce(get("$.aiTitle"), get("$.customTitle")).alias("title"),
+        F.when(tool, F.col("b.id")).when(result, F.col("b.tool_use_id")).alias("call_id"), F.when(tool, F.col("b.input")).alias("input"),
     )
 
 
@@ -167,12 +211,17 @@ def read_html_export(spark: SparkSession, path: str) -> DataFrame:
     return files.select("file", F.posexplode(parse_html_export("value")).alias("pos", "m")).select("file", "pos", "m.*")
 
 
+def join_posts(rows: DataFrame, pages: DataFrame) -> DataFrame:
+    """Rows ``(post_id, …)`` with ``id``, ``slug`` and the HTML of ``pages(path, value)`` called ``<id>.<slug>.html``."""
+    html = pages.select(F.regexp_extract("path", r"/(\d+)\.[^/]*\.html$", 1).alias("id"), F.col("value").alias("html"))
+    rows = rows.withColumns({"id": F.substring_index("post_id", ".", 1), "slug": F.regexp_extract("post_id", r"^\d+\.(.*)$", 1)})
+    return rows.join(html, "id", "left")
+
+
 def read_posts(spark: SparkSession, folder: str) -> DataFrame:
     """Posts of ``posts.csv`` with the HTML of ``posts/<id>.<slug>.html``; lists of subscribers are never read."""
     rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{folder}/posts.csv")
-    html = spark.read.option("wholetext", True).text(f"{folder}/posts/*.html").select(F.regexp_extract("_metadata.file_path", r"/(\d+)\.[^/]*\.html$", 1).alias("id"), F.col("value").alias("html"))
-    rows = rows.withColumns({"id": F.substring_index("post_id", ".", 1), "slug": F.regexp_extract("post_id", r"^\d+\.(.*)$", 1)})
-    return rows.join(html, "id", "left")
+    return join_posts(rows, spark.read.option("wholetext", True).text(f"{folder}/posts/*.html").select(F.col("_metadata.file_path").alias("path"), "value"))
 
 
 def read_post_stats(spark: SparkSession, paths: list[str]) -> DataFrame | None:
@@ -206,15 +255,18 @@ def read_image_library(spark: SparkSession, path: str, fields: str) -> DataFrame
 
 
 def read_library(spark: SparkSession, path: str) -> DataFrame:
-    """Generated images of a library file, by creation, then id."""
-    return _json(spark, path, LIBRARY).where("image_gen_generation_id is not null").orderBy("created_at", "file_id")
+    """Generated images of a library file."""
+    return _json(spark, path, LIBRARY).where("image_gen_generation_id is not null")
 
 
 def parse_notes(files: DataFrame) -> dict[str, DataFrame]:
     """``note`` (front matter as a map, body) and ``msg`` of Markdown ``files(path, value)``; messages start at ``### Role``."""
     front = F.regexp_extract("value", r"^---\n((?s:.*?))\n---\n", 1)
     pairs = F.filter(F.split(front, "\n"), lambda x: x.rlike(r"^[^:\s][^:]*:"))
-    as_map = F.map_from_entries(F.transform(pairs, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)), F.regexp_replace(F.trim(F.regexp_replace(x, r"^[^:]*:", "")), r'^"|"$', ""))))
+    named = F.transform(pairs, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("k"), F.regexp_replace(F.trim(F.regexp_replace(x, r"^[^:]*:", "")), r'^"|"$', "").alias("v")))
+    # of a repeated key the last line counts
+    later = lambda x, i: F.exists(F.slice(named, i + 2, F.size(named)), lambda y: y["k"] == x["k"])
+    as_map = F.map_from_entries(F.filter(named, lambda x, i: ~later(x, i)))
     body = F.regexp_replace("value", r"^---\n(?s:.*?)\n---\n", "")
     note = files.select(F.col("path").alias("note_id"), as_map.alias("front"), body.alias("body"))
     parts = F.split("body", r"(?m)^### ", -1)
