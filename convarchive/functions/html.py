@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SKIPPED = {"script", "style", "nav", "iframe", "form", "button", "head", "svg"}
+#: What a head may hold; any other tag begins the body.
+HEAD_ONLY = {"title", "meta", "link", "base", "script", "style", "noscript", "template", "head", "html"}
 HEADINGS = {f"h{i}": "#" * i + " " for i in range(1, 7)}
 BLOCKS = {"p", "div", "article", "section", "ul", "ol", "li", "blockquote", "figure", "figcaption", "br", "hr", "main", "table", "tr", *HEADINGS}
 
@@ -24,6 +26,7 @@ class _Markdown(HTMLParser):
         self.skip = 0
         self.links: list[str] = []
         self.quotes = 0
+        self.open: list[str] = []
 
     def close_block(self) -> None:
         text = " ".join(self.line.split())
@@ -33,8 +36,12 @@ class _Markdown(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         a = dict(attrs)
+        if self.open == ["head"] and tag not in HEAD_ONLY:
+            self.open = []  # its end tag may be left out
+            self.skip = 0
         if tag in SKIPPED:
             self.skip += 1
+            self.open.append(tag)
         elif self.skip:
             return
         elif tag in BLOCKS:
@@ -55,7 +62,9 @@ class _Markdown(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if tag in SKIPPED:
-            self.skip = max(0, self.skip - 1)
+            if tag in self.open:
+                del self.open[len(self.open) - 1 - self.open[::-1].index(tag) :]
+            self.skip = len(self.open)
         elif self.skip:
             return
         elif tag in BLOCKS:
@@ -93,7 +102,7 @@ def html_to_markdown(html: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def export_of(html: str | None) -> list[dict]:
-    """Messages of an HTML export: its embedded JSON if there is some, else sections under h2 and h3 with alternating roles."""
+    """Messages of an HTML export: its embedded JSON if there is some, else sections under h2 and h3, else all paragraphs, with alternating roles."""
     html = html or ""
     at = html.find('{"conversations"')
     if at >= 0:
@@ -103,7 +112,10 @@ def export_of(html: str | None) -> list[dict]:
         except (ValueError, AttributeError, TypeError):
             pass
     sections: list[list[str]] = []
-    for block in (markdown_of(html) or "").split("\n\n"):
+    blocks = [b for b in (markdown_of(html) or "").split("\n\n") if b]
+    if not any(b.startswith(("## ", "### ")) for b in blocks):
+        return [{"title": None, "role": ("user", "assistant")[i % 2], "content": b} for i, b in enumerate(blocks)]
+    for block in blocks:
         if block.startswith(("## ", "### ")):
             sections.append([block.lstrip("# "), ""])
         elif sections:

@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+from unicodedata import normalize
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented Latin letters and what they are without accent.
-ACCENTED = "áàâäãåāçćčéèêëēęíìîïīñńóòôöõōúùûüūýÿžźżšśłďťřň"
-PLAIN = "aaaaaaaccceeeeeeiiiiinnoooooouuuuuyyzzzsslдtrn".replace("д", "d")
+#: Combining marks that count as accents.
+MARKS = "".join(map(chr, range(0x300, 0x370)))
+
+
+def _folded() -> tuple[str, str]:
+    """All letters that decompose into one character and accents, and these characters; the accents last, with nothing for them."""
+    pairs = {}
+    for code in (*range(0xC0, 0x2150), *range(0x2C60, 0x2E00), *range(0xF900, 0xFB50)):
+        bare = "".join(c for c in normalize("NFD", chr(code)) if c not in MARKS)
+        if len(bare) == 1 and bare != chr(code):
+            pairs[chr(code)] = bare
+    return "".join(pairs) + MARKS, "".join(pairs.values())
+
+
+ACCENTED, PLAIN = _folded()
 #: Titles that say nothing, in lower case.
 GENERIC_TITLES = [
     "", "conversación", "conversation", "new chat", "conversación nueva",
@@ -33,12 +47,13 @@ def word_count(c: Column, mode: str = "split") -> Column:
     """``split``: white-space words (merging, posts); ``regex``: runs of letters, digits and underscores (import)."""
     if mode == "regex":
         return F.regexp_count(c, F.lit(r"[\p{L}\p{N}_]+"))
-    return F.size(split_words(c))
+    return F.regexp_count(c, F.lit(r"\S+"))
 
 
 def fold_accents(c: Column) -> Column:
     """Lower case without accents: text equality of topics."""
-    return F.translate(F.lower(c), ACCENTED, PLAIN)
+    low = F.lower(c)
+    return F.when(F.length(low) == F.octet_length(low), low).otherwise(F.translate(low, ACCENTED, PLAIN))
 
 
 def topic_tokens(c: Column) -> Column:

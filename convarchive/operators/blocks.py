@@ -23,23 +23,55 @@ LANGUAGES = {
     "c": ".c", "cpp": ".cpp", "csharp": ".cs", "ruby": ".rb", "php": ".php",
 }
 #: Citation markers are written between three private-use characters.
+#: What kinds of markers stand for.
+LINK_KINDS = ["cite", "link", "url", "link_title", "navlist"]
+FILE_KINDS = ["filecite"]
+IMAGE_KINDS = ["image_group", "image_v2", "i"]
+TEXT_KINDS = [
+    "entity", "entity_group", "entity_metadata", "products", "product", "product_entity", "product0", "video", "movie",
+    "tv_show", "video_game", "businesses_map", "explore_more", "forecast", "genui", "memcite", "map",
+]
+REF_ID = r"^turn\d+[a-z]+\d+$"
 OPEN, SEP, CLOSE = "", "", ""
 
 
+#: How lines begin that a provider puts in front of custom instructions.
+TEMPLATE_LINES = ["Follow the instructions below naturally", "All the following instructions should guide your behavior"]
+
+
+def fenced(text: Column) -> Column:
+    """What stands between the first and the last fence of three backticks, or all of the text."""
+    inner = F.regexp_extract(text, r"^(?s:.*?)```(?s:(.*))```", 1)
+    return strip_space(F.when(text.rlike(r"```(?s:.*)```"), inner).otherwise(text))
+
+
+def custom_instructions(profile: Column, instructions: Column) -> Column:
+    """Profile and instructions without the provider's template."""
+    own = F.filter(F.split(fenced(instructions), "\n"), lambda x: ~strip_space(x).rlike("^(?:" + "|".join(TEMPLATE_LINES) + ")"))
+    said = F.regexp_replace(strip_space(F.array_join(own, "\n")), "\n{3,}", "\n\n")
+    part = lambda title, x: F.when(x != "", F.concat(F.lit(f"{title}\n"), x))
+    return F.concat_ws("\n\n", part("profile", fenced(profile)), part("instructions", said))
+
+
 def block_text(kind: Column, json: Column) -> Column:
     """Shown text of one content block without parts; empty blocks give ``''``, unknown kinds a labelled notice."""
     get = lambda path: F.coalesce(F.get_json_object(json, f"$.{path}"), F.lit(""))
-    lines = F.split(strip_space(F.regexp_replace(get("text"), r"\r\n?", "\n")), "\n")
+    lines = F.split(strip_space(F.regexp_replace(F.regexp_replace(get("text"), r"\\r\\n|\\n", "\n"), r"\r\n?", "\n")), "\n")
     cut = lambda n: F.when(F.size(lines) > n, F.concat(F.array_join(F.slice(lines, 1, n), "\n"), F.lit("\n\n… (truncated)"))).otherwise(F.array_join(lines, "\n"))
     name = F.coalesce(F.nullif(get("domain"), F.lit("")), F.nullif(get("title"), F.lit("")), F.nullif(get("url"), F.lit("")), F.lit("unknown file"))
     thoughts = F.from_json(F.coalesce(F.get_json_object(json, "$.thoughts"), F.lit("[]")), "array<struct<summary:string,content:string>>")
     thought = lambda t: F.array_join(F.filter(F.array(t["summary"], t["content"]), lambda x: F.coalesce(strip_space(x), F.lit("")) != ""), "\n\n")
     code = strip_space(get("text"))
+    # a document travels as code: JSON with its content and a name or type
+    inner = lambda path: F.get_json_object(F.get_json_object(json, "$.text"), f"$.{path}")
+    named = F.coalesce(F.nullif(inner("name"), F.lit("")), F.nullif(inner("type"), F.lit("")))
+    canvas = F.when(F.startswith(code, F.lit("{")) & inner("content").isNotNull(), F.concat(F.lit("canvas: "), named, F.lit("\n"), inner("content")))
     both = F.array_join(F.filter(F.array(strip_space(get("summary")), strip_space(get("result"))), lambda x: x != ""), "\n\n")
     return (
         F.when(kind == "tether_quote", F.concat(F.lit("file: "), name, F.lit("\n"), cut(40)))
-        .when(kind == "user_editable_context", F.concat_ws("\n", F.nullif(get("user_profile"), F.lit("")), F.nullif(get("user_instructions"), F.lit(""))))
+        .when(kind == "user_editable_context", custom_instructions(get("user_profile"), get("user_instructions")))
         .when((kind == "code") & code.isin("", "{}"), "")
+        .when((kind == "code") & get("language").isin("json", "unknown", "") & canvas.isNotNull(), canvas)
         .when(kind == "code", F.concat(F.lit("tool\n"), get("text")))
         .when(kind == "execution_output", F.concat(F.lit("result\n"), get("text")))
         .when(kind == "thoughts", F.array_join(F.filter(F.transform(thoughts, thought), lambda x: x != ""), "\n\n"))
@@ -65,8 +97,21 @@ def marker_rows(messages: DataFrame) -> DataFrame:
     return found.select("conv_id", "pos", "k", fields[0].alias("kind"), F.slice(fields, 2, F.size(fields)).alias("refs"))
 
 
+def payload_name(field: Column) -> Column:
+    """The name that a widget's field holds: plain text, or the second text of a list (the first is its category); null for ids and the rest."""
+    listed = F.filter(F.from_json(field, "array<string>"), lambda x: (x != "") & ~x.rlike(REF_ID) & ~x.rlike(r"^[\d.]+$"))
+    plain = strip_space(field)
+    return F.when(F.startswith(plain, F.lit("[")), F.coalesce(F.get(listed, 1), F.get(listed, 0))).when((plain != "") & ~plain.rlike(REF_ID) & ~F.startswith(plain, F.lit("{")), plain)
+
+
+def search_query(field: Column) -> Column:
+    """The first query of an image search's field."""
+    said = F.when(F.startswith(strip_space(field), F.lit("{")), F.get_json_object(field, "$.query"))
+    return F.coalesce(F.when(F.startswith(said, F.lit("[")), F.get(F.from_json(said, "array<string>"), 0)), said)
+
+
 def resolve_markers(messages: DataFrame, references: DataFrame) -> DataFrame:
-    """``messages(conv_id, pos, content)`` with citation markers as links, or as notices where nothing is known.
+    """``messages(conv_id, pos, content)`` with markers as links, sources, widget texts and image searches, or as notices where nothing is known.
 
     ``references(conv_id, ref_id, turn, kind, n, title, url)``: an explicit ``ref_id`` comes first, else the
     n-th reference of its kind in its turn. Stray marker characters go.
@@ -76,10 +121,21 @@ def resolve_markers(messages: DataFrame, references: DataFrame) -> DataFrame:
     named = references.where("ref_id is not null").select("conv_id", F.col("ref_id").alias("ref"), F.struct("title", "url").alias("named"))
     placed = references.select("conv_id", F.col("turn").cast("string").alias("turn"), F.col("kind").alias("type"), F.col("n").cast("string").alias("nth"), F.struct("title", "url").alias("placed"))
     met = parsed.join(named, ["conv_id", "ref"], "left").join(placed, ["conv_id", "turn", "type", "nth"], "left").withColumn("to", F.coalesce("named", "placed"))
-    link = F.concat(F.lit("["), F.coalesce("to.title", "to.url"), F.lit("]("), F.col("to.url"), F.lit(")"))
-    shown = F.when(F.col("to").isNotNull(), link).otherwise(F.concat(F.lit("[unresolved "), F.col("kind"), F.lit("]")))
-    one = met.groupBy("conv_id", "pos", "k").agg(F.array_sort(F.collect_list(F.struct("i", shown.alias("s")))).alias("s"))
-    joined = one.select("conv_id", "pos", "k", F.array_join(F.transform("s", lambda x: x["s"]), ", ").alias("s"))
+    kind, title = F.col("kind"), F.coalesce("to.title", "to.url")
+    link = F.concat(F.lit("["), title, F.lit("]("), F.col("to.url"), F.lit(")"))
+    shown = (
+        F.when(kind.isin(LINK_KINDS), link)
+        .when(kind.isin(FILE_KINDS), F.concat(F.lit("(source: "), title, F.lit(")")))
+        .when(kind.isin(IMAGE_KINDS), F.when(F.col("ref").rlike("^https?://"), F.col("ref")))
+        .when(kind.isin(TEXT_KINDS), F.coalesce(title, payload_name(F.col("ref"))))
+    )
+    one = met.groupBy("conv_id", "pos", "k").agg(
+        F.first("kind").alias("kind"), F.array_sort(F.collect_list(F.when(shown.isNotNull(), F.struct("i", shown.alias("s"))))).alias("s"), F.min(search_query(F.col("ref"))).alias("query")
+    )
+    n, notice = F.size("s"), F.concat(F.lit("[unresolved "), F.coalesce(F.nullif("kind", F.lit("")), F.lit("marker")), F.lit("]"))
+    images = F.concat(F.lit("["), n.cast("string"), F.lit(" web images"), F.coalesce(F.concat(F.lit(': "'), F.col("query"), F.lit('"')), F.lit("")), F.lit("]"))
+    text = F.when((n == 0) & kind.isin(FILE_KINDS), "[cited attachment]").when(n == 0, notice).when(kind.isin(IMAGE_KINDS), images).otherwise(F.array_join(F.transform("s", lambda x: x["s"]), ", "))
+    joined = one.select("conv_id", "pos", "k", text.alias("s"))
     all_of = joined.groupBy("conv_id", "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda x: x["s"]).alias("shown"))
     around = F.split("content", f"{OPEN}[^{CLOSE}]*{CLOSE}", -1)
     rebuilt = F.array_join(F.flatten(F.zip_with(around, "shown", lambda a, s: F.array(a, F.coalesce(s, F.lit(""))))), "")
@@ -90,24 +146,35 @@ def resolve_markers(messages: DataFrame, references: DataFrame) -> DataFrame:
 
 def web_image_refs(messages: DataFrame, triage: DataFrame) -> DataFrame:
     """``(ref, url, queries, conversations, state)`` of image-search markers ``image_group``, with their triage state."""
-    urls = marker_rows(messages).where("kind = 'image_group'").select("conv_id", F.explode("refs").alias("url")).where(F.col("url").rlike("^https?://"))
+    marked = marker_rows(messages).where(F.col("kind").isin(IMAGE_KINDS)).withColumn("query", F.get(F.filter(F.transform("refs", search_query), lambda q: q.isNotNull()), 0))
+    urls = marked.select("conv_id", "query", F.explode("refs").alias("url")).where(F.col("url").rlike("^https?://"))
     refs = urls.withColumn("ref", F.substring(F.sha2("url", 256), 1, 16))
-    out = refs.groupBy("ref").agg(F.min("url").alias("url"), F.array_sort(F.collect_set("conv_id")).alias("conversations"))
+    out = refs.groupBy("ref").agg(F.min("url").alias("url"), F.array_sort(F.collect_set("query")).alias("queries"), F.array_sort(F.collect_set("conv_id")).alias("conversations"))
     return out.join(triage.select("ref", "state"), "ref", "left").withColumn("state", F.coalesce("state", F.lit("sin_triar")))
 
 
 def image_meta(parts: DataFrame) -> DataFrame:
-    """Metadata of image parts ``(…, pointer, part)`` (JSON): where it comes from, its prompt and its size."""
+    """Metadata of image parts ``(pointer, part[, model, attachments])`` (JSON): where it comes from, its prompt, size, and what made it.
+
+    ``model`` is the conversation's at that turn, ``attachments`` a map from pointers to the names of uploads.
+    """
     get = lambda p: F.get_json_object("part", f"$.{p}")
     gen = F.coalesce(get("metadata.dalle.gen_id"), get("metadata.generation.gen_id"))
+    prompt = F.nullif(get("metadata.dalle.prompt"), F.lit(""))
+    generated = gen.isNotNull() | prompt.isNotNull()
+    model = F.col("model") if "model" in parts.columns else F.lit(None).cast("string")
+    attachment = F.col("attachments")[F.col("pointer")] if "attachments" in parts.columns else F.lit(None).cast("string")
     return parts.select(
         "pointer",
-        F.when(gen.isNotNull(), "generated").otherwise("uploaded").alias("origin"),
-        F.nullif(get("metadata.dalle.prompt"), F.lit("")).alias("prompt"),
+        F.when(generated, "generated").otherwise("uploaded").alias("origin"),
+        prompt.alias("prompt"),
         gen.alias("gen_id"),
-        get("metadata.generation.parent_gen_id").isNotNull().alias("is_edit"),
+        F.coalesce(get("metadata.generation.parent_gen_id"), get("metadata.dalle.parent_gen_id")).isNotNull().alias("is_edit"),
         get("width").cast("int").alias("width"),
         get("height").cast("int").alias("height"),
+        F.when(generated, F.when(prompt.isNotNull(), "chatgpt-dalle").otherwise("chatgpt-imagen")).alias("generator"),
+        F.when(generated, model).alias("model"),
+        attachment.alias("attachment"),
     )
 
 

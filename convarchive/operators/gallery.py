@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bank -> what made its images, where the manifest doesn't say.
-GENERATORS = {"chatgpt": "DALL·E", "grok": "Grok Imagine", "copilot": "Copilot Designer"}
+GENERATORS = {"grok.generadas_imagen": "grok-chat", "grok.generadas_video": "grok-chat", "grok.imagine": "grok-imagine"}
 
 
 def asset_context(messages: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def group_strips(items: DataFrame) -> DataFrame:
     """Strips by conversation, else by provider and day, newest first."""
     key = F.coalesce(F.concat(F.lit("conv:"), F.col("conv_id")), F.concat_ws(":", "provider", F.date_format("created", "yyyy-MM-dd")))
     out = items.groupBy(key.alias("strip")).agg(F.max("created").alias("latest"), F.count("*").alias("items"), F.array_sort(F.collect_list("file")).alias("files"), F.max("title").alias("title"))
-    return out.orderBy(F.desc("latest"), F.desc("title"), "strip")
+    return out
 
 
 def collect_posts(notes: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ def bank_entries(notes: DataFrame, manifest: DataFrame, prefix: str) -> DataFram
 
 def bank_catalog(manifest: DataFrame, files: DataFrame) -> DataFrame:
     """Manifest entries that are on disk, newest first."""
-    return manifest.join(files.select("file"), "file", "left_semi").orderBy(F.desc("created"), "file")
+    return manifest.join(files.select("file"), "file", "left_semi")
 
 
 def provider_index(entries: DataFrame) -> DataFrame:
@@ -59,9 +59,9 @@ def provider_index(entries: DataFrame) -> DataFrame:
 
 
 def pending_list(pending: DataFrame, limit: int = 70) -> DataFrame:
-    """Untriaged downloads, newest first, the prompt cut."""
+    """Untriaged downloads, the prompt cut; show them newest first."""
     open_ = pending.where(F.coalesce("state", F.lit("sin_triar")) == "sin_triar")
-    return open_.select("ref", "created", F.substring("prompt", 1, limit).alias("prompt")).orderBy(F.desc("created"), "ref")
+    return open_.select("ref", "created", F.substring("prompt", 1, limit).alias("prompt"))
 
 
 def vault_stats(notes: DataFrame) -> DataFrame:

@@ -70,7 +70,7 @@ def fingerprint(name: Column, size: Column, is_dir: Column) -> Column:
 def pending_exports(files: DataFrame, registry: DataFrame, reprocess_all: bool = False) -> DataFrame:
     """Valid files that the registry lacks, oldest first."""
     valid = files.where("valid")
-    return (valid if reprocess_all else valid.join(registry.select("fingerprint"), "fingerprint", "left_anti")).orderBy("mtime", "name")
+    return (valid if reprocess_all else valid.join(registry.select("fingerprint"), "fingerprint", "left_anti"))
 
 
 def mark_processed(files: DataFrame, registry: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convarchive.functions.text import slugify, strip_space
+from convarchive.operators.topics import holding
 
 #: Provider -> folder.
 FOLDERS = {"chatgpt": "ChatGPT", "claude": "Claude", "grok": "Grok", "copilot": "Copilot"}
@@ -57,7 +58,7 @@ def project_view(notes: DataFrame) -> DataFrame:
 def keyword_tags(notes: DataFrame, tags: DataFrame) -> DataFrame:
     """``(note_id, tag)`` for each ``tags(keyword, tag)`` whose keyword is in the lower-cased title or text."""
     text = notes.select("note_id", F.lower(F.concat_ws("\n", "title", "body")).alias("text"))
-    return text.join(tags, F.contains("text", F.lower("keyword"))).select("note_id", "tag").distinct()
+    return holding(text, tags.select(F.lower("keyword").alias("keyword"), "tag"), "keyword").select("note_id", "rule.tag").distinct()
 
 
 def front_matter(notes: DataFrame, forced_project: str | None = None) -> DataFrame:

@@ -32,13 +32,14 @@ def tokens(notes: DataFrame) -> DataFrame:
 
 
 def doc_freq(notes: DataFrame) -> DataFrame:
-    return tokens(notes).groupBy("token").agg(F.count("*").alias("n"))
+    """``(token, n)``: how many notes with an id have a token. Its exchange is the same for all who ask, so Spark reuses it."""
+    return tokens(notes.where("note_id is not null")).groupBy("token").agg(F.count("*").alias("n"))
 
 
 def generic_terms(notes: DataFrame, stopwords: list[str] = STOPWORDS, min_df: int = 3, max_ratio: float = 0.25, top: int = 100) -> DataFrame:
     """The ``top`` terms in the band from ``min_df`` notes to ``max(int(total * max_ratio), min_df)``."""
     total = notes.agg(F.greatest(F.floor(F.count("*") * max_ratio), F.lit(min_df)).alias("most"))
-    bounded = doc_freq(notes.where("note_id is not null")).join(F.broadcast(total), F.col("n").between(min_df, F.col("most")))
+    bounded = doc_freq(notes).join(F.broadcast(total), F.col("n").between(min_df, F.col("most")))
     return bounded.where(~F.col("token").isin(stopwords)).select("token", "n").orderBy(F.desc("n"), "token").limit(top)
 
 
@@ -77,18 +78,31 @@ def rule_table(spark: SparkSession, topics: dict[str, list[str]]) -> DataFrame:
     return spark.createDataFrame(rows, "topic string, kind string, field string, value string")
 
 
+#: Rules that one row may hold; it is broadcast.
+MAX_PHRASES = 20_000
+
+
+def holding(texts: DataFrame, rules: DataFrame, phrase: str) -> DataFrame:
+    """``texts`` rows with each ``rule`` whose ``phrase`` is in ``text``; no pairs of rows are made."""
+    listed = rules.agg(F.collect_list(F.struct(*rules.columns)).alias("__rules"))
+    listed = listed.select(F.when(F.size("__rules") > MAX_PHRASES, F.raise_error(F.lit("too many phrases"))).otherwise(F.col("__rules")).alias("__rules"))
+    met = texts.crossJoin(F.broadcast(listed))
+    found = F.filter("__rules", lambda r: F.contains(F.col("text"), r[phrase]))
+    return met.select(*texts.columns, F.explode(found).alias("rule"))
+
+
 def match_topics(notes: DataFrame, rules: DataFrame, fields: list[str]) -> DataFrame:
     """``(topic, note_id, content)``: notes that any rule hits; ``content`` tells a word or phrase among them.
 
-    Words meet tokens by an equi-join, field values meet front-matter values by another. Phrases are few and
-    their table is broadcast with Spark's own size check.
+    Words meet tokens by an equi-join, field values meet front-matter values by another. Phrases are looked for in
+    each note's text once, from one row that holds them all: a topic map is written by hand, over ``MAX_PHRASES`` is an error.
     """
     norm = rules.select("topic", "kind", fold_accents(strip_space(F.col("field"))).alias("field"), fold_accents(strip_space(F.col("value"))).alias("value"))
     words = norm.where("kind = 'word'").select("topic", F.col("value").alias("token"))
     by_word = tokens(notes).join(words, "token").select("topic", "note_id", F.lit(True).alias("content"))
     text = notes.select("note_id", fold_accents(F.concat_ws("\n", "body", "title")).alias("text"))
     phrases = norm.where("kind = 'phrase'").select("topic", "value")
-    by_phrase = text.join(phrases, F.contains("text", "value")).select("topic", "note_id", F.lit(True).alias("content"))
+    by_phrase = holding(text, phrases, "value").select("rule.topic", "note_id", F.lit(True).alias("content"))
     pairs = F.array(*[F.struct(fold_accents(F.lit(f)).alias("field"), fold_accents(F.col(f).cast("string")).alias("value")) for f in fields])
     values = notes.select("note_id", F.explode(pairs).alias("p")).select("note_id", "p.*")
     by_field = values.join(norm.where("kind = 'field'").select("topic", "field", "value"), ["field", "value"]).select("topic", "note_id", F.lit(False).alias("content"))

@@ -32,8 +32,8 @@ def asset_context(spark, d):
 @query(
     "I2_collect_assets",
     v.with_sql(
-        CONTEXT, "a AS (SELECT 'i' || doc_id || '.png' AS file, CASE doc_id % 4 WHEN 0 THEN 'chatgpt' WHEN 1 THEN 'grok' ELSE 'other' END AS bank, doc_id, lang FROM documents)",
-        "SELECT a.file, bank, note_id, CASE WHEN doc_id % 7 = 0 THEN lang ELSE CASE WHEN doc_id % 5 <> 0 THEN prompt END END AS prompt, CASE WHEN doc_id % 5 <> 0 THEN coalesce(CASE WHEN doc_id % 3 = 0 THEN 'G' END, CASE bank WHEN 'chatgpt' THEN 'DALL·E' WHEN 'grok' THEN 'Grok Imagine' END) END AS generator, "
+        CONTEXT, "a AS (SELECT 'i' || doc_id || '.png' AS file, CASE doc_id % 4 WHEN 0 THEN 'chatgpt.generadas' WHEN 1 THEN 'grok.generadas_video' WHEN 2 THEN 'grok.imagine' ELSE 'other' END AS bank, doc_id, lang FROM documents)",
+        "SELECT a.file, bank, note_id, CASE WHEN doc_id % 7 = 0 THEN lang ELSE CASE WHEN doc_id % 5 <> 0 THEN prompt END END AS prompt, CASE WHEN doc_id % 5 <> 0 THEN coalesce(CASE WHEN doc_id % 3 = 0 THEN 'G' END, CASE bank WHEN 'grok.generadas_video' THEN 'grok-chat' WHEN 'grok.imagine' THEN 'grok-imagine' END) END AS generator, "
         "coalesce(substr(request, 1, 70), a.file) AS title, doc_id AS created FROM a LEFT JOIN cx ON cx.file = a.file",
     ),
 )
@@ -41,7 +41,7 @@ def collect_assets(spark, d):
     doc = F.col("doc_id")
     file = F.concat(F.lit("i"), doc.cast("string"), F.lit(".png")).alias("file")
     docs = v.table(spark, d, "documents")
-    assets = docs.select(file, F.when(doc % 4 == 0, "chatgpt").when(doc % 4 == 1, "grok").otherwise("other").alias("bank"))
+    assets = docs.select(file, F.when(doc % 4 == 0, "chatgpt.generadas").when(doc % 4 == 1, "grok.generadas_video").when(doc % 4 == 2, "grok.imagine").otherwise("other").alias("bank"))
     none = F.lit(None).cast("string")
     manifest = docs.select(file, F.when(doc % 5 == 0, "uploaded").alias("origin"), F.when(doc % 3 == 0, "G").alias("generator"), F.when(doc % 7 == 0, F.col("lang")).alias("prompt"), none.alias("title"), doc.alias("created"))
     return g.collect_assets(assets, manifest, g.asset_context(linked_messages(spark, d)))

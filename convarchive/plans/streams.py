@@ -39,19 +39,37 @@ def stream_dedup(spark, d):
     return ran(spark, o.stream_dedup(streamed(spark, c.unionByName(c.withColumn("content", F.concat(F.lit(" "), "content")))))).select("group_key", "fp")
 
 
+BURSTS = """g AS (SELECT *, lag(ts) OVER w AS before FROM se WHERE kind <> 'noise' WINDOW w AS (PARTITION BY session_id ORDER BY ts)),
+b AS (SELECT *, sum((before IS NULL OR ts - before >= INTERVAL 30 MINUTE)::INT) OVER (PARTITION BY session_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g),
+bu AS (
+  SELECT session_id, k, min(ts) AS started, max(ts) + INTERVAL 30 MINUTE AS ended, count(*) AS events, count_if(kind = 'human')::BIGINT AS prompts, count_if(kind = 'tool')::BIGINT AS tools FROM b GROUP BY session_id, k
+  HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM se WHERE kind <> 'noise'))"""
+
+
+def sessions(spark, d):
+    return v.session_events(spark, d).select("session_id", F.col("ts").cast("timestamp").alias("ts"), "line_no", "kind", "text")
+
+
+@query("O3_stream_bursts", v.with_sql(v.EVENTS, BURSTS, "SELECT session_id, started::VARCHAR AS started, ended::VARCHAR AS ended, events, prompts, tools FROM bu"))
+def stream_bursts(spark, d):
+    out = ran(spark, o.stream_turns(streamed(spark, sessions(spark, d).select("session_id", "ts", "kind"))))
+    return out.withColumns({"started": F.col("started").cast("string"), "ended": F.col("ended").cast("string")})
+
+
 @query(
     "O3_stream_turns",
     v.with_sql(
-        v.EVENTS,
-        "g AS (SELECT *, lag(ts) OVER w AS before FROM se WHERE kind <> 'noise' WINDOW w AS (PARTITION BY session_id ORDER BY ts))",
-        "b AS (SELECT *, sum((before IS NULL OR ts - before >= INTERVAL 30 MINUTE)::INT) OVER (PARTITION BY session_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)",
-        "SELECT session_id, min(ts)::VARCHAR AS started, (max(ts) + INTERVAL 30 MINUTE)::VARCHAR AS ended, count(*) AS events, count_if(kind = 'human')::BIGINT AS prompts, count_if(kind = 'tool')::BIGINT AS tools FROM b GROUP BY session_id, k "
-        "HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM se WHERE kind <> 'noise')",
+        v.EVENTS, BURSTS,
+        "l AS (SELECT *, lag(kind) OVER (PARTITION BY session_id, k ORDER BY line_no) AS lk FROM b)",
+        "t AS (SELECT *, sum((lk IS NULL OR kind = 'human' OR lk = 'human')::INT) OVER (PARTITION BY session_id, k ORDER BY line_no) AS turn FROM l)",
+        "SELECT session_id, any_value(started)::VARCHAR AS started, turn::INT AS turn, CASE WHEN bool_or(kind = 'human') THEN 'user' ELSE 'assistant' END AS role, "
+        "coalesce(string_agg(text, chr(10) || chr(10) ORDER BY line_no) FILTER (WHERE kind IN ('human', 'text')), '') AS text, count_if(kind = 'tool')::INT AS tools "
+        "FROM t JOIN (SELECT session_id, k, started FROM bu) USING (session_id, k) GROUP BY session_id, k, turn",
     ),
-)
+)
 def stream_turns(spark, d):
-    out = ran(spark, o.stream_turns(streamed(spark, v.session_events(spark, d).select("session_id", F.col("ts").cast("timestamp").alias("ts"), "kind"))))
-    return out.withColumns({"started": F.col("started").cast("string"), "ended": F.col("ended").cast("string")})
+    out = ran(spark, o.stream_session_turns(streamed(spark, sessions(spark, d))))
+    return out.withColumn("started", F.col("started").cast("string"))
 
 
 @query(

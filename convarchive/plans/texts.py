@@ -26,20 +26,24 @@ def render_parts(spark, d):
     return v.table(spark, d, C).select("conv_id", "turn", text.render_parts(parts).alias("content"))
 
 
-KINDS = ["tether_quote", "code", "execution_output", "thoughts", "reasoning_recap", "tether_browsing_display", "system_error", "novel"]
+KINDS = ["tether_quote", "code", "execution_output", "thoughts", "reasoning_recap", "tether_browsing_display", "system_error", "novel", "user_editable_context", "code"]
 
 
 @query(
     "D2_normalize_blocks",
-    r"""WITH c AS (SELECT conv_id, turn, (conv_id + turn) % 8 AS k, text, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM conversations)
+    r"""WITH c AS (SELECT conv_id, turn, (conv_id + turn) % 10 AS k, text, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM conversations)
 SELECT * FROM (SELECT conv_id, turn, CASE k WHEN 0 THEN 'file: d' || conv_id || chr(10) || t WHEN 1 THEN CASE WHEN turn % 2 = 0 THEN '' ELSE 'tool' || chr(10) || text END WHEN 2 THEN 'result' || chr(10) || text
-  WHEN 3 THEN 's' || chr(10) || chr(10) || text WHEN 4 THEN t WHEN 5 THEN t WHEN 6 THEN 'error (E)' || chr(10) || text ELSE 'unrendered block (novel)' END AS content FROM c) WHERE content <> ''""",
+  WHEN 3 THEN 's' || chr(10) || chr(10) || text WHEN 4 THEN t WHEN 5 THEN t WHEN 6 THEN 'error (E)' || chr(10) || text WHEN 7 THEN 'unrendered block (novel)'
+  WHEN 8 THEN 'profile' || chr(10) || 'me' || chr(10) || chr(10) || 'instructions' || chr(10) || 'be brief ' || conv_id ELSE 'canvas: N' || conv_id || chr(10) || 'doc ' || turn END AS content FROM c) WHERE content <> ''""",
 )
 def normalize_blocks(spark, d):
-    k = ((F.col("conv_id") + F.col("turn")) % 8).cast("int")
+    k = ((F.col("conv_id") + F.col("turn")) % 10).cast("int")
+    number = F.col("conv_id").cast("string")
+    canvas = F.to_json(F.struct(F.concat(F.lit("N"), number).alias("name"), F.concat(F.lit("doc "), F.col("turn").cast("string")).alias("content")))
+    said = F.concat(F.lit("Preface\n```\nFollow the instructions below naturally, always.\nbe brief "), number, F.lit("\n```"))
     kind = F.get(F.array(*map(F.lit, KINDS)), k)
     body = F.struct(
-        kind.alias("content_type"), F.when((k == 1) & (F.col("turn") % 2 == 0), "{}").otherwise(F.col("text")).alias("text"), F.concat(F.lit("d"), F.col("conv_id").cast("string")).alias("domain"), F.lit("E").alias("name"),
+        kind.alias("content_type"), F.when((k == 1) & (F.col("turn") % 2 == 0), "{}").when(k == 9, canvas).otherwise(F.col("text")).alias("text"), F.lit("Given:\n```me```").alias("user_profile"), said.alias("user_instructions"), F.concat(F.lit("d"), F.col("conv_id").cast("string")).alias("domain"), F.lit("E").alias("name"),
         F.col("text").alias("content"), F.lit(" ").alias("summary"), F.col("text").alias("result"), F.array(F.struct(F.lit("s").alias("summary"), F.col("text").alias("content"))).alias("thoughts"),
     )
     return b.normalize_blocks(v.table(spark, d, C).select("conv_id", "turn", F.to_json(body).alias("block"))).select("conv_id", "turn", "content")
@@ -64,8 +68,10 @@ def marked(spark, d):
     ref = F.concat(F.lit("turn"), F.col("turn").cast("string"), F.lit("search"), (F.col("conv_id") % 3).cast("string"))
     url = F.concat(F.lit("https://img.example/"), (F.col("conv_id") % 9).cast("string"))
     cite = F.concat(F.lit(b.OPEN + "cite" + b.SEP), ref, F.lit(b.CLOSE))
-    image = F.concat(F.lit(b.OPEN + "image_group" + b.SEP), url, F.lit(b.CLOSE))
-    return c.select("conv_id", F.col("turn").alias("pos"), F.concat("text", F.lit(" "), cite, F.lit(" "), F.when(F.col("turn") == 0, image).otherwise(b.SEP), F.lit("end")).alias("content"))
+    image = F.concat(F.lit(b.OPEN + "image_group" + b.SEP + '{"query":["cats"]}' + b.SEP), url, F.lit(b.CLOSE))
+    entity = F.concat(F.lit(b.OPEN + "entity" + b.SEP + '["place","P'), F.col("conv_id").cast("string"), F.lit('",0]' + b.CLOSE))
+    file = F.concat(F.lit(b.OPEN + "filecite" + b.SEP + "turn0file9" + b.CLOSE))
+    return c.select("conv_id", F.col("turn").alias("pos"), F.concat("text", F.lit(" "), cite, F.lit(" "), F.when(F.col("turn") == 0, image).otherwise(b.SEP), F.lit("end "), entity, F.lit(" "), file).alias("content"))
 
 
 def references(spark, d):
@@ -73,7 +79,7 @@ def references(spark, d):
     return c.select("conv_id", F.lit(None).cast("string").alias("ref_id"), "turn", F.lit("search").alias("kind"), (F.col("conv_id") % 3).alias("n"), F.concat(F.lit("T"), F.col("turn").cast("string")).alias("title"), F.concat(F.lit("https://x/"), F.col("conv_id").cast("string")).alias("url"))
 
 
-@query("D9_resolve_markers", "SELECT conv_id, turn AS pos, text || ' ' || CASE WHEN turn % 2 = 0 THEN '[T' || turn || '](https://x/' || conv_id || ')' ELSE '[unresolved cite]' END || ' ' || CASE WHEN turn = 0 THEN '[unresolved image_group]' ELSE '' END || 'end' AS content FROM conversations")
+@query("D9_resolve_markers", "SELECT conv_id, turn AS pos, text || ' ' || CASE WHEN turn % 2 = 0 THEN '[T' || turn || '](https://x/' || conv_id || ')' ELSE '[unresolved cite]' END || ' ' || CASE WHEN turn = 0 THEN '[1 web images: \"cats\"]' ELSE '' END || 'end P' || conv_id || ' [cited attachment]' AS content FROM conversations")
 def resolve_markers(spark, d):
     return b.resolve_markers(marked(spark, d), references(spark, d))
 
@@ -81,22 +87,25 @@ def resolve_markers(spark, d):
 @query(
     "D10_web_image_refs",
     "WITH u AS (SELECT 'https://img.example/' || (conv_id % 9) AS url, conv_id FROM conversations WHERE turn = 0) "
-    "SELECT substr(sha256(url), 1, 16) AS ref, url, string_agg(DISTINCT conv_id::VARCHAR, ',' ORDER BY conv_id::VARCHAR) AS conversations, CASE WHEN substr(sha256(url), 1, 16) < '8' THEN 'rescatada' ELSE 'sin_triar' END AS state FROM u GROUP BY url",
+    "SELECT substr(sha256(url), 1, 16) AS ref, url, string_agg(DISTINCT conv_id::VARCHAR, ',' ORDER BY conv_id::VARCHAR) AS conversations, CASE WHEN substr(sha256(url), 1, 16) < '8' THEN 'rescatada' ELSE 'sin_triar' END AS state, 'cats' AS queries FROM u GROUP BY url",
 )
 def web_image_refs(spark, d):
     refs = marked(spark, d)
     some = v.table(spark, d, C).where("turn = 0").select(F.substring(F.sha2(F.concat(F.lit("https://img.example/"), (F.col("conv_id") % 9).cast("string")), 256), 1, 16).alias("ref")).distinct()
     out = b.web_image_refs(refs, some.where("ref < '8'").withColumn("state", F.lit("rescatada")))
-    return out.withColumn("conversations", F.array_join(F.array_sort(F.transform("conversations", lambda c: c.cast("string"))), ","))
+    return out.withColumn("queries", F.array_join("queries", ",")).withColumn("conversations", F.array_join(F.array_sort(F.transform("conversations", lambda c: c.cast("string"))), ","))
 
 
-@query("D11_image_meta", "SELECT 'p' || doc_id AS pointer, CASE WHEN doc_id % 2 = 0 THEN 'generated' ELSE 'uploaded' END AS origin, CASE WHEN doc_id % 2 = 0 THEN lang END AS prompt, CASE WHEN doc_id % 2 = 0 THEN 'g' || doc_id END AS gen_id, doc_id % 6 = 0 AS is_edit, (n_chars % 512)::INT AS width, 256 AS height FROM documents")
+@query("D11_image_meta", "SELECT 'p' || doc_id AS pointer, CASE WHEN doc_id % 2 = 0 THEN 'generated' ELSE 'uploaded' END AS origin, CASE WHEN doc_id % 2 = 0 THEN lang END AS prompt, CASE WHEN doc_id % 2 = 0 THEN 'g' || doc_id END AS gen_id, doc_id % 6 = 0 AS is_edit, (n_chars % 512)::INT AS width, 256 AS height, CASE WHEN doc_id % 2 = 0 THEN 'chatgpt-dalle' END AS generator, CASE WHEN doc_id % 2 = 0 THEN 'm' || (doc_id % 3) END AS model, CASE WHEN doc_id % 5 = 0 THEN 'a' || doc_id END AS attachment FROM documents")
 def image_meta(spark, d):
     even = F.col("doc_id") % 2 == 0
     dalle = F.when(even, F.struct(F.col("lang").alias("prompt"), F.concat(F.lit("g"), F.col("doc_id").cast("string")).alias("gen_id"))).alias("dalle")
     generation = F.when(F.col("doc_id") % 6 == 0, F.struct(F.lit("q").alias("parent_gen_id"))).alias("generation")
     part = F.to_json(F.struct((F.col("n_chars") % 512).alias("width"), F.lit(256).alias("height"), F.struct(dalle, generation).alias("metadata")))
-    return b.image_meta(docs(spark, d).select(F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("pointer"), part.alias("part")))
+    key = F.col("doc_id").cast("string")
+    attachments = F.when(F.col("doc_id") % 5 == 0, F.create_map(F.concat(F.lit("p"), key), F.concat(F.lit("a"), key)))
+    rows = docs(spark, d).select(F.concat(F.lit("p"), key).alias("pointer"), part.alias("part"), F.concat(F.lit("m"), (F.col("doc_id") % 3).cast("string")).alias("model"), attachments.alias("attachments"))
+    return b.image_meta(rows)
 
 
 @query("D12_resolve_pointers", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'linked' ELSE 'missing' END AS state, CASE WHEN doc_id % 3 = 0 THEN '![](file-A' || doc_id || '-u.png)' ELSE '[missing image:file-A' || doc_id || ']' END AS shown FROM documents")
@@ -137,13 +146,13 @@ def is_asset(spark, d):
     return blobs(spark, d).select("doc_id", text.is_asset(F.col("content")).alias("ok"))
 
 
-LIBRARY = """li AS (SELECT 'f' || event_id AS file_id, user_id % 100 AS conv_id, event_type AS title, ts AS created, event_id FROM events WHERE event_id % 10 = 0),
+LIBRARY = """li AS (SELECT 'f' || event_id AS file_id, user_id % 100 AS conv_id, event_type AS title, ts AS created, event_id FROM events),
 al AS (SELECT conv_id, mx + row_number() OVER (PARTITION BY conv_id ORDER BY created, file_id) AS pos, 'tool' AS role, title || ' (' || strftime(created, '%Y-%m-%d %H:%M') || ')' AS content
   FROM li JOIN (SELECT conv_id, max(turn) AS mx FROM conversations GROUP BY 1) USING (conv_id) WHERE event_id % 3 <> 0 AND event_id % 7 <> 0)"""
 
 
 def library(spark, d):
-    e = v.table(spark, d, "events").where("event_id % 10 = 0")
+    e = v.table(spark, d, "events")
     return e.select(F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("file_id"), (F.col("user_id") % 100).alias("conv_id"), F.col("event_type").alias("title"), F.col("ts").alias("created"), "event_id")
 
 
@@ -166,11 +175,11 @@ def smart_title(spark, d):
 
 @query(
     "D19_slugify",
-    r"SELECT doc_id, substr(regexp_replace(regexp_replace(lower(substr(text, 1, 200)), '[^\p{L}\p{N}_]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80) AS slug, "
-    r"substr(regexp_replace(regexp_replace(strip_accents(lower(substr(text, 1, 200))), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80) AS ascii_slug FROM documents",
+    r"SELECT doc_id, substr(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80) AS slug, "
+    r"substr(regexp_replace(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80) AS ascii_slug FROM documents",
 )
 def slugify(spark, d):
-    t = F.substring("text", 1, 200)
+    t = F.col("text")
     return docs(spark, d).select("doc_id", text.slugify(t).alias("slug"), text.slugify(t, "ascii").alias("ascii_slug"))
 
 
@@ -212,9 +221,9 @@ def to_number(spark, d):
     return docs(spark, d).select("doc_id", text.to_number(cell).alias("value"))
 
 
-@query("D27_note_tag", r"SELECT doc_id, regexp_replace(regexp_replace(substr(text, 1, 40), '[^\p{L}\p{N}_/]+', '-', 'g'), '^-+|-+$', '', 'g') AS tag FROM documents")
+@query("D27_note_tag", r"SELECT doc_id, regexp_replace(regexp_replace(text, '[^\p{L}\p{N}_/]+', '-', 'g'), '^-+|-+$', '', 'g') AS tag FROM documents")
 def note_tag(spark, d):
-    return docs(spark, d).select("doc_id", text.note_tag(F.substring("text", 1, 40)).alias("tag"))
+    return docs(spark, d).select("doc_id", text.note_tag(F.col("text")).alias("tag"))
 
 
 @query("D30_excerpt", rf"SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '^\s*(#|!\[|>|\||---|\*\*\*|$)')), ' '), '\s+'), lambda t: t <> '')[1:50], ' ') || ' see' AS excerpt FROM documents")

@@ -2,26 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from convarchive.operators.merge import append_versions, fingerprint
 
 
+PARTS = 64
+
+
 def stream_exports(spark: SparkSession, folder: str, schema: str, store: str, checkpoint: str, files_per_batch: int = 100) -> StreamingQuery:
     """New JSON-lines files of ``(note_id, base, body)``, each read once: versions that the store lacks are appended to it.
 
-    A batch that is repeated after a failure finds its rows in the store, so nothing is written twice.
+    A batch that is repeated after a failure finds its rows in the store, so nothing is written twice. The store
+    keeps each body's hash and is divided by base, so a batch reads neither bodies nor parts that it doesn't touch.
     """
+    fields = "note_id string, base string, body string, version_name string, body_hash string, part int"
+    part = F.pmod(F.crc32("base"), F.lit(PARTS)).cast("int")
+
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(folder)
 
     def intake(batch: DataFrame, _: int) -> None:
-        known = batch.sparkSession.read.schema("note_id string, base string, body string, version_name string").parquet(store)
-        append_versions(batch, known.select("note_id", "base", "body")).select("note_id", "base", "body", "version_name").write.mode("append").parquet(store)
+        touched = [r[0] for r in batch.select(part).distinct().collect()]  # at most PARTS numbers
+        known = batch.sparkSession.read.schema(fields).parquet(store).where(F.col("part").isin(touched)).select("base", "body_hash")
+        fresh = append_versions(batch, known).withColumn("part", part)
+        fresh.select("note_id", "base", "body", "version_name", "body_hash", "part").write.partitionBy("part").mode("append").parquet(store)
 
-    empty = spark.createDataFrame([], "note_id string, base string, body string, version_name string")
-    empty.write.mode("ignore").parquet(store)
+    spark.createDataFrame([], fields).write.partitionBy("part").mode("ignore").parquet(store)
     return stream.writeStream.foreachBatch(intake).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
@@ -39,6 +47,30 @@ def stream_turns(stream: DataFrame, gap: str = "30 minutes", delay: str = "10 mi
     return out.select("session_id", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "events", "prompts", "tools")
 
 
+def stream_session_turns(stream: DataFrame, gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
+    """Turns of bursts that are over: ``(session_id, started, turn, role, text, tools)``.
+
+    ``stream(session_id, ts, line_no, kind, text)``. Within a burst a prompt opens a user turn and all work up to the next
+    prompt is one answer; work before the first prompt continues the last answer of the session's burst before.
+    """
+    w = F.session_window("ts", gap)
+    events = stream.where(F.col("kind").isin("human", "text", "tool", "thinking")).withWatermark("ts", delay).groupBy("session_id", w.alias("w"))
+    listed = events.agg(F.array_sort(F.collect_list(F.struct("line_no", "kind", "text"))).alias("e"))
+
+    def step(a: Column, x: Column) -> Column:
+        human = x["kind"] == "human"
+        new = human | (F.size(a) == 0) | (F.element_at(a, -1)["role"] == "user")
+        said = F.when(human | (x["kind"] == "text"), x["text"])
+        opened = F.struct(F.when(human, "user").otherwise("assistant").alias("role"), F.coalesce(said, F.lit("")).alias("text"), (x["kind"] == "tool").cast("int").alias("tools"))
+        last = F.element_at(a, -1)
+        longer = F.struct(last["role"].alias("role"), F.concat_ws("\n\n", F.nullif(last["text"], F.lit("")), said).alias("text"), (last["tools"] + (x["kind"] == "tool").cast("int")).alias("tools"))
+        return F.when(new, F.concat(a, F.array(opened))).otherwise(F.concat(F.slice(a, 1, F.size(a) - 1), F.array(longer)))
+
+    none = F.array().cast("array<struct<role:string,text:string,tools:int>>")
+    turns = listed.select("session_id", F.col("w.start").alias("started"), F.posexplode(F.aggregate("e", none, step)).alias("turn", "t"))
+    return turns.select("session_id", "started", (F.col("turn") + 1).alias("turn"), "t.*")
+
+
 def stream_activity(stream: DataFrame, delay: str = "2 days", every: str = "1 day") -> DataFrame:
     """Imports per provider and day (a month is a sum of days); late rows count until the delay has passed."""
     counts = stream.withWatermark("ts", delay).groupBy(F.window("ts", every).alias("w"), F.coalesce("provider", F.lit("chatgpt")).alias("provider"))
