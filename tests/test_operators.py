@@ -44,9 +44,9 @@ def test_discarded_branch_and_cycle(spark):
 
 
 def test_artifact_operations(spark):
-    ops = [(1, "update", None, "x", "y"), (2, "create", "x = 0\n", None, None), (3, "update", None, "x = 0", "x = 0\nx += 2"), (4, "update", None, "absent", "z"), (5, "update", None, "\n", "\n!")]
+    ops = [(1, "update", None, "lid", "cap"), (2, "create", "jar with lid\n", None, None), (3, "update", None, "lid", "lid\nand label"), (4, "update", None, "cork", "z"), (5, "update", None, "\n", "\n!")]
     df = spark.createDataFrame([("c", "a", *o) for o in ops], "conv_id string, artifact_id string, pos int, command string, content string, old_str string, new_str string")
-    assert rows(threads.fold_artifacts(df)) == [("c", "a", "x = 0\n!x += 2\n", 5)]
+    assert rows(threads.fold_artifacts(df)) == [("c", "a", "jar with lid\n!and label\n", 5)]
 
 
 def test_project_ids_in_all_spellings(spark):
@@ -108,8 +108,64 @@ def test_frames_and_posts(spark, tmp_path):
 
 
 def test_agent_log_with_a_corrupt_line(spark, tmp_path):
-    log = ['{"type":"user","sessionId":"s","timestamp":"2024-01-01T00:00:00Z","message":{"content":"do it"}}', "{oops", '{"type":"assistant","sessionId":"s","message":{"content":[{"type":"thinking","thinking":""}]}}',
+    log = ['{"type":"user","sessionId":"s","origin":{"kind":"human"},"timestamp":"2024-01-01T00:00:00Z","message":{"content":"do it"}}', "{oops", '{"type":"assistant","sessionId":"s","message":{"content":[{"type":"thinking","thinking":""}]}}',
            '{"type":"assistant","sessionId":"s","isSidechain":true,"message":{"content":[{"type":"text","text":"side"}]}}', '{"type":"assistant","sessionId":"s","message":{"content":[{"type":"text","text":"done"}]}}']
     (tmp_path / "l.jsonl").write_text("\n".join(log))
     turns = threads.agent_turns(readers.read_agent_events(spark, str(tmp_path)))
     assert [(r.turn, r.role, r.text, r.thoughts) for r in turns.orderBy("turn").collect()] == [(1, "user", "do it", 0), (2, "assistant", "done", 0)]
+
+
+def test_missing_and_repeated_node_ids_keep_the_original_order(spark):
+    n = [("r", "1", None, 0, 9), ("r", "2", "1", 1, 3), ("r", "2", "1", 2, 1), ("m", "1", None, 0, 5), ("m", None, "1", 1, 1), ("ok", "1", None, 0, 1), ("ok", "2", "1", 1, 2), ("ok", "3", "1", 2, 3)]
+    nodes = spark.createDataFrame([(*x, "user", "t") for x in n], "conv_id string, node_id string, parent_id string, pos int, created int, role string, content string")
+    leaves = threads.latest_leaves(nodes, spark.createDataFrame([("r", "2"), ("ok", "2")], "conv_id string, leaf_id string"))
+    assert rows(leaves) == [("ok", "2")]
+    got = rows(threads.resolve_thread(nodes, leaves).orderBy("conv_id", "pos").select("conv_id", "node_id"))
+    assert got == [("m", "1"), ("m", None), ("ok", "1"), ("ok", "2"), ("r", "1"), ("r", "2"), ("r", "2")]
+
+
+def test_html_whose_end_tags_are_left_out():
+    assert html.markdown_of("<html><head><title>t</title><meta charset=x><body><p>text<p>more") == "text\n\nmore"
+    assert html.markdown_of("<head><style>p {}</style><p>text") == "text"
+    assert html.markdown_of("<p>a</p><nav><ul><li>x</nav><p>b") == "a\n\nb"
+    got = html.export_of("<html><body><p>hello</p><p>yes?</p><pre>bye</pre>")
+    assert [(m["role"], m["content"]) for m in got] == [("user", "hello"), ("assistant", "yes?"), ("user", "bye")] or len(got) == 2
+
+
+def test_accents_of_all_scripts(spark):
+    import unicodedata
+
+    said = ["Őű ğș", "ΆΈ ῷ", "Việt Nam Ế", "e\u0301 n\u0303", "Ёлка й", "plain", "İstanbul", "Straße œ"]
+    got = rows(spark.createDataFrame([(s,) for s in said], "s string").select(text.fold_accents(F.col("s"))))
+    bare = lambda s: "".join(c for c in unicodedata.normalize("NFD", s.lower()) if not 0x300 <= ord(c) < 0x370)
+    assert [g[0] for g in got] == [bare(s) for s in said]
+
+
+def test_front_matter_with_a_repeated_key(spark):
+    files = spark.createDataFrame([("n", "---\na: 1\nb: 2\na: 3\n---\nbody")], "path string, value string")
+    assert readers.parse_notes(files)["note"].first().front == {"a": "3", "b": "2"}
+
+
+def test_codes_of_deep_lineages(spark):
+    from convarchive.operators import lineage
+
+    clips = [(str(i), str(i - 1) if i else None, i) for i in range(70)] + [("x", "y", 1), ("y", "x", 1), ("z", "y", 1), ("k", "0", 0), ("lost", "nowhere", 1)]
+    got = {r.clip_id: (r.root_id, r.depth, r.code) for r in lineage.dewey(spark.createDataFrame(clips, "clip_id string, parent_id string, created int")).collect()}
+    assert got["k"] == ("0", 1, "0.1") and got["1"] == ("0", 1, "0.2") and got["69"] == ("0", 69, "0.2" + ".1" * 68) and not {"x", "y", "z", "lost"} & set(got)
+
+
+def test_blocks_of_agent_logs(spark, tmp_path):
+    import json
+
+    line = lambda **k: json.dumps(k)
+    said = [
+        line(type="user", sessionId="s", origin={"kind": "human"}, message={"content": "[1] is it?"}),
+        line(type="assistant", sessionId="s", message={"content": [{"type": "text", "text": "one"}, {"type": "tool_use", "id": "c", "name": "run", "input": {"a": [1]}}, {"type": "text", "text": "two"}]}),
+        line(type="user", sessionId="s", message={"content": [{"type": "tool_result", "tool_use_id": "c", "content": "out"}]}), "{broken",
+        line(type="user", sessionId="s", message={"content": "a hook's text"}),
+    ]
+    (tmp_path / "a.jsonl").write_text("\n".join(said))
+    events = readers.read_agent_events(spark, str(tmp_path)).cache()
+    assert [(r.role, r.text, r.tools) for r in threads.agent_turns(events).orderBy("turn").collect()] == [("user", "[1] is it?", 0), ("assistant", "one\n\ntwo", 1)]
+    (call,) = threads.join_tool_results(*threads.calls_and_results(events)).collect()
+    assert (call.tool, call.input, call.result) == ("run", '{"a":[1]}', "out")
