@@ -1,7 +1,9 @@
 """Quality rules, line first: lines that fail a rule go, then documents that lose too much text.
 
-Everything is DataFrame expressions over one row; nothing is shuffled. A line is judged on four rules:
+Everything is DataFrame expressions over one row; nothing is shuffled. A line is judged on five rules:
 
+* punctuation: it has fewer than 10 words and doesn't end as a sentence does, with one of ``. ! ? … : ;`` and
+  perhaps closing quotes or brackets;
 * shouting or symbols: over a tenth of its characters are ``!#*$%&|<>``, or it has 20 letters or more, over
   60 % of them capitals;
 * navigation: three or more items divided by ``|``, ``»``, ``>`` or a bullet with spaces around them;
@@ -10,7 +12,10 @@ Everything is DataFrame expressions over one row; nothing is shuffled. A line is
 
 A line without a word counts for nothing. A document is kept if its kept lines hold at least half of its
 characters. Null and empty texts have no words, fail the base rules and are not kept; very long texts are
-read whole; repeated rows are each judged; further columns are left alone.
+read whole; repeated rows are each judged; further columns are left alone, and one called like an output is
+kept under its name and ``_input``.
+
+Rules are tried by cost: what a cheap search rules out isn't counted, and a line is cut into words once.
 """
 
 from __future__ import annotations
@@ -18,9 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convarchive.llm.common import SPACE, let, require, table, words
+from convarchive.llm.common import let, put_back, require, set_aside, table, words
 
 SYMBOLS = r"[#*$%&|<>]"
+ENDING = r"[.!?…:;][\"'”’»)\]]*[\x20\x09-\x0D]*\z"
 #: Phrases of boilerplate, in lower case.
 BOILERPLATE = [
     "accept all cookies", "all rights reserved", "cookie policy", "enable javascript", "lorem ipsum",
@@ -29,16 +35,14 @@ BOILERPLATE = [
 ]
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MIN_KEPT_SHARE = 0.5
+OUTPUTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "clean_text", "kept_share", "base_failed", "kept")
+INNER = ("__base", "__lines")
 
 
 def without(text: Column, pattern: str) -> Column:
     return F.regexp_replace(text, pattern, "")
 
 
-def n_matching(text: Column, pattern: str) -> Column:
-    return F.length(text) - F.length(without(text, pattern))
-
-
 def repeated_words(tokens: Column) -> Column:
     """How many words stand in a window of three words that the text has twice or more."""
 
@@ -68,21 +72,35 @@ def repeated_words(tokens: Column) -> Column:
     return let(tokens, of)
 
 
+def any_of(phrases: list[str]) -> str:
+    """A pattern of some phrases, by first letter, so that a place is tried against few of them."""
+    by: dict[str, list[str]] = {}
+    for p in phrases:
+        by.setdefault(p[0], []).append(p[1:])
+    return "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in by.items())
+
+
 def line_fails(line: Column) -> Column:
+    # over half of the letters are capitals only where two of them follow each other
     letters = without(line, r"[^\p{L}]")
-    n_words = F.size(words(line))
+    shouts = (F.length(letters) >= 20) & (F.lit(10) * F.length(without(letters, r"\p{Lu}")) < F.lit(4) * F.length(letters))
+    by_words = lambda w: (
+        ((F.size(w) < 10) & ~line.rlike(ENDING))
+        | ((F.size(w) < 40) & F.lower(line).rlike(any_of(BOILERPLATE)))
+        | ((F.size(w) >= 10) & (F.lit(5) * F.size(F.array_distinct(w)) < F.size(w)))
+    )
     return (
-        (F.lit(10) * n_matching(line, r"[!#*$%&|<>]") > F.length(line))
-        | (F.length(letters) >= 20) & (F.lit(10) * F.length(without(letters, r"\p{Lu}")) < F.lit(4) * F.length(letters))
+        (F.lit(10) * F.regexp_count(line, F.lit(r"[!#*$%&|<>]")) > F.length(line))
+        | (line.rlike(r"\p{Lu}[^\p{L}]*+\p{Lu}") & shouts)
         | (F.regexp_count(line, F.lit(r" [|»>•·] ")) >= 3)
-        | F.lower(line).rlike("|".join(BOILERPLATE)) & (n_words < 40)
-        | (n_words >= 10) & (F.lit(5) * F.size(F.array_distinct(words(line))) < n_words)
+        | let(words(line), by_words)
     )
 
 
 def quality_rules(documents: DataFrame) -> DataFrame:
     """``documents`` with base counts, ``clean_text`` (lines that pass), ``kept_share``, ``base_failed`` and ``kept``."""
-    require(documents, "text")
+    given = documents
+    documents = set_aside(require(documents, "text"), *OUTPUTS, *INNER)
     text = F.coalesce(F.col("text"), F.lit(""))
     w = words(text)
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -96,13 +114,13 @@ def quality_rules(documents: DataFrame) -> DataFrame:
         ),
     )
     n, share = F.col("__base.n"), F.col("__lines.all")
-    return (
+    out = (
         documents.withColumns({"__base": base, "__lines": cleaned})
         .withColumns(
             {
                 "n_words": n.cast("long"),
                 "word_chars": F.col("__base.chars").cast("long"),
-                "n_symbols": n_matching(text, SYMBOLS).cast("long"),
+                "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
                 "n_dup_lines": F.col("__lines.dup").cast("long"),
                 "n_repeat_words": F.col("__base.rep").cast("long"),
                 "clean_text": F.array_join("__lines.good", "\n"),
@@ -111,8 +129,9 @@ def quality_rules(documents: DataFrame) -> DataFrame:
         )
         .withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
         .withColumn("kept", ~F.col("base_failed") & (F.col("kept_share") >= MIN_KEPT_SHARE))
-        .drop("__base", "__lines")
+        .drop(*INNER)
     )
+    return put_back(out, given, (*OUTPUTS, *INNER), INNER)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,6 +154,7 @@ ok AS (SELECT r, x, NOT (
     OR (length(letters) >= 20 AND 10 * length(regexp_replace(letters, '\p{Lu}', '', 'g')) < 4 * length(letters))
     OR len(regexp_extract_all(x, ' [|»>•·] ')) >= 3
     OR (regexp_matches(lower(x), '""" + "|".join(BOILERPLATE) + r"""') AND len(w) < 40)
+    OR (len(w) < 10 AND NOT regexp_matches(x, '[.!?…:;]["''”’»)\]]*[\x20\x09-\x0D]*\z'))
     OR (len(w) >= 10 AND 5 * len(list_distinct(w)) < len(w))) AS good FROM judged),
 share AS (SELECT r, coalesce(sum(length(x)) FILTER (WHERE good), 0) / sum(length(x)) AS share FROM ok GROUP BY r),
 b AS (SELECT d.r, doc_id, len(w.w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
