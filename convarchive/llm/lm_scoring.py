@@ -46,8 +46,8 @@ SEEN = (1, 2, 5)  # where the levels of how often a slot was seen begin
 END, STOP = 256, 32  # symbols: the end of a text, the end of a word
 END_WORD = b" "  # no word has a space
 SLICE = 20_000  # words that are spelled at once
-BLOCK = 8_000_000  # bytes of text that are cut into words at once
-CHUNK = 400_000  # tokens whose contexts are held at once
+BLOCK, SMALL_BLOCK = 8_000_000, 4_000_000  # bytes of text that are cut into words at once, alone and beside tables
+CHUNK = 200_000  # tokens whose contexts are held at once
 BLOCKS = 256
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Contexts leave their lowest bits free, so that a context and a symbol fit into one number.
@@ -327,7 +327,7 @@ def bit_tables(training: DataFrame, words: DataFrame, code: Code, bits: int) ->
 
     def firsts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts(code, bits)
-        for b in (part for whole in rows for part in in_blocks(whole, 0, BLOCK)):
+        for b in (part for whole in rows for part in in_blocks(whole, 0, SMALL_BLOCK)):
             for _, symbols, contexts in Tokens(b.column(0)).first_events():
                 counts.add(symbols, contexts)
         yield counts.batch()
@@ -391,7 +391,7 @@ def refine(model: Model, fold_rows: DataFrame) -> None:
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, done = copy.copy(shared.value), 0.0
         own.weights, own.map = own.weights.copy(), own.map.copy()
-        for b in (part for whole in rows for part in in_blocks(whole, 0, BLOCK)):
+        for b in (part for whole in rows for part in in_blocks(whole, 0, SMALL_BLOCK)):
             t = Tokens(b.column(0))
             for _, symbols, contexts in t.first_events():
                 done += own.learn(symbols, contexts, 0)
@@ -464,7 +464,7 @@ def score_documents(documents: DataFrame, bits: int = BITS, common: int = COMMON
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, (listed, base_of, rest_of) = finished.value, shared.value
-        for b in (part for whole in rows for part in in_blocks(whole, 3, BLOCK)):
+        for b in (part for whole in rows for part in in_blocks(whole, 3, SMALL_BLOCK)):
             t = Tokens(b.column("text"))
             n_texts, text_of = len(t.n), t.text_of()
             score = np.zeros(n_texts)
