@@ -11,7 +11,8 @@ The benchmark's prefix words are broadcast in blocks of at most ``block`` window
 bounded whatever the benchmark's size: each block is one more step over the same rows.
 
 Null and wordless texts have no words and no hits; wordless items have no windows; items may repeat, their
-ids may too (windows then count for the id). Each document row is judged, repeated rows and ids alike.
+ids may too (windows then count for the id). Windows of items without an id hit words and contaminate, but there
+is no id to list. Each document row is judged, repeated rows and ids alike. Of further columns nothing is used.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ and connected components of the links give the groups.
 
 Null and wordless texts have fingerprint zero and are linked like any other. Texts with fewer words than a
 shingle have one shingle. Exact copies and repeated rows share a fingerprint and so cost one row. A
-component whose doc_ids are all null has a null id. Further columns are left alone.
+component whose doc_ids are all null has a null id. Of further columns nothing is used, whatever their names.
 """
 
 from __future__ import annotations
@@ -81,7 +81,7 @@ def hex16(fp: Column) -> Column:
 
 
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fingerprint, component_id, links)`` a document; ``links``: links of its fingerprint to others' (within the star of each meeting)."""
+    """``(doc_id, fingerprint, component_id, fingerprints_in_component)``, one row a document."""
     marked = kept(with_fingerprints(documents, shingle))
     firsts = kept(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     groups = connected_components(ball_links(firsts.select("fp"))).select(F.col("node").alias("fp"), "component")
@@ -91,13 +91,5 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return marked.join(by_fp, "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id", F.col("texts").alias("fingerprints_in_component"))
 
 
-def drop_near_duplicates(documents: DataFrame, shingle: int = 5) -> DataFrame:
-    """``documents`` with one row of each component: the one of its smallest doc_id, once; rows without doc_id stay."""
-    groups = near_duplicates(documents.where("doc_id is not null"), shingle)
-    stay = groups.where("doc_id = component_id").select("doc_id").distinct()
-    known = documents.where("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(documents.where("doc_id is null"))
-
-
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")

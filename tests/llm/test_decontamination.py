@@ -33,3 +33,10 @@ def test_empty_tables(spark):
     items = spark.createDataFrame([], "item_id long, text string")
     assert [r.contaminated for r in d.decontaminate(docs, items).collect()] == [False]
     assert d.decontaminate(docs.where("false"), items).count() == 0
+
+
+def test_items_without_an_id(spark):
+    docs = spark.createDataFrame([(1, "q z y x")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "z y"), (None, "nowhere")], "item_id long, text string")
+    (row,) = d.decontaminate(docs, items).collect()
+    assert (row.n_hit, row["items"], row.contaminated) == (2, [], True)

@@ -89,3 +89,53 @@ def test_masked_and_foreign_credentials_and_long_names(spark):
 def test_longer_number_keeps_separators(spark):
     df = spark.createDataFrame([("+1 23 45", "1678901")], "m string, c string")
     assert df.select(pii._reformat(df.m, df.c)).first()[0] == "+1 67 8901"
+
+
+def slow_mentions(text):
+    """``(kind, start, end)`` by Python's own search over the same patterns."""
+    import regex
+
+    found = regex.compile("|".join(f"(?P<{k}>{p})" for k, p in pii.KINDS.items()))
+    return [(m.lastgroup, *m.span()) for m in found.finditer(text)]
+
+
+def slow_core(kind, said):
+    if kind == "name":
+        return tuple(said.lower().split(" "))
+    return said.lower() if kind == "email" else re.sub("[^A-Za-z0-9]", "", said) if kind in ("card", "ssn", "phone", "iban") else said
+
+
+def generated(rnd):
+    digits = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    pools = {
+        "mail": lambda: f"{rnd.choice('abc')}{digits(1)}.{rnd.choice('xyz')}@h{digits(1)}.org", "ip": lambda: f"10.{digits(1)}.0.{rnd.randint(0, 255)}", "card": lambda: " ".join(["4111", digits(4), "0000", digits(4)]),
+        "phone": lambda: f"+1 ({digits(3)}) 555-{digits(4)}", "name": lambda: rnd.choice(["Mr. ", "Frau ", "Mrs. "]) + rnd.choice(["Ann", "Bob", "Al-Hadi", "Zoe Quinn"]), "secret": lambda: rnd.choice(["password=", "token: ", "secret=password=", "api_key='"]) + rnd.choice(["hunter", "s3cr3t"]) + digits(2),
+        "key": lambda: "AKIA" + "".join(rnd.choice("ABCD2345") for _ in range(16)), "ssn": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}", "plain": lambda: rnd.choice(["v1.2.3", "password", "see 2024", "a@b", "Mr. x"]),
+    }
+    return "".join(pools[rnd.choice(list(pools))]() + rnd.choice(["¦", "¦ ", " ¦", "", " ", "=", "\n"]) for _ in range(rnd.randint(1, 7)))
+
+
+def test_against_brute_force(spark):
+    import random
+
+    rnd = random.Random(11)
+    texts = [generated(rnd) for _ in range(600)] + ["secret=password=hunter22", "token=Monsieur Dupont", "password=password=password=abcdef1"]
+    there, back = {}, {}
+    for text, (new, n) in zip(texts, run(spark, list(enumerate(texts))), strict=True):
+        met = slow_mentions(text)
+        assert n == len(met), text
+        ends = [0, *(e for _, _, e in met)]
+        between = [text[a:b] for a, b in zip(ends, [*(s for _, s, _ in met), len(text)], strict=True)]
+        got = re.fullmatch("(?s)" + "(.+)".join(map(re.escape, between)), new)
+        assert got, (text, new)
+        assert not any(text[s:e] in new for k, s, e in met if k in ("secret", "key", "card", "email") and not any(text[s:e] in b for b in between)), (text, new)
+        if all("¦" in b for b in between[1:-1]):
+            for (kind, s, e), said in zip(met, got.groups(), strict=True):
+                kind = "secret" if kind == "secret" else kind
+                pairs = list(zip(slow_core("name", text[s:e]), slow_core("name", said), strict=True)) if kind == "name" else [(slow_core(kind, text[s:e]), slow_core(kind, said))]
+                for k, (old, own) in enumerate(pairs):
+                    sort = (kind, k == len(pairs) - 1) if kind == "name" else kind
+                    assert old != own and back.setdefault((sort, own), old) == old
+                    if kind != "name" or k == len(pairs) - 1:  # a given name also goes by its title's gender
+                        assert there.setdefault((sort, old), own) == own
+    assert len(there) > 200
