@@ -128,7 +128,7 @@ def test_against_brute_force(spark):
         between = [text[a:b] for a, b in zip(ends, [*(s for _, s, _ in met), len(text)], strict=True)]
         got = re.fullmatch("(?s)" + "(.+)".join(map(re.escape, between)), new)
         assert got, (text, new)
-        assert not any(text[s:e] in new for k, s, e in met if k in ("secret", "key", "card", "email") and not any(text[s:e] in b for b in between)), (text, new)
+        assert not any(text[s:e] in new for k, s, e in met if k in ("secret", "key", "card", "email") and any(c.isdigit() for c in text[s:e])), (text, new)
         if all("¦" in b for b in between[1:-1]):
             for (kind, s, e), said in zip(met, got.groups(), strict=True):
                 kind = "secret" if kind == "secret" else kind
