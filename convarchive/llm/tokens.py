@@ -19,9 +19,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Entries of each generation of the cache; two generations are held. Bounds the memory of a worker.
-CACHE = 200_000
+CACHE = 50_000
 #: Bytes of text that are tokenized at once.
-BLOCK = 12_000_000
+BLOCK = 6_000_000
 SIMPLE = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
 #: The steps before the model that the short way stands for.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -132,12 +132,13 @@ class Words:
 
 
 def in_blocks(batch: pa.RecordBatch, column: int, block: int = BLOCK) -> Iterator[pa.RecordBatch]:
-    """The rows of a batch in blocks of at most about ``block`` bytes of text, one row at least."""
+    """The rows of a batch in blocks of at most about ``block`` bytes of text, one row at least; Arrow's free memory is given back after each."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
         upto = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + block, "right")))
         yield batch.slice(at, upto - at)
+        pa.default_memory_pool().release_unused()
         at = upto
 
 
