@@ -5,8 +5,8 @@ every symbol is a path of binary decisions in a Huffman tree of the training sym
 each decision: inside a word the last one, two, three and five bytes and the whole prefix; for its first byte
 the last one, two and three bytes of the word before, that word, and the two before. A context and a tree node
 share a slot of a fixed table, which holds how often each bit followed. The predictions enter a logistic mixer in
-the stretched domain; a gate (first byte or not, and how often the two longest contexts have been seen: never,
-once, a few times, more) picks the weights. Weights are refined online, block by block, on the training documents
+the stretched domain; a gate (first byte or not, and how often the two longest contexts have been seen, in six
+levels) picks the weights. Weights are refined online, block by block, on the training documents
 of fold 1, against tables without that fold's counts, so that they show how far each context can be trusted; an
 adaptive probability map then corrects the mixed probability by gate. The tables that score have the counts of all
 training folds. The score is the sum of the decisions' log10 probabilities; ``bits_per_byte`` is its total per byte.
@@ -14,7 +14,7 @@ training folds. The score is the sum of the decisions' log10 probabilities; ``bi
 What follows a word's first byte depends on the word alone, so it is counted and scored once for each word of
 the corpus, in a table of all words that Spark counts, and joined to the texts' words by their XXH64. The most
 frequent words, at most ``common`` of them, are broadcast instead. Counts of words and contexts cover all training
-documents. Bit tables have a fixed size (``2 ** bits`` slots a context), so their loss by shared slots grows with
+documents. Bit tables have a fixed size (``n_slots(bits)``), so their loss by shared slots grows with
 the corpus; they are summed block by block over the cluster, and only the finished tables pass the driver.
 
 Null and empty texts are the end alone. Rows without doc_id are learned from. Repeated rows are scored alike; of
@@ -40,15 +40,15 @@ from convarchive.llm.tokens import cut_words, in_blocks
 FOLDS, MIXED_FOLD = 10, 1
 COMMON = 500_000
 BITS = 22
-CONTEXTS, LEVELS, MAP = 5, 4, 33
+CONTEXTS, LEVELS, MAP = 5, 6, 33
 GATES = 2 * LEVELS * LEVELS
-SEEN = (1, 2, 5)  # where the levels of how often a slot was seen begin
+SEEN = (1, 2, 4, 12, 60)  # where the levels of how often a slot was seen begin
 END, STOP = 256, 32  # symbols: the end of a text, the end of a word
 END_WORD = b" "  # no word has a space
 SLICE = 20_000  # words that are spelled at once
 BLOCK, SMALL_BLOCK = 8_000_000, 4_000_000  # bytes of text that are cut into words at once, alone and beside tables
 CHUNK = 200_000  # tokens whose contexts are held at once
-BLOCKS = 256
+BLOCKS = 64
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Contexts leave their lowest bits free, so that a context and a symbol fit into one number.
 LOW = np.uint64(511)
@@ -100,9 +100,19 @@ class Code:
         return of, self.node[at], self.bit[at]
 
 
-def slots(contexts: np.ndarray, of: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
-    """Slot of one context's table for each decision."""
-    return ((contexts[of] + node * B) * A >> np.uint64(64 - bits)).astype(np.int64)
+def table_bits(bits: int) -> list[int]:
+    """The size of each context's table: the longer the context, the more there are of it."""
+    return [bits - 4, bits - 2, bits - 1, bits, bits + 1]
+
+
+def n_slots(bits: int) -> int:
+    return sum(1 << b for b in table_bits(bits))
+
+
+def slots(k: int, contexts: np.ndarray, of: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
+    """Slot of a context, in one row of all tables, for each decision."""
+    sizes = table_bits(bits)
+    return ((contexts[of] + node * B) * A >> np.uint64(64 - sizes[k])).astype(np.int64) + sum(1 << b for b in sizes[:k])
 
 
 def inner_events(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
@@ -173,13 +183,13 @@ class Counts:
 
     def __init__(self, code: Code, bits: int):
         self.code, self.bits = code, bits
-        self.table = np.zeros((CONTEXTS, 2 << bits), np.uint32)
+        self.table = np.zeros(2 * n_slots(bits), np.uint32)
 
     def put(self, k: int, symbols: np.ndarray, contexts: np.ndarray, weights: np.ndarray) -> None:
         for at in range(0, len(symbols), 1 << 16):
             cut = slice(at, at + (1 << 16))
             of, node, bit = self.code.decisions(symbols[cut])
-            np.add.at(self.table[k], slots(contexts[cut], of, node, self.bits) * 2 + bit, weights[cut].astype(np.uint32)[of])
+            np.add.at(self.table, slots(k, contexts[cut], of, node, self.bits) * 2 + bit, weights[cut].astype(np.uint32)[of])
 
     def add(self, symbols: np.ndarray, contexts: dict[int, np.ndarray]) -> None:
         """Equal pairs of context and symbol are counted first, then put down once."""
@@ -204,7 +214,7 @@ class Counts:
 class Model:
     def __init__(self, code: Code, stretched: np.ndarray, levels: np.ndarray, bits: int):
         self.code, self.bits, self.stretched, self.levels = code, bits, stretched, levels
-        self.weights = np.full((GATES, CONTEXTS), 0.35)
+        self.weights = np.full((GATES, CONTEXTS), 0.2)
         self.map = np.zeros((GATES, MAP, 2))
 
     def inputs(self, symbols: np.ndarray, contexts: dict[int, np.ndarray], gate: int, cut: slice):
@@ -212,10 +222,10 @@ class Model:
         x = np.zeros((CONTEXTS, len(of)), np.float32)
         gates = np.full(len(of), gate)
         for k, c in contexts.items():
-            at = slots(c[cut], of, node, self.bits)
-            x[k] = self.stretched[k][at]
+            at = slots(k, c[cut], of, node, self.bits)
+            x[k] = self.stretched[at]
             if k > 2:
-                gates = gates * LEVELS + self.levels[k][at]
+                gates = gates * LEVELS + self.levels[at]
         return of, bit, x, gates
 
     def __getstate__(self) -> dict:
@@ -234,7 +244,7 @@ class Model:
     def level(z: np.ndarray) -> np.ndarray:
         return np.clip(np.rint(z * 2) + MAP // 2, 0, MAP - 1).astype(np.int64)
 
-    def learn(self, symbols: np.ndarray, contexts: dict[int, np.ndarray], gate: int, weights: np.ndarray | None = None, rate: float = 0.15, block: int = 2048) -> float:
+    def learn(self, symbols: np.ndarray, contexts: dict[int, np.ndarray], gate: int, weights: np.ndarray | None = None, rate: float = 0.05, block: int = 512) -> float:
         """Online: each block is predicted with the weights so far, then moves them."""
         done = 0.0
         for at in range(0, len(symbols), block):
@@ -322,7 +332,7 @@ def symbol_counts(words: DataFrame) -> np.ndarray:
 def bit_tables(training: DataFrame, words: DataFrame, code: Code, bits: int) -> DataFrame:
     """``(block, odds_fit, levels_fit, odds_all, levels_all)``: of a block's slots the stretched probability, 0 where nothing was
     seen, and the level of how much was; by the counts without the mixed fold and by all."""
-    size = 2 * CONTEXTS * (1 << bits) // BLOCKS
+    size = 2 * n_slots(bits) // BLOCKS
     fields = "small binary, place binary, large binary"
 
     def firsts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,12 +386,12 @@ def bit_tables(training: DataFrame, words: DataFrame, code: Code, bits: int) ->
 
 def finished_tables(parts: DataFrame, which: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Odds and levels of all slots, at the driver: of a fixed size."""
-    size = CONTEXTS * (1 << bits) // BLOCKS
+    size = n_slots(bits) // BLOCKS
     odds, levels = np.zeros((BLOCKS, size), np.float16), np.zeros((BLOCKS, size), np.uint8)
     for r in parts.select("block", f"odds_{which}", f"levels_{which}").collect():
         odds[r[0]] = np.frombuffer(pa.decompress(bytes(r[1]), 2 * size, "zstd"), np.float16)
         levels[r[0]] = np.frombuffer(pa.decompress(bytes(r[2]), size, "zstd"), np.uint8)
-    return odds.reshape(CONTEXTS, -1), levels.reshape(CONTEXTS, -1)
+    return odds.ravel(), levels.ravel()
 
 
 def refine(model: Model, fold_rows: DataFrame) -> None:

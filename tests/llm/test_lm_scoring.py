@@ -37,7 +37,7 @@ def test_base_and_held_out(spark, sf):
 def test_probabilities_of_all_symbols_sum_to_one():
     r = np.random.default_rng(0)
     code = lm.Code(r.integers(0, 1000, 257) ** 2)
-    model = lm.Model(code, r.normal(0, 2, (5, 1 << 12)).astype(np.float16), r.integers(0, 4, (5, 1 << 12)).astype(np.uint8), 12)
+    model = lm.Model(code, r.normal(0, 2, lm.n_slots(12)).astype(np.float16), r.integers(0, lm.LEVELS, lm.n_slots(12)).astype(np.uint8), 12)
     model.weights = r.normal(0.3, 0.2, model.weights.shape)
     model.map = r.integers(0, 50, model.map.shape).astype(float)
     contexts = {k: np.repeat(c, 257) for k, c in enumerate(r.integers(0, 1 << 62, (5, 3)).astype(np.uint64))}
