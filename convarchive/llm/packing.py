@@ -17,6 +17,7 @@ packed one by one. Texts longer than a sequence are cut, nothing else is. Furthe
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from convarchive.llm.common import kept, require, table
+from convarchive.llm.common import kept, require, shared_dir, table
 from convarchive.llm.tokens import in_blocks, words_of
 
 SEQUENCE = 4096
@@ -119,7 +120,10 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     waiting = kept(pieces.select(F.col("key").cast("long"), F.col("length").cast("long").alias("size")))
     gaps = spark.createDataFrame([], "bin long, gap long")
-    placed, opening = [], True
+    # places are written round by round, so that no plan grows with the rounds
+    path, opening = f"{shared_dir(spark)}/placed-{uuid.uuid4().hex}", True
+    fields = "key long, sequence_id long, offset long"
+    spark.createDataFrame([], fields).write.parquet(path)
     while True:
         n, tokens, halves, largest = waiting.agg(F.count("*"), F.sum("size"), F.count_if(F.col("size") > sequence // 2), F.max("size")).first()
         if not n:
@@ -128,7 +132,7 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
             opened = max(-(-tokens // sequence), halves)
             events = waiting.select("size", F.lit(1).alias("kind"), F.col("key").alias("id"), F.lit(0).alias("slot"))
             seeds = kept(_ranked(events, salts).select(F.col("id").alias("key"), "size", (F.col("ahead") + F.col("rank") <= opened).alias("seed")))
-            placed.append(seeds.where("seed").select("key", F.col("key").alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
+            seeds.where("seed").select("key", F.col("key").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).write.mode("append").parquet(path)
             fresh = seeds.where("seed").select(F.col("key").alias("bin"), (sequence - F.col("size")).alias("gap")).where("gap > 0")
             gaps, waiting, opening = gaps.unionByName(fresh), seeds.where("not seed").select("key", "size"), False
             continue
@@ -136,17 +140,13 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
         taken = met.where("bin is not null")
         inside = Window.partitionBy("bin").orderBy(F.desc("size"), "key").rowsBetween(Window.unboundedPreceding, -1)
         shifts = taken.select("key", "bin", F.coalesce(F.sum("size").over(inside), F.lit(0)).alias("shift"))
-        placed.append(
-            shifts.join(gaps, "bin").select("key", F.col("bin").alias("sequence_id"), (sequence - F.col("gap") + F.col("shift")).alias("offset"))
-        )
+        places = shifts.join(gaps, "bin").select("key", F.col("bin").alias("sequence_id"), (sequence - F.col("gap") + F.col("shift")).alias("offset"))
+        places.write.mode("append").parquet(path)
         filled = taken.groupBy("bin").agg(F.sum("size").alias("filled"))
         gaps = kept(gaps.join(filled, "bin", "left").select("bin", (F.col("gap") - F.coalesce("filled", F.lit(0))).alias("gap")).where("gap > 0"))
         before, waiting = n, met.where("bin is null").select("key", "size")
         opening = waiting.count() == before
-    out = spark.createDataFrame([], "key long, sequence_id long, offset long")
-    for p in placed:
-        out = out.unionByName(p)
-    return out
+    return spark.read.schema(fields).parquet(path)
 
 
 def pack_documents(documents: DataFrame, path: str | None = None, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
