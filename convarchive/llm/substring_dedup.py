@@ -305,7 +305,7 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 win AS (SELECT r, i, array_to_string(w[i:i+19], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
 again AS (SELECT r, i FROM (SELECT r, i, row_number() OVER (PARTITION BY s ORDER BY r, i) AS k FROM win) WHERE k > 1),
 gone AS (SELECT DISTINCT r, unnest(range(i, i + 20)) AS p FROM again),
