@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from convarchive.llm import chat_formatting, decontamination, line_dedup, lm_scoring, packing, pii, quality_rules, simhash, substring_dedup, toxicity, url_filters
+from convarchive.llm import chat_formatting, decontamination, line_dedup, lm_scoring, merkle, packing, pii, quality_rules, simhash, substring_dedup, toxicity, url_filters
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_url_filters": url_filters.op9_url_filters,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_substring_dedup": substring_dedup.op11_substring_dedup,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
 }
 
 ORACLES = {
@@ -25,4 +26,5 @@ ORACLES = {
     "op8_decontamination": decontamination.ORACLE,
     "op9_url_filters": url_filters.ORACLE,
     "op11_substring_dedup": substring_dedup.ORACLE,
+    "op12_merkle_manifest": merkle.ORACLE,
 }
