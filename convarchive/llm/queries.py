@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from convarchive.llm import chat_formatting, decontamination, line_dedup, lm_scoring, merkle, packing, pii, quality_rules, simhash, substring_dedup, toxicity, url_filters
+from convarchive.llm import chat_formatting, decontamination, hard_negatives, line_dedup, lm_scoring, merkle, packing, pii, quality_rules, simhash, substring_dedup, toxicity, url_filters
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_substring_dedup": substring_dedup.op11_substring_dedup,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
 ORACLES = {
@@ -27,4 +28,5 @@ ORACLES = {
     "op9_url_filters": url_filters.ORACLE,
     "op11_substring_dedup": substring_dedup.ORACLE,
     "op12_merkle_manifest": merkle.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
 }
