@@ -10,8 +10,9 @@ A shard's automaton is built online, its passages in the order of the corpus: a
 the automaton of all that is earlier (matching statistics), spans that match ``window`` words or more are
 repeats, and the rest is added. Copies of a passage are one row there, with its first place. The reference grows
 with the corpus and so is never broadcast as a whole: an automaton goes to the task that holds the passages of
-its shard, which is bounded. A shard of over ``HOT`` times the set size (a home whose passages stand among ever
-different words) is cut into single windows, dealt by themselves; copies of these are one row again.
+its shard, which is bounded. The passages of a shard of over ``HOT`` times the set size (a home whose passages stand among ever
+different words) are cut where their minimizers change and dealt by these; where that is too much still, they
+are cut into windows. Copies of such pieces are one row again.
 
 The order is that of doc_id, null last; rows of one doc_id follow the hash of their text, and equal rows their
 place in the input. Null texts have no words; a text of fewer words than a window keeps all. Repeated rows are
@@ -21,6 +22,7 @@ judged one by one: the first keeps its text. Of further columns nothing is used,
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,8 @@ GRAM = 5
 #: Words of a shard that is sought, and how many times that it may hold.
 SHARD_WORDS = 50_000
 HOT = 4
+PASSAGE, PASSAGE_SCHEMA = ["shard", "rank", "a", "n", "text"], "shard long, rank long, a int, n int, text string"
+PASSAGE_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
 
 
 class SuffixAutomaton:
@@ -190,8 +194,7 @@ def _passages(window: int):
                     for a, n, shard in joined:
                         for col, x in zip(cols, (shard, rank, a, n, b" ".join(words[a : a + n + window - 1]).decode()), strict=True):
                             col.append(x)
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["shard", "rank", "a", "n", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, PASSAGE_KINDS, strict=True)], PASSAGE)
 
     return batches
 
@@ -241,37 +244,62 @@ def _distinct(passages: DataFrame) -> DataFrame:
     return found.select("shard", "key", "at.rank", "at.a", "n", "text")
 
 
-def _windows(passages: DataFrame, window: int, shards: int) -> DataFrame:
+def _by_minimizer(passages: DataFrame, window: int, shards: int) -> DataFrame:
+    """Passages cut where their windows' minimizers change, dealt by these."""
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for b in rows:
+            cols: list[list] = [[] for _ in range(5)]
+            for text, rank, a in zip(*(b.column(c).to_pylist() for c in ("text", "rank", "a")), strict=True):
+                words = text.encode().split()
+                h, start, size, _ = minimizers(words, hashes, window)
+                for shard, at, n in zip((h.view(np.uint64) % np.uint64(shards)).tolist(), start.tolist(), size.tolist(), strict=True):
+                    for col, x in zip(cols, (-1 - 2 * shard, rank, a + at, n, b" ".join(words[at : at + n + window - 1]).decode()), strict=True):
+                        col.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, PASSAGE_KINDS, strict=True)], PASSAGE)
+
+    return _keyed(passages.select("text", "rank", "a").mapInArrow(batches, PASSAGE_SCHEMA))
+
+
+def _by_window(passages: DataFrame, window: int, shards: int) -> DataFrame:
     """The windows of passages as passages of their own, dealt by themselves."""
     starts = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k")
     cut = passages.select("rank", "a", F.split("text", " ").alias("w"), starts)
     cut = cut.select("rank", (F.col("a") + F.col("k")).alias("a"), F.array_join(F.slice("w", F.col("k") + 1, window), " ").alias("text"))
-    shard = -1 - F.pmod(F.xxhash64("text"), F.lit(shards))
-    return cut.select(shard.alias("shard"), "rank", "a", F.lit(1).alias("n"), "text", F.unhex(F.md5("text")).alias("key"))
+    shard = -2 - 2 * F.pmod(F.xxhash64("text"), F.lit(shards))
+    return _keyed(cut.select(shard.alias("shard"), "rank", "a", F.lit(1).alias("n"), "text"))
+
+
+def _keyed(passages: DataFrame) -> DataFrame:
+    return stored(passages.withColumn("key", F.unhex(F.md5("text"))))
 
 
 def repeated_spans(passages: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
     """``(rank, spans)``: what is repeated of each of ``passages(shard, key, rank, a, n, text)``, counted in words of its document."""
     fields = "shard long, key binary, first_rank long, first_a int, found array<struct<start:int,size:int>>"
-    firsts = stored(_distinct(passages))
-    n = F.col("n").cast("long")
-    sizes = firsts.groupBy("shard").agg(F.sum(n + (window - 1)).alias("words"), F.sum(n).alias("windows"))
-    hot = stored(sizes.where(F.col("words") > HOT * shard_words))
-    windows = hot.agg(F.sum("windows")).first()[0]
-    groups, occurrences, left = firsts, passages.drop("text"), None
-    if windows:
-        cut = stored(_windows(firsts.join(hot, "shard", "left_semi"), window, -(-windows * window // shard_words)))
-        groups = firsts.join(hot, "shard", "left_anti").unionByName(_distinct(cut))
-        occurrences = occurrences.unionByName(cut.drop("text"))
-        left = firsts.join(hot, "shard", "left_semi").select("shard", "key", F.col("rank").alias("first_rank"), F.col("a").alias("first_a"))
-        left = left.withColumn("found", F.array().cast("array<struct<start:int,size:int>>"))
-    searched = stored(groups.select("shard", "key", "rank", "a", "text").groupBy("shard").applyInArrow(_searched(window), fields))
-    if left is not None:
-        searched = searched.unionByName(left)
+    groups, handed_on, seen = [], [], []
+    for finer in (_by_minimizer, _by_window, None):
+        seen.append(passages.select("shard", "key", "rank", "a", "n"))
+        firsts = stored(_distinct(passages))
+        sizes = firsts.groupBy("shard").agg(F.sum(F.col("n").cast("long") + (window - 1)).alias("words"))
+        hot = stored(sizes.where(F.col("words") > HOT * shard_words))
+        words = hot.agg(F.sum("words")).first()[0] if finer else None
+        if not words:
+            groups.append(firsts)
+            break
+        groups.append(firsts.join(hot, "shard", "left_anti"))
+        large = firsts.join(hot, "shard", "left_semi")
+        # their first places are judged by the pieces they are cut into
+        handed_on.append(large.select("shard", "key", F.col("rank").alias("first_rank"), F.col("a").alias("first_a"), F.array().cast("array<struct<start:int,size:int>>").alias("found")))
+        passages = finer(large, window, -(-3 * words // shard_words))
+    whole = reduce(DataFrame.unionByName, [g.select("shard", "key", "rank", "a", "text") for g in groups])
+    searched = stored(whole.groupBy("shard").applyInArrow(_searched(window), fields))
+    searched = reduce(DataFrame.unionByName, [searched, *handed_on])
     whole = F.array(F.struct(F.col("a").alias("start"), (F.col("n") + (window - 1)).alias("size")))
     own = F.transform("found", lambda s: F.struct((F.col("a") + s["start"]).alias("start"), s["size"].alias("size")))
     first = (F.col("rank") == F.col("first_rank")) & (F.col("a") == F.col("first_a"))
-    met = occurrences.join(searched, ["shard", "key"])
+    met = reduce(DataFrame.unionByName, seen).join(searched, ["shard", "key"])
     return met.select("rank", F.when(first, own).otherwise(whole).alias("spans")).where(F.size("spans") > 0)
 
 
@@ -291,8 +319,7 @@ def dedup_substrings(documents: DataFrame, window: int = WINDOW, shard_words: in
     shards = max(1, -(-words // shard_words))
     places = marks.join(homes, "h").select("rank", F.struct("a", "n", F.pmod(F.xxhash64("home"), F.lit(shards)).alias("shard")).alias("place"))
     places = places.groupBy("rank").agg(F.collect_list("place").alias("places")).join(ranks, "rank")
-    cut = rows.join(places, "__row").select("rank", "text", "places").mapInArrow(_passages(window), "shard long, rank long, a int, n int, text string")
-    passages = stored(cut.withColumn("key", F.unhex(F.md5("text"))))
+    passages = _keyed(rows.join(places, "__row").select("rank", "text", "places").mapInArrow(_passages(window), PASSAGE_SCHEMA))
     spans = repeated_spans(passages, window, shard_words)
     spans = spans.groupBy("rank").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans")).join(ranks, "rank")
     out = rows.join(spans.select("__row", "spans"), "__row", "left").select("doc_id", "text", "spans")
