@@ -178,14 +178,6 @@ def unwrap(json: Column) -> Column:
     return F.coalesce(inner.try_cast("double"), json.try_cast("double"))
 
 
-def collect_ids(json: Column) -> Column:
-    """All values under ``clip_id`` or ``clip_ids`` anywhere in a JSON text, sorted and distinct."""
-    single = F.regexp_extract_all(json, F.lit(r'"clip_id"\s*:\s*"([^"]+)"'), 1)
-    lists = F.regexp_extract_all(json, F.lit(r'"clip_ids"\s*:\s*\[([^\]]*)\]'), 1)
-    many = F.flatten(F.transform(lists, lambda x: F.regexp_extract_all(x, F.lit(r'"([^"]+)"'), 1)))
-    return F.array_sort(F.array_distinct(F.concat(single, many)))
-
-
 def excerpt(body: Column, subtitle: Column, n: int = 50) -> Column:
     """The first ``n`` words of a post without headings, subtitle, images, quotes, tables and rules; links as text."""
     lines = F.filter(F.split(body, "\n"), lambda x: ~x.rlike(r"^\s*(#|!\[|>|\||---|\*\*\*|$)") & (strip_space(x) != F.coalesce(subtitle, F.lit(""))))

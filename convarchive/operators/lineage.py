@@ -10,8 +10,19 @@ from pyspark.sql import functions as F
 
 from convarchive.sources.shared import checkpoint_root
 
-#: Operation of a clip -> badge.
-OPERATIONS = {"create": "Original", "extend": "Extend", "cover": "Cover", "remix": "Remix", "mashup": "Mashup", "replace": "Replace"}
+#: Fixed value: the badge of a finished clip.
+COMPLETE = "Full Song"
+#: Operations of generated clips and the badges they are shown as.
+OPERATIONS = {
+    "audio__create_song": "Original",
+    "audio__render_edit": "Edición",
+    "audio__modify_song": "Modificación",
+    "audio__split_stems": "Stem",
+    "audio_upload": "Subida",
+    "audio__apply_effect": "Efecto",
+}
+#: The operation of a clip that has no source, the badge of other operations, and that of a liked clip.
+ORIGINAL, OTHER, LIKED = "audio__create_song", "Otro", "Favorita"
 
 
 def flatten_suno(raw: DataFrame) -> DataFrame:
@@ -78,38 +89,98 @@ def clip_names(clips: DataFrame, case_sensitive: bool = True) -> DataFrame:
     return met.select("clip_id", F.when(F.col("taken"), F.concat("name", F.lit(" "), F.substring("clip_id", 1, 8))).otherwise(F.col("name")).alias("name"))
 
 
-def badges(op: Column, secondary: Column) -> Column:
-    """A clip's badges, else the one of its operation; an unknown operation is ``Other``."""
+def badges(op: Column, secondary: Column, liked: Column) -> Column:
+    """The badges that a library gives its clips; where it gives none, that of the operation, and one more for a liked clip."""
     known = F.create_map(*[F.lit(x) for pair in OPERATIONS.items() for x in pair])
-    return F.when(F.size(F.coalesce(secondary, F.array().cast("array<string>"))) > 0, secondary).otherwise(F.array(F.coalesce(known[op], F.lit("Other"))))
+    own = F.array(F.coalesce(F.try_element_at(known, op), F.lit(OTHER)))
+    return F.coalesce(secondary, F.when(liked, F.concat(own, F.array(F.lit(LIKED)))).otherwise(own))
+
+
+def is_complete(badges: Column) -> Column:
+    return F.array_contains(F.coalesce(badges, F.array().cast("array<string>")), COMPLETE)
 
 
 def families(clips: DataFrame) -> DataFrame:
-    """Per root its members, liked and complete ones; ``single`` roots stand apart. Complete clips know their duration."""
-    out = clips.groupBy("root_id").agg(F.count("*").alias("members"), F.count_if("liked").alias("liked"), F.count_if(F.col("duration").isNotNull()).alias("complete"), F.max("depth").alias("depth"))
-    return out.withColumn("single", F.col("members") == 1)
+    """Per root its members, liked and complete ones (by badge) and these from the oldest to the newest; ``single`` roots stand apart."""
+    complete = is_complete(F.col("badges"))
+    out = clips.groupBy("root_id").agg(
+        F.count("*").alias("members"), F.count_if("liked").alias("liked"), F.count_if(complete).alias("complete"), F.max("depth").alias("depth"),
+        F.array_sort(F.collect_list(F.when(complete, F.struct(F.coalesce(F.col("created").cast("string"), F.lit("")).alias("created"), "clip_id")))).alias("c"),
+    )
+    return out.withColumns({"single": F.col("members") == 1, "complete_clips": F.transform("c", lambda x: x["clip_id"])}).drop("c")
 
 
 def clip_index(clips: DataFrame) -> DataFrame:
-    """``(section, value, clips)``: liked, liked and complete, and by project, operation, badge and conversation."""
+    """``(section, value, clips)``: liked, liked and complete (by badge), and by project, operation, badge and conversation."""
     s = lambda name, value: F.struct(F.lit(name).alias("section"), value.cast("string").alias("value"))
     fixed = F.array(
-        s("liked", F.when(F.col("liked"), "yes")), s("liked and complete", F.when(F.col("liked") & F.col("duration").isNotNull(), "yes")),
+        s("liked", F.when(F.col("liked"), "yes")), s("liked and complete", F.when(F.col("liked") & is_complete(F.col("badges")), "yes")),
         s("project", F.col("project")), s("operation", F.col("op")), s("conversation", F.col("conversation_id")),
     )
     rows = clips.select("clip_id", F.explode(F.concat(fixed, F.transform("badges", lambda b: s("badge", b)))).alias("x")).where("x.value is not null")
     return rows.groupBy("x.section", "x.value").agg(F.countDistinct("clip_id").alias("clips"))
 
 
-def library_stats(clips: DataFrame) -> DataFrame:
-    """Totals over what isn't deleted; unknown durations are counted apart and never summed as zero."""
+def suno_stats(clips: DataFrame) -> DataFrame:
+    """Totals over what isn't in the bin: liked, complete (by badge), projects, seconds; an unknown duration counts as none."""
     live = clips.where(~F.coalesce("deleted", F.lit(False)))
+    named = F.nullif("project", F.lit(""))
+    seconds = F.coalesce(F.sum("duration"), F.lit(0.0))
     return live.agg(
-        F.count("*").alias("total"), F.count_if("liked").alias("liked"), F.count_if(F.col("duration").isNotNull()).alias("complete"), F.countDistinct("project").alias("projects"),
-        F.count_if(F.col("project").isNull()).alias("without_project"), F.bround(F.sum("duration"), 1).alias("seconds"), F.count_if(F.col("duration").isNull()).alias("without_duration"),
+        F.count("*").alias("total"), F.count_if("liked").alias("liked"), F.count_if(is_complete(F.col("badges"))).alias("complete"),
+        F.countDistinct(named).alias("projects"), F.count_if(named.isNull()).alias("without_project"), F.bround(seconds).cast("long").alias("seconds"),
+        F.when(seconds < 3600, F.format_string("%.0f min", F.bround(seconds / 60))).otherwise(F.format_string("%.0f h", F.bround(seconds / 3600))).alias("readable"),
     )
 
 
+def flow_stats(clips: DataFrame) -> DataFrame:
+    """Totals over what isn't deleted; no row at all where nothing is left.
+
+    ``clips(liked, deleted, op, origins, lyrics, conversation_title, duration)``: originals are clips of the operation
+    that creates one, clips with sources have a lineage, and clips of unknown duration are counted apart.
+    """
+    live = clips.where(~F.coalesce("deleted", F.lit(False)))
+    seconds = F.coalesce(F.sum("duration"), F.lit(0.0))
+    hours, minutes = F.floor(seconds / 3600).cast("string"), F.floor(F.pmod(seconds, F.lit(3600)) / 60).cast("string")
+    out = live.agg(
+        F.count("*").alias("total"), F.count_if("liked").alias("liked"), F.count_if(F.col("op") == ORIGINAL).alias("originals"), F.count_if(F.size(F.coalesce("origins", F.array())) > 0).alias("with_lineage"),
+        F.count_if(F.nullif("lyrics", F.lit("")).isNotNull()).alias("with_lyrics"), F.countDistinct(F.nullif("conversation_title", F.lit(""))).alias("conversations"),
+        F.bround(seconds).cast("long").alias("seconds"),
+        F.concat(F.when(seconds >= 3600, F.concat(hours, F.lit(" h "))).otherwise(""), minutes, F.lit(" min")).alias("readable"), F.count_if(F.col("duration").isNull()).alias("without_duration"),
+    )
+    return out.where("total > 0")
+
+
+def clip_ids(rows: DataFrame, json: str, *keys: str) -> DataFrame:
+    """``(*keys, clip_id)``, distinct: texts under ``clip_id`` and texts of lists under ``clip_ids``, anywhere in a JSON text.
+
+    A level of nesting a round: what was found is written to the shared checkpoint folder, and only objects and
+    arrays are looked into further. Values of other types are no ids, nor is what stands inside an object in a ``clip_ids``
+    list; other values of both keys are looked into like any. Texts that aren't JSON, or have a key twice in an
+    object, have no ids. Rows whose text can't hold such a key are left out before it is parsed.
+    """
+    checkpoint_root(rows.sparkSession)
+    tvf = rows.sparkSession.tvf
+    # a key may be spelled with escapes
+    spelled = F.contains(F.col(json), F.lit("clip_id")) | F.contains(F.col(json), F.lit(r"\u"))
+    now = rows.where(spelled).select(*keys, F.try_parse_json(json).alias("v")).where("v is not null")
+    found = None
+    while True:
+        inside = now.lateralJoin(tvf.variant_explode(F.col("v").outer())).select(*keys, "key", "value").withColumn("kind", F.schema_of_variant("value"))
+        text, many = F.col("kind") == "STRING", F.startswith("kind", F.lit("ARRAY"))
+        single, listed = text & F.col("key").eqNullSafe(F.lit("clip_id")), many & F.col("key").eqNullSafe(F.lit("clip_ids"))
+        # a list's items that are texts; others of it are let go
+        items = F.filter(F.variant_get("value", "$", "array<variant>"), lambda x: F.schema_of_variant(x) == "STRING")
+        ids = F.when(single, F.array(F.variant_get("value", "$", "string"))).when(listed, F.transform(items, lambda x: F.variant_get(x, "$", "string")))
+        container = (many & ~listed) | F.startswith("kind", F.lit("OBJECT"))
+        step = inside.select(*keys, ids.alias("ids"), F.when(container, F.col("value")).alias("v")).where("ids is not null or v is not null").checkpoint()
+        here = step.where("ids is not null").select(*keys, F.explode("ids").alias("clip_id"))
+        found = here if found is None else found.unionByName(here)
+        now = step.where("v is not null").select(*keys, "v")
+        if now.isEmpty():
+            return found.distinct()
+
+
 def conversation_clips(clips: DataFrame, convs: DataFrame) -> DataFrame:
     """Conversations with their clips, oldest first, and how many; none is an empty list."""
     listed = clips.where("conversation_id is not null").groupBy("conversation_id").agg(F.array_sort(F.collect_list(F.struct("created", "clip_id"))).alias("c"))

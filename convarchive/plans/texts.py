@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from convarchive.functions import html, text
+from convarchive.operators import lineage
 from convarchive.operators import blocks as b
 from convarchive.plans import derived as v
 from convarchive.plans.registry import query
@@ -254,7 +255,26 @@ def unwrap(spark, d):
     return v.table(spark, d, "events").select("event_id", text.unwrap(json).alias("value"))
 
 
-@query("D34_collect_ids", "SELECT event_id, 'a' || event_id || ',b' || (event_id % 7) || ',c' AS ids FROM events")
+#: Ids five levels down, in lists, beside values that are none, and under keys and with characters that are written as escapes.
+IDS_JSON = """js AS (SELECT event_id, '{"parts": [{"content": {"clip_outputs": [{"clip_id": "a' || event_id || '", "x": {"clip_id": {"clip_ids": ["deep' || event_id % 5 || '"]}}}], "stems": [{"clip_id": 7}]}}, {"args": {"clip_ids": ["b' || event_id % 7 ||
+  '", 3, {"clip_id": "inside"}, null, ["list"], "c]\\"' || event_id % 3 || '"], "text": "\\"clip_id\\": \\"said\\""}}], "clip_ids": {"clip_id": "d' || event_id % 2 || '"}, "clip\\u005fid": "e\\u00e9"}' AS j FROM events)"""
+
+
+def ids_json(k):
+    s = lambda c: c.cast("string")
+    return F.concat(
+        F.lit('{"parts": [{"content": {"clip_outputs": [{"clip_id": "a'), s(k), F.lit('", "x": {"clip_id": {"clip_ids": ["deep'), s(k % 5), F.lit('"]}}}], "stems": [{"clip_id": 7}]}}, {"args": {"clip_ids": ["b'), s(k % 7),
+        F.lit('", 3, {"clip_id": "inside"}, null, ["list"], "c]\\"'), s(k % 3), F.lit('"], "text": "\\"clip_id\\": \\"said\\""}}], "clip_ids": {"clip_id": "d'), s(k % 2), F.lit('"}, "clip\\u005fid": "e\\u00e9"}'),
+    )
+
+
+@query(
+    "D34_collect_ids",
+    v.with_sql(
+        IDS_JSON,
+        "SELECT DISTINCT event_id, t.value->>'$' AS clip_id FROM js, json_tree(js.j) t WHERE t.type = 'VARCHAR' AND t.path NOT LIKE '%clip_ids[%' AND (t.key = 'clip_id' OR (t.path LIKE '%.clip_ids' AND t.fullkey LIKE '%]'))",
+    ),
+)
 def collect_ids(spark, d):
-    json = F.concat(F.lit('{"x":{"clip_id":"a'), F.col("event_id").cast("string"), F.lit('"},"y":[{"clip_ids":["b'), (F.col("event_id") % 7).cast("string"), F.lit('","c"]},{"clip_id" : "c"}]}'))
-    return v.table(spark, d, "events").select("event_id", F.array_join(text.collect_ids(json), ",").alias("ids"))
+    rows = v.table(spark, d, "events").select("event_id", ids_json(F.col("event_id")).alias("json"))
+    return lineage.clip_ids(rows, "json", "event_id")
