@@ -102,9 +102,16 @@ def latest_per_publication(files: DataFrame) -> DataFrame:
 
 
 def pick_stats(files: DataFrame, slugs: DataFrame) -> DataFrame:
-    """``(slug, stats)``: the newest statistics file whose name starts with ``<slug>_``; a single publication takes any."""
+    """``(slug, stats)``: the newest statistics file whose name starts with ``<slug>_``; a single publication takes any.
+
+    A file is put down under what stands before each of its underscores, and slugs meet these by an equi-join.
+    """
     best = F.max(F.struct("mtime", "name"))["name"]
-    own = slugs.join(files, F.startswith("name", F.concat("slug", F.lit("_"))), "left").groupBy("slug").agg(best.alias("own"))
+    parts = F.split("name", "_", -1)
+    heads = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "_"))
+    under = files.where(F.contains("name", F.lit("_"))).select("name", "mtime", F.explode(heads).alias("slug"))
+    newest = under.join(slugs.select("slug").distinct(), "slug", "left_semi").groupBy("slug").agg(best.alias("own"))
+    own = slugs.select("slug").distinct().join(newest, "slug", "left")
     lone = F.broadcast(files.agg(best.alias("any")).crossJoin(slugs.agg((F.count("*") == 1).alias("lone"))))
     return own.crossJoin(lone).select("slug", F.coalesce("own", F.when(F.col("lone"), F.col("any"))).alias("stats"))
 

@@ -56,9 +56,10 @@ def project_view(notes: DataFrame) -> DataFrame:
 
 
 def keyword_tags(notes: DataFrame, tags: DataFrame) -> DataFrame:
-    """``(note_id, tag)`` for each ``tags(keyword, tag)`` whose keyword is in the lower-cased title or text."""
+    """``(note_id, tag)`` for each ``tags(keyword, tag)`` whose keyword is in the lower-cased title or text; an empty keyword is in none."""
     text = notes.select("note_id", F.lower(F.concat_ws("\n", "title", "body")).alias("text"))
-    return holding(text, tags.select(F.lower("keyword").alias("keyword"), "tag"), "keyword").select("note_id", "rule.tag").distinct()
+    asked = tags.select(F.lower("keyword").alias("phrase"), "tag")
+    return holding(text, asked, "note_id").join(asked, "phrase").select("note_id", "tag").distinct()
 
 
 def front_matter(notes: DataFrame, forced_project: str | None = None) -> DataFrame:

@@ -137,13 +137,54 @@ def relink(notes: DataFrame, moves: DataFrame) -> DataFrame:
     return out.withColumns({"body": F.when(F.col("to").isNull(), F.col("body")).otherwise(text), "rewritten": F.coalesce("rewritten", F.lit(0))}).drop("to")
 
 
-def match_regenerated(notes: DataFrame, regenerated: DataFrame) -> DataFrame:
-    """``(note_id, best, shared)``: the regenerated text of the same conversation and skeleton (images masked) that shares most lines."""
-    skeleton = F.sha1(F.regexp_replace(F.regexp_replace("body", NOTICE, "#"), r"!\[[^\]]*\]\([^)]+\)", "#"))
-    a = notes.select("note_id", "conv_id", skeleton.alias("skeleton"), F.split("body", "\n").alias("a"))
-    b = regenerated.select(F.col("note_id").alias("other"), "conv_id", skeleton.alias("skeleton"), F.split("body", "\n").alias("b"))
-    met = a.join(b, ["conv_id", "skeleton"]).select("note_id", F.struct(F.size(F.array_intersect("a", "b")).alias("shared"), F.col("other").alias("other")).alias("m"))
-    return met.groupBy("note_id").agg(F.max("m").alias("m")).select("note_id", F.col("m.other").alias("best"), F.col("m.shared").alias("shared"))
+#: What stands for an image in a note: a link or a notice.
+IMAGE = rf"!\[[^\]]*\]\([^)]*\)|{NOTICE}"
+
+
+def _lines(body: Column) -> Column:
+    return F.array_distinct(F.split(body, "\n"))
+
+
+def match_regenerated(notes: DataFrame, regenerated: DataFrame, manifest: DataFrame) -> DataFrame:
+    """``(note_id, outcome, best, shared)``: what becomes of each of ``notes(note_id, conv_id, title, date, body)`` that are to be made anew.
+
+    Candidates are the ``regenerated(note_id, conv_id, body)`` texts of the note's conversation; a note without one is
+    looked up in ``manifest(conv_id, title, date)`` by title and day, and takes those of all conversations it finds. A candidate must have the
+    same skeleton, the text with its images masked. Of those the one wins that shares most lines with the note, the
+    last id on a tie. ``outcome``: no export, no exact version, faithful (the best is the note itself), or regenerated.
+
+    No texts are paired. A skeleton and its conversation are one key; lines without an image are the same wherever it
+    is, so only lines with one are counted, by an inverted index: such a line's hash under that key.
+    """
+    day = lambda c: F.substring(F.coalesce(c.cast("string"), F.lit("")), 1, 10)
+    whole = F.coalesce("body", F.lit(""))
+    key = F.sha1(F.regexp_replace(whole, IMAGE, "#")).alias("skeleton")
+    marked = F.filter(_lines(whole), lambda x: x.rlike(IMAGE))
+    text = [key, F.sha1(whole).alias("text"), marked.alias("marked"), (F.size(_lines(whole)) - F.size(marked)).alias("plain")]
+    own = notes.select("note_id", F.nullif("conv_id", F.lit("")).alias("conv_id"), F.coalesce("title", F.lit("")).alias("title"), day(F.col("date")).alias("day"), *text)
+    listed = manifest.where("conv_id is not null").select(F.col("conv_id").alias("of"), F.coalesce("title", F.lit("")).alias("title"), day(F.col("date")).alias("day")).distinct()
+    by_title = own.where("conv_id is null").join(listed, ["title", "day"]).withColumn("conv_id", F.col("of")).drop("of")
+    fields = ["note_id", "conv_id", "skeleton", "text", "marked", "plain"]
+    asked = own.where("conv_id is not null").select(*fields).unionByName(by_title.select(*fields))
+    made = regenerated.where("conv_id is not null").select(F.col("note_id").alias("other"), "conv_id", *text)
+    # equal texts of a conversation are one candidate
+    once = made.groupBy("conv_id", "skeleton", "text").agg(F.max("other").alias("other"), F.first("marked").alias("marked"))
+    index = once.select("conv_id", "skeleton", "text", "other", F.explode("marked").alias("line"))
+    hits = asked.select("note_id", "conv_id", "skeleton", F.explode("marked").alias("line")).join(index, ["conv_id", "skeleton", "line"])
+    scored = hits.groupBy("note_id", "other", F.col("text").alias("best_text")).agg(F.countDistinct("line").alias("n"))
+    # one that shares none of these lines
+    any_of = once.groupBy("conv_id", "skeleton").agg(F.max(F.struct("other", "text")).alias("b"))
+    rest = asked.join(any_of, ["conv_id", "skeleton"]).select("note_id", F.col("b.other").alias("other"), F.col("b.text").alias("best_text"), F.lit(0).cast("long").alias("n"))
+    best = scored.unionByName(rest).groupBy("note_id").agg(F.max(F.struct("n", "other", "best_text")).alias("m"))
+    known = asked.join(made.select("conv_id").distinct(), "conv_id", "left_semi").select("note_id", F.lit(True).alias("known")).distinct()
+    met = own.select("note_id", "text", "plain").join(known, "note_id", "left").join(best, "note_id", "left")
+    outcome = F.when(F.col("known").isNull(), "no export").when(F.col("m").isNull(), "no exact version").when(F.col("m.best_text") == F.col("text"), "faithful").otherwise("regenerated")
+    return met.select("note_id", outcome.alias("outcome"), F.col("m.other").alias("best"), (F.col("plain") + F.col("m.n")).alias("shared"))
+
+
+def regeneration_report(matched: DataFrame) -> DataFrame:
+    """``(outcome, notes)``: how many notes came to what."""
+    return matched.groupBy("outcome").agg(F.count("*").alias("notes"))
 
 
 def verify_copy(source: DataFrame, target: DataFrame, tolerance: int = 2) -> DataFrame:

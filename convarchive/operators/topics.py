@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from convarchive.functions.text import fold_accents, strip_space, topic_tokens
+from convarchive.sources.shared import new_folder
 
 #: Words that say nothing about a note's subject, without accents. Callers may pass their own.
 STOPWORDS = (
@@ -78,31 +79,90 @@ def rule_table(spark: SparkSession, topics: dict[str, list[str]]) -> DataFrame:
     return spark.createDataFrame(rows, "topic string, kind string, field string, value string")
 
 
-#: Rules that one row may hold; it is broadcast.
-MAX_PHRASES = 20_000
+#: Characters on each side of a space that phrases and texts meet by, and of the grams of phrases without a space.
+SIDE, GRAM = 3, 3
 
 
-def holding(texts: DataFrame, rules: DataFrame, phrase: str) -> DataFrame:
-    """``texts`` rows with each ``rule`` whose ``phrase`` is in ``text``; no pairs of rows are made."""
-    listed = rules.agg(F.collect_list(F.struct(*rules.columns)).alias("__rules"))
-    listed = listed.select(F.when(F.size("__rules") > MAX_PHRASES, F.raise_error(F.lit("too many phrases"))).otherwise(F.col("__rules")).alias("__rules"))
-    met = texts.crossJoin(F.broadcast(listed))
-    found = F.filter("__rules", lambda r: F.contains(F.col("text"), r[phrase]))
-    return met.select(*texts.columns, F.explode(found).alias("rule"))
+def _pairs(text: Column) -> Column:
+    """What stands on both sides of each space: ``array<struct<l, r>>``."""
+    pieces = F.split(text, " ", -1)
+    return F.zip_with(F.slice(pieces, 1, F.size(pieces) - 1), F.slice(pieces, 2, F.size(pieces)), lambda x, y: F.struct(x.alias("l"), y.alias("r")))
+
+
+def _side_key(pair: Column, left: Column, right: Column) -> Column:
+    """So many characters before and after a space."""
+    return F.concat(F.right(pair["l"], left), F.lit(" "), F.left(pair["r"], right))
+
+
+def _grams(word: Column, size: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.length(word) - size + 1), lambda i: F.substring(word, i, size))
+
+
+def _rarest(keys: DataFrame, counts: DataFrame) -> DataFrame:
+    """``(key, phrase)``: of ``keys(phrase, key)`` the one in fewest places for each phrase; one that is nowhere drops its phrase."""
+    met = keys.join(counts, "key", "left")
+    best = met.groupBy("phrase").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("b"))
+    return best.where("b.n > 0").select("b.key", "phrase")
+
+
+def holding(texts: DataFrame, phrases: DataFrame, *keys: str) -> DataFrame:
+    """``(*keys, phrase)``: which of ``phrases(phrase)`` each of ``texts(*keys, text)`` contains; rows with the same keys count as one.
+
+    A blocking index, so that no text is held against every phrase. A phrase with spaces meets texts by what stands
+    around the one of its spaces that is rarest in the texts; whether it is there is looked at in the texts met only.
+    One without spaces must lie inside a piece between two spaces, and so meets the texts' vocabulary, by the rarest
+    of its grams. There is no bound on phrases, and all meetings are equi-joins. Null and empty phrases are in no text.
+    """
+    spark = texts.sparkSession
+    phrases = phrases.select("phrase").where("phrase <> ''").distinct()
+    with_space = F.contains("phrase", F.lit(" "))
+    # by the space: as many characters as the phrase has there, at most SIDE; a text offers the sizes in use only
+    sides = phrases.where(with_space).select("phrase", F.explode(_pairs(F.col("phrase"))).alias("p"))
+    most = lambda c: F.least(F.length(c), F.lit(SIDE))
+    sides = sides.withColumns({"a": most("p.l"), "b": most("p.r")}).withColumn("key", _side_key(F.col("p"), F.col("a"), F.col("b"))).select("phrase", "a", "b", "key").distinct()
+    shapes = [(r.a, r.b) for r in sides.select("a", "b").distinct().collect()]  # (SIDE + 1) squared at most
+    path = f"{new_folder(spark)}/met"
+    if shapes:
+        offered = F.array_distinct(F.flatten(F.transform(_pairs(F.col("text")), lambda p: F.array(*[_side_key(p, F.lit(a), F.lit(b)) for a, b in shapes]))))
+        met = texts.select(*keys, F.explode(offered).alias("key")).join(sides.select("key").distinct(), "key").distinct()
+        met.write.parquet(path)
+        met = spark.read.parquet(path)
+        chosen = _rarest(sides.select("phrase", "key"), met.groupBy("key").agg(F.count("*").alias("n")))
+        by_text = met.join(chosen, "key").groupBy(*keys).agg(F.collect_set("phrase").alias("phrases"))
+        same = [texts[k].eqNullSafe(by_text[k]) for k in keys]
+        asked = texts.join(by_text, reduce(Column.__and__, same)).select(*[texts[k] for k in keys], "text", "phrases")
+        spaced = asked.select(*keys, F.explode(F.filter("phrases", lambda x: F.contains(F.col("text"), x))).alias("phrase"))
+    else:
+        spaced = texts.select(*keys, F.lit(None).cast("string").alias("phrase")).where("false")
+    # by the vocabulary
+    single = phrases.where(~with_space).withColumn("size", F.least(F.length("phrase"), F.lit(GRAM)))
+    single = single.select("phrase", "size", F.explode(F.array_distinct(_grams(F.col("phrase"), F.col("size")))).alias("key"))
+    sizes = [r.size for r in single.select("size").distinct().collect()]  # GRAM at most
+    pieces = texts.select(*keys, F.explode(F.array_distinct(F.split("text", " ", -1))).alias("piece"))
+    if sizes:
+        words = pieces.select("piece").distinct()
+        long_enough = [F.when(F.length("piece") >= n, _grams(F.col("piece"), F.lit(n))).otherwise(F.array().cast("array<string>")) for n in sizes]
+        grams = words.select("piece", F.explode(F.array_distinct(F.concat(*long_enough))).alias("key")).join(single.select("key").distinct(), "key")
+        grams.write.parquet(f"{path}-words")
+        grams = spark.read.parquet(f"{path}-words")
+        chosen = _rarest(single.select("phrase", "key"), grams.groupBy("key").agg(F.count("*").alias("n")))
+        inside = grams.join(chosen, "key").where(F.contains("piece", "phrase")).select("piece", "phrase").distinct()
+        spaced = spaced.unionByName(pieces.join(inside, "piece").select(*keys, "phrase"))
+    return spaced.distinct()
 
 
 def match_topics(notes: DataFrame, rules: DataFrame, fields: list[str]) -> DataFrame:
     """``(topic, note_id, content)``: notes that any rule hits; ``content`` tells a word or phrase among them.
 
-    Words meet tokens by an equi-join, field values meet front-matter values by another. Phrases are looked for in
-    each note's text once, from one row that holds them all: a topic map is written by hand, over ``MAX_PHRASES`` is an error.
+    Words meet tokens by an equi-join, field values meet front-matter values by another, and phrases meet texts by ``holding``.
     """
     norm = rules.select("topic", "kind", fold_accents(strip_space(F.col("field"))).alias("field"), fold_accents(strip_space(F.col("value"))).alias("value"))
     words = norm.where("kind = 'word'").select("topic", F.col("value").alias("token"))
     by_word = tokens(notes).join(words, "token").select("topic", "note_id", F.lit(True).alias("content"))
     text = notes.select("note_id", fold_accents(F.concat_ws("\n", "body", "title")).alias("text"))
     phrases = norm.where("kind = 'phrase'").select("topic", "value")
-    by_phrase = holding(text, phrases, "value").select("rule.topic", "note_id", F.lit(True).alias("content"))
+    found = holding(text, phrases.select(F.col("value").alias("phrase")), "note_id")
+    by_phrase = found.join(phrases.withColumnRenamed("value", "phrase"), "phrase").select("topic", "note_id", F.lit(True).alias("content"))
     pairs = F.array(*[F.struct(fold_accents(F.lit(f)).alias("field"), fold_accents(F.col(f).cast("string")).alias("value")) for f in fields])
     values = notes.select("note_id", F.explode(pairs).alias("p")).select("note_id", "p.*")
     by_field = values.join(norm.where("kind = 'field'").select("topic", "field", "value"), ["field", "value"]).select("topic", "note_id", F.lit(False).alias("content"))

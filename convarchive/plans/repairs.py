@@ -128,14 +128,47 @@ def relink(spark, d):
     return r.relink(notes, moves)
 
 
-@query(
-    "J11_match_regenerated",
-    v.with_sql(v.DOC_NOTES, "n AS (SELECT note_id, coalesce(conv_id, 'none') AS conv_id, body FROM nt)",
-               "SELECT a.note_id, max_by(b.note_id, (len(list_distinct(string_split(a.body, chr(10)))), b.note_id)) AS best, (len(list_distinct(string_split(a.body, chr(10)))))::INT AS shared FROM n a JOIN n b ON a.conv_id = b.conv_id AND a.body = b.body GROUP BY a.note_id, a.body"),
-)
+#: Notes to be made anew: every fourth has no conversation and is found by title and day, some of these in no manifest. Of a conversation two
+#: versions are made of each text, of which one or the other is nearer, or the text itself, or another text only.
+REGENERATED = r"""jn AS (SELECT note_id, conv_id, title, strftime(date, '%Y-%m-%d') AS day, doc_id, body FROM nt),
+ja AS (SELECT note_id, conv_id, title, day, body || chr(10) || '![](' || doc_id % 5 || '.png)' || chr(10) || '[missing image:p]' AS body FROM jn),
+jm AS (SELECT DISTINCT coalesce(conv_id, 'd' || doc_id % 20) AS conv_id, title, day FROM jn WHERE doc_id % 8 <> 4),
+jr AS (
+  SELECT note_id || '-a' AS other, coalesce(conv_id, 'd' || doc_id % 20) AS conv_id, body || chr(10) || '![](' || doc_id % 3 || '.png)' || chr(10) || '![](q.png)' AS body FROM jn WHERE doc_id % 7 <> 1
+  UNION ALL SELECT note_id || '-b', coalesce(conv_id, 'd' || doc_id % 20), body || chr(10) || '![](9.png)' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '[missing image:p]' ELSE '![](q.png)' END FROM jn WHERE doc_id % 7 <> 1
+  UNION ALL SELECT note_id || '-c', conv_id, body FROM ja WHERE note_id::INT % 6 = 1 AND note_id::INT % 7 <> 1),
+jc AS (SELECT a.*, a.conv_id AS of FROM ja a WHERE conv_id IS NOT NULL UNION ALL SELECT a.*, m.conv_id FROM ja a JOIN jm m ON a.title = m.title AND a.day IS NOT DISTINCT FROM m.day WHERE a.conv_id IS NULL),
+jk AS (SELECT DISTINCT note_id FROM jc JOIN jr ON jc.of = jr.conv_id),
+jp AS (
+  SELECT c.note_id, r.other, r.body = c.body AS same, len(list_intersect(list_distinct(string_split(c.body, chr(10))), list_distinct(string_split(r.body, chr(10))))) AS shared
+  FROM jc c JOIN jr r ON c.of = r.conv_id AND regexp_replace(c.body, '!\[[^\]]*\]\([^)]*\)|\[missing image:([^\]]+)\]', '#', 'g') = regexp_replace(r.body, '!\[[^\]]*\]\([^)]*\)|\[missing image:([^\]]+)\]', '#', 'g')),
+jb AS (SELECT note_id, other, same, shared FROM jp QUALIFY row_number() OVER (PARTITION BY note_id ORDER BY shared DESC, other DESC) = 1),
+jo AS (SELECT note_id, CASE WHEN jk.note_id IS NULL THEN 'no export' WHEN other IS NULL THEN 'no exact version' WHEN same THEN 'faithful' ELSE 'regenerated' END AS outcome, other AS best, shared
+  FROM jn LEFT JOIN jk USING (note_id) LEFT JOIN jb USING (note_id))"""
+
+
+def regeneration(spark, d):
+    k = doc()
+    n = v.notes(spark, d).select("note_id", "conv_id", "title", F.date_format("date", "yyyy-MM-dd").alias("date"), "body", "doc_id")
+    own = F.coalesce("conv_id", F.concat(F.lit("d"), (k % 20).cast("string")))
+    line = lambda c: F.concat(F.lit("\n![]("), c, F.lit(".png)"))
+    asked = n.withColumn("body", F.concat("body", line((k % 5).cast("string")), F.lit("\n[missing image:p]")))
+    some = n.where("doc_id % 7 <> 1")
+    made = lambda name, conv, body, rows: rows.select(F.concat("note_id", F.lit(name)).alias("note_id"), conv.alias("conv_id"), body.alias("body"))
+    again = made("-a", own, F.concat("body", line((k % 3).cast("string")), line(F.lit("q"))), some)
+    again = again.unionByName(made("-b", own, F.concat("body", line(F.lit("9")), F.when(k % 2 == 0, "\n[missing image:p]").otherwise("\n![](q.png)")), some))
+    again = again.unionByName(made("-c", F.col("conv_id"), F.col("body"), asked.where("doc_id % 6 = 1 and doc_id % 7 <> 1")))
+    return r.match_regenerated(asked, again, n.where("doc_id % 8 <> 4").select(own.alias("conv_id"), "title", "date"))
+
+
+@query("J11_match_regenerated", v.with_sql(v.DOC_NOTES, REGENERATED, "SELECT note_id, outcome, best, shared::BIGINT AS shared FROM jo"))
 def match_regenerated(spark, d):
-    n = v.notes(spark, d).select("note_id", F.coalesce("conv_id", F.lit("none")).alias("conv_id"), "body")
-    return r.match_regenerated(n.withColumn("body", F.concat("body", F.lit("\n[missing image:p]"))), n.withColumn("body", F.concat("body", F.lit("\n![](p.png)"))))
+    return regeneration(spark, d).withColumn("shared", F.col("shared").cast("long"))
+
+
+@query("J11_regeneration_report", v.with_sql(v.DOC_NOTES, REGENERATED, "SELECT outcome, count(*) AS notes FROM jo GROUP BY 1"))
+def regeneration_report(spark, d):
+    return r.regeneration_report(regeneration(spark, d))
 
 
 @query(
