@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from convarchive.operators.projects import project_view
+from convarchive.operators.ranking import numbered
 
 #: How a note names an attachment, in its present and its older form.
 ATTACHMENT = "(?m)^(?:📎\\s*Archivo\\s+adjunto|📄\\s*Archivo\\s+cargado):\\s*\\*\\*(.+?)\\*\\*"
@@ -18,14 +19,16 @@ def tree_counts(notes: DataFrame) -> DataFrame:
 
 
 def tree_index(notes: DataFrame, max_per_month: int | None = None) -> DataFrame:
-    """``(project, year, month, nth, note_id, more)``: notes by date, then title, the first ``max_per_month``; ``more``: how many the month has beyond."""
-    view = project_view(notes).join(notes.select("note_id", "title", "date"), "note_id")
-    month = Window.partitionBy(F.lower("project"), "year", "month")
-    nth = F.row_number().over(month.orderBy(F.asc_nulls_first("date"), F.lower("title"), "note_id"))
-    n = F.count("*").over(month)
-    out = view.withColumns({"nth": nth, "n": n})
+    """``(project, year, month, nth, note_id, more)``: notes by date, then title, the first ``max_per_month``; ``more``: how many the month has beyond.
+
+    A month may hold any number of notes: all undated ones of a project are one, numbered over as many tasks as they need.
+    """
+    fields = [F.col("note_id"), F.lower("title").alias("__title"), F.col("date").isNotNull().alias("__dated"), "date"]
+    view = project_view(notes).join(notes.select(*fields), "note_id")
+    order = [F.col("__dated"), F.col("date"), F.coalesce("__title", F.lit("")), F.col("note_id")]
+    out = numbered(view, [F.lower("project"), F.col("year"), F.col("month")], order)
     limit = F.lit(max_per_month) if max_per_month else F.col("n")
-    return out.where(F.col("nth") <= limit).select("project", "year", "month", "nth", "note_id", F.greatest(F.lit(0), F.col("n") - limit).alias("more"))
+    return out.where(F.col("nth") <= limit).select("project", "year", "month", F.col("nth").cast("int").alias("nth"), "note_id", F.greatest(F.lit(0), F.col("n") - limit).alias("more"))
 
 
 def attachment_index(notes: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convarchive.functions.text import strip_space
+from convarchive.sources.shared import checkpoint_root
 
 
 def sound(nodes: DataFrame) -> DataFrame:
@@ -16,10 +17,22 @@ def sound(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("conv_id").agg((F.count("*") == F.countDistinct("node_id")).alias("sound")).where("sound").select("conv_id")
 
 
+#: Nodes of a conversation that is walked within one row; longer ones are walked by doubling.
+SHORT = 500
+
+
 def _walk(children: DataFrame, leaves: DataFrame) -> DataFrame:
-    """Per sound conversation the node ids from the root to the leaf; a walk stops where it would meet a node again."""
-    links = children.join(leaves.select("conv_id"), "conv_id", "left_semi").groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct("node_id", "parent_id"))).alias("up"), F.count("*").alias("n"))
-    met = leaves.join(links, "conv_id").where("leaf_id is not null")
+    """Per conversation the node ids from the root to the leaf; a walk stops where it would meet a node again."""
+    sizes = children.groupBy("conv_id").agg(F.count("*").alias("n"))
+    known = leaves.where("leaf_id is not null").join(sizes, "conv_id")
+    short = _short_walk(children, known.where(F.col("n") <= SHORT))
+    long = known.where(F.col("n") > SHORT).select("conv_id", "leaf_id")
+    return short if long.isEmpty() else short.unionByName(_long_walk(children, long))
+
+
+def _short_walk(children: DataFrame, leaves: DataFrame) -> DataFrame:
+    links = children.join(leaves.select("conv_id"), "conv_id", "left_semi").groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct("node_id", "parent_id"))).alias("up"))
+    met = leaves.join(links, "conv_id")
 
     def step(path: Column, _: Column) -> Column:
         above = F.try_element_at("up", F.element_at(path, -1))
@@ -31,6 +44,29 @@ def _walk(children: DataFrame, leaves: DataFrame) -> DataFrame:
     return met.select("conv_id", F.posexplode(path).alias("pos", "node_id"))
 
 
+def _long_walk(children: DataFrame, leaves: DataFrame) -> DataFrame:
+    """The same by pointer doubling: after k rounds the first 2^k nodes from the leaf are known, and where each node's 2^k-th ancestor is.
+
+    A round is two joins over nodes, written to the shared checkpoint folder, so a walk of d nodes takes log2(d) of
+    them and no row holds a thread. On a cycle a node counts at its first place, as going round again finds nothing new.
+    """
+    checkpoint_root(children.sparkSession)
+    nodes = children.join(leaves.select("conv_id"), "conv_id", "left_semi")
+    there = nodes.select("conv_id", F.col("node_id").alias("to"))
+    jumps = nodes.select("conv_id", "node_id", F.col("parent_id").alias("to")).join(there, ["conv_id", "to"]).select("conv_id", "node_id", "to").checkpoint()
+    path, n, reach = leaves.select("conv_id", F.col("leaf_id").alias("node_id"), F.lit(0).cast("long").alias("away")), 0, 1
+    while True:
+        further = path.join(jumps, ["conv_id", "node_id"]).select("conv_id", F.col("to").alias("node_id"), (F.col("away") + reach).alias("away"))
+        path = path.unionByName(further).groupBy("conv_id", "node_id").agg(F.min("away").alias("away")).checkpoint()
+        before, n = n, path.count()
+        if n == before:
+            break
+        jumps = jumps.join(jumps.select("conv_id", F.col("node_id").alias("to"), F.col("to").alias("next")), ["conv_id", "to"]).select("conv_id", "node_id", F.col("next").alias("to")).checkpoint()
+        reach *= 2
+    ends = path.groupBy("conv_id").agg(F.max("away").alias("top"))
+    return path.join(ends, "conv_id").select("conv_id", (F.col("top") - F.col("away")).cast("int").alias("pos"), "node_id")
+
+
 def resolve_thread(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
     """``(conv_id, pos, node_id)``: the branch from ``leaves(conv_id, leaf_id)`` to the root; regenerated branches drop out.
 
