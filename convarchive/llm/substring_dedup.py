@@ -35,9 +35,10 @@ from convarchive.llm.common import numbered, require, stored, table
 WINDOW = 20
 #: Words of a gram whose hash may be a minimizer; windows have at least as many.
 GRAM = 5
-#: Words of a shard that is sought, and how many times that it may hold.
+#: Words of a shard that is sought, and how many times that it may hold: an automaton takes about 600 bytes a word that is new to it,
+#: so a task holds 360 MB at most, and far less where passages repeat each other.
 SHARD_WORDS = 50_000
-HOT = 4
+HOT = 12
 PASSAGE, PASSAGE_SCHEMA = ["shard", "rank", "a", "n", "text"], "shard long, rank long, a int, n int, text string"
 PASSAGE_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
 
