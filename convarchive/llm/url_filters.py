@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convarchive.llm.common import ascii_lower, put_back, require, set_aside, table
+from convarchive.llm.common import ascii_lower, let, put_back, require, set_aside, table
 from convarchive.llm.components import connected_components
 
 OUTPUTS = ("host", "path", "rule", "verdict", "verdict_by")
@@ -63,9 +63,10 @@ def _without_dots(path: Column) -> Column:
 
 def _decoded(link: Column) -> Column:
     """Without the character references that links have: those of ``& \" ' < >`` and ``/``."""
+    plain = link
     for said, char in (("quot|#34|#x22", '"'), ("apos|#39|#x27", "'"), ("lt|#60|#x3c", "<"), ("gt|#62|#x3e", ">"), ("sol|#47|#x2f", "/"), ("amp|#38|#x26", "&")):
-        link = F.when(F.contains(link, F.lit("&")), F.regexp_replace(link, f"(?i)&(?:{said});", char)).otherwise(link)
-    return link
+        plain = F.regexp_replace(plain, f"(?i)&(?:{said});", char)
+    return F.when(F.contains(link, F.lit("&")), plain).otherwise(link)
 
 
 def _absolute(link: Column, url: Column) -> Column:
@@ -76,13 +77,14 @@ def _absolute(link: Column, url: Column) -> Column:
     folder = F.regexp_extract(base, r"^(?s:(.*/))", 1)
     folder = F.when(F.startswith(folder, F.lit("/")), folder).otherwise("/")
     path, rest = F.regexp_extract(link, r"^([^?#]*)", 1), F.regexp_extract(link, r"^[^?#]*((?s:.*))$", 1)
+    straight = lambda p: let(p, _without_dots)
     return (
         F.when(F.startswith(link, F.lit("#")), F.lit(None))
         .when(F.startswith(link, F.lit("//")), F.concat(scheme, F.lit(":"), link))
         .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link))
         .when(F.startswith(link, F.lit("?")), F.concat(origin, base, link))
-        .when(F.startswith(link, F.lit("/")), F.concat(origin, _without_dots(path), rest))
-        .otherwise(F.concat(origin, _without_dots(F.concat(folder, path)), rest))
+        .when(F.startswith(link, F.lit("/")), F.concat(origin, straight(path), rest))
+        .otherwise(F.concat(origin, straight(F.concat(folder, path)), rest))
     )
 
 
@@ -98,9 +100,11 @@ def link_edges(pages: DataFrame) -> DataFrame:
         F.filter(tags, lambda t: t.rlike(r"""(?i)\bhttp-equiv\s*=\s*["']?refresh\b""")),
         lambda t: F.regexp_extract(t, r"""(?i)\burl\s*=\s*["']?([^"'\s>;]+)""", 1),
     )
-    links = pages.select("url", F.explode(F.concat(canonical, refresh)).alias("link")).where("link <> ''")
-    links = links.withColumn("link", _decoded(F.col("link")))
-    return links.select(resource(F.col("url")).alias("a"), resource(_absolute(F.col("link"), F.col("url"))).alias("b")).where("a <> b")
+    # what is used more than once is computed inside the array or by ``let``, else the plan spells it out each time
+    found = F.filter(F.concat(canonical, refresh), lambda x: x != "")
+    links = pages.select("url", F.explode(F.transform(found, _decoded)).alias("link"))
+    target = let(_absolute(F.col("link"), F.col("url")), resource)
+    return links.select(resource(F.col("url")).alias("a"), target.alias("b")).where("a <> b")
 
 
 def rule_frame(spark: SparkSession, rules) -> DataFrame:

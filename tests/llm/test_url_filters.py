@@ -103,3 +103,9 @@ def test_ties_and_very_long_pages(spark):
     pages = [(1, "http://a.net/b/" + "c" * 200_000, "<p>" * 300_000 + LINK.format("/d")), (2, "http://a.net/d", ""), (3, "http://x.net/", "")]
     got = run(spark, pages, rules)
     assert [got[i].verdict for i in (1, 2, 3)] == ["allow", "block", "block"] and got[1].rule == "a.net/b"
+
+
+def test_plan_of_links_stays_small(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/x", "<link rel=canonical href='/y?a&amp;b'>")], "page_id int, url string, html string")
+    plan = u.link_edges(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 40_000 and plan.count("regexp_replace") < 60
