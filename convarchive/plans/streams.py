@@ -72,6 +72,29 @@ def stream_turns(spark, d):
     return out.withColumn("started", F.col("started").cast("string"))
 
 
+AGENT_TURNS = r"""w AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE AS w FROM se WHERE kind <> 'noise' AND NOT is_side),
+k AS (SELECT session_id, line_no, ts, kind, text, sum((kind = 'human')::INT) OVER (PARTITION BY session_id ORDER BY line_no) AS island FROM se, w WHERE kind <> 'noise' AND NOT is_side AND ts < w),
+p AS (SELECT *, kind = 'human' AS u, lag(ts) OVER (PARTITION BY session_id, island, kind = 'human' ORDER BY line_no) AS before FROM k WHERE island > 0),
+q AS (SELECT *, 1 + sum(coalesce(ts - before > INTERVAL 7 DAY, false)::INT) OVER (PARTITION BY session_id, island, u ORDER BY line_no) AS part FROM p),
+t AS (
+  SELECT session_id, island, u, part, min(line_no) AS l, min(ts) AS started, max(ts) AS ended, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY line_no) FILTER (WHERE kind IN ('human', 'text')), '') AS text,
+    count_if(kind = 'thinking')::INT AS thoughts, count_if(kind = 'tool')::INT AS tools FROM q GROUP BY 1, 2, 3, 4),
+n AS (SELECT *, dense_rank() OVER (PARTITION BY session_id ORDER BY island, u DESC) AS turn, lead(l) OVER (PARTITION BY session_id ORDER BY l) AS next FROM t)"""
+
+
+@query(
+    "O3_agent_turns",
+    v.with_sql(
+        v.EVENTS, AGENT_TURNS,
+        "SELECT session_id, turn::INT AS turn, part::INT AS part, CASE WHEN u THEN 'user' ELSE 'assistant' END AS role, started::VARCHAR AS started, text, thoughts, tools FROM n, w WHERE next IS NOT NULL OR ended + INTERVAL 7 DAY < w",
+    ),
+)
+def stream_agent_turns(spark, d):
+    rows = v.session_events(spark, d).select("session_id", F.col("ts").cast("timestamp").alias("ts"), "line_no", "kind", "is_side", "text")
+    out = ran(spark, o.stream_agent_turns(streamed(spark, rows)))
+    return out.withColumn("started", F.col("started").cast("string"))
+
+
 @query(
     "O4_stream_activity",
     "SELECT strftime(ts, '%Y-%m-%d') AS day, CASE WHEN event_type = 'view' THEN 'chatgpt' ELSE event_type END AS provider, count(*) AS imports FROM events "

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from convarchive.operators.merge import append_versions, fingerprint
 
@@ -71,6 +76,72 @@ def stream_session_turns(stream: DataFrame, gap: str = "30 minutes", delay: str
     return turns.select("session_id", "started", (F.col("turn") + 1).alias("turn"), "t.*")
 
 
+TURN = "session_id {0}, turn int, part int, role string, started long, text string, thoughts int, tools int"
+
+
+def stream_agent_turns(stream: DataFrame, quiet: str = "7 days", delay: str = "10 minutes", forget: str = "365 days") -> DataFrame:
+    """The turns of ``threads.agent_turns`` as a stream: ``(session_id, turn, part, role, started, text, thoughts, tools)``.
+
+    ``stream(session_id, ts, line_no, kind, is_side, text)``. A session's open turn is its state and stays open over bursts, so
+    work without a prompt of its own continues the answer before. Events wait until the watermark has passed them
+    and are taken by line. A turn is put out when the next one begins, or when the session has been quiet for
+    ``quiet``; what continues it after such a pause is the turn's next ``part``. A session that says nothing for ``forget`` is
+    forgotten, and numbers its turns anew. Events later than ``delay`` drop out.
+    """
+    pause, gone = (int(pd.Timedelta(x).total_seconds() * 1_000_000) for x in (quiet, forget))
+    key = stream.select("session_id").schema[0].dataType.simpleString()
+    columns = ["session_id", "turn", "part", "role", "started", "text", "thoughts", "tools"]
+
+    def advance(session: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now, out = state.getCurrentWatermarkMs() * 1000, []
+        turn, part, last, opened, waiting = json.loads(state.get[0]) if state.exists else (0, 0, None, None, [])
+        if not state.hasTimedOut:
+            for b in batches:
+                waiting += map(list, zip(b["at"].tolist(), b["line_no"].tolist(), b["kind"].tolist(), b["text"].tolist(), strict=True))
+
+        def close() -> None:
+            nonlocal opened
+            if opened:
+                out.append((session[0], turn, part, opened["role"], opened["started"], "\n\n".join(opened["said"]), opened["thoughts"], opened["tools"]))
+            opened = None
+
+        for at, line, kind, text in sorted((e for e in waiting if e[0] < now), key=lambda e: e[1]):
+            human = kind == "human"
+            if turn == 0 and not human:
+                continue  # nothing was asked yet
+            role = "user" if human else "assistant"
+            if opened is None and last is not None and not human and role == last[1]:
+                part += 1
+            elif opened is None or human or opened["role"] != role:
+                close()
+                turn, part = turn + 1, 1
+            elif at - last[0] > pause:
+                close()
+                part += 1
+            opened = opened or {"role": role, "started": at, "said": [], "thoughts": 0, "tools": 0}
+            if human or kind == "text":
+                opened["said"].append(text or "")
+            opened["thoughts"] += kind == "thinking"
+            opened["tools"] += kind == "tool"
+            last = [at, role]
+        waiting = [e for e in waiting if e[0] >= now]
+        if opened and last[0] + pause < now:
+            close()
+        if waiting or last and last[0] + gone >= now:
+            state.update((json.dumps([turn, part, last, opened, waiting]),))
+            wake = [e[0] for e in waiting] + ([last[0] + pause] if opened else []) + ([last[0] + gone] if last else [])
+            state.setTimeoutTimestamp(max(now // 1000 + 1, min(wake) // 1000))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=columns)
+
+    events = stream.where(F.col("kind").isin("human", "text", "tool", "thinking") & ~F.coalesce("is_side", F.lit(False))).withWatermark("ts", delay)
+    events = events.select("session_id", "ts", F.unix_micros("ts").alias("at"), "line_no", "kind", "text").groupBy("session_id")
+    out = events.applyInPandasWithState(advance, TURN.format(key), "state string", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.withColumn("started", F.timestamp_micros("started"))
+
+
 def stream_activity(stream: DataFrame, delay: str = "2 days", every: str = "1 day") -> DataFrame:
     """Imports per provider and day (a month is a sum of days); late rows count until the delay has passed."""
     counts = stream.withWatermark("ts", delay).groupBy(F.window("ts", every).alias("w"), F.coalesce("provider", F.lit("chatgpt")).alias("provider"))
