@@ -127,10 +127,3 @@ def export_of(html: str | None) -> list[dict]:
 def parse_html_export(html: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in html:
         yield s.map(export_of)
-
-
-@F.pandas_udf(T.StringType())
-def nfc_casefold(text: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Text equality of post titles: composed and case-folded."""
-    for s in text:
-        yield s.str.normalize("NFC").str.strip().str.casefold()

@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convarchive.functions.html import nfc_casefold
 from convarchive.functions.text import word_count
 
 
+#: Compares letters and accents, not case.
+TITLES = "UNICODE_CI"
+
+
 def join_stats(posts: DataFrame, stats: DataFrame) -> DataFrame:
-    """Posts with their statistics row by title (composed, case-folded) and day; of repeated rows the last (by ``row_no``) wins."""
-    key = lambda df: df.withColumns({"__title": nfc_casefold("title"), "__day": F.substring("post_date", 1, 10)})
+    """Posts with their statistics row by title and day; of repeated rows the last (by ``row_no``) wins.
+
+    Titles are compared under a Unicode collation that knows neither case nor how a letter is composed.
+    """
+    key = lambda df: df.withColumns({"__title": F.collate("title", TITLES), "__day": F.substring("post_date", 1, 10)})
     measures = [c for c in stats.columns if c not in ("title", "post_date", "row_no")]
     last = key(stats).groupBy("__title", "__day").agg(F.max(F.struct("row_no", *measures)).alias("s")).select("__title", "__day", *[F.col(f"s.{c}").alias(c) for c in measures], F.lit(True).alias("has_stats"))
     return key(posts).join(last, ["__title", "__day"], "left").drop("__title", "__day").fillna(False, ["has_stats"])

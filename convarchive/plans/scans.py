@@ -150,12 +150,16 @@ def frame_comments(spark, d):
     return r.parse_claude_frames(*frame_files(spark, d))["comment"].select("frame_id", "pos", "text")
 
 
-@query("A7_read_claude_memories", f"SELECT 's' || s_suppkey AS project_id, s_name AS memory FROM supplier WHERE s_suppkey % ((SELECT count(*) FROM supplier) // {PER_FILE} + 1) = 0")
+@query("A7_read_claude_memories", "SELECT 's' || s_suppkey AS project_id, s_name AS memory FROM supplier")
 def read_claude_memories(spark, d):
-    """Only the first file counts; the others are there."""
-    entry = F.struct(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")), "s_name")
-    path = mapped(v.table(spark, d, "supplier"), "s_suppkey", entry, lambda m: F.struct(F.lit("a").alias("account_uuid"), F.lit("m").alias("conversations_memory"), m.alias("project_memories")))
-    return r.read_claude_memories(spark, path)["project_memory"]
+    """An export an account, of two files each, of which only the first counts."""
+    memory = lambda name: F.to_json(F.struct(F.col("k").cast("string").alias("account_uuid"), F.lit("m").alias("conversations_memory"), F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")), name))).alias("project_memories")))
+    rows = dealt(v.table(spark, d, "supplier"), "s_suppkey").groupBy("k")
+    first = rows.agg(memory(F.col("s_name")).alias("value")).withColumn("part", F.lit(1))
+    second = rows.agg(memory(F.concat(F.lit("other "), F.col("s_name"))).alias("value")).withColumn("part", F.lit(2))
+    path = f"{shared(spark)}/json"
+    first.unionByName(second).write.partitionBy("k", "part").text(path)
+    return r.read_claude_memories(spark, f"{path}/*/*")["project_memory"]
 
 
 def grok_path(spark, d):

@@ -117,9 +117,10 @@ def read_claude_frames(spark: SparkSession, folder: str) -> dict[str, DataFrame]
 
 
 def read_claude_memories(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """General, project and file memories; of several files only the first by name counts."""
+    """General, project and file memories; of several files of an export, ``<export>/<part>/<file>``, only the first by name counts."""
     raw = _json(spark, path, MEMORY).withColumn("file", F.col("_metadata.file_path"))
-    raw = raw.join(F.broadcast(raw.agg(F.min("file").alias("file"))), "file", "left_semi")
+    export = F.regexp_extract("file", r"^(.*)/[^/]+/[^/]+$", 1)
+    raw = raw.join(raw.select("file").groupBy(export.alias("export")).agg(F.min("file").alias("file")).select("file"), "file", "left_semi")
     by_project = raw.select(F.explode(F.map_entries("project_memories")).alias("e")).select(F.col("e.key").alias("project_id"), F.col("e.value").alias("memory"))
     return {"memory": raw.select("account_uuid", "conversations_memory"), "project_memory": by_project, "memory_file": raw.select(F.explode("memory_files").alias("f")).select("f.*")}
 
