@@ -65,7 +65,7 @@ NODES = "SELECT conv_id::VARCHAR AS conv_id, turn::VARCHAR AS node_id, CASE WHEN
 
 @query("A1_read_chatgpt", NODES)
 def read_chatgpt(spark, d):
-    return r.read_chatgpt(spark, chatgpt_path(spark, d, '{"conversations":[%s]}'))["node"].select("conv_id", "node_id", "parent_id", "role", "content")
+    return r.read_chatgpt(spark, chatgpt_path(spark, d, '{"conversations":[%s]}'), split=True)["node"].select("conv_id", "node_id", "parent_id", "role", "content")
 
 
 @query("A2_read_shards", "SELECT conv_id::VARCHAR AS conv_id, 'T' || conv_id AS title, max(turn)::VARCHAR AS leaf_id FROM conversations GROUP BY conv_id")
@@ -87,7 +87,7 @@ def claude_path(spark, d):
 
 @query("A3_read_claude", NODES.replace("text AS content", "text || chr(10) || chr(10) || 'end' AS content"))
 def read_claude(spark, d):
-    return r.read_claude(spark, claude_path(spark, d))["node"].select("conv_id", "node_id", "parent_id", "role", "content")
+    return r.read_claude(spark, claude_path(spark, d), split=True)["node"].select("conv_id", "node_id", "parent_id", "role", "content")
 
 
 @query(
@@ -173,7 +173,7 @@ def grok_path(spark, d):
 
 @query("A8_read_grok", NODES.replace("FROM", ", (turn)::DOUBLE AS seconds FROM"))
 def read_grok(spark, d):
-    return r.read_grok(spark, grok_path(spark, d))["node"].select("conv_id", "node_id", "parent_id", "role", "content", F.col("created").cast("double").alias("seconds"))
+    return r.read_grok(spark, grok_path(spark, d), split=True)["node"].select("conv_id", "node_id", "parent_id", "role", "content", F.col("created").cast("double").alias("seconds"))
 
 
 @query("A9_grok_media", "SELECT s_name AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'videos' ELSE 'images' END AS bank FROM supplier WHERE s_suppkey % 3 <> 0")

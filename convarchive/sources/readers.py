@@ -1,6 +1,7 @@
 """Readers of provider exports, agent logs, posts, libraries and notes: files in, canonical tables out.
 
-JSON files are parsed by Spark with explicit schemas (one task a file); line-oriented logs are split freely.
+JSON files are parsed by Spark with explicit schemas: one task a file, or with ``split`` many tasks a file. Line-oriented
+logs are split freely.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from convarchive.functions.html import parse_html_export
 from convarchive.functions.text import normalize_role, strip_space
 from convarchive.operators.intake import CATEGORIES, is_stats_csv
+from convarchive.sources.json_arrays import read_elements
 
 CHATGPT = """title string, create_time double, createTime double, update_time double, gizmo_id string, conversation_id string, id string, conversation_template_id string, memory_scope string, current_node string,
   mapping map<string, struct<parent:string, message:struct<author:struct<role:string>, create_time:double, content:struct<content_type:string, parts:array<string>, text:string>, metadata:struct<model_slug:string>>>>,
@@ -44,15 +46,24 @@ def _fields(spark: SparkSession, schema: str) -> str:
     return spark.createDataFrame([], schema).schema.simpleString()
 
 
-def read_chatgpt(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+def _elements(spark: SparkSession, path: str, schema: str, *keys: str) -> DataFrame:
+    """The objects of a huge file's arrays, parsed; one that doesn't parse is null throughout."""
+    return read_elements(spark, path, list(keys)).select("key", F.from_json("json", schema).alias("c")).select("key", "c.*")
+
+
+def read_chatgpt(spark: SparkSession, path: str, split: bool = False) -> dict[str, DataFrame]:
     """``conv`` and ``node`` of an export: a list, ``{conversations: […]}`` or ``{items: […]}``; shards come by a glob.
 
-    A conversation without a mapping has its flat messages as a chain of nodes.
+    A conversation without a mapping has its flat messages as a chain of nodes. With ``split`` one file is read by many
+    tasks; a file that is a single conversation is not read then.
     """
-    kind = _fields(spark, CHATGPT)
-    raw = _json(spark, path, f"{CHATGPT}, conversations array<{kind}>, items array<{kind}>")
-    nested = raw.select(F.explode(F.coalesce("conversations", "items")).alias("c")).select("c.*")
-    c = raw.where("conversations is null and items is null").drop("conversations", "items").unionByName(nested)
+    if split:
+        c = _elements(spark, path, CHATGPT, "conversations", "items").drop("key")
+    else:
+        kind = _fields(spark, CHATGPT)
+        raw = _json(spark, path, f"{CHATGPT}, conversations array<{kind}>, items array<{kind}>")
+        nested = raw.select(F.explode(F.coalesce("conversations", "items")).alias("c")).select("c.*")
+        c = raw.where("conversations is null and items is null").drop("conversations", "items").unionByName(nested)
     c = c.withColumn("conv_id", F.coalesce("conversation_id", "id", F.md5(F.concat_ws("|", "title", "create_time"))))
     time = lambda x: F.timestamp_seconds(x)
     conv = c.select(
@@ -67,9 +78,9 @@ def read_chatgpt(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {"conv": conv, "node": tree.unionByName(flat)}
 
 
-def read_claude(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """``conv``, ``node`` (texts of a message's blocks), ``block`` and ``attachment`` of an export."""
-    raw = _json(spark, path, CLAUDE).where("uuid is not null")
+def read_claude(spark: SparkSession, path: str, split: bool = False) -> dict[str, DataFrame]:
+    """``conv``, ``node`` (texts of a message's blocks), ``block`` and ``attachment`` of an export; with ``split`` one file is read by many tasks."""
+    raw = (_elements(spark, path, CLAUDE).drop("key") if split else _json(spark, path, CLAUDE)).where("uuid is not null")
     conv = raw.select(F.col("uuid").alias("conv_id"), F.lit("claude").alias("provider"), F.col("name").alias("title"), F.col("created_at").alias("created"), F.col("updated_at").alias("updated"))
     m = raw.select(F.col("uuid").alias("conv_id"), F.posexplode("chat_messages").alias("pos", "m"))
     texts = F.transform(F.filter("m.content", lambda b: (b["type"] == "text") & b["text"].isNotNull()), lambda b: b["text"])
@@ -125,15 +136,23 @@ def read_claude_memories(spark: SparkSession, path: str) -> dict[str, DataFrame]
     return {"memory": raw.select("account_uuid", "conversations_memory"), "project_memory": by_project, "memory_file": raw.select(F.explode("memory_files").alias("f")).select("f.*")}
 
 
-def read_grok(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """``conv``, ``node`` and ``media``; times are ISO texts or extended JSON."""
-    raw = _json(spark, path, GROK)
-    c = raw.select(F.explode("conversations").alias("c")).select("c.*")
+def read_grok(spark: SparkSession, path: str, split: bool = False) -> dict[str, DataFrame]:
+    """``conv``, ``node`` and ``media``; times are ISO texts or extended JSON. With ``split`` one file is read by many tasks."""
+    if split:
+        kinds = spark.createDataFrame([], GROK).schema
+        convs, posts = (kinds[name].dataType.elementType.simpleString() for name in ("conversations", "media_posts"))
+        found = read_elements(spark, path, ["conversations", "media_posts"])
+        of = lambda key, kind: found.where(F.col("key") == key).select(F.from_json("json", kind).alias("x")).select("x.*")
+        c, media = of("conversations", convs), of("media_posts", posts)
+    else:
+        raw = _json(spark, path, GROK)
+        c = raw.select(F.explode("conversations").alias("c")).select("c.*")
+        media = raw.select(F.explode("media_posts").alias("m")).select("m.*")
     conv = c.select(F.col("conversation.id").alias("conv_id"), F.lit("grok").alias("provider"), "conversation.title", F.try_to_timestamp("conversation.create_time").alias("created"), F.try_to_timestamp("conversation.modify_time").alias("updated"), F.col("conversation.leaf_response_id").alias("leaf_id"))
     r = c.select(F.col("conversation.id").alias("conv_id"), F.posexplode("responses.response").alias("pos", "r"))
     millis = F.col("r.create_time")["$date"]["$numberLong"].try_cast("long")
     node = r.select("conv_id", F.col("r._id").alias("node_id"), F.col("r.parent_response_id").alias("parent_id"), "pos", F.timestamp_millis(millis).alias("created"), normalize_role(F.col("r.sender")).alias("role"), F.col("r.message").alias("content"), F.col("r.model").alias("model"), F.col("r.file_attachments").alias("files"))
-    return {"conv": conv, "node": node, "media": raw.select(F.explode("media_posts").alias("m")).select("m.*")}
+    return {"conv": conv, "node": node, "media": media}
 
 
 def grok_media(media: DataFrame, blobs: DataFrame) -> tuple[DataFrame, DataFrame]:
