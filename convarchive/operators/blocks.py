@@ -11,11 +11,13 @@ from convarchive.functions.text import strip_space
 ARTIFACT_TYPES = {
     "text/markdown": ("markdown", ".md"),
     "text/html": ("html", ".html"),
-    "application/vnd.ant.code": ("code", ".txt"),
+    "application/vnd.ant.code": ("codigo", ".txt"),
     "image/svg+xml": ("svg", ".svg"),
     "application/vnd.ant.react": ("react", ".jsx"),
     "application/vnd.ant.mermaid": ("mermaid", ".mmd"),
 }
+#: Fixed value: the folder of other types.
+OTHER_TYPES = "otros"
 #: Language of a code artifact -> extension.
 LANGUAGES = {
     "python": ".py", "javascript": ".js", "typescript": ".ts", "jsx": ".jsx", "tsx": ".tsx", "html": ".html", "css": ".css",
@@ -104,33 +106,51 @@ def payload_name(field: Column) -> Column:
     return F.when(F.startswith(plain, F.lit("[")), F.coalesce(F.get(listed, 1), F.get(listed, 0))).when((plain != "") & ~plain.rlike(REF_ID) & ~F.startswith(plain, F.lit("{")), plain)
 
 
-def search_query(field: Column) -> Column:
-    """The first query of an image search's field."""
+def search_queries(field: Column) -> Column:
+    """The queries of an image search's field: one text or a list of them; none for other fields."""
     said = F.when(F.startswith(strip_space(field), F.lit("{")), F.get_json_object(field, "$.query"))
-    return F.coalesce(F.when(F.startswith(said, F.lit("[")), F.get(F.from_json(said, "array<string>"), 0)), said)
+    listed = F.filter(F.from_json(said, "array<string>"), lambda q: q != "")
+    return F.coalesce(F.when(F.startswith(said, F.lit("[")), listed), F.when(said != "", F.array(said)), F.array().cast("array<string>"))
+
+
+def _sources(reference: Column) -> Column:
+    """A reference's text as the provider made it, else links to its items, else one to itself; null where it has none of these."""
+    there = F.filter(F.coalesce(reference["items"], F.array().cast("array<struct<title:string,attribution:string,url:string>>")), lambda i: F.coalesce(i["url"], F.lit("")) != "")
+    name = lambda i: F.coalesce(F.nullif(i["title"], F.lit("")), F.nullif(i["attribution"], F.lit("")), i["url"])
+    links = F.transform(there, lambda i: F.concat(F.lit("["), name(i), F.lit("]("), i["url"], F.lit(")")))
+    own = F.concat(F.lit("["), F.coalesce(reference["title"], reference["url"]), F.lit("]("), reference["url"], F.lit(")"))
+    return F.coalesce(_alt(reference), F.when(F.size(links) > 0, F.concat(F.lit("("), F.array_join(links, " · "), F.lit(")"))), own)
+
+
+def _alt(reference: Column) -> Column:
+    return F.nullif(strip_space(F.coalesce(reference["alt"], F.lit(""))), F.lit(""))
 
 
 def resolve_markers(messages: DataFrame, references: DataFrame) -> DataFrame:
     """``messages(conv_id, pos, content)`` with markers as links, sources, widget texts and image searches, or as notices where nothing is known.
 
-    ``references(conv_id, ref_id, turn, kind, n, title, url)``: an explicit ``ref_id`` comes first, else the
-    n-th reference of its kind in its turn. Stray marker characters go.
+    ``references(conv_id, ref_id, turn, kind, n, title, url[, alt, items])``: an explicit ``ref_id`` comes first, else the
+    n-th reference of its kind in its turn. ``alt`` is a text ready made, ``items(title, attribution, url)`` what a group
+    of sources holds. Stray marker characters go.
     """
+    for name, kind in (("alt", "string"), ("items", "array<struct<title:string,attribution:string,url:string>>")):
+        if name not in references.columns:
+            references = references.withColumn(name, F.lit(None).cast(kind))
+    what = F.struct("title", "url", "alt", "items")
     refs = marker_rows(messages).select("conv_id", "pos", "k", "kind", F.posexplode_outer("refs").alias("i", "ref"))
     parsed = refs.select("*", *[F.regexp_extract("ref", r"^turn(\d+)([a-z]+)(\d+)$", j).alias(n) for j, n in ((1, "turn"), (2, "type"), (3, "nth"))])
-    named = references.where("ref_id is not null").select("conv_id", F.col("ref_id").alias("ref"), F.struct("title", "url").alias("named"))
-    placed = references.select("conv_id", F.col("turn").cast("string").alias("turn"), F.col("kind").alias("type"), F.col("n").cast("string").alias("nth"), F.struct("title", "url").alias("placed"))
+    named = references.where("ref_id is not null").select("conv_id", F.col("ref_id").alias("ref"), what.alias("named"))
+    placed = references.select("conv_id", F.col("turn").cast("string").alias("turn"), F.col("kind").alias("type"), F.col("n").cast("string").alias("nth"), what.alias("placed"))
     met = parsed.join(named, ["conv_id", "ref"], "left").join(placed, ["conv_id", "turn", "type", "nth"], "left").withColumn("to", F.coalesce("named", "placed"))
     kind, title = F.col("kind"), F.coalesce("to.title", "to.url")
-    link = F.concat(F.lit("["), title, F.lit("]("), F.col("to.url"), F.lit(")"))
     shown = (
-        F.when(kind.isin(LINK_KINDS), link)
+        F.when(kind.isin(LINK_KINDS), _sources(F.col("to")))
         .when(kind.isin(FILE_KINDS), F.concat(F.lit("(source: "), title, F.lit(")")))
         .when(kind.isin(IMAGE_KINDS), F.when(F.col("ref").rlike("^https?://"), F.col("ref")))
-        .when(kind.isin(TEXT_KINDS), F.coalesce(title, payload_name(F.col("ref"))))
+        .when(kind.isin(TEXT_KINDS), F.coalesce(_alt(F.col("to")), title, payload_name(F.col("ref"))))
     )
     one = met.groupBy("conv_id", "pos", "k").agg(
-        F.first("kind").alias("kind"), F.array_sort(F.collect_list(F.when(shown.isNotNull(), F.struct("i", shown.alias("s"))))).alias("s"), F.min(search_query(F.col("ref"))).alias("query")
+        F.first("kind").alias("kind"), F.array_sort(F.collect_list(F.when(shown.isNotNull(), F.struct("i", shown.alias("s"))))).alias("s"), F.min(F.get(search_queries(F.col("ref")), 0)).alias("query")
     )
     n, notice = F.size("s"), F.concat(F.lit("[unresolved "), F.coalesce(F.nullif("kind", F.lit("")), F.lit("marker")), F.lit("]"))
     images = F.concat(F.lit("["), n.cast("string"), F.lit(" web images"), F.coalesce(F.concat(F.lit(': "'), F.col("query"), F.lit('"')), F.lit("")), F.lit("]"))
@@ -146,8 +166,8 @@ def resolve_markers(messages: DataFrame, references: DataFrame) -> DataFrame:
 
 def web_image_refs(messages: DataFrame, triage: DataFrame) -> DataFrame:
     """``(ref, url, queries, conversations, state)`` of image-search markers ``image_group``, with their triage state."""
-    marked = marker_rows(messages).where(F.col("kind").isin(IMAGE_KINDS)).withColumn("query", F.get(F.filter(F.transform("refs", search_query), lambda q: q.isNotNull()), 0))
-    urls = marked.select("conv_id", "query", F.explode("refs").alias("url")).where(F.col("url").rlike("^https?://"))
+    marked = marker_rows(messages).where(F.col("kind").isin(IMAGE_KINDS)).withColumn("queries", F.get(F.filter(F.transform("refs", search_queries), lambda q: F.size(q) > 0), 0))
+    urls = marked.select("conv_id", "queries", F.explode("refs").alias("url")).where(F.col("url").rlike("^https?://")).select("conv_id", "url", F.explode_outer("queries").alias("query"))
     refs = urls.withColumn("ref", F.substring(F.sha2("url", 256), 1, 16))
     out = refs.groupBy("ref").agg(F.min("url").alias("url"), F.array_sort(F.collect_set("query")).alias("queries"), F.array_sort(F.collect_set("conv_id")).alias("conversations"))
     return out.join(triage.select("ref", "state"), "ref", "left").withColumn("state", F.coalesce("state", F.lit("sin_triar")))
@@ -199,7 +219,7 @@ def resolve_grok_files(refs: DataFrame, blobs: DataFrame) -> DataFrame:
 def artifact_path(kind: Column, language: Column, name: Column) -> Column:
     """Folder, name and extension of an artifact."""
     table = lambda pairs: F.create_map(*[F.lit(x) for pair in pairs for x in pair])
-    folder = F.coalesce(table([(k, x) for k, (x, _) in ARTIFACT_TYPES.items()])[F.coalesce(kind, F.lit(""))], F.lit("other"))
+    folder = F.coalesce(table([(k, x) for k, (x, _) in ARTIFACT_TYPES.items()])[F.coalesce(kind, F.lit(""))], F.lit(OTHER_TYPES))
     ext = F.coalesce(table([(k, x) for k, (_, x) in ARTIFACT_TYPES.items()])[F.coalesce(kind, F.lit(""))], F.lit(".txt"))
     by_language = F.coalesce(table(LANGUAGES.items())[F.lower(F.coalesce(language, F.lit("")))], F.lit(".txt"))
     return F.concat(folder, F.lit("/"), name, F.when(kind == "application/vnd.ant.code", by_language).otherwise(ext))

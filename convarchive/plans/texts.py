@@ -69,7 +69,7 @@ def marked(spark, d):
     ref = F.concat(F.lit("turn"), F.col("turn").cast("string"), F.lit("search"), (F.col("conv_id") % 3).cast("string"))
     url = F.concat(F.lit("https://img.example/"), (F.col("conv_id") % 9).cast("string"))
     cite = F.concat(F.lit(b.OPEN + "cite" + b.SEP), ref, F.lit(b.CLOSE))
-    image = F.concat(F.lit(b.OPEN + "image_group" + b.SEP + '{"query":["cats"]}' + b.SEP), url, F.lit(b.CLOSE))
+    image = F.concat(F.lit(b.OPEN + "image_group" + b.SEP + '{"query":["cats","big dogs"]}' + b.SEP), url, F.lit(b.CLOSE))
     entity = F.concat(F.lit(b.OPEN + "entity" + b.SEP + '["place","P'), F.col("conv_id").cast("string"), F.lit('",0]' + b.CLOSE))
     file = F.concat(F.lit(b.OPEN + "filecite" + b.SEP + "turn0file9" + b.CLOSE))
     return c.select("conv_id", F.col("turn").alias("pos"), F.concat("text", F.lit(" "), cite, F.lit(" "), F.when(F.col("turn") == 0, image).otherwise(b.SEP), F.lit("end "), entity, F.lit(" "), file).alias("content"))
@@ -77,10 +77,14 @@ def marked(spark, d):
 
 def references(spark, d):
     c = v.table(spark, d, C).where("turn % 2 = 0")
-    return c.select("conv_id", F.lit(None).cast("string").alias("ref_id"), "turn", F.lit("search").alias("kind"), (F.col("conv_id") % 3).alias("n"), F.concat(F.lit("T"), F.col("turn").cast("string")).alias("title"), F.concat(F.lit("https://x/"), F.col("conv_id").cast("string")).alias("url"))
+    item = lambda *x: F.struct(*[F.lit(v).cast("string").alias(n) for n, v in zip(("title", "attribution", "url"), x, strict=True)])
+    return c.select(
+        "conv_id", F.lit(None).cast("string").alias("ref_id"), "turn", F.lit("search").alias("kind"), (F.col("conv_id") % 3).alias("n"), F.concat(F.lit("T"), F.col("turn").cast("string")).alias("title"), F.concat(F.lit("https://x/"), F.col("conv_id").cast("string")).alias("url"),
+        F.when(F.col("turn") % 4 == 0, F.when(F.col("conv_id") % 2 == 0, " ([Site](https://alt/)) ").otherwise(" ")).alias("alt"),
+        F.when(F.col("conv_id") % 3 == 0, F.array(item("One", None, "https://one/"), item("", "Two", "https://two/"), item("none", None, None))).alias("items"))
 
 
-@query("D9_resolve_markers", "SELECT conv_id, turn AS pos, text || ' ' || CASE WHEN turn % 2 = 0 THEN '[T' || turn || '](https://x/' || conv_id || ')' ELSE '[unresolved cite]' END || ' ' || CASE WHEN turn = 0 THEN '[1 web images: \"cats\"]' ELSE '' END || 'end P' || conv_id || ' [cited attachment]' AS content FROM conversations")
+@query("D9_resolve_markers", "SELECT conv_id, turn AS pos, text || ' ' || CASE WHEN turn % 4 = 0 AND conv_id % 2 = 0 THEN '([Site](https://alt/))' WHEN turn % 2 = 0 AND conv_id % 3 = 0 THEN '([One](https://one/) · [Two](https://two/))' WHEN turn % 2 = 0 THEN '[T' || turn || '](https://x/' || conv_id || ')' ELSE '[unresolved cite]' END || ' ' || CASE WHEN turn = 0 THEN '[1 web images: \"cats\"]' ELSE '' END || 'end P' || conv_id || ' [cited attachment]' AS content FROM conversations")
 def resolve_markers(spark, d):
     return b.resolve_markers(marked(spark, d), references(spark, d))
 
@@ -88,7 +92,7 @@ def resolve_markers(spark, d):
 @query(
     "D10_web_image_refs",
     "WITH u AS (SELECT 'https://img.example/' || (conv_id % 9) AS url, conv_id FROM conversations WHERE turn = 0) "
-    "SELECT substr(sha256(url), 1, 16) AS ref, url, string_agg(DISTINCT conv_id::VARCHAR, ',' ORDER BY conv_id::VARCHAR) AS conversations, CASE WHEN substr(sha256(url), 1, 16) < '8' THEN 'rescatada' ELSE 'sin_triar' END AS state, 'cats' AS queries FROM u GROUP BY url",
+    "SELECT substr(sha256(url), 1, 16) AS ref, url, string_agg(DISTINCT conv_id::VARCHAR, ',' ORDER BY conv_id::VARCHAR) AS conversations, CASE WHEN substr(sha256(url), 1, 16) < '8' THEN 'rescatada' ELSE 'sin_triar' END AS state, 'big dogs,cats' AS queries FROM u GROUP BY url",
 )
 def web_image_refs(spark, d):
     refs = marked(spark, d)
@@ -123,7 +127,7 @@ def resolve_grok_files(spark, d):
     return b.resolve_grok_files(refs, blobs)
 
 
-@query("D14_artifact_path", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'code/a.py' WHEN 1 THEN 'html/a.html' WHEN 2 THEN 'other/a.txt' ELSE 'code/a.txt' END AS path FROM documents")
+@query("D14_artifact_path", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'codigo/a.py' WHEN 1 THEN 'html/a.html' WHEN 2 THEN 'otros/a.txt' ELSE 'codigo/a.txt' END AS path FROM documents")
 def artifact_path(spark, d):
     k = (F.col("doc_id") % 4).cast("int")
     kind = F.get(F.array(*map(F.lit, ["application/vnd.ant.code", "text/html", "x/y", "application/vnd.ant.code"])), k)

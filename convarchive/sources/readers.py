@@ -140,7 +140,7 @@ def read_grok(spark: SparkSession, path: str, split: bool = False) -> dict[str,
     """``conv``, ``node`` and ``media``; times are ISO texts or extended JSON. With ``split`` one file is read by many tasks."""
     if split:
         kinds = spark.createDataFrame([], GROK).schema
-        convs, posts = (kinds[name].dataType.elementType.simpleString() for name in ("conversations", "media_posts"))
+        convs, posts = (kinds[name].dataType.elementType for name in ("conversations", "media_posts"))
         found = read_elements(spark, path, ["conversations", "media_posts"])
         of = lambda key, kind: found.where(F.col("key") == key).select(F.from_json("json", kind).alias("x")).select("x.*")
         c, media = of("conversations", convs), of("media_posts", posts)
