@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +72,14 @@ def numbered(df: DataFrame, row: str = "__row") -> DataFrame:
     return spark.table(name)
 
 
+def give_back() -> None:
+    """Gives free memory of this Python process back to the system, where the C library knows how."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def _aside(columns: list[str], names: tuple[str, ...]) -> dict[str, str]:
     """What columns called like one of ``names`` (in any case) are called instead."""
     wanted = {n.lower() for n in names}
