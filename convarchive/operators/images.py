@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: States after which an asset is never tried again.
@@ -49,7 +49,9 @@ def copilot_images(raw: DataFrame) -> DataFrame:
     ext = F.lower(F.coalesce(F.nullif(F.regexp_extract("name", r"\.([A-Za-z0-9]{2,4})$", 1), F.lit("")), F.lit("png")))
     stem = F.substring(F.regexp_replace(F.regexp_replace("name", r"\.[A-Za-z0-9]{2,4}$", ""), r"[^\p{L}\p{N}\-_.() ]", ""), 1, 60)
     named = raw.select("id", "prompt", "created", "size_bytes", stem.alias("stem"), ext.alias("ext"))
-    taken = F.count("*").over(Window.partitionBy(F.lower("stem"), "ext")) > 1
+    named = named.withColumn("__key", F.lower("stem"))
+    named = named.join(named.groupBy("__key", "ext").agg((F.count("*") > 1).alias("__taken")), ["__key", "ext"], "left")
+    taken = F.coalesce("__taken", F.lit(False))
     file = F.concat("stem", F.when(taken, F.concat(F.lit("_"), F.substring("id", 1, 8))).otherwise(""), F.lit("."), "ext")
     return named.select("id", "prompt", "size_bytes", file.alias("file"), F.coalesce(F.date_format("created", "yyyy-MM"), F.lit("0000-00")).alias("month"))
 

@@ -25,22 +25,33 @@ def detect_provider(json: Column) -> Column:
 
 
 def classify_exports(members: DataFrame) -> DataFrame:
-    """``(archive, kind, valid, message)``: what an archive holds, in a fixed order of precedence."""
+    """``(archive, kind, valid, message)``: what an archive holds, in a fixed order of precedence.
+
+    ``members(archive, member[, error])``: an archive that could not be read has one row with an ``error`` and is told apart
+    from one of unknown content, as its conversations are missing. A lone ``conversations.json`` in an archive named like a part of a
+    split export is such a part. A publication is known and refused; how many further tables of it hold readers' data is said.
+    """
     base = F.regexp_extract("member", r"([^/]*)$", 1)
-    any_ = lambda pattern: F.bool_or(base.rlike(pattern))
+    any_ = lambda pattern: F.coalesce(F.bool_or(base.rlike(pattern)), F.lit(False))
+    error = F.max("error") if "error" in members.columns else F.lit(None).cast("string")
     flags = members.groupBy("archive").agg(
-        any_(r"^conversations-\d+\.json$").alias("shards"), F.bool_or(F.col("member").rlike(rf"(^|/)({'|'.join(CATEGORIES)})-\d+/")).alias("split"), any_(r"^users\.json$").alias("users"),
-        any_(r"^conversations\.json$").alias("conversations"), any_(r"^prod-grok-backend\.json$").alias("grok"), any_(r"^posts\.csv$").alias("posts"), any_(r"^chat\.html$").alias("html"),
-        any_(r"\.csv$").alias("csv"), F.count("*").alias("members"),
+        error.alias("error"), any_(r"^conversations-\d+\.json$").alias("shards"), F.bool_or(F.col("member").rlike(rf"(^|/)({'|'.join(CATEGORIES)})-\d+/")).alias("split"),
+        any_(r"^users\.json$").alias("users"), F.bool_or(F.startswith("member", F.lit("projects/"))).alias("projects"), any_(r"^conversations\.json$").alias("conversations"), any_(r"^prod-grok-backend\.json$").alias("grok"),
+        any_(r"^posts\.csv$").alias("posts"), any_(r"\.html$").alias("html"), any_(r"\.csv$").alias("csv"), F.count_if(base.rlike(r"\.csv$") & (base != "posts.csv")).alias("tables"), F.count("member").alias("members"),
     )
+    part = F.regexp_extract(F.lower("archive"), r"([^/]*)$", 1).rlike(r"^conversations-\d+(\.zip)?$") & (F.col("members") == 1)
+    c = F.col
     kind = (
-        F.when(F.col("shards"), "chatgpt shards").when(F.col("split"), "claude split").when(F.col("conversations") & F.col("users"), "claude").when(F.col("conversations"), "chatgpt").when(F.col("grok"), "grok")
-        .when(F.col("posts"), "posts").when(F.col("html"), "html").when(F.col("csv"), "copilot").otherwise("unknown")
+        F.when(c("error").isNotNull(), "corrupt").when(c("shards"), "chatgpt shards").when(c("split"), "claude split").when(c("conversations") & part, "claude part")
+        .when(c("conversations") & (c("users") | c("projects")), "claude").when(c("conversations"), "chatgpt").when(c("grok"), "grok").when(c("posts"), "posts").when(c("html"), "html").when(c("csv"), "copilot").otherwise("unknown")
+    )
+    out = flags.select("archive", kind.alias("kind"), "error", "tables")
+    message = (
+        F.when(c("kind") == "corrupt", F.concat(F.lit("corrupt or unreadable, its conversations are not imported: "), c("error")))
+        .when(c("kind") == "posts", F.concat(F.lit("a publication, not a chat export; further tables with readers' data: "), c("tables").cast("string")))
+        .when(c("kind") == "claude part", "one part of a split export; the others come apart").when(c("kind") == "html", "degraded: HTML only").when(c("kind") == "unknown", "not an export")
     )
-    out = flags.select("archive", kind.alias("kind"))
-    valid = ~F.col("kind").isin("posts", "unknown")
-    message = F.when(F.col("kind") == "posts", "a publication, not a chat export").when(F.col("kind") == "html", "degraded: HTML only").when(F.col("kind") == "unknown", "not an export")
-    return out.withColumns({"valid": valid, "message": message})
+    return out.select("archive", "kind", (~c("kind").isin("corrupt", "posts", "unknown")).alias("valid"), message.alias("message"))
 
 
 def classify_layouts(paths: DataFrame) -> DataFrame:

@@ -20,9 +20,12 @@ def note_key(notes: DataFrame) -> DataFrame:
     """Adds ``content_hash`` (8 hex digits) and ``note_name``: date, slug and, where the slug is taken, the hash."""
     short = F.substring(F.sha1(strip_space(F.col("body"))), 1, 8)
     base = F.concat_ws("_", "date", slugify(F.col("title")))
-    taken = F.row_number().over(Window.partitionBy("base").orderBy("note_id")) > 1
     named = notes.withColumns({"content_hash": short, "base": base})
-    return named.withColumn("note_name", F.when(taken, F.concat(F.col("base"), F.lit("-h"), F.col("content_hash"))).otherwise(F.col("base")))
+    # the first note keeps the name; a name of any number of notes is one row here
+    first = named.groupBy("base").agg(F.min("note_id").alias("__first"))
+    met = named.join(first, "base")
+    name = F.when(F.col("note_id") > F.col("__first"), F.concat(F.col("base"), F.lit("-h"), F.col("content_hash"))).otherwise(F.col("base"))
+    return met.select(*notes.columns, "content_hash", "base", name.alias("note_name"))
 
 
 def append_versions(new: DataFrame, existing: DataFrame, scheme: str = "hash") -> DataFrame:
@@ -101,9 +104,10 @@ def resolve_titles(notes: DataFrame) -> DataFrame:
 
 def disambiguate(groups: DataFrame) -> DataFrame:
     """``(group_key, dest)`` with ``output``: where several groups claim a destination, all get a suffix of their key's hash."""
-    shared = F.count("*").over(Window.partitionBy("dest")) > 1
+    shared = groups.groupBy("dest").agg((F.count("*") > 1).alias("__shared"))
     tagged = F.concat(F.col("dest"), F.lit(" · "), F.substring(F.sha1("group_key"), 1, 6))
-    return groups.withColumn("output", F.when(shared, tagged).otherwise(F.col("dest")))
+    met = groups.join(shared, groups["dest"].eqNullSafe(shared["dest"])).drop(shared["dest"])
+    return met.select(*groups.columns, F.when(F.col("__shared"), tagged).otherwise(F.col("dest")).alias("output"))
 
 
 def source_tag(source: Column, recovered: Column) -> Column:
@@ -146,6 +150,18 @@ def dedupe_assets(assets: DataFrame) -> DataFrame:
     return assets.withColumn("nth", first).where("nth = 1").drop("nth")
 
 
+def session_manifest(headers: DataFrame, turns: DataFrame, sources: DataFrame) -> DataFrame:
+    """``(name, session_id, title, cwd, branch, turns, path)``: what each kept source of a session holds.
+
+    ``headers(session_id, title, cwd, branch)``, ``turns(session_id, …)`` and ``sources(session_id, name, path)``. A session
+    without turns was not taken in and has no entry; a source that was kept before keeps one entry, that of its last path.
+    """
+    counted = turns.groupBy("session_id").agg(F.count("*").alias("turns"))
+    once = sources.groupBy("name").agg(F.max(F.struct("path", "session_id")).alias("s")).select("name", "s.path", "s.session_id")
+    met = once.join(counted, "session_id").join(headers.select("session_id", "title", "cwd", "branch"), "session_id", "left")
+    return met.select("name", "session_id", "title", "cwd", "branch", "turns", "path")
+
+
 def preserve_sources(files: DataFrame, kept: DataFrame) -> DataFrame:
     """New ``files(path, content)`` under the first 16 digits of their sha1, with content and size; what ``kept(name)`` has is not written again."""
     named = files.withColumn("name", F.substring(F.sha1("content"), 1, 16)).join(kept.select("name"), "name", "left_anti")

@@ -110,6 +110,19 @@ def recover_images(notes: DataFrame, members: DataFrame) -> DataFrame:
     return per.join(best, "pointer", "left")
 
 
+def recovery_report(notes: DataFrame, members: DataFrame) -> DataFrame:
+    """One row of counts: ``images`` that notes miss and their ``marks``, ``notes`` with one; how many images and marks the exports' ``members(pointer, …)`` can bring
+    back (``recoverable``, ``recoverable_marks``) and can't (``unrecoverable``), and ``notes_to_change``."""
+    marks = notes.select("note_id", F.explode(F.regexp_extract_all("body", F.lit(NOTICE), 1)).alias("pointer"))
+    there = members.select("pointer", F.lit(True).alias("there")).distinct()
+    per = marks.groupBy("pointer", "note_id").agg(F.count("*").alias("n")).join(there, "pointer", "left").withColumn("there", F.coalesce("there", F.lit(False)))
+    have = F.col("there")
+    return per.agg(
+        F.countDistinct("pointer").alias("images"), F.coalesce(F.sum("n"), F.lit(0)).alias("marks"), F.countDistinct("note_id").alias("notes"), F.countDistinct(F.when(have, F.col("pointer"))).alias("recoverable"),
+        F.countDistinct(F.when(~have, F.col("pointer"))).alias("unrecoverable"), F.coalesce(F.sum(F.when(have, F.col("n"))), F.lit(0)).alias("recoverable_marks"), F.countDistinct(F.when(have, F.col("note_id"))).alias("notes_to_change"),
+    )
+
+
 def attach_library_to_notes(notes: DataFrame, library: DataFrame) -> DataFrame:
     """``(note_id, file)`` of library images whose conversation has a note that doesn't link them yet."""
     return notes.join(library, "conv_id").where(~F.contains("body", "file")).select("note_id", "file")

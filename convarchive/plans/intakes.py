@@ -29,16 +29,31 @@ def detect_provider(spark, d):
     return v.table(spark, d, "documents").select("doc_id", b.detect_provider(json).alias("provider"))
 
 
-MEMBERS = ["x/conversations-000.json", "conversations-001/part.json", "users.json", "conversations.json", "prod-grok-backend.json", "posts.csv", "chat.html", "a.csv", "readme.txt"]
-ARCHIVES = """mb AS (SELECT 'z' || (doc_id // 2 % 100) AS archive, doc_id % 9 AS k FROM documents),
-fl AS (SELECT archive, bool_or(k = 0) AS f0, bool_or(k = 1) AS f1, bool_or(k = 2) AS f2, bool_or(k = 3) AS f3, bool_or(k = 4) AS f4, bool_or(k = 5) AS f5, bool_or(k = 6) AS f6, bool_or(k IN (5, 7)) AS f7 FROM mb GROUP BY 1),
-kd AS (SELECT archive, CASE WHEN f0 THEN 'chatgpt shards' WHEN f1 THEN 'claude split' WHEN f3 AND f2 THEN 'claude' WHEN f3 THEN 'chatgpt' WHEN f4 THEN 'grok' WHEN f5 THEN 'posts' WHEN f6 THEN 'html' WHEN f7 THEN 'copilot' ELSE 'unknown' END AS kind FROM fl)"""
+MEMBERS = ["x/conversations-000.json", "conversations-001/part.json", "users.json", "conversations.json", "prod-grok-backend.json", "posts.csv", "chat.html", "a.csv", "readme.txt", "projects/p.json", None]
+#: Two documents an archive. Every seventh is called like a part of a split export; the last kind of member stands for an archive that can't be read.
+ARCHIVES = """mb AS (SELECT CASE WHEN doc_id // 2 % 7 = 3 THEN 'in/conversations-' || doc_id // 2 || '.zip' ELSE 'z' || doc_id // 2 END AS archive, doc_id // 2 % 7 = 3 AS p, CASE WHEN doc_id // 2 % 7 = 3 AND doc_id // 2 % 2 = 0 THEN 3 ELSE (doc_id + doc_id // 22) % 11 END AS k FROM documents
+  WHERE NOT (doc_id // 2 % 7 = 3 AND doc_id // 2 % 2 = 0 AND doc_id % 2 = 1)),
+fl AS (SELECT archive, any_value(p) AS p, count(*) FILTER (WHERE k <> 10) AS n, bool_or(k = 0) AS f0, bool_or(k = 1) AS f1, bool_or(k IN (2, 9)) AS f2, bool_or(k = 3) AS f3, bool_or(k = 4) AS f4, bool_or(k = 5) AS f5, bool_or(k = 6) AS f6, bool_or(k = 7) AS f7, bool_or(k = 10) AS f10,
+  count(*) FILTER (WHERE k = 7) AS t FROM mb GROUP BY 1),
+kd AS (SELECT archive, t, CASE WHEN f10 THEN 'corrupt' WHEN f0 THEN 'chatgpt shards' WHEN f1 THEN 'claude split' WHEN f3 AND p AND n = 1 THEN 'claude part' WHEN f3 AND f2 THEN 'claude' WHEN f3 THEN 'chatgpt' WHEN f4 THEN 'grok' WHEN f5 THEN 'posts' WHEN f6 THEN 'html' WHEN f7 THEN 'copilot' ELSE 'unknown' END AS kind FROM fl)"""
 
 
-@query("B2_classify_exports", v.with_sql(ARCHIVES, "SELECT archive, kind, kind NOT IN ('posts', 'unknown') AS valid, CASE kind WHEN 'posts' THEN 'a publication, not a chat export' WHEN 'html' THEN 'degraded: HTML only' WHEN 'unknown' THEN 'not an export' END AS message FROM kd"))
+@query(
+    "B2_classify_exports",
+    v.with_sql(
+        ARCHIVES,
+        "SELECT archive, kind, kind NOT IN ('corrupt', 'posts', 'unknown') AS valid, CASE kind WHEN 'corrupt' THEN 'corrupt or unreadable, its conversations are not imported: bad magic' WHEN 'posts' THEN 'a publication, not a chat export; further tables with readers'' data: ' || t "
+        "WHEN 'claude part' THEN 'one part of a split export; the others come apart' WHEN 'html' THEN 'degraded: HTML only' WHEN 'unknown' THEN 'not an export' END AS message FROM kd",
+    ),
+)
 def classify_exports(spark, d):
-    archive = F.concat(F.lit("z"), (F.floor(doc() / 2) % 100).cast("string"))
-    return b.classify_exports(v.table(spark, d, "documents").select(archive.alias("archive"), text_of(*MEMBERS).alias("member")))
+    n = F.floor(doc() / 2)
+    part = n % 7 == 3
+    lone = part & (n % 2 == 0)
+    archive = F.when(part, F.concat(F.lit("in/conversations-"), n.cast("string"), F.lit(".zip"))).otherwise(F.concat(F.lit("z"), n.cast("string")))
+    k = F.when(lone, F.lit(3).cast("long")).otherwise((doc() + F.floor(doc() / 22)) % 11).cast("int")
+    rows = v.table(spark, d, "documents").where(~(lone & (doc() % 2 == 1)))
+    return b.classify_exports(rows.select(archive.alias("archive"), F.get(F.array(*map(F.lit, MEMBERS)), k).alias("member"), F.when(k == 10, "bad magic").alias("error")))
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from convarchive.operators import merge as m
+from convarchive.operators import threads
 from convarchive.plans import derived as v
 from convarchive.plans.registry import query
 
@@ -169,3 +170,21 @@ def preserve_sources(spark, d):
     files = docs.select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"))
     kept = docs.where("doc_id % 4 = 0").select(F.substring(F.sha1("text"), 1, 16).alias("name")).distinct()
     return m.preserve_sources(files, kept).select("name", "path", "copies", F.sha1("content").alias("digest"), "bytes")
+
+
+@query(
+    "E14_session_manifest",
+    v.with_sql(
+        v.EVENTS,
+        "h AS (SELECT session_id, arg_min(title, line_no) FILTER (WHERE title IS NOT NULL) AS title, arg_min(cwd, line_no) FILTER (WHERE cwd IS NOT NULL) AS cwd, arg_min(branch, line_no) FILTER (WHERE branch IS NOT NULL) AS branch FROM se GROUP BY 1)",
+        "k AS (SELECT *, sum((kind = 'human')::INT) OVER (PARTITION BY session_id ORDER BY line_no) AS island FROM se WHERE kind <> 'noise' AND NOT is_side)",
+        "t AS (SELECT session_id, count(DISTINCT (island, kind = 'human')) AS turns FROM k WHERE island > 0 GROUP BY 1)",
+        "SELECT substr(sha1('log ' || session_id), 1, 16) AS name, session_id, title, cwd, branch, turns, 'b/' || session_id AS path FROM h JOIN t USING (session_id)",
+    ),
+)
+def session_manifest(spark, d):
+    events = v.session_events(spark, d)
+    key = F.col("session_id").cast("string")
+    name = F.substring(F.sha1(F.concat(F.lit("log "), key)), 1, 16).alias("name")
+    sources = events.select("session_id").distinct().select("session_id", name, F.explode(F.array(F.concat(F.lit("a/"), key), F.concat(F.lit("b/"), key))).alias("path"))
+    return m.session_manifest(threads.session_header(events), threads.agent_turns(events), sources)

@@ -100,6 +100,23 @@ def recover_images(spark, d):
     return r.recover_images(damaged(spark, d), members)
 
 
+@query(
+    "J7_recovery_report",
+    v.with_sql(
+        v.DOC_NOTES,
+        "w AS (SELECT note_id, 'p' || (doc_id % 30) AS pointer, CASE WHEN doc_id % 8 = 0 THEN 2 ELSE 1 END AS n FROM nt WHERE doc_id % 4 = 0)",
+        "h AS (SELECT *, pointer IN (SELECT 'p' || (s_suppkey % 13) FROM supplier) AS there FROM w)",
+        "SELECT count(DISTINCT pointer) AS images, sum(n)::BIGINT AS marks, count(DISTINCT note_id) AS notes, count(DISTINCT pointer) FILTER (WHERE there) AS recoverable, count(DISTINCT pointer) FILTER (WHERE NOT there) AS unrecoverable, "
+        "coalesce(sum(n) FILTER (WHERE there), 0)::BIGINT AS recoverable_marks, count(DISTINCT note_id) FILTER (WHERE there) AS notes_to_change FROM h",
+    ),
+)
+def recovery_report(spark, d):
+    notice = F.concat(F.lit("[missing image:p"), (doc() % 30).cast("string"), F.lit("]"))
+    body = F.concat("body", F.when(doc() % 8 == 0, F.concat(notice, F.lit("\n"), notice)).when(doc() % 4 == 0, notice).otherwise(""))
+    members = v.table(spark, d, "supplier").select(F.concat(F.lit("p"), (F.col("s_suppkey") % 13).cast("string")).alias("pointer"))
+    return r.recovery_report(v.notes(spark, d).select("note_id", body.alias("body")), members)
+
+
 @query("J8_attach_library_to_notes", v.with_sql(v.DOC_NOTES, "SELECT note_id, 'img' || s_suppkey AS file FROM nt JOIN supplier ON conv_id = 'c' || (s_suppkey % 50) WHERE NOT contains(body || CASE WHEN doc_id % 2 = 0 THEN ' img7' ELSE '' END, 'img' || s_suppkey)"))
 def attach_library_to_notes(spark, d):
     key = F.col("s_suppkey")
