@@ -61,22 +61,25 @@ def dewey(clips: DataFrame) -> DataFrame:
     """``(clip_id, root_id, depth, code)`` of ``clips(clip_id, parent_id, created)``: roots are ``0``, the k-th child of a clip ``<code>.k``.
 
     By pointer doubling: each round a clip takes over what the clip it points to has, so depth d needs log2(d)
-    rounds, each written to the shared checkpoint folder. Clips of a cycle and below one have no code.
+    rounds, each written to the shared checkpoint folder. Clips of a cycle and below one have no code: no clip is that deep
+    if none became placed in a round.
     """
     checkpoint_root(clips.sparkSession)
     nth = F.row_number().over(Window.partitionBy("parent_id").orderBy("created", "clip_id"))
-    below = clips.where("parent_id is not null").select("clip_id", F.col("parent_id").alias("to"), F.lit(None).cast("string").alias("root_id"), F.lit(1).alias("depth"), F.concat(F.lit("."), nth.cast("string")).alias("code"))
-    roots = clips.where("parent_id is null").select("clip_id", F.lit(None).cast("string").alias("to"), F.col("clip_id").cast("string").alias("root_id"), F.lit(0).alias("depth"), F.lit("0").alias("code"))
-    now = roots.unionByName(below.withColumns({"to": F.col("to").cast("string"), "root_id": F.col("root_id").cast("string")})).checkpoint()
-    for _ in range(now.count().bit_length()):
-        going = now.where(F.col("to").isNotNull())
-        if going.isEmpty():
+    kind = clips.schema["clip_id"].dataType
+    none = F.lit(None).cast(kind)
+    below = clips.where("parent_id is not null").select("clip_id", F.col("parent_id").cast(kind).alias("to"), none.alias("root_id"), F.lit(1).alias("depth"), F.concat(F.lit("."), nth.cast("string")).alias("code"))
+    roots = clips.where("parent_id is null").select("clip_id", none.alias("to"), F.col("clip_id").alias("root_id"), F.lit(0).alias("depth"), F.lit("0").alias("code"))
+    now, left = roots.unionByName(below).checkpoint(), None
+    while True:
+        before, left = left, now.where(F.col("to").isNotNull()).count()
+        if left in (0, before):
             break
-        then = now.select(F.col("clip_id").cast("string").alias("to"), F.col("to").alias("next"), F.col("root_id").alias("root"), F.col("depth").alias("d"), F.col("code").alias("front"))
+        going, done = now.where(F.col("to").isNotNull()), now.where(F.col("to").isNull())
+        then = now.select(F.col("clip_id").alias("to"), F.col("to").alias("next"), F.col("root_id").alias("root"), F.col("depth").alias("d"), F.col("code").alias("front"))
         met = going.join(then, "to").select("clip_id", F.col("next").alias("to"), F.col("root").alias("root_id"), (F.col("depth") + F.col("d")).alias("depth"), F.concat("front", "code").alias("code"))
-        now = met.unionByName(now.where(F.col("to").isNull())).checkpoint()
-    done = now.where(F.col("to").isNull())
-    return done.select("clip_id", F.col("root_id").cast(clips.schema["clip_id"].dataType).alias("root_id"), "depth", "code")
+        now = met.unionByName(done).checkpoint()
+    return now.where(F.col("to").isNull()).select("clip_id", "root_id", "depth", "code")
 
 
 def clip_names(clips: DataFrame, case_sensitive: bool = True) -> DataFrame:

@@ -105,6 +105,34 @@ def read_claude_layout(spark, d):
     return met.groupBy("category", "part").agg(F.sum(F.regexp_count("value", F.lit("s_name"))).alias("rows"))
 
 
+@query(
+    "A4_read_claude_export",
+    "SELECT 'conversation' AS what, conv_id::VARCHAR AS id, turn::VARCHAR AS detail, text AS content FROM conversations UNION ALL SELECT 'project', 'p' || s_suppkey, 'd' || s_suppkey, s_name FROM supplier "
+    "UNION ALL SELECT 'memory', 'm' || n_nationkey, NULL, n_name FROM nation",
+)
+def read_claude_export(spark, d):
+    """Three categories of one part each, and second parts that don't count."""
+    root = shared(spark)
+    c = v.table(spark, d, "conversations")
+    message = F.struct(F.col("turn").cast("string").alias("uuid"), F.col("text").alias("text"), F.lit("human").alias("sender"))
+    convs = c.groupBy("conv_id").agg(F.collect_list(message).alias("chat_messages")).select(F.col("conv_id").cast("string").alias("uuid"), "chat_messages")
+    key = F.col("s_suppkey").cast("string")
+    docs = F.array(F.struct(F.concat(F.lit("d"), key).alias("filename"), F.col("s_name").alias("content")))
+    projects = v.table(spark, d, "supplier").select(F.concat(F.lit("p"), key).alias("uuid"), docs.alias("docs"))
+    entry = F.struct(F.concat(F.lit("m"), F.col("n_nationkey").cast("string")), "n_name")
+    memories = v.table(spark, d, "nation").agg(F.map_from_entries(F.collect_list(entry)).alias("project_memories"))
+    for name, rows in (("conversations", convs), ("projects", projects), ("memories", memories)):
+        for part, kept in (("000", rows), ("001", rows.limit(1))):
+            # a list, or one object for memories
+            listed = kept.agg(F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(F.struct("*"))), ","), F.lit("]")).alias("value"))
+            (kept.select(F.to_json(F.struct("*"))) if name == "memories" else listed).coalesce(1).write.text(f"{root}/{name}-{part}")
+    found = r.read_claude_export(spark, root)
+    conv = found["node"].select(F.lit("conversation").alias("what"), F.col("conv_id").alias("id"), F.col("node_id").alias("detail"), "content")
+    doc = found["doc"].select(F.lit("project").alias("what"), F.col("project_id").alias("id"), F.col("filename").alias("detail"), "content")
+    memory = found["project_memory"].select(F.lit("memory").alias("what"), F.col("project_id").alias("id"), F.lit(None).cast("string").alias("detail"), F.col("memory").alias("content"))
+    return conv.unionByName(doc).unionByName(memory)
+
+
 @query("A5_read_claude_projects", "SELECT 'p' || s_suppkey AS project_id, 'f' || s_suppkey AS filename, s_name AS content FROM supplier WHERE s_suppkey % 2 = 0")
 def read_claude_projects(spark, d):
     key = F.col("s_suppkey").cast("string")

@@ -104,6 +104,26 @@ def read_claude_layout(spark: SparkSession, folder: str, categories: list[str] =
     return parts
 
 
+def read_claude_export(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The parsed tables of a split export, under the names of its categories' readers: conversations, projects, memories and frames.
+
+    Of a category only the first part by name counts, ``<folder>/<category>-NNN``; one that isn't there has no tables, and
+    without conversations it is no export and has none at all.
+    """
+    found: dict[str, DataFrame] = {}
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
+    parts = listed.select(F.regexp_extract("path", rf"^(.*/({'|'.join(CATEGORIES)})-\d+)/", 1).alias("part"), F.regexp_extract("path", rf"/({'|'.join(CATEGORIES)})-\d+/", 1).alias("category"))
+    first = {r.category: r.part for r in parts.where("category <> ''").groupBy("category").agg(F.min("part").alias("part")).collect()}  # a row a category
+    if "conversations" not in first:
+        return found
+    for category, read in (("conversations", read_claude), ("projects", read_claude_projects), ("memories", read_claude_memories)):
+        if category in first:
+            found |= read(spark, first[category])
+    if "frames" in first:
+        found |= read_claude_frames(spark, first["frames"])
+    return found
+
+
 def read_claude_projects(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     raw = _json(spark, path, PROJECT)
     docs = raw.select(F.col("uuid").alias("project_id"), F.explode_outer("docs").alias("d")).where("d is not null").select("project_id", F.col("d.uuid").alias("doc_id"), "d.filename", "d.content", "d.created_at")
