@@ -84,6 +84,17 @@ def block_text(kind: Column, json: Column) -> Column:
     )
 
 
+def part_quote(json: Column) -> Column:
+    """Shown text of a quote that is one part of several, the older form: ten lines at most, each marked as quoted."""
+    get = lambda path: F.nullif(F.get_json_object(json, f"$.{path}"), F.lit(""))
+    name = F.coalesce(get("domain"), get("title"), get("file"), get("url"), F.lit("unknown file"))
+    text = F.regexp_replace(F.regexp_replace(strip_space(F.coalesce(get("text"), F.lit(""))), r"\\r\\n|\\n", "\n"), r"\r\n?", "\n")
+    lines = F.split(F.regexp_replace(text, r"\n$", ""), "\n")
+    quoted = F.array_join(F.transform(F.slice(lines, 1, 10), lambda x: F.concat(F.lit("> "), x)), "\n")
+    shown = F.when(text == "", "> (no content)").when(F.size(lines) > 10, F.concat(quoted, F.lit("\n> \n> ... (truncated)"))).otherwise(quoted)
+    return F.concat(F.lit("file: **"), name, F.lit("**\n\n"), shown, F.lit("\n"))
+
+
 def normalize_blocks(blocks: DataFrame) -> DataFrame:
     """``blocks(…, block)`` of JSON with ``content_type`` and ``content``; blocks that show nothing drop out."""
     kind = F.lower(F.coalesce(F.get_json_object("block", "$.content_type"), F.lit("")))

@@ -30,7 +30,8 @@ def stream_exports(spark, d):
     for k in (0, 1):  # a second drop repeats all of the first
         rows.where(F.col("note_id").cast("long") % 2 <= k).repartition(3).write.mode("append").json(f"{root}/in")
         o.stream_exports(spark, f"{root}/in", "note_id string, base string, body string", f"{root}/store", f"{root}/check", 2).awaitTermination()
-    return spark.read.parquet(f"{root}/store").groupBy("base").agg(F.count("*").alias("versions"))
+        o.compact_store(spark, f"{root}/store")
+    return o.read_store(spark, f"{root}/store").groupBy("base").agg(F.count("*").alias("versions"))
 
 
 @query("O2_stream_dedup", f"SELECT conv_id AS group_key, sha1(lower(role) || '::' || {v.COLLAPSED.format('text')}) AS fp FROM conversations GROUP BY ALL")

@@ -50,6 +50,20 @@ def normalize_blocks(spark, d):
     return b.normalize_blocks(v.table(spark, d, C).select("conv_id", "turn", F.to_json(body).alias("block"))).select("conv_id", "turn", "content")
 
 
+@query(
+    "D2_part_quotes",
+    r"""WITH p AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '' WHEN 1 THEN text ELSE array_to_string(list_transform(range(1, 9 + turn), lambda i: 'l' || i), chr(10)) END AS t FROM conversations),
+l AS (SELECT conv_id, turn, t, string_split(regexp_replace(t, '^\s+|\s+$', '', 'g'), chr(10)) AS l FROM p)
+SELECT conv_id, turn, 'file: **' || CASE WHEN turn % 2 = 0 THEN 'd' || conv_id ELSE 'f.txt' END || '**' || chr(10) || chr(10) || CASE WHEN t = '' THEN '> (no content)' ELSE array_to_string(list_transform(l[1:10], lambda x: '> ' || x), chr(10)) || CASE WHEN len(l) > 10 THEN chr(10) || '> ' || chr(10) || '> ... (truncated)' ELSE '' END END || chr(10) AS content FROM l""",
+)
+def part_quotes(spark, d):
+    turn = F.col("turn")
+    many = F.array_join(F.transform(F.sequence(F.lit(1), (turn + 8).cast("int")), lambda i: F.concat(F.lit("l"), i.cast("string"))), "\n")
+    said = F.when(turn % 3 == 0, "").when(turn % 3 == 1, F.col("text")).otherwise(many)
+    part = F.to_json(F.struct(F.when(turn % 2 == 0, F.concat(F.lit("d"), F.col("conv_id").cast("string"))).alias("domain"), F.lit("f.txt").alias("file"), said.alias("text")))
+    return v.table(spark, d, C).select("conv_id", "turn", b.part_quote(part).alias("content"))
+
+
 @query("D7_attachment_lines", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '- attached: a' || doc_id || '.pdf (' || n_chars || ' tokens)' ELSE '- attached: b.txt' END AS lines FROM documents")
 def attachment_lines(spark, d):
     a = lambda n, m, t: F.struct(n.alias("name"), F.lit(m).alias("mime"), t.alias("tokens"))

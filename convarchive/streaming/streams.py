@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -14,27 +16,85 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from convarchive.operators.merge import append_versions, fingerprint
 
 
-PARTS = 64
+#: Rows that a part of a store's folder is to hold; folders have as many parts as that takes.
+PART_ROWS = 1_000_000
+STORED = "note_id string, base string, body string, version_name string, body_hash string, part int"
+COMMITS = "batch long, folder string, parts int, rows long, upto long"
 
 
-def stream_exports(spark: SparkSession, folder: str, schema: str, store: str, checkpoint: str, files_per_batch: int = 100) -> StreamingQuery:
-    """New JSON-lines files of ``(note_id, base, body)``, each read once: versions that the store lacks are appended to it.
+def _commits(spark: SparkSession, store: str) -> list[Row]:
+    """The folders that count: one a batch or a compaction of several; a compaction stands for all batches up to its own."""
+    try:
+        rows = spark.read.schema(COMMITS).json(f"{store}/commits/*").collect()  # a row a batch since the last compaction
+    except AnalysisException:  # nothing was committed yet
+        return []
+    done = max((r.upto for r in rows if r.upto is not None), default=-1)
+    last = [r for r in rows if r.upto is not None and r.upto == done][:1]
+    return last + sorted({r.batch: r for r in rows if r.upto is None and r.batch > done}.values(), key=lambda r: r.batch)
 
-    A batch that is repeated after a failure finds its rows in the store, so nothing is written twice. The store
-    keeps each body's hash and is divided by base, so a batch reads neither bodies nor parts that it doesn't touch.
-    """
-    fields = "note_id string, base string, body string, version_name string, body_hash string, part int"
-    part = F.pmod(F.crc32("base"), F.lit(PARTS)).cast("int")
 
+def _commit(spark: SparkSession, store: str, name: str, row: tuple) -> None:
+    # what is committed counts from the moment this small file is there
+    spark.createDataFrame([row], COMMITS).coalesce(1).write.mode("overwrite").json(f"{store}/commits/{name}")
+
+
+def _part(parts: int) -> Column:
+    return F.pmod(F.crc32("base"), F.lit(parts)).cast("int")
+
+
+def _read(spark: SparkSession, store: str, commits: list[Row]) -> DataFrame:
+    if not commits:
+        return spark.createDataFrame([], STORED)
+    reader = spark.read.schema(f"{STORED}, at string").option("basePath", f"{store}/data")
+    return reader.parquet(*[f"{store}/{r.folder}" for r in commits]).drop("at")
+
+
+def read_store(spark: SparkSession, store: str) -> DataFrame:
+    """All versions of a store: ``(note_id, base, body, version_name, body_hash)``."""
+    return _read(spark, store, _commits(spark, store)).drop("part")
+
+
+def compact_store(spark: SparkSession, store: str, part_rows: int = PART_ROWS) -> None:
+    """Puts all committed folders of a store together in one, in as many parts as its rows need.
+
+    It counts when its commit is there; a stream that runs meanwhile reads the old folders, so compact between runs. Old folders
+    stay for their owner to clear.
+    """
+    commits = _commits(spark, store)
+    rows = sum(r.rows for r in commits)
+    if len(commits) < 2:
+        return
+    parts, last = max(1, -(-rows // part_rows)), max(r.batch for r in commits)
+    folder = f"data/at=upto-{last}-{uuid.uuid4().hex}"
+    read_store(spark, store).withColumn("part", _part(parts)).repartition("part").write.partitionBy("part").parquet(f"{store}/{folder}")
+    _commit(spark, store, f"upto-{last}", (last, folder, parts, rows, last))
+
+
+def stream_exports(spark: SparkSession, folder: str, schema: str, store: str, checkpoint: str, files_per_batch: int = 100, part_rows: int = PART_ROWS) -> StreamingQuery:
+    """New JSON-lines files of ``(note_id, base, body)``, each read once: versions that the store lacks are added to it.
+
+    Exactly once: a batch writes a folder of its own and then its commit. One that is repeated after a failure finds its commit and does
+    nothing, or replaces what it had written. ``read_store`` reads what is committed. A folder keeps each body's hash and is divided by
+    base, so a batch reads hashes of its own bases' parts only, and ``compact_store`` puts small folders together.
+    """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(folder)
 
-    def intake(batch: DataFrame, _: int) -> None:
-        touched = [r[0] for r in batch.select(part).distinct().collect()]  # at most PARTS numbers
-        known = batch.sparkSession.read.schema(fields).parquet(store).where(F.col("part").isin(touched)).select("base", "body_hash")
-        fresh = append_versions(batch, known).withColumn("part", part)
-        fresh.select("note_id", "base", "body", "version_name", "body_hash", "part").write.partitionBy("part").mode("append").parquet(store)
+    def intake(batch: DataFrame, number: int) -> None:
+        own, commits = batch.sparkSession, _commits(batch.sparkSession, store)
+        if any(number <= r.upto if r.upto is not None else number == r.batch for r in commits):
+            return
+        known = own.createDataFrame([], "base string, body_hash string")
+        bases = batch.select("base").distinct()
+        for parts in {r.parts for r in commits}:
+            touched = [r[0] for r in bases.select(_part(parts)).distinct().collect()]  # at most as many numbers as parts
+            there = _read(own, store, [r for r in commits if r.parts == parts])
+            known = known.unionByName(there.where(F.col("part").isin(touched)).select("base", "body_hash").join(bases, "base", "left_semi"))
+        at = f"data/at=batch-{number}"
+        parts = max(1, -(-sum(r.rows for r in commits) // part_rows))
+        fresh = append_versions(batch, known).withColumn("part", _part(parts))
+        fresh.select("note_id", "base", "body", "version_name", "body_hash", "part").write.partitionBy("part").mode("overwrite").parquet(f"{store}/{at}")
+        _commit(own, store, f"batch-{number}", (number, at, parts, own.read.schema(STORED).parquet(f"{store}/{at}").count(), None))
 
-    spark.createDataFrame([], fields).write.partitionBy("part").mode("ignore").parquet(store)
     return stream.writeStream.foreachBatch(intake).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

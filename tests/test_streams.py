@@ -29,3 +29,32 @@ def test_turns_over_many_batches_are_those_of_the_batch_operator(spark, tmp_path
     got = spark.read.parquet(f"{tmp_path}/out").where("session_id <> 'end'").collect()
     assert {(r.session_id, r.turn, r.role, r.started, r.text, r.thoughts, r.tools) for r in got} == want
     assert len(got) == len(want) and all(r.part == 1 for r in got)
+
+
+def test_a_store_takes_each_batch_once(spark, tmp_path):
+    store, fields = f"{tmp_path}/store", "note_id string, base string, body string"
+
+    def drop(name, rows):
+        spark.createDataFrame(rows, fields).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+
+    def run(check):
+        streams.stream_exports(spark, f"{tmp_path}/in", fields, store, f"{tmp_path}/{check}", 1, part_rows=2).awaitTermination()
+        return sorted((r.base, r.body, r.version_name) for r in streams.read_store(spark, store).collect())
+
+    drop("a", [("1", "x", "one"), ("2", "y", "two")])
+    drop("b", [("3", "x", "one"), ("4", "x", "other")])
+    first = run("check")
+    assert [(b, t) for b, t, _ in first] == [("x", "one"), ("x", "other"), ("y", "two")]
+    # a stream that starts again from nothing repeats its batches: they are committed
+    assert run("again") == first
+    # what a failed batch left without a commit is replaced by the batch
+    spark.createDataFrame([("9", "z", "broken", "z", "h", 0)], streams.STORED).write.partitionBy("part").parquet(f"{store}/data/at=batch-2")
+    assert streams.read_store(spark, store).where("base = 'z'").count() == 0
+    drop("c", [("5", "y", "two"), ("6", "w", "new")])
+    third = run("check")
+    assert [(b, t) for b, t, _ in third] == [("w", "new"), *[(b, t) for b, t, _ in first]]
+    streams.compact_store(spark, store, part_rows=2)
+    assert sorted((r.base, r.body, r.version_name) for r in streams.read_store(spark, store).collect()) == third
+    assert [(r.parts, r.rows) for r in streams._commits(spark, store)] == [(2, 4)]
+    drop("d", [("7", "w", "new"), ("8", "w", "newer")])
+    assert len(run("check")) == 5
