@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from collections.abc import Iterator
@@ -19,23 +20,22 @@ from convarchive.operators.merge import append_versions, fingerprint
 #: Rows that a part of a store's folder is to hold; folders have as many parts as that takes.
 PART_ROWS = 1_000_000
 STORED = "note_id string, base string, body string, version_name string, body_hash string, part int"
-COMMITS = "batch long, folder string, parts int, rows long, upto long"
+COMMITS = "name string, folder string, parts int, rows long, seen map<string,bigint>, covers array<string>"
 
 
 def _commits(spark: SparkSession, store: str) -> list[Row]:
-    """The folders that count: one a batch or a compaction of several; a compaction stands for all batches up to its own."""
+    """The folders that count: of each batch and compaction, but those that a compaction has put together. ``seen`` has the last batch of each stream."""
     try:
-        rows = spark.read.schema(COMMITS).json(f"{store}/commits/*").collect()  # a row a batch since the last compaction
+        rows = spark.read.schema(COMMITS).json(f"{store}/commits/*").collect()  # a row a batch or compaction
     except AnalysisException:  # nothing was committed yet
         return []
-    done = max((r.upto for r in rows if r.upto is not None), default=-1)
-    last = [r for r in rows if r.upto is not None and r.upto == done][:1]
-    return last + sorted({r.batch: r for r in rows if r.upto is None and r.batch > done}.values(), key=lambda r: r.batch)
+    covered = {name for r in rows for name in r.covers or ()}
+    return sorted((r for r in rows if r.name not in covered), key=lambda r: r.name)
 
 
-def _commit(spark: SparkSession, store: str, name: str, row: tuple) -> None:
+def _commit(spark: SparkSession, store: str, *row) -> None:
     # what is committed counts from the moment this small file is there
-    spark.createDataFrame([row], COMMITS).coalesce(1).write.mode("overwrite").json(f"{store}/commits/{name}")
+    spark.createDataFrame([row], COMMITS).coalesce(1).write.mode("overwrite").json(f"{store}/commits/{row[0]}")
 
 
 def _part(parts: int) -> Column:
@@ -64,24 +64,28 @@ def compact_store(spark: SparkSession, store: str, part_rows: int = PART_ROWS) -
     rows = sum(r.rows for r in commits)
     if len(commits) < 2:
         return
-    parts, last = max(1, -(-rows // part_rows)), max(r.batch for r in commits)
-    folder = f"data/at=upto-{last}-{uuid.uuid4().hex}"
+    parts, name, seen = max(1, -(-rows // part_rows)), f"compaction-{uuid.uuid4().hex}", {}
+    for r in commits:
+        seen |= {k: max(n, seen.get(k, -1)) for k, n in r.seen.items()}
+    folder = f"data/at={name}"
     read_store(spark, store).withColumn("part", _part(parts)).repartition("part").write.partitionBy("part").parquet(f"{store}/{folder}")
-    _commit(spark, store, f"upto-{last}", (last, folder, parts, rows, last))
+    _commit(spark, store, name, folder, parts, rows, seen, [r.name for r in commits])
 
 
 def stream_exports(spark: SparkSession, folder: str, schema: str, store: str, checkpoint: str, files_per_batch: int = 100, part_rows: int = PART_ROWS) -> StreamingQuery:
     """New JSON-lines files of ``(note_id, base, body)``, each read once: versions that the store lacks are added to it.
 
-    Exactly once: a batch writes a folder of its own and then its commit. One that is repeated after a failure finds its commit and does
-    nothing, or replaces what it had written. ``read_store`` reads what is committed. A folder keeps each body's hash and is divided by
+    Exactly once: a batch writes a folder of its own and then its commit, under the stream's checkpoint and its number. One that is
+    repeated after a failure finds its commit and does nothing, or replaces what it had written. A stream that begins anew with another
+    checkpoint reads all files again and finds their versions in the store. ``read_store`` reads what is committed. A folder keeps each body's hash and is divided by
     base, so a batch reads hashes of its own bases' parts only, and ``compact_store`` puts small folders together.
     """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(folder)
+    key = hashlib.sha1(checkpoint.encode()).hexdigest()[:12]
 
     def intake(batch: DataFrame, number: int) -> None:
         own, commits = batch.sparkSession, _commits(batch.sparkSession, store)
-        if any(number <= r.upto if r.upto is not None else number == r.batch for r in commits):
+        if any(number <= r.seen.get(key, -1) for r in commits):
             return
         known = own.createDataFrame([], "base string, body_hash string")
         bases = batch.select("base").distinct()
@@ -89,11 +93,12 @@ def stream_exports(spark: SparkSession, folder: str, schema: str, store: str, ch
             touched = [r[0] for r in bases.select(_part(parts)).distinct().collect()]  # at most as many numbers as parts
             there = _read(own, store, [r for r in commits if r.parts == parts])
             known = known.unionByName(there.where(F.col("part").isin(touched)).select("base", "body_hash").join(bases, "base", "left_semi"))
-        at = f"data/at=batch-{number}"
+        name = f"batch-{key}-{number}"
+        at = f"data/at={name}"
         parts = max(1, -(-sum(r.rows for r in commits) // part_rows))
         fresh = append_versions(batch, known).withColumn("part", _part(parts))
         fresh.select("note_id", "base", "body", "version_name", "body_hash", "part").write.partitionBy("part").mode("overwrite").parquet(f"{store}/{at}")
-        _commit(own, store, f"batch-{number}", (number, at, parts, own.read.schema(STORED).parquet(f"{store}/{at}").count(), None))
+        _commit(own, store, name, at, parts, own.read.schema(STORED).parquet(f"{store}/{at}").count(), {key: number}, None)
 
     return stream.writeStream.foreachBatch(intake).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
