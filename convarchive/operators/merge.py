@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convarchive.functions.text import collapse_space, slugify, strip_space, word_count
+from convarchive.sources.shared import new_folder
 
 
 def fingerprint(role: Column, content: Column) -> Column:
@@ -67,14 +68,14 @@ def ranked_variants(notes: DataFrame, messages: DataFrame) -> DataFrame:
     return sized.withColumn("rank", F.row_number().over(order))
 
 
-def merge_variants(notes: DataFrame, messages: DataFrame) -> DataFrame:
+def merge_variants(notes: DataFrame, messages: DataFrame, ranked: DataFrame | None = None) -> DataFrame:
     """``(group_key, pos, role, content, recovered)``: all champion messages in order, then what only others have.
 
     The champion's own repeated messages stay. Messages of other variants follow by variant rank and
-    position, the first of each fingerprint that the champion lacks.
+    position, the first of each fingerprint that the champion lacks. ``ranked`` is what ``ranked_variants`` gave, if it is there.
     """
-    ranked = ranked_variants(notes, messages).select("note_id", "group_key", "rank")
-    placed = messages.join(ranked, "note_id").withColumn("fp", fingerprint(F.col("role"), F.col("content")))
+    ranked = ranked_variants(notes, messages) if ranked is None else ranked
+    placed = messages.join(ranked.select("note_id", "group_key", "rank"), "note_id").withColumn("fp", fingerprint(F.col("role"), F.col("content")))
     champion = placed.where("rank = 1").withColumn("recovered", F.lit(False))
     others = placed.where("rank > 1").join(champion.select("group_key", "fp"), ["group_key", "fp"], "left_anti")
     first = F.row_number().over(Window.partitionBy("group_key", "fp").orderBy("rank", "pos"))
@@ -84,13 +85,19 @@ def merge_variants(notes: DataFrame, messages: DataFrame) -> DataFrame:
 
 
 def merged_conversations(notes: DataFrame, messages: DataFrame) -> DataFrame:
-    """One row a group: title, source tag, message and recovered counts, and a digest of the merged text."""
-    merged = merge_variants(notes, messages)
+    """One row a group: title, source tag, message and recovered counts, and a digest of the merged text.
+
+    Variants are ranked once, and written with their names to the shared checkpoint folder: a row a note.
+    """
+    path = f"{new_folder(notes.sparkSession)}/ranked"
+    ranked_variants(notes.select("note_id", "group_key", "source", "mtime", "path", "title", "base_name"), messages).write.parquet(path)
+    ranked = notes.sparkSession.read.parquet(path)
+    merged = merge_variants(notes, messages, ranked)
     line = F.struct("pos", F.concat_ws("\x1f", F.lower("role"), "content").alias("line"))
     digest = F.sha1(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\x1e"))
     text = merged.groupBy("group_key").agg(F.count("*").alias("messages"), F.count_if("recovered").alias("recovered"), digest.alias("digest"))
-    out = resolve_titles(notes).join(text, "group_key", "left")
-    champion = ranked_variants(notes, messages).where("rank = 1").select("group_key", "source")
+    out = resolve_titles(ranked).join(text, "group_key", "left")
+    champion = ranked.where("rank = 1").select("group_key", "source")
     return out.join(champion, "group_key").withColumn("source", source_tag(F.col("source"), F.col("recovered")))
 
 
