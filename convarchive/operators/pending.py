@@ -16,12 +16,12 @@ def pending_ref(credential: Column) -> Column:
     return F.substring(F.sha2(strip_space(credential), 256), 1, 16)
 
 
-def merge_pending(known: DataFrame, seen: DataFrame) -> DataFrame:
-    """Seen downloads merged into known ones by ``ref``: queries and conversations join, the known state stays."""
+def merge_pending(known: DataFrame, seen: DataFrame, *within: str) -> DataFrame:
+    """Seen downloads merged into known ones by ``ref``, in lists of their own ``within`` further columns: queries and conversations join, the known state stays."""
     rows = known.withColumn("old", F.lit(True)).unionByName(seen.withColumn("old", F.lit(False)), allowMissingColumns=True)
     joined = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
     state = F.coalesce(F.max(F.when(F.col("old"), F.col("state"))), F.lit(UNTRIAGED))
-    return rows.groupBy("ref").agg(state.alias("state"), F.max("credential").alias("credential"), joined("queries"), joined("conversations"))
+    return rows.groupBy("ref", *within).agg(state.alias("state"), F.max("credential").alias("credential"), joined("queries"), joined("conversations"))
 
 
 def sanitize(pending: DataFrame) -> DataFrame:
@@ -40,10 +40,10 @@ def untriaged(pending: DataFrame) -> DataFrame:
     return pending.where(F.coalesce("state", F.lit(UNTRIAGED)) == UNTRIAGED)
 
 
-def apply_triage(pending: DataFrame, events: DataFrame) -> DataFrame:
-    """States after the newest of ``events(ref, ts, action, file, media_type)``: discard, or register with its file and bank."""
-    last = events.groupBy("ref").agg(F.max(F.struct("ts", "action", "file", "media_type")).alias("e"))
-    met = pending.join(last, "ref", "left")
+def apply_triage(pending: DataFrame, events: DataFrame, *within: str) -> DataFrame:
+    """States after the newest of ``events(ref, ts, action, file, media_type)``: discard, or register with its file and bank; lists that are kept apart as for ``merge_pending``."""
+    last = events.groupBy("ref", *within).agg(F.max(F.struct("ts", "action", "file", "media_type")).alias("e"))
+    met = pending.join(last, ["ref", *within], "left")
     action = F.col("e.action")
     return met.withColumns(
         {
