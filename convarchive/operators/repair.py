@@ -48,16 +48,17 @@ def repair_plan(notes: DataFrame) -> DataFrame:
     """``(path, action, new_name, mtime)`` of ``notes(path, dir, base, name, body, mtime)``.
 
     Of notes with equal final text in a folder and base the plainly named one stays and inherits the newest
-    time; its twins go to the trash; a kept one with a version suffix takes the base name if that is free.
+    time; its twins go to the trash; a kept one with a version suffix takes the base name if that is free. Of notes with
+    the same name the first path comes first.
     """
     digest = F.sha1(strip_space(F.col("body")))
     suffixed = (F.col("name") != F.col("base")).cast("int")
     twins = Window.partitionBy("dir", "base", "sha")
     marked = notes.withColumn("sha", digest).withColumns(
-        {"nth": F.row_number().over(twins.orderBy(suffixed, "name")), "newest": F.max("mtime").over(twins)}
+        {"nth": F.row_number().over(twins.orderBy(suffixed, "name", "path")), "newest": F.max("mtime").over(twins)}
     )
     kept = F.col("nth") == 1
-    place = Window.partitionBy("dir", "base").orderBy((~kept).cast("int"), suffixed, "name")
+    place = Window.partitionBy("dir", "base").orderBy((~kept).cast("int"), suffixed, "name", "path")
     first = F.row_number().over(place) == 1
     action = F.when(~kept, "trash").when(first & (F.col("name") != F.col("base")), "rename").otherwise("keep")
     return marked.withColumn("action", action).select("path", "action", F.when(F.col("action") == "rename", F.col("base")).otherwise(F.col("name")).alias("new_name"), F.when(kept, F.col("newest")).alias("mtime"))
