@@ -81,6 +81,8 @@ def rule_table(spark: SparkSession, topics: dict[str, list[str]]) -> DataFrame:
 
 #: Characters on each side of a space that phrases and texts meet by, and of the grams of phrases without a space.
 SIDE, GRAM = 3, 3
+#: Up to so many phrases are looked for in each text directly.
+DIRECT = 64
 
 
 def _pairs(text: Column) -> Column:
@@ -108,13 +110,18 @@ def _rarest(keys: DataFrame, counts: DataFrame) -> DataFrame:
 def holding(texts: DataFrame, phrases: DataFrame, *keys: str) -> DataFrame:
     """``(*keys, phrase)``: which of ``phrases(phrase)`` each of ``texts(*keys, text)`` contains; rows with the same keys count as one.
 
-    A blocking index, so that no text is held against every phrase. A phrase with spaces meets texts by what stands
+    Few phrases (``DIRECT``) are looked for in a single pass over the texts. For more there is
+    a blocking index, so that no text is held against every phrase. A phrase with spaces meets texts by what stands
     around the one of its spaces that is rarest in the texts; whether it is there is looked at in the texts met only.
     One without spaces must lie inside a piece between two spaces, and so meets the texts' vocabulary, by the rarest
     of its grams. There is no bound on phrases, and all meetings are equi-joins. Null and empty phrases are in no text.
     """
     spark = texts.sparkSession
     phrases = phrases.select("phrase").where("phrase <> ''").distinct()
+    few = [r.phrase for r in phrases.limit(DIRECT + 1).collect()]
+    if len(few) <= DIRECT:
+        there = F.array(*[F.when(F.contains("text", F.lit(x)), F.lit(x)) for x in few]).cast("array<string>")
+        return texts.select(*keys, F.explode(F.array_compact(there)).alias("phrase")).distinct()
     with_space = F.contains("phrase", F.lit(" "))
     # by the space: as many characters as the phrase has there, at most SIDE; a text offers the sizes in use only
     sides = phrases.where(with_space).select("phrase", F.explode(_pairs(F.col("phrase"))).alias("p"))
