@@ -41,8 +41,14 @@ def append_versions(new: DataFrame, existing: DataFrame, scheme: str = "hash") -
     more = [F.min_by("created", "note_id").alias("created")] if "created" in new.columns else []
     fresh = fresh.groupBy("base", "body_hash").agg(F.min("note_id").alias("note_id"), F.min_by("body", "note_id").alias("body"), *more)
     known = existing.groupBy("base").agg(F.count("*").alias("known"))
-    nth = F.row_number().over(Window.partitionBy("base").orderBy("note_id")) + F.coalesce("known", F.lit(0))
-    named = fresh.join(known, "base", "left").withColumn("nth", nth)
+    if scheme == "counter":
+        nth = F.row_number().over(Window.partitionBy("base").orderBy("note_id")) + F.coalesce("known", F.lit(0))
+        named = fresh.join(known, "base", "left").withColumn("nth", nth)
+    else:
+        # only the first of a base matters: one small row a base, so that a base's texts need not meet in one task
+        first = fresh.groupBy("base").agg(F.min(F.struct("note_id", "body_hash")).alias("first"))
+        is_first = F.struct("note_id", "body_hash").eqNullSafe(F.col("first")) & F.col("known").isNull()
+        named = fresh.join(known.join(first, "base", "right"), "base", "left").withColumn("nth", F.when(is_first, 1).otherwise(2)).drop("first")
     suffix = F.concat(F.lit("-h"), F.substring("body_hash", 1, 8)) if scheme == "hash" else F.concat(F.lit("-"), F.col("nth").cast("string"))
     if scheme == "time":
         stamp = F.coalesce(F.date_format("created", "yyyyMMdd-HHmmss"), F.concat(F.lit("h"), F.substring("body_hash", 1, 8)))

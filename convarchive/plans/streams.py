@@ -10,6 +10,11 @@ from convarchive.plans.registry import query
 from convarchive.streaming import streams as o
 
 
+def parts_of(df, least, rows):
+    """How many files of so many rows a drop takes, so that no task grows with the input."""
+    return max(least, -(-df.count() // rows))
+
+
 def streamed(spark, df):
     """``df`` dropped as Parquet files in four parts, and read as a stream."""
     path = f"{shared(spark)}/drop"
@@ -28,8 +33,11 @@ def stream_exports(spark, d):
     root = shared(spark)
     rows = v.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("note_id"), F.concat(F.lit("b"), (F.col("doc_id") % 40).cast("string")).alias("base"), F.col("text").alias("body"))
     for k in (0, 1):  # a second drop repeats all of the first
-        rows.where(F.col("note_id").cast("long") % 2 <= k).repartition(3).write.mode("append").json(f"{root}/in")
-        o.stream_exports(spark, f"{root}/in", "note_id string, base string, body string", f"{root}/store", f"{root}/check", 2).awaitTermination()
+        drop = rows.where(F.col("note_id").cast("long") % 2 <= k)
+        parts = parts_of(drop, 3, o.FILE_ROWS)
+        drop.repartition(parts).write.mode("append").json(f"{root}/in")
+        # two batches a drop
+        o.stream_exports(spark, f"{root}/in", "note_id string, base string, body string", f"{root}/store", f"{root}/check", -(-parts // 2)).awaitTermination()
         o.compact_store(spark, f"{root}/store")
     return o.read_store(spark, f"{root}/store").groupBy("base").agg(F.count("*").alias("versions"))
 

@@ -19,6 +19,8 @@ from convarchive.operators.merge import append_versions, fingerprint
 
 #: Rows that a part of a store's folder is to hold; folders have as many parts as that takes.
 PART_ROWS = 1_000_000
+#: Rows that a task which writes texts is to hold; a part is several files where it has more.
+FILE_ROWS = 20_000
 STORED = "note_id string, base string, body string, version_name string, body_hash string, part int"
 COMMITS = "name string, folder string, parts int, rows long, seen map<string,bigint>, covers array<string>"
 
@@ -68,7 +70,9 @@ def compact_store(spark: SparkSession, store: str, part_rows: int = PART_ROWS) -
     for r in commits:
         seen |= {k: max(n, seen.get(k, -1)) for k, n in r.seen.items()}
     folder = f"data/at={name}"
-    read_store(spark, store).withColumn("part", _part(parts)).repartition("part").write.partitionBy("part").parquet(f"{store}/{folder}")
+    tasks = max(parts, -(-rows // FILE_ROWS))
+    salt = F.pmod(F.crc32("body_hash"), F.lit(-(-tasks // parts)))
+    read_store(spark, store).withColumn("part", _part(parts)).repartition(tasks, "part", salt).write.partitionBy("part").parquet(f"{store}/{folder}")
     _commit(spark, store, name, folder, parts, rows, seen, [r.name for r in commits])
 
 
