@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,14 +43,18 @@ def untriaged(pending: DataFrame) -> DataFrame:
 
 
 def apply_triage(pending: DataFrame, events: DataFrame, *within: str) -> DataFrame:
-    """States after the newest of ``events(ref, ts, action, file, media_type)``: discard, or register with its file and bank; lists that are kept apart as for ``merge_pending``."""
-    last = events.groupBy("ref", *within).agg(F.max(F.struct("ts", "action", "file", "media_type")).alias("e"))
-    met = pending.join(last, ["ref", *within], "left")
+    """States after the newest of ``events(ref, ts, action, file, media_type)``: discard, or register with its file and bank, if it has one; lists that are kept apart as for ``merge_pending``.
+
+    A missing ``ref`` is a value like any other, as it is in ``merge_pending``.
+    """
+    keys = ["ref", *within]
+    last = events.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.max(F.struct("ts", "action", "file", "media_type")).alias("e"))
+    met = pending.join(last, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]), "left").drop(*[f"__{k}" for k in keys])
     action = F.col("e.action")
     return met.withColumns(
         {
             "state": F.when(action == "discard", DISCARDED).when(action == "register", RESCUED).otherwise(F.coalesce("state", F.lit(UNTRIAGED))),
             "file": F.when(action == "register", F.col("e.file")),
-            "bank": F.when(action == "register", F.when(F.startswith("e.media_type", F.lit("video")), "videos").otherwise("images")),
+            "bank": F.when((action == "register") & F.col("e.file").isNotNull(), F.when(F.startswith("e.media_type", F.lit("video")), "videos").otherwise("images")),
         }
     ).drop("e")
