@@ -99,3 +99,17 @@ def test_scores_against_brute_force(spark):
     labels_only = toxicity.score_toxicity(docs.select("doc_id", "text").where("doc_id >= 60").unionByName(frame), labels)
     for r in labels_only.where("doc_id < 60 or doc_id >= 1000").collect():
         assert abs(r.score - slow_logit(model, some[r.doc_id])) < 1e-4
+
+
+def test_training_takes_all_labelled_rows_in_shares(spark, monkeypatch):
+    docs, labels = corpus(spark)
+    docs, labels = docs.unionByName(docs), labels.unionByName(labels)  # repeated rows count once
+    monkeypatch.setattr(toxicity, "SHARE", 100)
+    rows = toxicity.labelled(docs, labels)
+    want = sum(zlib.crc32(str(i).encode()) % 5 > 0 for i in range(900))
+    assert rows.count() == want and rows.rdd.getNumPartitions() > 5
+    seen = toxicity.bucket_counts(rows)
+    assert seen[1, 0, zlib.crc32(b"the") & 0xFFFF] + seen[0, 0, zlib.crc32(b"the") & 0xFFFF] == sum("the" in r.text.split() for r in docs.distinct().collect() if zlib.crc32(str(r.doc_id).encode()) % 5)
+    out = toxicity.score_toxicity(docs, labels).withColumn("held", toxicity.fold() == 0).toPandas()
+    held = out[out.held]
+    assert (held.predicted == (held.doc_id % 4 == 0)).mean() > 0.95
