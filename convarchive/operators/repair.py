@@ -10,6 +10,8 @@ from convarchive.functions.text import has_nul, has_private_use, raw_json_lines,
 #: Drift flags and whether the note itself is enough to repair it (else an export is needed).
 FLAGS = {"raw_json": "note", "nul_bytes": "export", "raw_citations": "export", "missing_image": "export", "no_model": "export", "no_conv_id": "export"}
 NOTICE = r"\[missing image:([^\]]+)\]"
+#: Characters of a file's name by which texts are searched for places where it could begin.
+HEAD = 3
 LINK = r"(!?\[[^\]]*\]\()([^)]+)(\))"
 
 
@@ -125,8 +127,20 @@ def recovery_report(notes: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def attach_library_to_notes(notes: DataFrame, library: DataFrame) -> DataFrame:
-    """``(note_id, file)`` of library images whose conversation has a note that doesn't link them yet."""
-    return notes.join(library, "conv_id").where(~F.contains("body", "file")).select("note_id", "file")
+    """``(note_id, file)`` of library images whose conversation has a note that doesn't link them yet.
+
+    The result is a row a pair. Texts are searched once a note, not once a pair: what a text has where a file of its conversation could
+    begin (by its first ``HEAD`` characters), as long as the longest of these, is all that pairs look at.
+    """
+    library = library.where("file is not null").select("conv_id", "file")
+    quoted = F.concat(F.lit(r"\Q"), F.replace(F.left("file", F.lit(HEAD)), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    # a row a conversation, with each head once
+    heads = library.groupBy("conv_id").agg(F.collect_set(F.left("file", F.lit(HEAD))).alias("heads"), F.array_join(F.array_sort(F.collect_set(quoted)), "|").alias("any"), F.max(F.length("file")).alias("most"))
+    asked = notes.where("body is not null").select("note_id", "conv_id", "body").join(heads, "conv_id")
+    at = F.concat(F.lit("(?s)(?=((?:"), "any", F.lit(").{0,"), F.col("most").cast("string"), F.lit("}))"))
+    there = F.when(F.exists("heads", lambda h: F.contains("body", h)), F.array_distinct(F.regexp_extract_all("body", at, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    met = asked.select("note_id", "conv_id", there.alias("there")).join(library, "conv_id")
+    return met.where(~F.exists("there", lambda w: F.startswith(w, F.col("file")))).select("note_id", "file")
 
 
 def complete_metadata(manifest: DataFrame, found: DataFrame) -> DataFrame:
