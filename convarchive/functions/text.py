@@ -56,10 +56,14 @@ def fold_accents(c: Column) -> Column:
     return F.when(F.length(low) == F.octet_length(low), low).otherwise(F.translate(low, ACCENTED, PLAIN))
 
 
+def found_tokens(folded: Column) -> Column:
+    """What ``topic_tokens`` finds in a text without accents, repeats and digits included."""
+    return F.regexp_extract_all(folded, F.lit(r"([a-z0-9][a-z0-9_-]{2,})"), 1)
+
+
 def topic_tokens(c: Column) -> Column:
     """Distinct normalised tokens of three characters or more, digits-only ones left out."""
-    found = F.regexp_extract_all(fold_accents(c), F.lit(r"([a-z0-9][a-z0-9_-]{2,})"), 1)
-    return F.array_distinct(F.filter(found, lambda t: ~t.rlike("^[0-9]+$")))
+    return F.array_distinct(F.filter(found_tokens(fold_accents(c)), lambda t: ~t.rlike("^[0-9]+$")))
 
 
 def slugify(c: Column, mode: str = "unicode", limit: int = 80) -> Column:

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from convarchive.functions.text import fold_accents, strip_space, topic_tokens
+from convarchive.functions.text import fold_accents, found_tokens, strip_space, topic_tokens
 from convarchive.sources.shared import new_folder
 
 #: Words that say nothing about a note's subject, without accents. Callers may pass their own.
@@ -158,14 +158,29 @@ def holding(texts: DataFrame, phrases: DataFrame, *keys: str) -> DataFrame:
     return spaced.distinct()
 
 
+def naming(notes: DataFrame, words: DataFrame) -> DataFrame:
+    """``(note_id, token)``: which of the tokens ``words(token)`` each note has, once.
+
+    With few words (``DIRECT``) only notes whose text contains one somewhere are cut into tokens, and only these words leave their row.
+    """
+    few = [r.token for r in words.select("token").where("token is not null").distinct().limit(DIRECT + 1).collect()]
+    if len(few) > DIRECT:
+        return tokens(notes).join(words.select("token").distinct(), "token").select("note_id", "token")
+    text = fold_accents(F.concat_ws("\n", "title", "body"))
+    there = reduce(Column.__or__, [F.contains("text", F.lit(w)) for w in few], F.lit(False))
+    own = F.array_distinct(F.filter(found_tokens(F.col("text")), lambda t: t.isin(few) & ~t.rlike("^[0-9]+$")))
+    # not by where(): a filter would fold the text once a word
+    return notes.select("note_id", text.alias("text")).select("note_id", F.explode(F.when(there, own)).alias("token"))
+
+
 def match_topics(notes: DataFrame, rules: DataFrame, fields: list[str]) -> DataFrame:
     """``(topic, note_id, content)``: notes that any rule hits; ``content`` tells a word or phrase among them.
 
-    Words meet tokens by an equi-join, field values meet front-matter values by another, and phrases meet texts by ``holding``.
+    Words meet tokens by an equi-join (``naming``), field values meet front-matter values by another, and phrases meet texts by ``holding``.
     """
     norm = rules.select("topic", "kind", fold_accents(strip_space(F.col("field"))).alias("field"), fold_accents(strip_space(F.col("value"))).alias("value"))
     words = norm.where("kind = 'word'").select("topic", F.col("value").alias("token"))
-    by_word = tokens(notes).join(words, "token").select("topic", "note_id", F.lit(True).alias("content"))
+    by_word = naming(notes, words).join(words, "token").select("topic", "note_id", F.lit(True).alias("content"))
     text = notes.select("note_id", fold_accents(F.concat_ws("\n", "body", "title")).alias("text"))
     phrases = norm.where("kind = 'phrase'").select("topic", "value")
     found = holding(text, phrases.select(F.col("value").alias("phrase")), "note_id")
