@@ -26,6 +26,8 @@ from __future__ import annotations
 import copy
 import heapq
 from collections.abc import Iterator
+from functools import cached_property
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convarchive.llm.common import kept, require, stored, table
+from convarchive.llm.common import give_back, kept, require, stored, table
 from convarchive.llm.tokens import cut_words, in_blocks
 
 FOLDS, MIXED_FOLD = 10, 1
@@ -46,9 +48,10 @@ SEEN = (1, 2, 4, 12, 60)  # where the levels of how often a slot was seen begin
 END, STOP = 256, 32  # symbols: the end of a text, the end of a word
 END_WORD = b" "  # no word has a space
 SLICE = 20_000  # words that are spelled at once
-BLOCK, SMALL_BLOCK = 8_000_000, 4_000_000  # bytes of text that are cut into words at once, alone and beside tables
+BLOCK, SMALL_BLOCK, LEARNED_BLOCK = 8_000_000, 2_000_000, 4_000_000  # bytes of text that are cut into words at once: alone, beside tables, in learning
 CHUNK = 200_000  # tokens whose contexts are held at once
 BLOCKS = 64
+CARRY, LIGHT = 1 << 14, 16  # how much is taken at a time from a cell that gets full; weights below which pairs are put down together
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Contexts leave their lowest bits free, so that a context and a symbol fit into one number.
 LOW = np.uint64(511)
@@ -58,8 +61,44 @@ def text_words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def word_key(word: bytes | str) -> int:
-    return xxhash.xxh64_intdigest(word, 7)
+def word_keys(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(7)), np.uint64, len(words))
+
+
+def bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all words in a row, and where each word begins (one more at the end)."""
+    words = words.cast(pa.large_binary())
+    _, at, flat = words.buffers()
+    if not len(words):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    at = np.frombuffer(at, np.int64)[words.offset : words.offset + len(words) + 1]
+    return np.frombuffer(flat or b"", np.uint8)[at[0] : at[-1]], at - at[0]
+
+
+def listed(words: pa.Array) -> list[bytes]:
+    flat, at = bytes_of(words)
+    data, at = flat.tobytes(), at.tolist()
+    return [data[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
+def sums(pairs: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of equal numbers: one's place, the number, the sum of their weights."""
+    order = np.argsort(pairs)
+    found = pairs[order]
+    new = np.flatnonzero(np.diff(found, prepend=~found[:1])) if len(found) else np.zeros(0, np.int64)
+    return order[new], found[new], np.add.reduceat(weights[order], new) if len(new) else weights[:0]
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """All rows of some batches in batches of about so many rows, as equal beginnings of words are spelled once a batch."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -89,15 +128,15 @@ class Code:
             paths.append(path[::-1])
         self.length = np.array([len(p) for p in paths], np.int64)
         self.offset = np.cumsum(self.length) - self.length
-        self.node = np.array([n for p in paths for n, _ in p], np.uint64)
+        self.place = np.array([n for p in paths for n, _ in p], np.uint64) * B
         self.bit = np.array([b for p in paths for _, b in p], np.int64)
 
     def decisions(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each decision: which symbol it belongs to, its node, its bit."""
+        """For each decision: which symbol it belongs to, its node times ``B``, its bit."""
         n = self.length[symbols]
         of = np.repeat(np.arange(len(symbols)), n)
-        at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + self.offset[symbols][of]
-        return of, self.node[at], self.bit[at]
+        at = np.arange(len(of)) + (self.offset[symbols] - (np.cumsum(n) - n))[of]
+        return of, self.place[at], self.bit[at]
 
 
 def table_bits(bits: int) -> list[int]:
@@ -109,10 +148,15 @@ def n_slots(bits: int) -> int:
     return sum(1 << b for b in table_bits(bits))
 
 
-def slots(k: int, contexts: np.ndarray, of: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
-    """Slot of a context, in one row of all tables, for each decision."""
+def slots(k: int, contexts: np.ndarray, of: np.ndarray, place: np.ndarray, bits: int) -> np.ndarray:
+    """Slot of a context, in one row of all tables, for each decision; ``place`` is the node times ``B``."""
     sizes = table_bits(bits)
-    return ((contexts[of] + node * B) * A >> np.uint64(64 - sizes[k])).astype(np.int64) + sum(1 << b for b in sizes[:k])
+    at = contexts[of]
+    at += place
+    at *= A
+    at >>= np.uint64(64 - sizes[k])
+    at += np.uint64(sum(1 << b for b in sizes[:k]))
+    return at.view(np.int64)
 
 
 def inner_events(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
@@ -136,6 +180,11 @@ def inner_events(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, dict[int,
     return of[after], flat[after].astype(np.int64), contexts
 
 
+def spread(raw: np.ndarray, k: int) -> np.ndarray:
+    """Contexts of first symbols from what they stand for."""
+    return (mixed(raw * np.uint64(8) + np.uint64(k)) ^ A) & ~LOW
+
+
 class Tokens:
     """The tokens of some texts: ``words``, the code of each token (the end is one more), ``ends`` of the texts, and what contexts need of a word."""
 
@@ -147,68 +196,138 @@ class Tokens:
         real = np.ones(len(self.codes), bool)
         real[self.ends - 1] = False
         self.codes[real] = codes
-        said = self.words.to_pylist()
-        self.keys = np.fromiter((word_key(w) for w in [*said, END_WORD]), np.uint64, len(said) + 1)
+
+    @cached_property
+    def spelled(self) -> list[bytes]:
+        return listed(self.words)
+
+    @cached_property
+    def keys(self) -> np.ndarray:
+        return word_keys([*self.spelled, END_WORD])
 
     def text_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.n)), self.n)
 
-    def spelled(self) -> list[bytes]:
-        return self.words.cast(pa.large_binary()).to_pylist()
+    @cached_property
+    def first(self) -> np.ndarray:
+        """The first symbol of each word, and the end."""
+        flat, at = bytes_of(self.words)
+        return np.append(flat[at[:-1]].astype(np.int64), END)
 
-    def first_events(self) -> Iterator[tuple[slice, np.ndarray, dict[int, np.ndarray]]]:
-        """Of the tokens' first symbols, chunk by chunk: which tokens, the symbols, their contexts by table."""
-        at = np.concatenate([[0], np.cumsum(pc.binary_length(self.words).to_numpy(zero_copy_only=False))]).astype(np.int64)
-        flat = np.frombuffer("".join(self.words.to_pylist()).encode() or b"\0", np.uint8)
+    def before(self, back: int) -> np.ndarray:
+        """For each token, the code of the word so many places before it in its text; that of the end where there is none."""
+        place = np.arange(len(self.codes)) - np.repeat(self.ends - self.n, self.n)
+        return np.where(place >= back, np.concatenate([np.zeros(back, np.int64), self.codes[: max(0, len(self.codes) - back)]])[: len(self.codes)], len(self.words))
+
+    @cached_property
+    def tails(self) -> list[np.ndarray]:
+        """Of each word, and of none, the contexts of what follows it: its last one, two and three bytes, and all of it."""
+        flat, at = bytes_of(self.words)
         size = np.diff(at)
-        first = np.append(flat[at[:-1]].astype(np.int64), END)
-        byte = [np.append(np.where(size > k, flat[np.maximum(at[1:] - 1 - k, 0)], 0).astype(np.uint64), np.uint64(0)) for k in range(3)]
-        tails = [byte[0] + np.uint64(1)]
+        byte = [np.where(size > k, flat[np.maximum(at[1:] - 1 - k, 0)], 0).astype(np.uint64) for k in range(3)]
+        raw = [byte[0] + np.uint64(1)]
         for b in byte[1:]:
-            tails.append(tails[-1] << np.uint64(9) | b)
-        place = np.arange(len(self.codes)) - np.repeat(self.ends - self.n, self.n)
+            raw.append(raw[-1] << np.uint64(9) | b)
+        return [spread(np.append(c, np.uint64(0)), k) for k, c in enumerate([*raw, self.keys[:-1]])]
+
+    def two_before(self, own: slice, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """The contexts of the two words before each token."""
+        keys = np.append(self.keys[:-1], np.uint64(0))
+        return spread((keys * B)[one[own]] + keys[two[own]], 4)
+
+    def first_events(self) -> Iterator[tuple[slice, np.ndarray, dict[int, np.ndarray]]]:
+        """Of the tokens' first symbols, chunk by chunk: which tokens, the symbols, their contexts by table."""
+        one, two = self.before(1), self.before(2)
+        for start in range(0, len(self.codes), CHUNK):
+            own = slice(start, min(start + CHUNK, len(self.codes)))
+            yield own, self.first[self.codes[own]], {k: c[one[own]] for k, c in enumerate(self.tails)} | {4: self.two_before(own, one, two)}
+
+    def count_firsts(self, counts: Counts) -> None:
+        """Counts what ``first_events`` gives; all but the longest context depend on one word, and are taken once for it and a symbol."""
+        one, two = self.before(1), self.before(2)
         for start in range(0, len(self.codes), CHUNK):
             own = slice(start, min(start + CHUNK, len(self.codes)))
-            seen, part = place[own], np.concatenate([np.zeros(max(0, 2 - start), np.int64), self.codes[max(0, start - 2) : own.stop]])
-            back = [part[2 - k : 2 - k + len(seen)] for k in (1, 2)]
-            known, two = seen > 0, seen > 1
-            raw = [np.where(known, t[back[0]], 0) for t in tails]
-            raw.append(np.where(known, self.keys[back[0]], 0))
-            raw.append(raw[3] * B + np.where(two, self.keys[back[1]], 0))
-            yield own, first[self.codes[own]], {k: (mixed(c.astype(np.uint64) * np.uint64(8) + np.uint64(k)) ^ A) & ~LOW for k, c in enumerate(raw)}
+            pairs = self.two_before(own, one, two) | self.first[self.codes[own]].view(np.uint64)
+            pairs.sort()
+            new = np.flatnonzero(np.diff(pairs, prepend=~pairs[:1]))
+            counts.put(4, pairs[new], np.diff(new, append=len(pairs)))
+        pairs = one << 9 | self.first[self.codes]
+        pairs.sort()
+        new = np.flatnonzero(np.diff(pairs, prepend=-1))
+        word, symbols, n = pairs[new] >> 9, (pairs[new] & 511).view(np.uint64), np.diff(new, append=len(pairs))
+        for k, c in enumerate(self.tails):
+            counts.put(k, *sums(c[word] | symbols, n)[1:])
 
 
 class Counts:
-    """Bit counts of one task."""
+    """Bit counts of one task: 16 bits a cell, and for the few cells that hold more, how many times ``CARRY`` was taken out of them."""
 
     def __init__(self, code: Code, bits: int):
         self.code, self.bits = code, bits
-        self.table = np.zeros(2 * n_slots(bits), np.uint32)
-
-    def put(self, k: int, symbols: np.ndarray, contexts: np.ndarray, weights: np.ndarray) -> None:
-        for at in range(0, len(symbols), 1 << 16):
-            cut = slice(at, at + (1 << 16))
-            of, node, bit = self.code.decisions(symbols[cut])
-            np.add.at(self.table, slots(k, contexts[cut], of, node, self.bits) * 2 + bit, weights[cut].astype(np.uint32)[of])
-
-    def add(self, symbols: np.ndarray, contexts: dict[int, np.ndarray]) -> None:
-        """Equal pairs of context and symbol are counted first, then put down once."""
-        for k, c in contexts.items():
-            pairs = np.sort(c | symbols.astype(np.uint64))
-            new = np.flatnonzero(np.diff(pairs, prepend=~pairs[:1])) if len(pairs) else np.zeros(0, np.int64)
-            self.put(k, (pairs[new] & LOW).astype(np.int64), pairs[new] & ~LOW, np.diff(new, append=len(pairs)))
+        self.table = np.zeros(2 * n_slots(bits), np.uint16)
+        self.carried: dict[int, int] = {}
+
+    def carry(self, cells: np.ndarray, counts: np.ndarray) -> None:
+        """Puts whole counts into different cells: what 16 bits hold, the rest as times of ``CARRY``."""
+        times = np.where(counts >= 2 * CARRY, counts // CARRY, 0)
+        self.table[cells] = counts - times * CARRY
+        full = np.flatnonzero(times)
+        for cell, n in zip(cells[full].tolist(), times[full].tolist(), strict=True):
+            self.carried[cell] = self.carried.get(cell, 0) + n
+
+    def put(self, k: int, pairs: np.ndarray, weights: np.ndarray) -> None:
+        """Puts down pairs of context and symbol; those of light weight in pieces that add less than two ``CARRY`` to any cell."""
+        light = weights < LIGHT
+        heavy, n = pairs[~light], weights[~light]
+        for at in range(0, len(heavy), 1 << 16):
+            of, cells = self.cells(k, heavy[at : at + (1 << 16)])
+            _, cells, sum_of = sums(cells, n[at : at + (1 << 16)][of])
+            self.carry(cells, self.table[cells] + sum_of)
+        pairs, weights, at = pairs[light], weights[light], 0
+        for end in (np.flatnonzero(np.diff(np.cumsum(weights) // CARRY, append=-1)) + 1).tolist():
+            of, cells = self.cells(k, pairs[at:end])
+            np.add.at(self.table, cells, weights[at:end].astype(np.uint16)[of])
+            full = np.unique(cells[self.table[cells] >= 2 * CARRY])
+            self.carry(full, self.table[full].astype(np.int64))
+            at = end
+
+    def cells(self, k: int, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each decision: which pair it belongs to, and its place in the table."""
+        of, place, bit = self.code.decisions((pairs & LOW).view(np.int64))
+        return of, slots(k, pairs & ~LOW, of, place, self.bits) * 2 + bit
+
+    def put_inner(self, words: list[bytes], n: np.ndarray) -> None:
+        """Equal beginnings of words are put down once: they have the same contexts."""
+        of, symbols, contexts = inner_events(words)
+        symbols = symbols.view(np.uint64)
+        at, pairs, n = sums(contexts[4] | symbols, n[of])
+        self.put(4, pairs, n)
+        for k in range(4):
+            self.put(k, *sums(contexts[k][at] | symbols[at], n)[1:])
 
     def blocks(self) -> Iterator[tuple[int, bytes, bytes, bytes]]:
         """Of each block that isn't empty the counts up to 255, and the places and values of the larger ones."""
         flat = self.table.reshape(BLOCKS, -1)
+        cells = np.array(sorted(self.carried), np.int64)
+        more = np.array([self.carried[c] for c in cells.tolist()], np.int64) * CARRY
+        bounds = np.searchsorted(cells, np.arange(BLOCKS + 1) * flat.shape[1])
         for i in range(BLOCKS):
-            if flat[i].any():
-                large = np.flatnonzero(flat[i] > 255)
-                yield i, pa.compress(np.minimum(flat[i], 255).astype(np.uint8).tobytes(), "zstd", asbytes=True), large.astype(np.uint32).tobytes(), flat[i][large].tobytes()
-
-    def batch(self) -> pa.RecordBatch:
-        found = list(zip(*self.blocks(), strict=True)) or [[], [], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["block", "small", "place", "large"])
+            own = slice(bounds[i], bounds[i + 1])
+            over = cells[own] - i * flat.shape[1]
+            if flat[i].any() or len(over):
+                large = np.union1d(np.flatnonzero(flat[i] > 255), over)
+                values = flat[i][large].astype(np.int64)
+                values[np.searchsorted(large, over)] += more[own]
+                small = np.minimum(flat[i], 255).astype(np.uint8)
+                small[over] = 255
+                yield i, pa.compress(small.tobytes(), "zstd", asbytes=True), large.astype(np.uint32).tobytes(), values.astype(np.uint32).tobytes()
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        """The blocks, a few in a batch, so that they aren't held twice beside the table."""
+        types = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        blocks = self.blocks()
+        while found := list(islice(blocks, 8)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), types, strict=True)], ["block", "small", "place", "large"])
 
 
 class Model:
@@ -218,11 +337,11 @@ class Model:
         self.map = np.zeros((GATES, MAP, 2))
 
     def inputs(self, symbols: np.ndarray, contexts: dict[int, np.ndarray], gate: int, cut: slice):
-        of, node, bit = self.code.decisions(symbols[cut])
+        of, place, bit = self.code.decisions(symbols[cut])
         x = np.zeros((CONTEXTS, len(of)), np.float32)
         gates = np.full(len(of), gate)
         for k, c in contexts.items():
-            at = slots(k, c[cut], of, node, self.bits)
+            at = slots(k, c[cut], of, place, self.bits)
             x[k] = self.stretched[at]
             if k > 2:
                 gates = gates * LEVELS + self.levels[at]
@@ -247,16 +366,24 @@ class Model:
     def learn(self, symbols: np.ndarray, contexts: dict[int, np.ndarray], gate: int, weights: np.ndarray | None = None, rate: float = 0.05, block: int = 512) -> float:
         """Online: each block is predicted with the weights so far, then moves them."""
         done = 0.0
-        for at in range(0, len(symbols), block):
-            of, bit, x, g = self.inputs(symbols, contexts, gate, slice(at, at + block))
-            w = np.ones(len(bit)) if weights is None else weights[at : at + block][of]
-            z = np.clip((x * self.weights[g].T).sum(0), -15, 15)
-            np.add.at(self.map, (g, self.level(z), bit), w)
-            pull = w * (bit - 1 / (1 + np.exp(-z)))
-            n = np.bincount(g, w, GATES)
-            for k in contexts:
-                self.weights[:, k] += rate * np.bincount(g, pull * x[k], GATES) / np.maximum(n, 1) * np.minimum(1, n / 50)
-            done += w.sum()
+        for start in range(0, len(symbols), block * 32):
+            # tables stay as they are, so that only weights are taken block by block
+            cut = slice(start, start + block * 32)
+            of, bit, x, gates = self.inputs(symbols, contexts, gate, cut)
+            said = np.ones(len(bit)) if weights is None else weights[cut][of]
+            mixes, at = np.empty(len(bit)), 0
+            for upto in np.searchsorted(of, np.arange(block, len(symbols[cut]) + block, block)).tolist():
+                own = slice(at, upto)
+                g, w, xs = gates[own], said[own], x[:, own]
+                z = mixes[own] = np.clip((xs * self.weights[g].T).sum(0), -15, 15)
+                pull = w * (bit[own] - 1 / (1 + np.exp(-z)))
+                n = np.bincount(g, w, GATES)
+                step = rate * np.minimum(1, n / 50) / np.maximum(n, 1)
+                for k in contexts:
+                    self.weights[:, k] += step * np.bincount(g, pull * xs[k], GATES)
+                at = upto
+            self.map += np.bincount((gates * MAP + self.level(mixes)) * 2 + bit, said, self.map.size).reshape(self.map.shape)
+            done += said.sum()
         return float(done)
 
     def scores(self, symbols: np.ndarray, contexts: dict[int, np.ndarray], gate: int) -> np.ndarray:
@@ -285,7 +412,10 @@ class Model:
         for at in range(0, len(words), SLICE):
             part = [b"" if w == END_WORD else w for w in words[at : at + SLICE]]
             of, symbols, contexts = inner_events(part)
-            out[at : at + SLICE] = np.bincount(of, self.scores(symbols, contexts, 1), len(part))
+            # equal beginnings of words are scored once
+            first, group = np.unique(contexts[4] | symbols.view(np.uint64), return_index=True, return_inverse=True)[1:]
+            scores = self.scores(symbols[first], {k: c[first] for k, c in contexts.items()}, 1)
+            out[at : at + SLICE] = np.bincount(of, scores[group], len(part))
         return out
 
 
@@ -294,7 +424,7 @@ def fold():
 
 
 def word_table(rows: DataFrame) -> DataFrame:
-    """``(word, key, n, n_fit)`` of all words and the end: counts in training documents, and in those not of the mixed fold; ``key`` is ``word_key``."""
+    """``(word, n, n_fit)`` of all words and the end: counts in training documents, and in those not of the mixed fold; sorted in each partition."""
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for whole in rows for part in in_blocks(whole, 0, BLOCK)):
@@ -302,18 +432,18 @@ def word_table(rows: DataFrame) -> DataFrame:
             kind = np.minimum(b.column(1).to_numpy(), 2)  # held out, mixed, counted
             w = len(t.words) + 1
             n = np.bincount(t.codes + w * kind[t.text_of()], minlength=3 * w).reshape(3, w)
-            words = pa.array([*t.spelled(), END_WORD], pa.binary())
-            yield pa.RecordBatch.from_arrays([words, pa.array(t.keys.view(np.int64)), pa.array(n[1] + n[2]), pa.array(n[2])], ["word", "key", "n", "n_fit"])
+            words = pa.concat_arrays([t.words.cast(pa.binary()), pa.array([END_WORD], pa.binary())])
+            yield pa.RecordBatch.from_arrays([words, pa.array(n[1] + n[2]), pa.array(n[2])], ["word", "n", "n_fit"])
 
-    parts = rows.select("text", "fold").mapInArrow(batches, "word binary, key long, n long, n_fit long")
-    return parts.groupBy("word").agg(F.first("key").alias("key"), F.sum("n").alias("n"), F.sum("n_fit").alias("n_fit"))
+    parts = rows.select("text", "fold").mapInArrow(batches, "word binary, n long, n_fit long")
+    return parts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_fit").alias("n_fit")).sortWithinPartitions("word")
 
 
 def symbol_counts(words: DataFrame) -> np.ndarray:
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(257, np.int64)
         for b in rows:
-            n, said = b.column(1).to_numpy(), b.column(0).to_pylist()
+            n, said = b.column(1).to_numpy(), listed(b.column(0))
             end = np.fromiter((w == END_WORD for w in said), bool, len(said))
             size = np.fromiter(map(len, said), np.int64, len(said))
             weights = np.repeat(np.where(end, 0, n), size)
@@ -338,38 +468,37 @@ def bit_tables(training: DataFrame, words: DataFrame, code: Code, bits: int) ->
     def firsts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts(code, bits)
         for b in (part for whole in rows for part in in_blocks(whole, 0, SMALL_BLOCK)):
-            for _, symbols, contexts in Tokens(b.column(0)).first_events():
-                counts.add(symbols, contexts)
-        yield counts.batch()
+            Tokens(b.column(0)).count_firsts(counts)
+        yield from counts.batches()
+        del counts
+        give_back()
 
     def spelled(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts(code, bits)
-        for b in rows:
-            met, n = b.column(0).to_pylist(), b.column(1).to_numpy()
-            for at in range(0, len(met), SLICE):
-                of, symbols, contexts = inner_events(met[at : at + SLICE])
-                for k, c in contexts.items():
-                    counts.put(k, symbols, c, n[at : at + SLICE][of])
-        yield counts.batch()
+        for b in slices(rows, SLICE):
+            counts.put_inner(listed(b.column(0)), b.column(1).to_numpy())
+        yield from counts.batches()
+        del counts
+        give_back()
 
     def total(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        sum_of: dict[int, np.ndarray] = {}
         for b in rows:
             for i, mixed_fold, *data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                both = sums.setdefault(i, np.zeros((2, size), np.int64))
-                n = np.frombuffer(pa.decompress(data[0], size, "zstd"), np.uint8).astype(np.int64)
-                n[np.frombuffer(data[1], np.uint32)] = np.frombuffer(data[2], np.uint32)
-                both[1] += n
-                if not mixed_fold:
-                    both[0] += n
+                if i not in sum_of:
+                    sum_of[i] = np.zeros((2, size), np.int64)
+                own = sum_of[i][int(mixed_fold)]
+                own += np.frombuffer(pa.decompress(data[0], size, "zstd"), np.uint8)
+                own[np.frombuffer(data[1], np.uint32)] += np.frombuffer(data[2], np.uint32).astype(np.int64) - 255
         out: list[list[bytes]] = [[], [], [], []]
-        for both in sums.values():
+        for both in sum_of.values():
+            both[1] += both[0]
             for j, n in enumerate(both):
                 zeros, ones = n.reshape(-1, 2).T
                 s = np.log((ones + 0.2) / (zeros + 0.2))
                 out[2 * j].append(pa.compress(np.where(zeros + ones > 0, s, 0).astype(np.float16).tobytes(), "zstd", asbytes=True))
                 out[2 * j + 1].append(pa.compress(np.digitize(zeros + ones, SEEN).astype(np.uint8).tobytes(), "zstd", asbytes=True))
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), *(pa.array(x, pa.binary()) for x in out)], ["block", "odds_fit", "levels_fit", "odds_all", "levels_all"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sum_of), pa.int32()), *(pa.array(x, pa.binary()) for x in out)], ["block", "odds_fit", "levels_fit", "odds_all", "levels_all"])
 
     own = F.col("fold") == MIXED_FOLD
     spelling = words.where(F.col("word") != F.lit(bytearray(END_WORD)))
@@ -401,11 +530,11 @@ def refine(model: Model, fold_rows: DataFrame) -> None:
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, done = copy.copy(shared.value), 0.0
         own.weights, own.map = own.weights.copy(), own.map.copy()
-        for b in (part for whole in rows for part in in_blocks(whole, 0, SMALL_BLOCK)):
+        for b in (part for whole in rows for part in in_blocks(whole, 0, LEARNED_BLOCK)):
             t = Tokens(b.column(0))
             for _, symbols, contexts in t.first_events():
                 done += own.learn(symbols, contexts, 0)
-            n, said = np.bincount(t.codes, minlength=len(t.words) + 1).astype(np.float64), t.spelled()
+            n, said = np.bincount(t.codes, minlength=len(t.words) + 1).astype(np.float64), t.spelled
             for at in range(0, len(said), SLICE):
                 of, symbols, contexts = inner_events(said[at : at + SLICE])
                 done += own.learn(symbols, contexts, 1, n[at : at + SLICE][of])
@@ -459,13 +588,14 @@ def score_documents(documents: DataFrame, bits: int = BITS, common: int = COMMON
     finished = spark.sparkContext.broadcast(model)
 
     def finish(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows:
-            rest = finished.value.rest(b.column(0).to_pylist())
-            base = np.log10((b.column(2).to_numpy() + 0.1) / whole)
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(base), pa.array(rest)], ["key", "n", "base", "rest"])
+        for b in slices(rows, SLICE):
+            said = listed(b.column(0))
+            keys, rest = word_keys(said).view(np.int64), finished.value.rest(said)
+            base = np.log10((b.column(1).to_numpy() + 0.1) / whole)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), b.column(1), pa.array(base), pa.array(rest)], ["key", "n", "base", "rest"])
 
     # every word is finished once; keys, not words, go on from here
-    known = stored(words.select("word", "key", "n").mapInArrow(finish, "key long, n long, base double, rest double"))
+    known = stored(words.select("word", "n").mapInArrow(finish, "key long, n long, base double, rest double"))
     often = frequent(known, common).select("key", "base", "rest").toArrow()  # at most `common` rows
     keys = often.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
@@ -473,7 +603,7 @@ def score_documents(documents: DataFrame, bits: int = BITS, common: int = COMMON
     kind = documents.select("doc_id").schema[0].dataType
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, (listed, base_of, rest_of) = finished.value, shared.value
+        model, (known_keys, base_of, rest_of) = finished.value, shared.value
         for b in (part for whole in rows for part in in_blocks(whole, 3, SMALL_BLOCK)):
             t = Tokens(b.column("text"))
             n_texts, text_of = len(t.n), t.text_of()
@@ -485,8 +615,8 @@ def score_documents(documents: DataFrame, bits: int = BITS, common: int = COMMON
             pairs = np.sort(text_of * w + t.codes)
             new = np.flatnonzero(np.diff(pairs, prepend=-1))
             text, word, c = pairs[new] // w, pairs[new] % w, np.diff(new, append=len(pairs))
-            at = np.minimum(np.searchsorted(listed, t.keys), max(0, len(listed) - 1))
-            met = (listed[at] == t.keys if len(listed) else np.zeros(w, bool))[word]
+            at = np.minimum(np.searchsorted(known_keys, t.keys), max(0, len(known_keys) - 1))
+            met = (known_keys[at] == t.keys if len(known_keys) else np.zeros(w, bool))[word]
             of, ct, place = text[met], c[met], at[word[met]]
             base = np.bincount(of, ct * base_of[place], n_texts)
             score += np.bincount(of, ct * rest_of[place], n_texts)
@@ -509,8 +639,8 @@ def score_documents(documents: DataFrame, bits: int = BITS, common: int = COMMON
     spread = spread.select("row", "r.key", "r.c", *[F.when(F.col("r.c").isNull(), F.col(x)).alias(x) for x in fixed])
     finished_words = known.select("key", "n", F.col("base").alias("word_base"), "rest")
     met = spread.join(finished_words, "key", "left")
-    sums = {"rare": F.sum(F.col("c") * F.col("word_base")), "spelled": F.sum(F.col("c") * F.col("rest")), "rare_known": F.sum(F.when(F.col("n") > 0, F.col("c")))}
-    out = met.groupBy("row").agg(*[F.max(x).alias(x) for x in fixed], *[F.coalesce(x, F.lit(0)).alias(name) for name, x in sums.items()])
+    totals = {"rare": F.sum(F.col("c") * F.col("word_base")), "spelled": F.sum(F.col("c") * F.col("rest")), "rare_known": F.sum(F.when(F.col("n") > 0, F.col("c")))}
+    out = met.groupBy("row").agg(*[F.max(x).alias(x) for x in fixed], *[F.coalesce(x, F.lit(0)).alias(name) for name, x in totals.items()])
     score = F.col("score") + F.col("spelled")
     return out.select(
         "doc_id",

@@ -58,3 +58,60 @@ def test_empty_table(spark):
     assert lm.score_documents(spark.createDataFrame([], "doc_id long, text string"), bits=10).count() == 0
     only = lm.score_documents(spark.createDataFrame([(11, None)], "doc_id long, text string"), bits=10).collect()
     assert len(only) == 1 and only[0].n_tokens == 1
+
+
+def cells(counts):
+    """All counts of a task, out of its blocks."""
+    out = np.zeros((lm.BLOCKS, len(counts.table) // lm.BLOCKS), np.int64)
+    for b in counts.batches():
+        for i, small, place, large in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            out[i] = np.frombuffer(lm.pa.decompress(small, out.shape[1], "zstd"), np.uint8)
+            assert (out[i][np.frombuffer(place, np.uint32)] == 255).all()
+            out[i][np.frombuffer(place, np.uint32)] = np.frombuffer(large, np.uint32)
+    return out.ravel()
+
+
+def test_counts_beyond_16_bits_are_whole():
+    r = np.random.default_rng(0)
+    code, counts = lm.Code(r.integers(0, 1000, 257)), lm.Counts(lm.Code(np.ones(257)), 12)
+    counts.code, want = code, np.zeros(len(counts.table), np.int64)
+    assert counts.table.itemsize == 2
+    for scale in (3, 20_000, 70_000, 10_000_000, 1, 16_384):
+        pairs = (r.integers(0, 1 << 62, 40).astype(np.uint64) & ~lm.LOW)[r.integers(0, 40, 5_000)] | r.integers(0, 257, 5_000).astype(np.uint64)
+        weights = r.integers(0, scale + 1, 5_000) // r.choice([1, 1000], 5_000)
+        of, at = counts.cells(1, pairs)
+        np.add.at(want, at, weights[of])
+        counts.put(1, pairs, weights)
+    counts.put(1, pairs[:0], weights[:0])
+    assert want.max() > 1 << 25 and (cells(counts) == want).all()
+
+
+def test_equal_beginnings_of_words_are_counted_and_scored_once(monkeypatch):
+    words = [b"sharedbeginning" + bytes([97 + i % 26, 97 + i // 26]) for i in range(300)]
+    r = np.random.default_rng(0)
+    n, code = r.integers(1, 400, len(words)), lm.Code(r.integers(0, 1000, 257))
+    of, symbols, contexts = lm.inner_events(words)
+    want, counts, put = lm.Counts(code, 12), lm.Counts(code, 12), []
+    for k, c in contexts.items():
+        want.put(k, c | symbols.astype(np.uint64), n[of])
+    real = lm.Counts.put
+    monkeypatch.setattr(lm.Counts, "put", lambda self, k, pairs, weights: (put.append(len(pairs)), real(self, k, pairs, weights)))
+    counts.put_inner(words, n)
+    assert (cells(counts) == cells(want)).all() and sum(put) < len(symbols)
+    model = lm.Model(code, r.normal(0, 2, lm.n_slots(12)).astype(np.float16), r.integers(0, lm.LEVELS, lm.n_slots(12)).astype(np.uint8), 12)
+    alone, scored = np.bincount(of, model.scores(symbols, contexts, 1), len(words)), []
+    scores = lm.Model.scores
+    monkeypatch.setattr(lm.Model, "scores", lambda self, symbols, *x: (scored.append(len(symbols)), scores(self, symbols, *x))[1])
+    assert np.allclose(model.rest(words), alone, rtol=1e-12) and sum(scored) < len(symbols) / 5
+
+
+def test_first_symbols_are_counted_like_their_events():
+    texts = lm.pa.array(["The the cat the cat", None, "", "the cat \x01 é the the cat sat", "x"] * 3)
+    for t in (lm.Tokens(texts), lm.Tokens(texts.slice(1, 2)), lm.Tokens(texts.slice(0, 0))):
+        code = lm.Code(np.arange(257))
+        want, counts = lm.Counts(code, 12), lm.Counts(code, 12)
+        for _, symbols, contexts in t.first_events():
+            for k, c in contexts.items():
+                want.put(k, c | symbols.astype(np.uint64), np.ones(len(c), np.int64))
+        t.count_firsts(counts)
+        assert (cells(counts) == cells(want)).all() and counts.table.any() == (len(t.n) > 0)
