@@ -166,7 +166,7 @@ def stream_agent_turns(stream: DataFrame, quiet: str = "7 days", delay: str = "1
         turn, part, last, opened, waiting = json.loads(state.get[0]) if state.exists else (0, 0, None, None, [])
         if not state.hasTimedOut:
             for b in batches:
-                waiting += map(list, zip(b["at"].tolist(), b["line_no"].tolist(), b["kind"].tolist(), b["text"].tolist(), strict=True))
+                waiting += ([e["at"], e.get("line_no"), e["kind"], e.get("text")] for e in json.loads(f"[{','.join(b['event'])}]"))
 
         def close() -> None:
             nonlocal opened
@@ -174,7 +174,7 @@ def stream_agent_turns(stream: DataFrame, quiet: str = "7 days", delay: str = "1
                 out.append((session[0], turn, part, opened["role"], opened["started"], "\n\n".join(opened["said"]), opened["thoughts"], opened["tools"]))
             opened = None
 
-        for at, line, kind, text in sorted((e for e in waiting if e[0] < now), key=lambda e: e[1]):
+        for at, _, kind, text in sorted((e for e in waiting if e[0] < now), key=lambda e: (e[1] is None, e[1])):
             human = kind == "human"
             if turn == 0 and not human:
                 continue  # nothing was asked yet
@@ -206,7 +206,9 @@ def stream_agent_turns(stream: DataFrame, quiet: str = "7 days", delay: str = "1
             yield pd.DataFrame(out, columns=columns)
 
     events = stream.where(F.col("kind").isin("human", "text", "tool", "thinking") & ~F.coalesce("is_side", F.lit(False))).withWatermark("ts", delay)
-    events = events.select("session_id", "ts", F.unix_micros("ts").alias("at"), "line_no", "kind", "text").groupBy("session_id")
+    # each column costs each session's frame anew, many times what its few values take, so an event travels as one
+    event = F.to_json(F.struct(F.unix_micros("ts").alias("at"), "line_no", "kind", "text"))
+    events = events.where("ts is not null").select("session_id", "ts", event.alias("event")).groupBy("session_id")
     out = events.applyInPandasWithState(advance, TURN.format(key), "state string", "append", GroupStateTimeout.EventTimeTimeout)
     return out.withColumn("started", F.timestamp_micros("started"))
 

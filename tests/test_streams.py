@@ -61,3 +61,20 @@ def test_a_store_takes_each_batch_once(spark, tmp_path):
     assert [(r.parts, r.rows) for r in streams._commits(spark, store)] == [(2, 4)]
     drop("d", [("7", "w", "new"), ("8", "w", "newer")])
     assert len(run("check")) == 5
+
+
+def test_an_event_reaches_its_session_as_one_value(spark, tmp_path):
+    fields = "session_id string, line_no int, at long, kind string, is_side boolean, text string"
+    said = ['a "b" \\ [c], {d}\n\té \U0001f600', None, "", "\x01,"]
+    rows = [("s", 1, 1_700_000_000, "human", None, "ask"), *[("s", 2 + i, 1_700_000_001 + i, "text", None, t) for i, t in enumerate(said)]]
+    rows += [("s", 9, None, "text", None, "without a time"), ("end", 1, 1_710_000_000, "human", None, "x")]
+    df = spark.createDataFrame(rows, fields).withColumn("ts", F.timestamp_seconds("at")).drop("at")
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    out = streams.stream_agent_turns(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"))
+    plan = out._jdf.queryExecution().analyzed().toString().splitlines()
+    below = plan[next(i for i, line in enumerate(plan) if "PandasWithState" in line) + 1 :]
+    columns = next(line for line in below if "Project [" in line)
+    assert "event#" in columns and "line_no#" not in columns.replace(columns[columns.find("to_json") : columns.find(" AS event")], "")
+    streams.run_available(out, f"{tmp_path}/out", f"{tmp_path}/check")
+    got = sorted((r.turn, r.role, r.text) for r in spark.read.parquet(f"{tmp_path}/out").where("session_id = 's'").collect())
+    assert got == [(1, "user", "ask"), (2, "assistant", "\n\n".join(t or "" for t in said))]
