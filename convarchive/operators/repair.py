@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from convarchive.functions.text import has_nul, has_private_use, raw_json_lines, strip_space
+from convarchive.functions.text import has_nul, has_private_use, raw_json_lines
 
 #: Drift flags and whether the note itself is enough to repair it (else an export is needed).
 FLAGS = {"raw_json": "note", "nul_bytes": "export", "raw_citations": "export", "missing_image": "export", "no_model": "export", "no_conv_id": "export"}
 NOTICE = r"\[missing image:([^\]]+)\]"
 #: Characters of a file's name by which texts are searched for places where it could begin.
 HEAD = 3
+#: White space at both ends of a text, without vertical tabs; line separators of other kinds end no text.
+EDGES = r"\A[\t\n\f\r ]+|[\t\n\f\r ]+\z"
 LINK = r"(!?\[[^\]]*\]\()([^)]+)(\))"
 
 
@@ -51,16 +53,16 @@ def repair_plan(notes: DataFrame) -> DataFrame:
 
     Of notes with equal final text in a folder and base the plainly named one stays and inherits the newest
     time; its twins go to the trash; a kept one with a version suffix takes the base name if that is free. Of notes with
-    the same name the first path comes first.
+    the same name the first path comes first; notes without a name come last.
     """
-    digest = F.sha1(strip_space(F.col("body")))
-    suffixed = (F.col("name") != F.col("base")).cast("int")
+    digest = F.sha1(F.regexp_replace("body", EDGES, ""))
+    order = [(F.col("name") != F.col("base")).cast("int").asc_nulls_last(), F.asc_nulls_last("name"), F.asc_nulls_last("path")]
     twins = Window.partitionBy("dir", "base", "sha")
     marked = notes.withColumn("sha", digest).withColumns(
-        {"nth": F.row_number().over(twins.orderBy(suffixed, "name", "path")), "newest": F.max("mtime").over(twins)}
+        {"nth": F.row_number().over(twins.orderBy(*order)), "newest": F.max("mtime").over(twins)}
     )
     kept = F.col("nth") == 1
-    place = Window.partitionBy("dir", "base").orderBy((~kept).cast("int"), suffixed, "name", "path")
+    place = Window.partitionBy("dir", "base").orderBy((~kept).cast("int"), *order)
     first = F.row_number().over(place) == 1
     action = F.when(~kept, "trash").when(first & (F.col("name") != F.col("base")), "rename").otherwise("keep")
     return marked.withColumn("action", action).select("path", "action", F.when(F.col("action") == "rename", F.col("base")).otherwise(F.col("name")).alias("new_name"), F.when(kept, F.col("newest")).alias("mtime"))
